@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumivox.llm.packing import pack_documents
 from lumivox.llm.token_files import read_token_files, write_token_files
+from lumivox.llm.warc import read_warc, resolve_revisits, write_warc
 from lumivox.plans.scratch import scratch_path
 from lumivox.session import ship
 
@@ -27,9 +29,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=0)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    names = write_warc(_table(spark, sf_dir, "pages"), folder)
+    pages = resolve_revisits(read_warc(spark, folder, names))
+    return pages.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_key").cast("long").alias("refers_to"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+        f AS (SELECT h, max(page_id) AS first FROM d WHERE n >= 1000 GROUP BY h)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.h AS payload_digest,
+               CASE WHEN first IS NOT NULL AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM d LEFT JOIN f ON d.h = f.h AND n >= 1000""",
+}
