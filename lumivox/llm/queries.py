@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumivox.llm.packing import pack_documents
+from lumivox.llm.simhash import near_duplicates
 from lumivox.llm.token_files import read_token_files, write_token_files
 from lumivox.llm.warc import read_warc, resolve_revisits, write_warc
 from lumivox.plans.scratch import scratch_path
@@ -29,6 +30,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=0)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     names = write_warc(_table(spark, sf_dir, "pages"), folder)
@@ -38,6 +43,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op3_simhash": op3_simhash,
     "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
