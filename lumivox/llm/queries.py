@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumivox.llm.classifier import Neighbours, fit_neighbours, score_quality
+from lumivox.llm.labelled import crc_fold, label_sample
+from lumivox.llm.language import identify, learn_dictionaries
 from lumivox.llm.packing import pack_documents
+from lumivox.llm.rules import fit_ratio, judge
 from lumivox.llm.simhash import near_duplicates
 from lumivox.llm.token_files import read_token_files, write_token_files
 from lumivox.llm.warc import read_warc, resolve_revisits, write_warc
 from lumivox.plans.scratch import scratch_path
 from lumivox.session import ship
 
+#: The least quality score of a kept document.
+QUALITY = 0.3
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -34,6 +40,30 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    dictionaries = learn_dictionaries(docs.where(crc_fold("doc_id") != 0))
+    found = identify(docs.select("doc_id", "text"), dictionaries)
+    return found.select("doc_id", (crc_fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    trusted = label_sample(_table(spark, sf_dir, "labels").where("quality = 1"), "quality", 20_000)
+    return judge(docs, fit_ratio(docs, trusted))
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Neighbours:
+    """The quality classifier, fitted on labels outside the held-out fold."""
+    return fit_neighbours(docs, _table(spark, sf_dir, "labels").where(crc_fold("doc_id") != 0), "quality")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = score_quality(docs.select("doc_id", "text"), quality_model(spark, docs, sf_dir))
+    return found.select("doc_id", (crc_fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= QUALITY).cast("int").alias("predicted"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     names = write_warc(_table(spark, sf_dir, "pages"), folder)
@@ -44,6 +74,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_simhash": op3_simhash,
+    "op4_language": op4_language,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_quality_classifier": op6_quality_classifier,
     "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
