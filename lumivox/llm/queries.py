@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumivox.llm.classifier import Neighbours, fit_neighbours, score_quality
+from lumivox.llm.decontaminate import find_leaks
 from lumivox.llm.html import extract
 from lumivox.llm.labelled import crc_fold, label_sample
 from lumivox.llm.language import identify, learn_dictionaries
@@ -65,6 +66,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= QUALITY).cast("int").alias("predicted"))
 
 
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_benchmark_leaks": op7_benchmark_leaks,
     "op8_main_text": op8_main_text,
     "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
