@@ -12,6 +12,7 @@ from lumivox.llm.html import extract
 from lumivox.llm.labelled import crc_fold, label_sample
 from lumivox.llm.language import identify, learn_dictionaries
 from lumivox.llm.packing import pack_documents
+from lumivox.llm.passages import repeated_passages
 from lumivox.llm.rules import fit_ratio, judge
 from lumivox.llm.simhash import near_duplicates
 from lumivox.llm.token_files import read_token_files, write_token_files
@@ -38,6 +39,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=0)
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_repeated_passages": op2_repeated_passages,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
     "op5_quality_rules": op5_quality_rules,
