@@ -1,14 +1,76 @@
-"""The corpus pipeline: quality, near copies, repeated passages, benchmark leaks, packing."""
+"""The corpus pipeline: quality, near copies, repeated passages, benchmark leaks, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of
+``documents``. A stage works on all that the one before it kept.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumivox.llm.decontaminate import find_leaks
+from lumivox.llm.packing import pack_documents
+from lumivox.llm.passages import repeated_passages, without_passages
+from lumivox.llm.queries import QUALITY, TOKENIZER, quality_model
+from lumivox.llm.classifier import score_quality
+from lumivox.llm.simhash import near_duplicates
+from lumivox.plans.scratch import written
+from lumivox.session import ship
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier doesn't reject; a rejected document goes, a null or empty text is scored like any."""
+    ship(spark)
+    return score_quality(docs, quality_model(spark, docs, sf_dir)).where(F.col("score") >= QUALITY).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate group the document that names it, once; rows with a null id stay."""
+    ship(spark)
+    kept = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every passage that an earlier document has is cut; ``n_chars`` follows, and documents without a word left go."""
+    ship(spark)
+    cut = without_passages(docs, repeated_passages(docs))
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without a benchmark question in them; rows with a null id stay."""
+    ship(spark)
+    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces and their places in sequences."""
+    ship(spark)
+    return pack_documents(docs, public_tokenizers.path(TOKENIZER), end_id=0)
+
 
-STAGES = []
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("simhash_near_dedup", drop_near_copies),
+    ("substring_dedup", cut_repeated_passages),
+    ("benchmark_decontamination", drop_leaks),
+    ("best_fit_packing", pack),
+]
 
-#: No stage's model or chaining can be said in SQL; tests hold the stages against brute force.
+#: No model, chaining or packing can be said in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages in turn over the whole ``documents`` table, each written to the shared folder and read by the next."""
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, name)
+    return docs
