@@ -16,7 +16,8 @@ from lumivox.sources import cohort as C
 from lumivox.sources import volumes as V
 from lumivox.streaming import feeds
 
-_ID = F.regexp_extract("path", r"(\d+)\.nii$", 1).cast("long").alias("series_id")
+def _id():
+    return F.regexp_extract("path", r"(\d+)\.nii$", 1).cast("long").alias("series_id")
 
 
 def _files(s, d, value: str):
@@ -191,14 +192,14 @@ def _uids(s, d):
 
 
 QUERIES = {
-    "src01_src02_inventory": lambda s, d: V.inventory(s, _files(s, d, "value")[1]).select(_ID, "length", "format"),
-    "src03_headers": lambda s, d: _rounded(V.read_headers(_files(s, d, "value")[0]).select(_ID, "nx", "ny", "nz", "volumes", "sx", "sy", "sz", "datatype", "slope", "intercept")),
-    "src04_volume_ingest": lambda s, d: _long(V.read_volume(_files(s, d, "value")[0]).select(_ID, "i", "j", "k", "value")),
-    "src05_label_ingest": lambda s, d: _long(V.read_labels(_files(s, d, "label")[0]).select(_ID, "label", "i", "j", "k")),
+    "src01_src02_inventory": lambda s, d: V.inventory(s, _files(s, d, "value")[1]).select(_id(), "length", "format"),
+    "src03_headers": lambda s, d: _rounded(V.read_headers(_files(s, d, "value")[0]).select(_id(), "nx", "ny", "nz", "volumes", "sx", "sy", "sz", "datatype", "slope", "intercept")),
+    "src04_volume_ingest": lambda s, d: _long(V.read_volume(_files(s, d, "value")[0]).select(_id(), "i", "j", "k", "value")),
+    "src05_label_ingest": lambda s, d: _long(V.read_labels(_files(s, d, "label")[0]).select(_id(), "label", "i", "j", "k")),
     "src12_snk01_audit_log": _audit_log,
     "src09_annotation_documents": _annotation_documents,
     "src10_snk03_pip03_segment_list": _segment_list,
-    "snk04_file_hashes": lambda s, d: V.inventory(s, _files(s, d, "value")[1]).select(_ID, F.length("sha256").cast("long").alias("digits")),
+    "snk04_file_hashes": lambda s, d: V.inventory(s, _files(s, d, "value")[1]).select(_id(), F.length("sha256").cast("long").alias("digits")),
     "str01_change_feed": lambda s, d: feeds.run_to_end(feeds.change_feed(_stream(s, d, "events", _AUDIT)), "append", "feed"),
     "str04_streamed_counts": lambda s, d: feeds.run_to_end(feeds.command_counts(_stream(s, d, "events", _AUDIT)), "complete", "counts"),
     "str05_arrivals": lambda s, d: feeds.run_to_end(feeds.arrivals(_stream(s, d, "lineitem", ["CAST(l_orderkey AS BIGINT) AS series_uid", "CAST(l_linenumber AS BIGINT) AS number"])), "complete", "arrivals"),

@@ -43,5 +43,13 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
 def test_names():
     assert set(SQL) <= set(QUERIES)
