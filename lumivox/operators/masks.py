@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumivox.plans.scratch import written
+
 KEY = ["series_id", "label"]
 VOX = ["i", "j", "k"]
 FACES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
@@ -107,10 +109,11 @@ def distances(a: DataFrame, b: DataFrame, spacing: tuple[float, float, float], b
     """
     near = lambda f: sum((F.pow((F.col(x) - F.col(f"t{x}")) * s, F.lit(2)) for x, s in zip(VOX, spacing)), F.lit(0.0))
     at = lambda x: F.floor(F.col(x) / block).cast("int")
-    target = b.select("series_id", *[F.col(x).alias(f"t{x}") for x in VOX], *[at(x).alias(f"b{x}") for x in VOX])
-    source = a.select(*KEY, *VOX)
+    target = written(b.select("series_id", *[F.col(x).alias(f"t{x}") for x in VOX], *[at(x).alias(f"b{x}") for x in VOX]), "targets")
+    source = written(a.select(*KEY, *VOX), "sources")
     cubes = F.array(*[F.struct(*[(at(x) + o).alias(f"b{x}") for x, o in zip(VOX, offset)]) for offset in [(0, 0, 0), *AROUND]])
     first = source.select(*KEY, *VOX, F.inline(cubes)).join(target, ["series_id", "bi", "bj", "bk"]).groupBy(*KEY, *VOX).agg(F.min(near(0)).alias("d2"))
+    first = written(first, "near")
     sure = (block * min(spacing)) ** 2
     done = first.where(F.col("d2") <= sure)
     rest = source.join(done, [*KEY, *VOX], "left_anti").join(target.drop("bi", "bj", "bk"), "series_id").groupBy(*KEY, *VOX).agg(F.min(near(0)).alias("d2"))
