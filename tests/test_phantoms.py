@@ -116,3 +116,17 @@ def test_bad_header():
     for content in (b"", b"x" * 400):
         with pytest.raises(ValueError):
             parse_header(content)
+
+
+def test_mesh(spark):
+    from lumivox.operators.surface import mesh, polygons
+
+    dot = one(mesh(mask(spark, [(4, 5, 6)]), (1.0, 1.0, 1.0)))  # an octahedron
+    assert dot["area_mm2"] == pytest.approx(np.sqrt(3)) and dot["volume_mm3"] == pytest.approx(1 / 6)
+    ball = [(i, j, k) for i in range(-9, 10) for j in range(-9, 10) for k in range(-9, 10) if i * i + j * j + k * k <= 81]
+    got = one(mesh(mask(spark, ball), (1.0, 1.0, 1.0)))
+    assert got["volume_mm3"] == pytest.approx(4 / 3 * np.pi * 729, rel=0.03) and 0.85 < got["sphericity"] <= 1
+    for pattern in range(256):  # every cut edge is in one loop, once
+        edges = [e for loop in polygons(pattern) for e in loop]
+        cut = [(a, b) for a in range(8) for b in range(a + 1, 8) if bin(a ^ b).count("1") == 1 and (pattern >> a & 1) != (pattern >> b & 1)]
+        assert sorted(edges) == sorted(cut)
