@@ -23,7 +23,8 @@ from lumivox.session import ship
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier doesn't reject; a rejected document goes, a null or empty text is scored like any."""
     ship(spark)
-    return score_quality(docs, quality_model(spark, docs, sf_dir)).where(F.col("score") >= QUALITY).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")  # so that no column of theirs is in the way of the score
+    return score_quality(rows, quality_model(spark, docs, sf_dir)).where(F.col("score") >= QUALITY).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

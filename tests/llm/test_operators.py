@@ -428,6 +428,13 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()}
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumn("score", F.lit("mine")).withColumn("fp", F.lit(1)).withColumn("_spans", F.lit(2)).withColumn("shift", F.lit(3))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert {tuple(r) for r in docs.select("score", "fp", "_spans", "shift").distinct().collect()} == {("mine", 1, 2, 3)}
+
+
 def test_pipeline_on_odd_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = [(i, t, None, None, None) for i, t, _, _ in ODD]
