@@ -48,17 +48,21 @@ def checked_person(name: Column) -> Column:
 
 
 def find_secrets(texts: DataFrame, secrets: DataFrame, seed: int = 12) -> DataFrame:
-    """Every text with every secret it holds, by the hashes of windows as long as a secret's first ``seed`` characters.
+    """Every text with every secret it holds.
 
-    The windows of a text are joined with the secrets by hash, then the whole secret is looked for; secrets that are
-    shorter than ``seed`` are refused. The table of secrets is small and given; Spark chooses how to join.
+    Windows of ``seed`` characters are taken from a text at strides that leave one, at least, within any place as long as
+    the shortest secret, and looked up among all windows of the secrets by hash; then the whole secret is looked for.
+    Secrets that are shorter than ``seed`` are refused. The table of secrets is small and given; Spark chooses how to join.
     """
-    known = secrets.withColumn("key", F.xxhash64(F.substring("secret", 1, seed)))
-    if known.where(F.length("secret") < seed).limit(1).count():
+    shortest = secrets.agg(F.min(F.length("secret"))).first()[0]
+    if shortest is None:
+        return texts.join(secrets.select("secret_id").limit(0), F.lit(True)).select("doc_id", "secret_id").limit(0)
+    if shortest < seed:
         raise ValueError("a secret is too short to be looked for")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - seed + 1))
-    windows = texts.where("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(seed)))))).alias("key"))
-    met = windows.join(known.select("secret_id", "secret", "key"), "key").select("doc_id", "secret_id", "secret")
+    window = lambda c, step: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - seed + 1), F.lit(step)), lambda i: F.xxhash64(F.substring(F.col(c), i, F.lit(seed))))
+    known = secrets.select("secret_id", "secret", F.explode(F.array_distinct(window("secret", 1))).alias("key"))
+    windows = texts.where("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(window("text", shortest - seed + 1))).alias("key"))
+    met = windows.join(known, "key").select("doc_id", "secret_id", "secret").distinct()
     return texts.join(met, "doc_id").where(F.contains("text", "secret")).select("doc_id", "secret_id").distinct()
 
 
