@@ -89,6 +89,7 @@ def find_leaks(
 
     aligned = rows.join(written(met, "met"), "doc_id").join(items, "item_id").withColumn("parted", _parted(F.col("text")))
     aligned = aligned.select("doc_id", "item_id", "shift", "item_template", "item_values", _template(F.col("parted")).alias("doc_template"), _values(F.col("parted")).alias("doc_values"))
+    aligned = written(aligned, "aligned")  # or the templates would be made again for every word that is compared
     steps = F.sequence(F.lit(0), F.size("item_template") - 1)
     there = F.filter(steps, lambda i: F.get("item_template", i) == F.get("doc_template", F.col("shift") + i))
     aligned = aligned.withColumn("there", there)
