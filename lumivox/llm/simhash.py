@@ -16,6 +16,10 @@ from lumivox.plans.components import connected_components
 from lumivox.plans.scratch import written
 
 
+#: So many distinct fingerprints make lists of three segments' values longer than the balls of two are large.
+DENSE = 1 << 25
+
+
 def fingerprint(text: str | None, size: int = 4) -> int:
     """The 64-bit SimHash of a whole text over its word shingles, repeats included; 0 for a text without words."""
     words = (text or "").encode().lower().split()
@@ -41,9 +45,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(scan, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, fp long")
 
 
-def _segments(bits: int) -> list[tuple[int, int, int]]:
+def _segments(bits: int, number: int) -> list[tuple[int, int, int]]:
     """(lowest bit, width, radius) of each segment: two fingerprints that differ in ``bits`` or fewer are within the radius in one of them."""
-    number = 3 if bits > 1 else bits + 1
+    number = min(number, bits + 1)
     least, rest = divmod(bits, number)
     widths = [64 // number + (i < 64 % number) for i in range(number)]
     return [(sum(widths[:i]), w, least if i <= rest else least - 1) for i, w in enumerate(widths)]
@@ -59,26 +63,27 @@ def _segment(fp: Column, low: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _keys(fp: Column, bits: int, ball: bool) -> Column:
+def _keys(fp: Column, bits: int, number: int, ball: bool) -> Column:
     """Array of a fingerprint's table keys, the segment's number in the uppermost bits; with ``ball``, of all keys near them."""
     keys = []
-    for number, (low, width, radius) in enumerate(_segments(bits)):
+    for place, (low, width, radius) in enumerate(_segments(bits, number)):
         for mask in _ball(low, width, radius) if ball else [0]:
-            keys.append(F.lit(number << 60).bitwiseOR(_segment(fp.bitwiseXOR(F.lit(mask)), low, width)))
+            keys.append(F.lit(place << 60).bitwiseOR(_segment(fp.bitwiseXOR(F.lit(mask)), low, width)))
     return F.array(*keys)
 
 
-def links(fps: DataFrame, bits: int = 4, crowd: int = 4096) -> DataFrame:
+def links(fps: DataFrame, bits: int = 4, crowd: int = 4096, number: int = 3) -> DataFrame:
     """Pairs ``(src, dst)`` that connect the distinct fingerprints ``fp`` as the links at ``bits`` or fewer differing bits do.
 
     Multi-index hashing: each fingerprint is in one table a segment, under its segment's value, and looks up
     the values of a small Hamming ball about it; whole distances are verified within the join, so no row
-    is made for a pair that isn't a link. A value with over ``crowd`` distinct fingerprints would pair up too
+    is made for a pair that isn't a link. Fewer segments are longer: their balls are larger, their values' lists
+    shorter. A value with over ``crowd`` distinct fingerprints would pair up too
     many: fingerprints that look it up are linked by the points half way instead (each emits the ball of
     half the distance and joins the least one there), which grows with their number and loses no connection.
     """
-    table = fps.select(F.explode(_keys(F.col("fp"), bits, ball=False)).alias("key"), F.col("fp").alias("dst"))
-    looks = fps.select(F.explode(_keys(F.col("fp"), bits, ball=True)).alias("key"), F.col("fp").alias("src"))
+    table = fps.select(F.explode(_keys(F.col("fp"), bits, number, ball=False)).alias("key"), F.col("fp").alias("dst"))
+    looks = fps.select(F.explode(_keys(F.col("fp"), bits, number, ball=True)).alias("key"), F.col("fp").alias("src"))
     crowded = written(table.groupBy("key").count().where(F.col("count") > crowd).select("key"), "crowded")
     near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= bits
     if crowded.isEmpty():
@@ -103,7 +108,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    groups = connected_components(links(nodes.select("fp"), bits))
+    number = 3 if nodes.count() < DENSE else 2
+    groups = connected_components(links(nodes.select("fp"), bits, number=number))
     rooted = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(rooted.join(names, "root").select("fp", "component_id"), "named")

@@ -165,8 +165,8 @@ def test_simhash_equals_brute_force(spark, documents):
     assert [got.component_id[i] for i in ids] == [ids[n] for n in brute_components(fps)]
 
 
-@pytest.mark.parametrize("crowd", [4096, 3])
-def test_links_in_crowds(spark, crowd):
+@pytest.mark.parametrize(("crowd", "number"), [(4096, 3), (3, 3), (4096, 2)])
+def test_links_in_crowds(spark, crowd, number):
     rng = np.random.default_rng(5)
     base = int(rng.integers(1 << 62))
     fps = {base, base ^ (1 << 63)}
@@ -179,7 +179,7 @@ def test_links_in_crowds(spark, crowd):
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     from lumivox.plans.components import connected_components
 
-    found = connected_components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), 4, crowd)).toPandas().set_index("node").component.to_dict()
+    found = connected_components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), 4, crowd, number)).toPandas().set_index("node").component.to_dict()
     got = [found.get(s, s) for s in signed]
     expected = brute_components(fps)
     assert {(got[i] == got[j]) == (expected[i] == expected[j]) for i in range(len(fps)) for j in range(i)} == {True}
