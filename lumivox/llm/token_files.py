@@ -55,13 +55,13 @@ class _PartWriter:
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Encodes every whole text, appends ``end_id`` to each document, writes ``folder`` and returns its manifest.
 
-    Rows are range-partitioned and sorted by id, ties by text, so any partition count gives the same corpus.
+    Rows are range-partitioned by id and sorted, ties by text, so any partition count gives the same corpus.
     A null text counts as empty (its document is the end id alone); a null id sorts first; repeated rows are
     all written; an empty table gives no part. Other columns are left out before the shuffle.
     A task writes under a name of its own and commits a manifest row, so lost or repeated attempts leave at
     most a stray file. Only one row a part reaches the driver, which sums them into the parts' bases.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).repartitionByRange("id", "text").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer = encoder(tokenizer), None
