@@ -131,13 +131,16 @@ def chain(begin: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.n
 
 def _chains_of(doc, table: dict[str, np.ndarray], c: Chaining) -> Iterator[dict]:
     """The chains of one document's matches with each other document: ends in both, and the runs in between."""
-    order = np.lexsort((table["there"], table["at"], table["there"] - table["at"], table["other"]))
+    order = np.lexsort((table["at"], table["there"] - table["at"], table["other"]))
     other, at, there = (table[k][order] for k in ("other", "at", "there"))
+    new = np.ones(len(at), bool)  # rows of a document that is there twice
+    new[1:] = (other[1:] != other[:-1]) | (there[1:] != there[:-1]) | (at[1:] != at[:-1])
+    other, at, there = other[new], at[new], there[new]
     turn = np.ones(len(at), bool)  # matches on one diagonal make a run, whose words are compared later
     turn[1:] = (other[1:] != other[:-1]) | (there[1:] - at[1:] != there[:-1] - at[:-1]) | (at[1:] - at[:-1] > 4 * c.words)
     begins = np.flatnonzero(turn)
     lasts = np.append(begins[1:], len(at)) - 1
-    run = {"other": other[begins], "b": at[begins], "e": at[lasts] + c.size, "ob": there[begins], "oe": there[lasts] + c.size}
+    run = {"other": other[begins], "b": at[begins], "e": at[lasts] + c.size, "ob": there[begins], "oe": there[lasts] + c.size, "from": begins, "to": lasts + 1}
     order = np.lexsort((run["ob"], run["b"], run["other"]))
     run = {k: v[order] for k, v in run.items()}
     found = []
@@ -145,7 +148,25 @@ def _chains_of(doc, table: dict[str, np.ndarray], c: Chaining) -> Iterator[dict]
     for x, y in zip(edges[:-1], edges[1:]):
         part = {k: v[x:y] for k, v in run.items()}
         for path in chain(part["b"], part["e"], part["ob"], part["oe"], c.gap):
-            found.append((int(part["b"][path[0]]), int(part["e"][path[-1]]), {"doc": doc, "other": part["other"][0], "runs": [int(z) for i in path for z in (part["b"][i], part["ob"][i], part["e"][i] - part["b"][i])]}))
+            seeds = np.concatenate([at[part["from"][i] : part["to"][i]] for i in path])
+            found.append((int(part["b"][path[0]]), int(part["e"][path[-1]]), {"doc": doc, "other": part["other"][0], "runs": [int(z) for i in path for z in (part["b"][i], part["ob"][i], part["e"][i] - part["b"][i])]}, seeds))
+    # The chain with the most seeds first; one that covers no word which those before it don't is left out. So a document
+    # that many others are like keeps a few chains, and every word that a chain covers is covered still.
+    found.sort(key=lambda x: (-len(x[3]), x[2]["other"], x[0]))
+    covered = np.zeros(max(x[1] for x in found) + 1, bool)
+    kept = []
+    for item in found:
+        seeds = item[3]
+        ends = np.append(np.minimum(seeds[1:], seeds[:-1] + c.spread + c.size), 0)
+        reach = np.maximum(seeds + c.size, np.where(np.append(np.diff(seeds), 1 << 30) <= c.spread + c.size, ends, 0))
+        mark = np.zeros(len(covered) + 1, np.int64)
+        np.add.at(mark, seeds, 1)
+        np.add.at(mark, reach, -1)
+        words = np.cumsum(mark)[:-1] > 0
+        if (words & ~covered).any():
+            covered |= words
+            kept.append(item)
+    found = kept
     # Chains with several documents may lie end to end in one passage, so they are kept or left by what they cover together.
     found.sort(key=lambda x: x[0])
     near, least = 2 * c.spread, c.words - 2 * (c.spread + c.size)
@@ -274,7 +295,7 @@ def repeated_passages(docs: DataFrame, c: Chaining = Chaining(), id_col: str = "
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
     seeds = written(find_seeds(rows, c), "seeds")
     first = seeds.where("first").groupBy("hash").agg(F.min("doc").alias("other"), F.min_by("at", "doc").alias("there"), F.max("doc").alias("last")).where("other < last").drop("last")
-    matches = seeds.join(first, "hash").where("other < doc").select("doc", "at", "other", "there").distinct()
+    matches = seeds.join(written(first, "first"), "hash").where("other < doc").select("doc", "at", "other", "there")
     chains = written(find_chains(matches, c), "chains")
 
     words = _word_arrays(rows)
@@ -322,14 +343,15 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id
     Documents of which no word is left are dropped; the others keep their columns (also those without passages, and
     those with a null id or text).
     """
-    spans = passages.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans"))
-    joined = docs.join(spans, docs[id_col] == spans["_doc"], "left").drop("_doc")
     names = docs.columns
+    mark = "_" * (1 + max(map(len, names)))  # no column of the documents has such a name
+    spans = passages.groupBy(F.col("doc_id").alias(f"{mark}doc")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(f"{mark}spans"))
+    joined = docs.join(spans, F.col(f"`{id_col}`") == F.col(f"{mark}doc"), "left").drop(f"{mark}doc")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = batch.column(text_col).to_pylist(), []
-            for i, spans in enumerate(batch.column("_spans").to_pylist()):
+            for i, spans in enumerate(batch.column(f"{mark}spans").to_pylist()):
                 if spans and texts[i] is not None:
                     places = [m.span() for m in _WORD.finditer(texts[i])]
                     parts, at = [], 0
