@@ -33,43 +33,65 @@ class Chaining:
     similarity: float = 0.8
 
 
+#: A word that is said on end counts so often at most: once a k-mer, so that runs of one word have a seed, and one only.
+_SAID = Chaining.size
+
+
+def _shortened(texts: list[str | None]) -> tuple[Words, np.ndarray]:
+    """The words without what is said on end more often than ``_SAID``, and the places of those left in their texts."""
+    w = Words(texts)
+    first = w.first[w.text]
+    gone = np.zeros(len(w.text), bool)
+    if len(gone) > _SAID:
+        gone[_SAID:] = True
+        for back in range(1, _SAID + 1):
+            gone[_SAID:] &= (w.hashes[_SAID:] == w.hashes[_SAID - back : -back]) & (w.text[_SAID:] == w.text[_SAID - back : -back])
+    place = np.arange(len(w.text)) - first
+    lengths = w.counts
+    w.hashes, w.text, w.starts, w.ends = w.hashes[~gone], w.text[~gone], w.starts[~gone], w.ends[~gone]
+    w.counts = np.bincount(w.text, minlength=len(w.texts))
+    w.first = np.cumsum(w.counts) - w.counts
+    w.lengths = lengths
+    return w, place[~gone]
+
+
 def _seeds(w: Words, c: Chaining) -> tuple[np.ndarray, np.ndarray]:
     """First words and hashes of the seeds: of each window of ``spread`` k-mers within a text the least hash, its first occurrence.
 
-    A k-mer equal to the one before it is no seed, so a word said over and over doesn't crowd the table; a text
-    with fewer than ``spread`` k-mers gives them all.
+    k-mers of one word alone are seeds too; a text with fewer than ``spread`` k-mers gives them all.
     """
     at, h = w.windows(c.size)
     if not len(at):
         return at, h
     text = w.text[at]
-    again = np.append(False, (h[1:] == h[:-1]) & (text[1:] == text[:-1]))
-    value = np.where(again, np.uint64(0xFFFFFFFFFFFFFFFF), h)
     chosen = np.zeros(len(at), bool)
     if len(at) >= c.spread:
-        windows = np.lib.stride_tricks.sliding_window_view(value, c.spread)
+        windows = np.lib.stride_tricks.sliding_window_view(h, c.spread)
         begins = np.flatnonzero(text[: len(windows)] == text[c.spread - 1 :])
         chosen[begins + windows[begins].argmin(axis=1)] = True
     few = np.bincount(text, minlength=len(w.texts)) < c.spread
     chosen |= few[text]
-    chosen &= ~again
+    said = np.ones(len(at), bool)
+    for j in range(1, c.size):
+        said &= w.hashes[at + j] == w.hashes[at]
+    chosen |= said
     return at[chosen], h[chosen]
 
 
 def find_seeds(rows: DataFrame, c: Chaining) -> DataFrame:
-    """``(hash, doc, at int, first boolean)`` of the seeds of ``doc, text``; ``first`` where the document has that hash first."""
+    """``(hash, doc, at, first, said)`` of the seeds of ``doc, text``: whether the document has that hash first, and whether it is shortened."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            w = Words(batch.column("text").to_pylist())
+            w, _ = _shortened(batch.column("text").to_pylist())
             at, h = _seeds(w, c)
             text = w.text[at]
             order = np.lexsort((at, h, text))
             first = np.ones(len(at), bool)
             first[order[1:]] = (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])
-            yield pa.record_batch({"hash": pa.array(h.view(np.int64)), "doc": batch.column("doc").take(pa.array(text)), "at": pa.array((at - w.first[text]).astype(np.int32)), "first": pa.array(first)})
+            yield pa.record_batch({"hash": pa.array(h.view(np.int64)), "doc": batch.column("doc").take(pa.array(text)), "at": pa.array((at - w.first[text]).astype(np.int32)), "first": pa.array(first), "said": pa.array((w.lengths != w.counts)[text])})
 
-    return rows.mapInArrow(scan, f"hash long, doc {rows.schema['doc'].dataType.simpleString()}, at int, first boolean")
+    return rows.mapInArrow(scan, f"hash long, doc {rows.schema['doc'].dataType.simpleString()}, at int, first boolean, said boolean")
 
 
 class _Fenwick:
@@ -150,6 +172,11 @@ def _chains_of(doc, table: dict[str, np.ndarray], c: Chaining) -> Iterator[dict]
         for path in chain(part["b"], part["e"], part["ob"], part["oe"], c.gap):
             seeds = np.concatenate([at[part["from"][i] : part["to"][i]] for i in path])
             found.append((int(part["b"][path[0]]), int(part["e"][path[-1]]), {"doc": doc, "other": part["other"][0], "runs": [int(z) for i in path for z in (part["b"][i], part["ob"][i], part["e"][i] - part["b"][i])]}, seeds))
+    # A lone seed is no chain (a passage has three or more), but a run of one word has no more than one.
+    if not table["said"][0]:
+        found = [x for x in found if len(x[3]) > 1]
+    if not found:
+        return
     # The chain with the most seeds first; one that covers no word which those before it don't is left out. So a document
     # that many others are like keeps a few chains, and every word that a chain covers is covered still.
     found.sort(key=lambda x: (-len(x[3]), x[2]["other"], x[0]))
@@ -169,7 +196,7 @@ def _chains_of(doc, table: dict[str, np.ndarray], c: Chaining) -> Iterator[dict]
     found = kept
     # Chains with several documents may lie end to end in one passage, so they are kept or left by what they cover together.
     found.sort(key=lambda x: x[0])
-    near, least = 2 * c.spread, c.words - 2 * (c.spread + c.size)
+    near, least = 2 * c.spread, c.size if table["said"][0] else c.words - 2 * (c.spread + c.size)
     group: list = []
     reach = 0
     for item in [*found, None]:
@@ -211,7 +238,7 @@ def find_chains(matches: DataFrame, c: Chaining) -> DataFrame:
         if held:
             yield from done(pa.Table.from_batches(held).combine_chunks())
 
-    return matches.select("doc", "at", "other", "there").repartition("doc").sortWithinPartitions("doc").mapInArrow(scan, schema)
+    return matches.select("doc", "at", "other", "there", "said").repartition("doc").sortWithinPartitions("doc").mapInArrow(scan, schema)
 
 
 def _common(a: np.ndarray, b: np.ndarray, most: int = 64) -> int:
@@ -269,15 +296,33 @@ def align(mine: np.ndarray, theirs: np.ndarray, runs: list[tuple[int, int, int]]
 
 
 def _word_arrays(rows: DataFrame) -> DataFrame:
-    """``(doc, words array<int>)``: 32 bits of each word's hash."""
+    """``(doc, words array<int>, gone array<int>)``: 32 bits of the hash of each word of the shortened text, and where words are gone.
+
+    ``gone`` has pairs: a place in the shortened text, and how many words are gone before it. Most texts have none.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            w = Words(batch.column("text").to_pylist())
-            offsets = pa.array(np.append(w.first, len(w.starts)).astype(np.int32))
-            yield pa.record_batch({"doc": batch.column("doc"), "words": pa.ListArray.from_arrays(offsets, pa.array((w.hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))})
+            w, place = _shortened(batch.column("text").to_pylist())
+            ends = np.append(w.first, len(w.starts))
+            gone = []
+            for i in np.flatnonzero(w.lengths != w.counts):
+                less = np.append(place[ends[i] : ends[i + 1]], w.lengths[i]) - np.arange(w.counts[i] + 1)
+                at = np.flatnonzero(np.diff(less, prepend=0))
+                gone.append((i, np.stack([at, less[at]], axis=1).ravel()))
+            held = dict(gone)
+            yield pa.record_batch({
+                "doc": batch.column("doc"), "words": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((w.hashes >> np.uint64(32)).astype(np.uint32).view(np.int32))),
+                "gone": pa.array([held.get(i, ()) for i in range(len(w.texts))], pa.list_(pa.int32())),
+            })
+
+    return rows.mapInArrow(scan, f"doc {rows.schema['doc'].dataType.simpleString()}, words array<int>, gone array<int>")
+
 
-    return rows.mapInArrow(scan, f"doc {rows.schema['doc'].dataType.simpleString()}, words array<int>")
+def _place(x: int, gone: np.ndarray) -> int:
+    """The place in the whole text of a place in the shortened one."""
+    n = int(np.searchsorted(gone[::2], x, "right"))
+    return x + (int(gone[2 * n - 1]) if n else 0)
 
 
 def repeated_passages(docs: DataFrame, c: Chaining = Chaining(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,14 +333,15 @@ def repeated_passages(docs: DataFrame, c: Chaining = Chaining(), id_col: str = "
     occurrence only, so a passage of n documents makes n - 1 chains, not a pair for every two; a passage
     whose parts first occur in several documents is put together from their chains. The seeds and the aligned
     words are shuffled, a document's own matches are the largest group.
-    Texts are compared word by word as they are; repeats within one document alone are none; null or wordless
+    Texts are compared word by word, a word that is said on end more than five times as if it were said five times
+    (stretches whose whole lengths aren't alike, as ``similarity`` is, are dropped then); repeats within one document alone are none; null or wordless
     texts have none; rows with a null id aren't compared; rows that repeat an id and text count once; an empty
     table gives an empty one; extra columns are left out. Exact copies are passages as long as the document.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
     seeds = written(find_seeds(rows, c), "seeds")
     first = seeds.where("first").groupBy("hash").agg(F.min("doc").alias("other"), F.min_by("at", "doc").alias("there"), F.max("doc").alias("last")).where("other < last").drop("last")
-    matches = seeds.join(written(first, "first"), "hash").where("other < doc").select("doc", "at", "other", "there")
+    matches = seeds.join(written(first, "first"), "hash").where("other < doc").select("doc", "at", "other", "there", "said")
     chains = written(find_chains(matches, c), "chains")
 
     words = _word_arrays(rows)
@@ -304,36 +350,41 @@ def repeated_passages(docs: DataFrame, c: Chaining = Chaining(), id_col: str = "
     size = F.size("runs")
     placed = chains.withColumn("b", begin(F.lit(0))).withColumn("ob", begin(F.lit(1)))
     placed = placed.withColumn("e", F.get("runs", size - 3) + F.get("runs", size - 1) + margin).withColumn("oe", F.get("runs", size - 2) + F.get("runs", size - 1) + margin)
-    own = placed.join(words, "doc").withColumn("mine", F.slice("words", F.col("b") + 1, F.col("e") - F.col("b"))).drop("words")
+    own = placed.join(words, "doc").withColumn("mine", F.slice("words", F.col("b") + 1, F.col("e") - F.col("b"))).drop("words").withColumnRenamed("gone", "own_gone")
     both = own.join(words.withColumnRenamed("doc", "other"), "other").withColumn("theirs", F.slice("words", F.col("ob") + 1, F.col("oe") - F.col("ob"))).drop("words")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["start_word", "end_word", "source_start", "source_end", "matched"]
+        names = ["start_word", "end_word", "source_start", "source_end"]
         for batch in batches:
             keep, out = [], []
-            columns = (batch.column(k) for k in ("b", "ob", "runs", "mine", "theirs"))
-            for i, (b, ob, runs, mine, theirs) in enumerate(zip(*columns)):
-                b, ob, flat = b.as_py(), ob.as_py(), runs.values.to_numpy()
+            columns = (batch.column(k) for k in ("b", "ob", "runs", "mine", "theirs", "own_gone", "gone"))
+            for i, (b, ob, runs, mine, theirs, own_gone, gone) in enumerate(zip(*columns)):
+                b, ob, flat, own_gone, gone = b.as_py(), ob.as_py(), runs.values.to_numpy(), own_gone.values.to_numpy(), gone.values.to_numpy()
                 steps = [(int(x - b), int(y - ob), int(z)) for x, y, z in flat.reshape(-1, 3)]
                 for x, y, ox, oy, matched in align(mine.values.to_numpy(), theirs.values.to_numpy(), steps, c.spread + c.size):
                     if matched >= c.similarity * max(y - x, oy - ox):
                         keep.append(i)
-                        out.append((x + b, y + b, ox + ob, oy + ob, matched))
+                        places = _place(x + b, own_gone), _place(y + b, own_gone), _place(ox + ob, gone), _place(oy + ob, gone)
+                        own, their = places[1] - places[0], places[3] - places[2]
+                        if min(own, their) < c.similarity * max(own, their):
+                            keep.pop()
+                            continue
+                        out.append((*places, matched / max(y - x, oy - ox)))
             if keep:
                 taken = pa.array(keep)
-                yield pa.record_batch([batch.column("doc").take(taken), batch.column("other").take(taken), *[pa.array(v, pa.int32()) for v in zip(*out)]], names=["doc", "other", *names])
+                *places, share = zip(*out)
+                yield pa.record_batch([batch.column("doc").take(taken), batch.column("other").take(taken), *[pa.array(v, pa.int32()) for v in places], pa.array(share)], names=["doc", "other", *names, "share"])
 
     kind = rows.schema["doc"].dataType.simpleString()
-    spans = both.mapInArrow(scan, f"doc {kind}, other {kind}, start_word int, end_word int, source_start int, source_end int, matched int").distinct()
+    spans = both.mapInArrow(scan, f"doc {kind}, other {kind}, start_word int, end_word int, source_start int, source_end int, share double").distinct()
     order = Window.partitionBy("doc").orderBy("start_word", "end_word", "other", "source_start")
     reach = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
     parted = spans.withColumn("new", F.when(F.col("start_word") <= reach, 0).otherwise(1)).withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    longest = F.struct((F.col("end_word") - F.col("start_word")).alias("n"), (-F.col("start_word")).alias("early"), "other", "source_start", "source_end", "matched")
+    longest = F.struct((F.col("end_word") - F.col("start_word")).alias("n"), (-F.col("start_word")).alias("early"), "other", "source_start", "source_end", "share")
     joined = parted.groupBy("doc", "passage").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.max(longest).alias("s"))
-    share = F.col("s.matched") / F.greatest(F.col("s.n"), F.col("s.source_end") - F.col("s.source_start"))
     return joined.where(F.col("end_word") - F.col("start_word") >= c.words).select(
         F.col("doc").alias("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"),
-        F.col("s.other").alias("source_doc_id"), F.col("s.source_start").alias("source_start"), F.col("s.source_end").alias("source_end"), share.alias("similarity"),
+        F.col("s.other").alias("source_doc_id"), F.col("s.source_start").alias("source_start"), F.col("s.source_end").alias("source_end"), F.col("s.share").alias("similarity"),
     )
 
 
