@@ -17,7 +17,7 @@ from lumivox.llm.storage import attempt_name, resolve, slices
 from lumivox.plans.scratch import written
 
 FILE = "name string, records long"
-RECORD = "record_id string, origin_id string, segment int, total long, kind string, uri string, key string, refers_id string, digest string, block binary"
+RECORD = "record_id string, alias_id string, origin_id string, segment int, total long, kind string, uri string, key string, refers_id string, digest string, block binary"
 CHUNK = 4096
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -40,16 +40,21 @@ def _record_id(key: object, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}/{digest}')}>"
 
 
-def _records(key, url, html: str, digest: str, refers, most: int) -> Iterator[bytes]:
-    """The records of one page: a revisit, a response, or a response and the continuations that hold its rest."""
+def _records(key, url, html: str, digest: str, refers, most: int, place: str) -> Iterator[bytes]:
+    """The records of one page: a revisit, a response, or a response and the continuations that hold its rest.
+
+    A record's identifier is of the place it is written at, so repeated rows are records of their own; a response also
+    gives the identifier of its key and payload, by which revisits name it from wherever they are written.
+    """
     payload = html.encode()
-    own = _record_id(key, digest)
+    own = _record_id(key, f"{digest}/{place}")
     revisit = refers is not None
     block = _http(None if revisit else payload)
     parts = [block[i : i + most] for i in range(0, len(block), most)]
     common = {
         "WARC-Type": "revisit" if revisit else "response",
         "WARC-Record-ID": own,
+        "WARC-Concurrent-To": None if revisit else _record_id(key, digest),
         "WARC-Date": "1970-01-01T00:00:00Z",
         "WARC-Target-URI": None if url is None else "".join(c if c.isprintable() and c != " " else "%{:02X}".format(ord(c)) for c in url),
         "WARC-Payload-Digest": f"sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
@@ -89,7 +94,7 @@ def write_warc(pages: DataFrame, folder: str, key_col: str = "page_id", url_col:
         for batch in slices(batches, "html"):
             out = out or store.open_output_stream(f"{top}/{name}", compression=None)
             for row in batch.to_pylist():
-                for record in _records(row["key"], row["url"], row["html"], row["digest"], row["refers"], segment):
+                for record in _records(row["key"], row["url"], row["html"], row["digest"], row["refers"], segment, f"{name}/{count}"):
                     member = zlib.compressobj(6, zlib.DEFLATED, 31)
                     out.write(member.compress(record) + member.flush())
                     count += 1
@@ -128,6 +133,7 @@ def _parsed(record: bytes) -> dict:
     number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
     return {
         "record_id": f["warc-record-id"],
+        "alias_id": f.get("warc-concurrent-to"),
         "origin_id": f.get("warc-segment-origin-id") or (f["warc-record-id"] if number else None),
         "segment": int(number) if number else None,
         "total": int(total) if total else None,
@@ -161,7 +167,7 @@ def read_records(spark: SparkSession, folder: str, names: list[str], segmented:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    schema = pa.schema([("record_id", pa.string()), ("origin_id", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("uri", pa.string()), ("key", pa.string()), ("refers_id", pa.string()), ("digest", pa.string()), ("block", pa.binary())])
+    schema = pa.schema([("record_id", pa.string()), ("alias_id", pa.string()), ("origin_id", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("uri", pa.string()), ("key", pa.string()), ("refers_id", pa.string()), ("digest", pa.string()), ("block", pa.binary())])
     if not names:
         return spark.createDataFrame([], RECORD)
     return spark.range(len(names), numPartitions=len(names)).mapInArrow(read, RECORD)
@@ -187,17 +193,17 @@ def _payload(block: bytes) -> bytes | None:
 
 
 def read_warc(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
-    """``record_id, kind, uri, key, refers_id, digest, payload``: whole records, whatever files their segments are in.
+    """``record_id, alias_id, kind, uri, key, refers_id, digest, payload``: whole records, whatever files their segments are in.
 
     Segments are grouped by the identifier of the record they continue, ordered by number, and held against
     the total length that the last one states; a gap, or another length, fails the job. A group is one
     record, so it is as large as that record. ``payload`` is null for revisits.
     """
-    whole = read_records(spark, folder, names, segmented=False).select("record_id", "kind", "uri", "key", "refers_id", "digest", "block")
+    whole = read_records(spark, folder, names, segmented=False).select("record_id", "alias_id", "kind", "uri", "key", "refers_id", "digest", "block")
     parts = read_records(spark, folder, names, segmented=True)
     ordered = parts.dropDuplicates(["origin_id", "segment"]).groupBy("origin_id").agg(
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"),
-        *[F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("kind", "uri", "key", "refers_id", "digest")],
+        *[F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("alias_id", "kind", "uri", "key", "refers_id", "digest")],
     )
     block = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["block"]))
     joined = ordered.withColumn("block", block).withColumn(
@@ -206,14 +212,14 @@ def read_warc(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
             F.raise_error(F.concat(F.lit("segments are missing of "), "origin_id")).cast("binary")
         ),
     )
-    records = whole.unionByName(joined.select(F.col("origin_id").alias("record_id"), "kind", "uri", "key", "refers_id", "digest", "block"))
+    records = whole.unionByName(joined.select(F.col("origin_id").alias("record_id"), "alias_id", "kind", "uri", "key", "refers_id", "digest", "block"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             payloads = [_payload(b) for b in batch.column("block").to_pylist()]
             yield pa.record_batch([*batch.columns[:-1], pa.array(payloads, pa.binary())], names=[*batch.schema.names[:-1], "payload"])
 
-    return records.mapInArrow(decode, "record_id string, kind string, uri string, key string, refers_id string, digest string, payload binary")
+    return records.mapInArrow(decode, "record_id string, alias_id string, kind string, uri string, key string, refers_id string, digest string, payload binary")
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -221,12 +227,12 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
     Digests are computed from the payloads; a revisit's must equal that of its response, else the job fails.
     """
-    digested = records.select("record_id", "key", "uri", "kind", "refers_id", "digest", F.octet_length("payload").alias("bytes"), F.sha1("payload").alias("sha1"))
+    digested = records.select("alias_id", "key", "uri", "kind", "refers_id", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
     digested = written(digested, "records")
-    full = digested.where(F.col("kind") == "response").groupBy(F.col("record_id").alias("id")).agg(F.max("bytes").alias("full_bytes"), F.max("sha1").alias("full_sha1"), F.max("key").alias("refers_key"))
-    out = digested.join(full, F.col("refers_id") == F.col("id"), "left")
-    sha1 = F.coalesce("full_sha1", "sha1")
-    return out.select(
-        "key", "uri", "kind", F.coalesce("full_bytes", "bytes").cast("long").alias("payload_bytes"),
-        F.when(sha1 == F.col("digest"), sha1).otherwise(F.raise_error(F.concat(F.lit("a payload differs from its digest: "), "record_id"))).alias("payload_digest"), "refers_key",
-    )
+    own = digested.where(F.col("refers_id").isNull()).withColumn("refers_key", F.lit(None).cast("string"))
+    full = digested.where(F.col("refers_id").isNull()).groupBy("alias_id").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"), F.max("key").alias("refers_key"))
+    again = digested.where(F.col("refers_id").isNotNull()).drop("alias_id", "payload_bytes", "payload_digest")
+    found = again.join(full.withColumnRenamed("alias_id", "refers_id"), "refers_id", "left")
+    same = F.coalesce(F.col("payload_digest") == F.col("digest"), F.lit(False))
+    checked = F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("a payload differs from its digest: "), F.coalesce("refers_id", "alias_id"))))
+    return own.unionByName(found, allowMissingColumns=True).select("key", "uri", "kind", "payload_bytes", checked.alias("payload_digest"), "refers_key")
