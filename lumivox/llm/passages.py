@@ -94,6 +94,33 @@ def find_seeds(rows: DataFrame, c: Chaining) -> DataFrame:
     return rows.mapInArrow(scan, f"hash long, doc {rows.schema['doc'].dataType.simpleString()}, at int, first boolean, said boolean")
 
 
+def neighbours(shared: DataFrame, c: Chaining) -> DataFrame:
+    """``(doc, at, other, there, said)``: ends of two and of four neighbouring seeds, joined with the first document that has them so.
+
+    ``shared`` are the seeds (``hash, doc, at, other, there, said``) that two documents have. Those whose first
+    occurrences lie on one diagonal are chained already, in whatever document they are, and are left out. Every
+    common run of 50 words has four neighbouring seeds, so it meets the first document with those four. Of documents
+    that meet so all common seeds are given, also those that edits have parted from their neighbours.
+    """
+    row = Window.partitionBy("doc").orderBy("at", "hash")
+    names = ("hash", "at", "other", "there")
+    ahead = shared.repartition("doc").dropDuplicates(["doc", "at", "hash"]).select("doc", "said", *names, *[F.lead(k, n).over(row).alias(f"{k}{n}") for n in (1, 2, 3) for k in names])
+    at = ["at", "at1", "at2", "at3"]
+    held = lambda n: (F.col(at[n]) - F.col(at[n - 1])).between(1, c.spread)
+    same = lambda n: (F.col(f"other{n}") == F.col("other")) & (F.col(f"there{n}") - F.col("there") == F.col(at[n]) - F.col("at"))
+    key = lambda n: F.xxhash64(F.lit(n), "hash", *[x for m in range(1, n) for x in (F.col(f"hash{m}"), F.col(at[m]) - F.col("at"))])
+    two = F.when(held(1) & ~same(1), F.struct(key(2).alias("key"), (F.col("at1") - F.col("at")).alias("span")))
+    four = F.when(held(1) & held(2) & held(3) & ~(same(1) & same(2) & same(3)), F.struct(key(4).alias("key"), (F.col("at3") - F.col("at")).alias("span")))
+    tuples = ahead.select("doc", "at", "said", F.explode(F.array(two, four)).alias("t")).where("t is not null").select("doc", "at", "said", "t.key", "t.span")
+    tuples = written(tuples, "neighbours")
+    first = tuples.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("f"), F.max("doc").alias("last")).where("f.doc < last").select("key", F.col("f.doc").alias("other"), F.col("f.at").alias("there"))
+    met = written(tuples.join(written(first, "first_neighbours"), "key").where("other < doc").select("doc", "at", "span", "other", "there", "said"), "met_neighbours")
+    ends = met.select("doc", F.explode(F.array(F.lit(0), "span")).alias("on"), "at", "other", "there", "said").select("doc", (F.col("at") + F.col("on")).alias("at"), "other", (F.col("there") + F.col("on")).alias("there"), "said")
+    own, theirs = shared.select("doc", "hash", "at", "said"), shared.groupBy(F.col("doc").alias("other"), "hash").agg(F.min("at").alias("there"))
+    alone = met.select("doc", "other").distinct().join(own, "doc").join(theirs, ["other", "hash"]).select("doc", "at", "other", "there", "said")
+    return ends.unionByName(alone)
+
+
 class _Fenwick:
     """Prefix maxima of (value, index) pairs that come one by one."""
 
@@ -172,7 +199,8 @@ def _chains_of(doc, table: dict[str, np.ndarray], c: Chaining) -> Iterator[dict]
         for path in chain(part["b"], part["e"], part["ob"], part["oe"], c.gap):
             seeds = np.concatenate([at[part["from"][i] : part["to"][i]] for i in path])
             found.append((int(part["b"][path[0]]), int(part["e"][path[-1]]), {"doc": doc, "other": part["other"][0], "runs": [int(z) for i in path for z in (part["b"][i], part["ob"][i], part["e"][i] - part["b"][i])]}, seeds))
-    # A lone seed is no chain (a passage has three or more), but a run of one word has no more than one.
+    # A lone seed is no chain: two neighbours that an earlier document has so are matched with it as two (see `neighbours`),
+    # wherever each of them is first. But a run of one word has no more than one.
     if not table["said"][0]:
         found = [x for x in found if len(x[3]) > 1]
     if not found:
@@ -330,7 +358,8 @@ def repeated_passages(docs: DataFrame, c: Chaining = Chaining(), id_col: str = "
 
     One row a passage of a document that an earlier one (of lower id) has too, so the first of all that
     share a passage has no row but is, or leads to, the source of the others. Seeds are joined with their first
-    occurrence only, so a passage of n documents makes n - 1 chains, not a pair for every two; a passage
+    occurrence only, so a passage of n documents makes n - 1 chains, not a pair for every two; neighbouring seeds that
+    are first in several documents are joined once more, together, with the first document that has them so; a passage
     whose parts first occur in several documents is put together from their chains. The seeds and the aligned
     words are shuffled, a document's own matches are the largest group.
     Texts are compared word by word, a word that is said on end more than five times as if it were said five times
@@ -341,7 +370,8 @@ def repeated_passages(docs: DataFrame, c: Chaining = Chaining(), id_col: str = "
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
     seeds = written(find_seeds(rows, c), "seeds")
     first = seeds.where("first").groupBy("hash").agg(F.min("doc").alias("other"), F.min_by("at", "doc").alias("there"), F.max("doc").alias("last")).where("other < last").drop("last")
-    matches = seeds.join(written(first, "first"), "hash").where("other < doc").select("doc", "at", "other", "there", "said")
+    shared = written(seeds.join(written(first, "first"), "hash").select("hash", "doc", "at", "other", "there", "said"), "shared")
+    matches = shared.where("other < doc").select("doc", "at", "other", "there", "said").unionByName(neighbours(shared, c))
     chains = written(find_chains(matches, c), "chains")
 
     words = _word_arrays(rows)

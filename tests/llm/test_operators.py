@@ -123,6 +123,24 @@ def test_copies_make_one_row_each(spark):
     assert sorted((r["doc_id"], r["source_doc_id"], r["n_words"]) for r in got) == [(i, 0, 60) for i in range(1, 40)]
 
 
+def spans_of(spark, texts):
+    got = passages.repeated_passages(spark.createDataFrame([(i, t, 0.0, "") for i, t in enumerate(texts)], DOCS)).collect()
+    return sorted((r["doc_id"], r["source_doc_id"], r["start_word"], r["end_word"]) for r in got)
+
+
+def test_passage_whose_seeds_are_first_in_many_documents(spark):
+    passage = [f"p{i}" for i in range(60)]
+    noise = lambda k: [f"{k}{i}" for i in range(40)]
+    stock = [" ".join(passage[i : i + 5]) for i in range(56)]  # every k-mer is first in a document of its own
+    edited = [*passage[:18], "x", *passage[19:40], "y", "z", *passage[41:]]
+    found = spans_of(spark, [*stock, " ".join(noise("a") + passage + noise("b")), " ".join(noise("c") + passage + noise("d")), " ".join(noise("e") + edited)])
+    assert found == [(57, 56, 40, 100), (58, 56, 40, 101)]
+
+
+def test_copy_of_a_repeated_line(spark):
+    assert spans_of(spark, ["one two three " * 30, "one two three " * 30]) == [(1, 0, 0, 90)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=1, max_size=12))
 def test_chain_score_is_the_best(points):
