@@ -197,31 +197,15 @@ def _chains_of(doc, table: dict[str, np.ndarray], c: Chaining) -> Iterator[dict]
     for x, y in zip(edges[:-1], edges[1:]):
         part = {k: v[x:y] for k, v in run.items()}
         for path in chain(part["b"], part["e"], part["ob"], part["oe"], c.gap):
-            seeds = np.concatenate([at[part["from"][i] : part["to"][i]] for i in path])
+            seeds = sum(int(part["to"][i] - part["from"][i]) for i in path)
             found.append((int(part["b"][path[0]]), int(part["e"][path[-1]]), {"doc": doc, "other": part["other"][0], "runs": [int(z) for i in path for z in (part["b"][i], part["ob"][i], part["e"][i] - part["b"][i])]}, seeds))
     # A lone seed is no chain: two neighbours that an earlier document has so are matched with it as two (see `neighbours`),
     # wherever each of them is first. But a run of one word has no more than one.
     if not table["said"][0]:
-        found = [x for x in found if len(x[3]) > 1]
+        found = [x for x in found if x[3] > 1]
     if not found:
         return
-    # The chain with the most seeds first; one that covers no word which those before it don't is left out. So a document
-    # that many others are like keeps a few chains, and every word that a chain covers is covered still.
-    found.sort(key=lambda x: (-len(x[3]), x[2]["other"], x[0]))
-    covered = np.zeros(max(x[1] for x in found) + 1, bool)
-    kept = []
-    for item in found:
-        seeds = item[3]
-        ends = np.append(np.minimum(seeds[1:], seeds[:-1] + c.spread + c.size), 0)
-        reach = np.maximum(seeds + c.size, np.where(np.append(np.diff(seeds), 1 << 30) <= c.spread + c.size, ends, 0))
-        mark = np.zeros(len(covered) + 1, np.int64)
-        np.add.at(mark, seeds, 1)
-        np.add.at(mark, reach, -1)
-        words = np.cumsum(mark)[:-1] > 0
-        if (words & ~covered).any():
-            covered |= words
-            kept.append(item)
-    found = kept
+    # No chain is left out for another that covers its words: which of them agree word for word is known after alignment only.
     # Chains with several documents may lie end to end in one passage, so they are kept or left by what they cover together.
     found.sort(key=lambda x: x[0])
     near, least = 2 * c.spread, c.size if table["said"][0] else c.words - 2 * (c.spread + c.size)

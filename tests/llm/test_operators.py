@@ -137,6 +137,18 @@ def test_passage_whose_seeds_are_first_in_many_documents(spark):
     assert found == [(57, 56, 40, 100), (58, 56, 40, 101)]
 
 
+def test_chain_is_kept_until_it_is_aligned():
+    rows = [(at, 1, at) for at in (0, 9, 24, 33, 48, 57)] + [(at, 2, at) for at in (14, 19, 38, 43)]  # 10 words between the runs of document 1
+    table = {k: np.array([r[n] for r in rows]) for n, k in enumerate(("at", "other", "there"))} | {"said": np.zeros(len(rows), bool)}
+    assert {r["other"] for r in passages._chains_of(3, table, passages.Chaining())} == {1, 2}
+
+
+def test_copy_of_a_revised_page(spark):
+    page = [f"p{i}" for i in range(110)]
+    revised = [w if i % 24 < 14 else f"r{i}" for i, w in enumerate(page)]
+    assert spans_of(spark, [" ".join(revised), " ".join(page), " ".join(page)])[-1] == (2, 1, 0, 110)
+
+
 def test_copy_of_a_repeated_line(spark):
     assert spans_of(spark, ["one two three " * 30, "one two three " * 30]) == [(1, 0, 0, 90)]
 
