@@ -83,8 +83,13 @@ def find_seeds(rows: DataFrame, c: Chaining) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            w, _ = _shortened(batch.column("text").to_pylist())
+            w, place = _shortened(batch.column("text").to_pylist())
             at, h = _seeds(w, c)
+            # A run of one word that is a passage by itself has a second seed, so that it meets the first run as long, not the first one.
+            ends = at + c.size
+            on = np.where(ends < w.first[w.text[at]] + w.counts[w.text[at]], place[np.minimum(ends, len(place) - 1)], w.lengths[w.text[at]]) if len(at) else at
+            runs = np.flatnonzero(on - place[ends - 1] - 1 + c.size >= c.words)
+            at, h = np.append(at, at[runs]), np.append(h, h[runs] ^ np.uint64(0x9E3779B97F4A7C15))
             text = w.text[at]
             order = np.lexsort((at, h, text))
             first = np.ones(len(at), bool)
@@ -337,6 +342,54 @@ def _place(x: int, gone: np.ndarray) -> int:
     return x + (int(gone[2 * n - 1]) if n else 0)
 
 
+def _parts(mine: np.ndarray, theirs: np.ndarray, steps: list[tuple[int, int, int]], stretch: tuple, own_gone: np.ndarray, gone: np.ndarray, b: int, ob: int, c: Chaining) -> Iterator[tuple]:
+    """What a stretch holds where shortened runs of unlike lengths part it: begin and end of each part in both whole texts, and its similarity.
+
+    A part has ``min(own, their)`` words of the runs at its ends; a run that is a passage by itself is given in pieces of that length.
+    """
+    x, y, ox, oy, _ = stretch
+    on = [(s, o, n) for s, o, n in steps if s < y and s + n > x]
+    near = lambda p, side: min(on, key=lambda r: max(r[side] - p, p - r[side] - r[2], 0))
+    less = lambda at, held: _place(at, held) - at - (_place(at - 1, held) - at + 1)
+    cuts = set()
+    for p in own_gone[::2] - b:
+        if x < p <= y:
+            r = near(p, 0)
+            cuts.add((int(p), int(p - r[0] + r[1])))
+    for q in gone[::2] - ob:
+        if ox < q <= oy:
+            r = near(q, 1)
+            cuts.add((int(q - r[1] + r[0]), int(q)))
+    bounds, most = [(x, ox, 0)], c.spread + c.size
+    for p, q in sorted(cuts):
+        own, their = less(p + b, own_gone), less(q + ob, gone)
+        if own != their and bounds[-1][0] < p <= y and bounds[-1][1] < q <= oy:
+            bounds.append((p, q, _SAID + min(own, their)))
+            if bounds[-1][2] >= c.words and own > their and (mine[p - _SAID : p] == theirs[q - _SAID : q]).all():
+                n, first, source = bounds[-1][2], _place(p + b - 1, own_gone) + 1 - _SAID, _place(q + ob - 1, gone) + 1 - _SAID
+                for at in sorted({*range(first, first + _SAID + own - n, n), first + _SAID + own - n}):
+                    yield at, at + n, source, source + n, 1.0
+    bounds.append((y, oy, 0))
+    for (x0, o0, fore), (x1, o1, aft) in zip(bounds[:-1], bounds[1:]):
+        inner = []
+        for s, o, n in steps:
+            cut = max(x0 - s, o0 - o, 0)
+            n = min(n, x1 - s, o1 - o)
+            if cut < n:
+                inner.append((s + cut - x0, o + cut - o0, n - cut))
+        for s, e, os, oe, matched in align(mine[x0:x1], theirs[o0:o1], inner, most):
+            s, e, os, oe = s + x0, e + x0, os + o0, oe + o0
+            places = [_place(s + b, own_gone), _place(e + b - 1, own_gone) + 1, _place(os + ob, gone), _place(oe + ob - 1, gone) + 1]
+            more = 0
+            if fore and (s, os) == (x0, o0):
+                places[0], places[2], more = places[0] - fore, places[2] - fore, fore
+            if aft and (e, oe) == (x1, o1):
+                places[1], places[3], more = places[1] + aft - _SAID, places[3] + aft - _SAID, more + aft - _SAID
+            own, their = places[1] - places[0], places[3] - places[2]
+            if matched >= c.similarity * max(e - s, oe - os) and min(own, their) >= c.similarity * max(own, their):
+                yield (*places, (matched + more) / (max(e - s, oe - os) + more))
+
+
 def repeated_passages(docs: DataFrame, c: Chaining = Chaining(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, start_word, end_word, n_words, source_doc_id, source_start, source_end, similarity)`` of every repeated passage.
 
@@ -347,7 +400,7 @@ def repeated_passages(docs: DataFrame, c: Chaining = Chaining(), id_col: str = "
     whose parts first occur in several documents is put together from their chains. The seeds and the aligned
     words are shuffled, a document's own matches are the largest group.
     Texts are compared word by word, a word that is said on end more than five times as if it were said five times
-    (stretches whose whole lengths aren't alike, as ``similarity`` is, are dropped then); repeats within one document alone are none; null or wordless
+    (stretches whose whole lengths aren't alike, as ``similarity`` is, are parted at such words then); repeats within one document alone are none; null or wordless
     texts have none; rows with a null id aren't compared; rows that repeat an id and text count once; an empty
     table gives an empty one; extra columns are left out. Exact copies are passages as long as the document.
     """
@@ -377,13 +430,13 @@ def repeated_passages(docs: DataFrame, c: Chaining = Chaining(), id_col: str = "
                 steps = [(int(x - b), int(y - ob), int(z)) for x, y, z in flat.reshape(-1, 3)]
                 for x, y, ox, oy, matched in align(mine.values.to_numpy(), theirs.values.to_numpy(), steps, c.spread + c.size):
                     if matched >= c.similarity * max(y - x, oy - ox):
-                        keep.append(i)
                         places = _place(x + b, own_gone), _place(y + b, own_gone), _place(ox + ob, gone), _place(oy + ob, gone)
                         own, their = places[1] - places[0], places[3] - places[2]
+                        parts = [(*places, matched / max(y - x, oy - ox))]
                         if min(own, their) < c.similarity * max(own, their):
-                            keep.pop()
-                            continue
-                        out.append((*places, matched / max(y - x, oy - ox)))
+                            parts = list(_parts(mine.values.to_numpy(), theirs.values.to_numpy(), steps, (x, y, ox, oy, matched), own_gone, gone, b, ob, c))
+                        keep += [i] * len(parts)
+                        out += parts
             if keep:
                 taken = pa.array(keep)
                 *places, share = zip(*out)

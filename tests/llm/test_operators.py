@@ -149,6 +149,14 @@ def test_copy_of_a_revised_page(spark):
     assert spans_of(spark, [" ".join(revised), " ".join(page), " ".join(page)])[-1] == (2, 1, 0, 110)
 
 
+def test_text_around_a_run_of_other_length(spark):
+    p, q = " ".join(f"p{i}" for i in range(60)), " ".join(f"q{i}" for i in range(60))
+    assert spans_of(spark, [f"{p} {'- ' * 20}{q}", f"{p} {'- ' * 300}{q}"]) == [(1, 0, 0, 80), (1, 0, 340, 420)]
+    assert spans_of(spark, ["la " * 200, "la " * 60]) == [(1, 0, 0, 60)]
+    assert [x[2:] for x in spans_of(spark, ["la " * 60, "la " * 200])] == [(0, 200)]
+    assert spans_of(spark, ["la " * 30, "la " * 60, "la " * 60]) == [(2, 1, 0, 60)]
+
+
 def test_copy_of_a_repeated_line(spark):
     assert spans_of(spark, ["one two three " * 30, "one two three " * 30]) == [(1, 0, 0, 90)]
 
