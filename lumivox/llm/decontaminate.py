@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumivox.plans.scratch import written
@@ -60,7 +60,8 @@ def find_leaks(
     document, so each common run of ``window + stride - 1`` words meets; items shorter than that are looked up
     whole, at every word. Then item and document are aligned as the windows say: a leak has ``similarity`` of
     the item's templates in place, and its slots (numbers, names, units) must be changed alike wherever the
-    item repeats a value, in ``consistency`` of them; values that are unchanged count as changed alike.
+    item repeats a value, in ``consistency`` of them; values that are unchanged count as changed alike. Both are asked
+    of each occurrence by itself, and of each of its alignments; one that passes makes the leak.
     Null or wordless texts and items leak nothing; rows with a null id aren't reported; repeated rows give
     one row a pair; the earliest alignment with the most matches gives ``start_word``. The items' windows are
     broadcast up to a checked number of rows and shuffled beyond it; candidates are always shuffled.
@@ -95,18 +96,30 @@ def find_leaks(
     aligned = aligned.withColumn("there", there)
     slots = F.transform(
         F.filter("there", lambda i: F.get("item_template", i).isin("<name>", "<num>", "<unit>")),
-        lambda i: F.struct(F.get("item_values", i).alias("was"), F.get("doc_values", F.col("shift") + i).alias("now")),
+        lambda i: F.struct(i.alias("i"), F.get("item_values", i).alias("was"), F.get("doc_values", F.col("shift") + i).alias("now")),
     )
     aligned = aligned.select("doc_id", "item_id", "shift", F.size("item_template").alias("item_words"), "there", slots.alias("slots"))
-    best = F.max(F.struct(F.size("there").alias("n"), (-F.col("shift")).alias("back")))
-    grouped = aligned.groupBy("doc_id", "item_id").agg(
-        F.first("item_words").alias("item_words"), best.alias("best"), F.size(F.array_distinct(F.flatten(F.collect_set("there")))).alias("matched_words"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
-    )
+    # Shifts less than half an item apart are one occurrence; a word of the item counts where the fullest alignment has it.
+    row = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    apart = F.col("shift") - F.lag("shift").over(row) > F.col("item_words") / 2
+    placed = aligned.withColumn("new", F.when(apart, 1).otherwise(0)).withColumn("occurrence", F.sum("new").over(row))
+    part = F.struct((-F.size("there")).alias("less"), "shift", "there", "slots")
+    grouped = placed.groupBy("doc_id", "item_id", "occurrence").agg(F.first("item_words").alias("item_words"), F.array_sort(F.collect_set(part)).alias("parts"))
+    taken = lambda a, x: F.array_union(a["there"], x["there"])
+    added = lambda a, x: F.concat(a["slots"], F.filter(x["slots"], lambda s: ~F.array_contains(a["there"], s["i"])))
+    whole_one = F.aggregate("parts", F.get("parts", 0), lambda a, x: F.struct(a["less"].alias("less"), a["shift"].alias("shift"), taken(a, x).alias("there"), added(a, x).alias("slots")))
+    each = grouped.select("doc_id", "item_id", "item_words", F.explode(F.concat("parts", F.array(whole_one))).alias("p"))
+    pairs = F.array_distinct(F.transform("p.slots", lambda s: F.struct(s["was"].alias("was"), s["now"].alias("now"))))
+    each = each.select("doc_id", "item_id", "item_words", F.col("p.shift").alias("shift"), F.size("p.there").alias("matched_words"), pairs.alias("slots"))
     values = F.size(F.array_distinct(F.transform("slots", lambda s: s["was"])))
-    found = grouped.select(
-        "doc_id", "item_id", F.greatest(F.lit(0), -F.col("best.back")).alias("start_word"), "item_words", "matched_words",
+    found = each.select(
+        "doc_id", "item_id", "shift", "item_words", "matched_words",
         (F.col("matched_words") / F.col("item_words")).alias("similarity"), F.size("slots").alias("slots"),
         F.size(F.filter("slots", lambda s: s["was"] != s["now"])).alias("changed_slots"),
         F.when(F.size("slots") > 0, values / F.size("slots")).otherwise(1.0).alias("consistency"),
     )
-    return found.where((F.col("similarity") >= similarity) & (F.col("consistency") >= consistency))
+    found = found.where((F.col("similarity") >= similarity) & (F.col("consistency") >= consistency))
+    names = ("item_words", "matched_words", "similarity", "slots", "changed_slots", "consistency")
+    best = F.max(F.struct(F.col("matched_words").alias("n"), (-F.col("shift")).alias("back"), F.col("consistency").alias("alike"), F.struct(*names).alias("row")))
+    found = found.groupBy("doc_id", "item_id").agg(best.alias("best"))
+    return found.select("doc_id", "item_id", F.greatest(F.lit(0), -F.col("best.back")).alias("start_word"), *[F.col(f"best.row.{k}").alias(k) for k in names])

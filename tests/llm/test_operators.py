@@ -318,6 +318,17 @@ def test_leaks(spark, nothing):
     assert decontaminate.find_leaks(nothing, benchmark).count() == 0 and decontaminate.find_leaks(df, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_beside_other_matches(spark):
+    question = "a farmer has 12 sheep and sells 5 of them before the long winter, how many of the 12 sheep are left in the barn"
+    first, second = question.replace("12", "30").replace("5", "7"), question.replace("12", "44").replace("5", "9")
+    numbers = "what comes after " + " ".join(str(2 * n) for n in range(1, 21)) + " in this list"
+    benchmark = spark.createDataFrame([(1, question), (2, numbers)], "item_id int, text string")
+    words = "and then some other words that stand between them for quite a while so that nothing meets across the two of them "
+    rows = [(1, f"{question} {words}{first} {words}{second}", 0.0, ""), *[(10 + n, " ".join(f"w{m}" for m in "abcdef"[:n]) + f" {numbers}", 0.0, "") for n in range(6)]]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(rows, DOCS), benchmark).collect()}
+    assert got == {(1, 1), *[(10 + n, 2) for n in range(6)]}
+
+
 def test_leaks_equal_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     plain = lambda t: " ".join(re.sub(r"[^\w\s]", "", t.lower()).split())
