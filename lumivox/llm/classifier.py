@@ -113,19 +113,49 @@ def _document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     return int(has[FEATURES]), has[:FEATURES]
 
 
-def _axes(x: np.ndarray, rank: int) -> np.ndarray:
-    """The leading right singular vectors, by seeded subspace iteration."""
-    q = np.linalg.qr(x @ np.random.default_rng(0).standard_normal((x.shape[1], rank + 16)).astype(np.float32))[0]
+@dataclass(frozen=True)
+class _Sparse:
+    """Rows of numbers by feature, as their ends in one array of features and one of values; products are made in blocks of rows."""
+
+    ends: np.ndarray
+    feature: np.ndarray
+    value: np.ndarray
+
+    def times(self, dense: np.ndarray, block: int = 64) -> np.ndarray:
+        """The rows' products with a dense matrix; no row is empty."""
+        out = np.empty((len(self.ends), dense.shape[1]), np.float32)
+        begins = np.append(0, self.ends[:-1])
+        for i in range(0, len(begins), block):
+            at = slice(begins[i], self.ends[min(i + block, len(begins)) - 1])
+            out[i : i + block] = np.add.reduceat(dense[self.feature[at]] * self.value[at, None], begins[i : i + block] - begins[i])
+        return out
+
+    def turned(self) -> tuple[_Sparse, np.ndarray]:
+        """The same numbers by the features that any row has, and those features."""
+        row = np.repeat(np.arange(len(self.ends), dtype=np.int32), np.diff(self.ends, prepend=0))
+        order = np.argsort(self.feature, kind="stable")
+        features, counts = np.unique(self.feature, return_counts=True)
+        return _Sparse(np.cumsum(counts), row[order], self.value[order]), features
+
+
+def _axes(x: _Sparse, rank: int) -> np.ndarray:
+    """The leading right singular vectors, by seeded subspace iteration on the sparse rows."""
+    by_feature, features = x.turned()
+    q = np.linalg.qr(x.times(np.random.default_rng(0).standard_normal((FEATURES, rank + 16)).astype(np.float32)))[0]
+    back = np.zeros((FEATURES, q.shape[1]), np.float32)
     for _ in range(3):
-        q = np.linalg.qr(x @ (x.T @ q))[0]
-    return np.ascontiguousarray(np.linalg.svd(q.T @ x, full_matrices=False)[2][:rank].T)
+        back[features] = by_feature.times(q)
+        q = np.linalg.qr(x.times(back))[0]
+    back[features] = by_feature.times(q)
+    return np.ascontiguousarray(np.linalg.svd(back, full_matrices=False)[0][:, :rank])
 
 
 def fit_neighbours(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", most: int = 6000, rank: int = 32) -> Neighbours:
     """Document frequencies over all of ``docs``; latent axes and vectors from at most ``most`` labelled documents.
 
-    ``most`` bounds what the driver gathers and what is broadcast: ``most`` x ``rank`` numbers. Labelled documents
-    without words, labels without a document, and null labels teach nothing.
+    ``most`` bounds what the driver gathers (a sparse row a document, as Arrow) and what is broadcast: ``most`` x
+    ``rank`` numbers. An id that has several rows teaches with one of them. Labelled documents without words, labels
+    without a document, and null labels teach nothing.
     """
     total, has = _document_frequencies(docs.select(F.col(text_col).alias("text")))
     idf = (np.log((1 + total) / (1 + has)) + 1).astype(np.float32)
@@ -137,21 +167,24 @@ def fit_neighbours(docs: DataFrame, labels: DataFrame, label_col: str, id_col: s
             w = Words(batch.column("text").to_pylist())
             text, feature, count = features(w)
             ends = np.searchsorted(text, np.arange(len(w.texts) + 1))
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (feature, count)]
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (feature, count)]
             yield pa.record_batch([batch.column("id"), batch.column("label").cast(pa.float64()), *lists], names=["id", "label", "feature", "count"])
 
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, label double, feature array<long>, count array<long>"
-    found = sorted(rows.mapInArrow(extract, schema).collect(), key=lambda r: (r["id"], r["feature"]))
-    found = [r for r in found if r["feature"]][:most]
-    x = np.zeros((len(found), FEATURES), np.float32)
-    for i, r in enumerate(found):
-        at = np.array(r["feature"])
-        x[i, at] = np.log1p(np.array(r["count"])) * idf[at]
-        x[i] /= np.linalg.norm(x[i])
-    axes = _axes(x, min(rank, len(found))) if len(found) else np.zeros((FEATURES, rank), np.float32)
-    vectors = x @ axes
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, label double, feature array<int>, count array<int>"
+    taught = rows.mapInArrow(extract, schema).where(F.size("feature") > 0).groupBy("id").agg(F.min(F.struct("feature", "count", "label")).alias("row"))
+    found = taught.orderBy("id").select("row.*").toArrow().combine_chunks()
+    if not found.num_rows:
+        return Neighbours(idf, np.zeros((FEATURES, rank), np.float32), np.zeros((0, rank), np.float32), np.zeros(0))
+    lists = found.column("feature").combine_chunks()
+    ends, feature = np.cumsum(lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    value = np.log1p(found.column("count").combine_chunks().flatten().to_numpy()).astype(np.float32) * idf[feature]
+    value /= np.repeat(np.sqrt(np.add.reduceat(value * value, np.append(0, ends[:-1]))), np.diff(ends, prepend=0))
+    x, known = _Sparse(ends, feature, value), found.column("label").to_numpy()
+    del found, lists
+    axes = _axes(x, min(rank, len(known)))
+    vectors = x.times(axes)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    return Neighbours(idf, axes, vectors, np.array([r["label"] for r in found]))
+    return Neighbours(idf, axes, vectors, known)
 
 
 def score_quality(docs: DataFrame, model: Neighbours, text_col: str = "text") -> DataFrame:
