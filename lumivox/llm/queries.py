@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumivox.llm.classifier import Neighbours, fit_neighbours, score_quality
 from lumivox.llm.decontaminate import find_leaks
-from lumivox.llm.html import extract
+from lumivox.llm.html import extract, fit_costs
 from lumivox.llm.labelled import crc_fold, label_sample
 from lumivox.llm.language import identify, learn_dictionaries
 from lumivox.llm.packing import pack_documents
@@ -50,8 +50,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     dictionaries = learn_dictionaries(docs.where(crc_fold("doc_id") != 0))
-    found = identify(docs.select("doc_id", "text"), dictionaries)
-    return found.select("doc_id", (crc_fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+    found = identify(docs.select("doc_id", "text"), dictionaries, reject=False)  # every text with a letter is of a learned language
+    return found.select("doc_id", (crc_fold("doc_id") == 0).alias("held_out"), "lang_pred", "score", "narrow")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,8 @@ def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages, fit_costs(pages))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
