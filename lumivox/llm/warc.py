@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from lumivox.llm.storage import attempt_name, resolve, slices
 from lumivox.plans.scratch import written
 
-FILE = "name string, records long"
-RECORD = "record_id string, alias_id string, origin_id string, segment int, total long, kind string, uri string, key string, refers_id string, digest string, block binary"
+WRITTEN = "name string, digest string, key string, record_id string"
+RECORD = "record_id string, origin_id string, segment int, total long, kind string, uri string, key string, refers_id string, digest string, block binary"
 CHUNK = 4096
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -36,35 +36,28 @@ def _http(payload: bytes | None) -> bytes:
     return head + b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in [*chunks, b""])
 
 
-def _record_id(key: object, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}/{digest}')}>"
+def _record_id(*place: object) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '/'.join(map(str, place)))}>"
 
 
-def _records(key, url, html: str, digest: str, refers, most: int, place: str) -> Iterator[bytes]:
-    """The records of one page: a revisit, a response, or a response and the continuations that hold its rest.
-
-    A record's identifier is of the place it is written at, so repeated rows are records of their own; a response also
-    gives the identifier of its key and payload, by which revisits name it from wherever they are written.
-    """
-    payload = html.encode()
-    own = _record_id(key, f"{digest}/{place}")
+def _records(own: str, key, url, html: str | None, digest: str, refers: str | None, most: int) -> Iterator[bytes]:
+    """The records of one page: a revisit, a response, or a response and the continuations that hold its rest. ``refers`` is the response's record."""
     revisit = refers is not None
-    block = _http(None if revisit else payload)
+    block = _http(None if revisit else html.encode())
     parts = [block[i : i + most] for i in range(0, len(block), most)]
     common = {
         "WARC-Type": "revisit" if revisit else "response",
         "WARC-Record-ID": own,
-        "WARC-Concurrent-To": None if revisit else _record_id(key, digest),
         "WARC-Date": "1970-01-01T00:00:00Z",
         "WARC-Target-URI": None if url is None else "".join(c if c.isprintable() and c != " " else "%{:02X}".format(ord(c)) for c in url),
         "WARC-Payload-Digest": f"sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
         "WARC-Page-Key": key,
         "WARC-Profile": _PROFILE if revisit else None,
-        "WARC-Refers-To": _record_id(refers, digest) if revisit else None,
+        "WARC-Refers-To": refers,
         "Content-Type": "application/http;msgtype=response",
     }
     for i, part in enumerate(parts):
-        fields = common if i == 0 else {"WARC-Type": "continuation", "WARC-Record-ID": _record_id(own, str(i)), "WARC-Date": common["WARC-Date"], "WARC-Segment-Origin-ID": own}
+        fields = common if i == 0 else {"WARC-Type": "continuation", "WARC-Record-ID": _record_id(own, i), "WARC-Date": common["WARC-Date"], "WARC-Segment-Origin-ID": own}
         if len(parts) > 1:
             fields = fields | {"WARC-Segment-Number": i + 1}
             if i == len(parts) - 1:
@@ -72,20 +65,11 @@ def _records(key, url, html: str, digest: str, refers, most: int, place: str) ->
         yield _head(fields, len(part)) + part + b"\r\n\r\n"
 
 
-def write_warc(pages: DataFrame, folder: str, key_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, segment: int = 16384) -> list[str]:
-    """Writes a record a page to gzipped WARC files in ``folder`` and returns their names (one a task).
+def _write_files(rows: DataFrame, folder: str, segment: int) -> DataFrame:
+    """Writes ``key, url, html, digest, refers, asked`` to a gzipped file a task: a row for each file, and one for each record that is ``asked`` for.
 
-    The payload is the page's html in UTF-8, empty for null. Of pages with equal payloads of ``least`` bytes or
-    more the one with the largest key is the response and the others revisit it (rows that repeat that key are
-    responses too; rows with a null key revisit, or are responses if no page of theirs has a key). Blocks
-    longer than ``segment`` bytes go to continuation records. A task writes a file of its own name and commits
-    it by a manifest row. An empty table writes no file. Large groups of copies are matched by a join that
-    Spark can split, after their largest keys are pre-aggregated.
+    Records have identifiers of the place they are written at, so repeated rows are records of their own.
     """
-    rows = pages.select(F.col(key_col).alias("key"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html"))
-    first = rows.where(F.col("size") >= least).groupBy(F.col("digest").alias("same")).agg(F.max("key").alias("first"))
-    matched = rows.join(first, (F.col("digest") == F.col("same")) & (F.col("size") >= least), "left").select("key", "url", "html", "digest", F.when(~F.col("key").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = resolve(folder)
@@ -93,16 +77,49 @@ def write_warc(pages: DataFrame, folder: str, key_col: str = "page_id", url_col:
         name, out, count = attempt_name(TaskContext.get().partitionId()) + ".warc.gz", None, 0
         for batch in slices(batches, "html"):
             out = out or store.open_output_stream(f"{top}/{name}", compression=None)
+            told = []
             for row in batch.to_pylist():
-                for record in _records(row["key"], row["url"], row["html"], row["digest"], row["refers"], segment, f"{name}/{count}"):
+                own = _record_id(top, name, count)
+                for record in _records(own, row["key"], row["url"], row["html"], row["digest"], row["refers"], segment):
                     member = zlib.compressobj(6, zlib.DEFLATED, 31)
                     out.write(member.compress(record) + member.flush())
                     count += 1
+                if row["asked"]:
+                    told.append({"name": name, "digest": row["digest"], "key": None if row["key"] is None else str(row["key"]), "record_id": own})
+            yield pa.RecordBatch.from_pylist(told, _TOLD)
         if out is not None:
             out.close()
-            yield pa.record_batch({"name": [name], "records": pa.array([count], pa.int64())})
+            yield pa.RecordBatch.from_pylist([{"name": name}], _TOLD)
+
+    return written(rows.select("key", "url", "html", "digest", "refers", "asked").mapInArrow(write, WRITTEN), "archives")
+
 
-    return sorted(r["name"] for r in written(matched.mapInArrow(write, FILE), "archives").collect())
+_TOLD = pa.schema([(n, pa.string()) for n in ("name", "digest", "key", "record_id")])
+
+
+def write_warc(pages: DataFrame, folder: str, key_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, segment: int = 16384) -> list[str]:
+    """Writes a record a page to gzipped WARC files in ``folder`` and returns their names (one a task and kind of record).
+
+    The payload is the page's html in UTF-8, empty for null. Of pages with equal payloads of ``least`` bytes or
+    more the one with the largest key is the response and the others revisit it (rows that repeat that key are
+    responses too, of which revisits name one; rows with a null key revisit, or are responses if no page of theirs has a
+    key). Responses are written first, so that revisits can give the identifier that their response's record has.
+    Blocks longer than ``segment`` bytes go to continuation records. A task writes a file of its own name and
+    commits it by a manifest row. An empty table writes no file; extra columns are left out. A page of many MB is held whole by the task
+    that writes it, once, and its records are cut from it. Large groups of copies are matched by a join that
+    Spark can split, after their largest keys are pre-aggregated; revisits take no html through it.
+    """
+    rows = pages.select(F.col(key_col).alias("key"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
+    rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html"))
+    first = rows.where(F.col("size") >= least).groupBy(F.col("digest").alias("same")).agg(F.max("key").alias("first"), (F.count("*") > 1).alias("asked"))
+    matched = rows.join(first, (F.col("digest") == F.col("same")) & (F.col("size") >= least), "left")
+    own = F.col("first").isNull() | F.col("key").eqNullSafe(F.col("first"))
+    responses = _write_files(matched.where(own).withColumn("refers", F.lit(None).cast("string")).withColumn("asked", F.coalesce("asked", F.lit(False))), folder, segment)
+
+    named = responses.where("record_id IS NOT NULL AND key IS NOT NULL").groupBy(F.col("digest").alias("same")).agg(F.min("record_id").alias("refers"), F.max("key").alias("first"))
+    again = rows.where(F.col("size") >= least).drop("html", "size").join(named, F.col("digest") == F.col("same")).where(~F.col("key").cast("string").eqNullSafe(F.col("first")))
+    revisits = _write_files(again.withColumn("html", F.lit("")).withColumn("asked", F.lit(False)), folder, segment)
+    return sorted(r["name"] for r in responses.select("name").unionByName(revisits.select("name")).distinct().collect())
 
 
 def _members(stream) -> Iterator[bytes]:
@@ -133,7 +150,6 @@ def _parsed(record: bytes) -> dict:
     number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
     return {
         "record_id": f["warc-record-id"],
-        "alias_id": f.get("warc-concurrent-to"),
         "origin_id": f.get("warc-segment-origin-id") or (f["warc-record-id"] if number else None),
         "segment": int(number) if number else None,
         "total": int(total) if total else None,
@@ -147,7 +163,10 @@ def _parsed(record: bytes) -> dict:
 
 
 def read_records(spark: SparkSession, folder: str, names: list[str], segmented: bool | None = None) -> DataFrame:
-    """The records of the files as they stand; only segments, or only whole records, if asked. A task reads a file record by record."""
+    """The records of the files as they stand; only segments, or only whole records, if asked. A task reads a file record by record.
+
+    A file that ends within a record fails the job, and so does one that isn't WARC.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = resolve(folder)
@@ -167,7 +186,7 @@ def read_records(spark: SparkSession, folder: str, names: list[str], segmented:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    schema = pa.schema([("record_id", pa.string()), ("alias_id", pa.string()), ("origin_id", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("uri", pa.string()), ("key", pa.string()), ("refers_id", pa.string()), ("digest", pa.string()), ("block", pa.binary())])
+    schema = pa.schema([("record_id", pa.string()), ("origin_id", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("uri", pa.string()), ("key", pa.string()), ("refers_id", pa.string()), ("digest", pa.string()), ("block", pa.binary())])
     if not names:
         return spark.createDataFrame([], RECORD)
     return spark.range(len(names), numPartitions=len(names)).mapInArrow(read, RECORD)
@@ -192,47 +211,51 @@ def _payload(block: bytes) -> bytes | None:
         at = end + 4 + size
 
 
+def _joined(origin: str, total: int | None, segments: list[dict]) -> bytes:
+    """A record's block from its segments, sorted by number; an error where one is missing or the length is another."""
+    block = b"".join(s["block"] for s in segments)
+    if total is not None and (total != len(block) or [s["segment"] for s in segments] != list(range(1, len(segments) + 1))):
+        raise ValueError(f"segments are missing of {origin}")
+    return block
+
+
 def read_warc(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
-    """``record_id, alias_id, kind, uri, key, refers_id, digest, payload``: whole records, whatever files their segments are in.
+    """``record_id, kind, uri, key, refers_id, digest, payload``: whole records, whatever files their segments are in.
 
-    Segments are grouped by the identifier of the record they continue, ordered by number, and held against
-    the total length that the last one states; a gap, or another length, fails the job. A group is one
-    record, so it is as large as that record. ``payload`` is null for revisits.
+    Segments are grouped by the identifier of the record they continue, ordered by number, joined once, and held against
+    the total length that the last one states; a gap, or another length, fails the job. Segments that are there twice
+    count once. A group is one record, so it is as large as that record. ``payload`` is null for revisits.
     """
-    whole = read_records(spark, folder, names, segmented=False).select("record_id", "alias_id", "kind", "uri", "key", "refers_id", "digest", "block")
-    parts = read_records(spark, folder, names, segmented=True)
-    ordered = parts.dropDuplicates(["origin_id", "segment"]).groupBy("origin_id").agg(
-        F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"),
-        *[F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("alias_id", "kind", "uri", "key", "refers_id", "digest")],
+    kept = ("kind", "uri", "key", "refers_id", "digest")
+    whole = read_records(spark, folder, names, segmented=False)
+    whole = whole.select("record_id", *kept, F.lit(None).cast("long").alias("total"), F.array(F.struct("segment", "block")).alias("segments"))
+    parts = read_records(spark, folder, names, segmented=True).dropDuplicates(["origin_id", "segment"]).groupBy(F.col("origin_id").alias("record_id"))
+    found = parts.agg(
+        *[F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in kept],
+        F.coalesce(F.max("total"), F.lit(-1)).cast("long").alias("total"), F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("segments"),
     )
-    block = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["block"]))
-    joined = ordered.withColumn("block", block).withColumn(
-        "block",
-        F.when((F.octet_length("block") == F.col("total")) & (F.element_at("parts", -1)["segment"] == F.size("parts")), F.col("block")).otherwise(
-            F.raise_error(F.concat(F.lit("segments are missing of "), "origin_id")).cast("binary")
-        ),
-    )
-    records = whole.unionByName(joined.select(F.col("origin_id").alias("record_id"), "alias_id", "kind", "uri", "key", "refers_id", "digest", "block"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payloads = [_payload(b) for b in batch.column("block").to_pylist()]
-            yield pa.record_batch([*batch.columns[:-1], pa.array(payloads, pa.binary())], names=[*batch.schema.names[:-1], "payload"])
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                held = zip(*(some.column(c).to_pylist() for c in ("record_id", "total", "segments")))
+                payloads = pa.array([_payload(_joined(*row)) for row in held], pa.binary())
+                yield pa.record_batch([*some.columns[:-2], payloads], names=[*some.schema.names[:-2], "payload"])
 
-    return records.mapInArrow(decode, "record_id string, alias_id string, kind string, uri string, key string, refers_id string, digest string, payload binary")
+    return whole.unionByName(found).mapInArrow(decode, "record_id string, kind string, uri string, key string, refers_id string, digest string, payload binary")
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """``key, uri, kind, payload_bytes, payload_digest, refers_key`` of read records: what a revisit leaves out comes from the record it names.
 
-    Digests are computed from the payloads; a revisit's must equal that of its response, else the job fails.
+    Digests are computed from the payloads; a revisit's must equal that of its response, and there must be such a record, else the job fails.
     """
-    digested = records.select("alias_id", "key", "uri", "kind", "refers_id", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    digested = records.select("record_id", "key", "uri", "kind", "refers_id", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
     digested = written(digested, "records")
     own = digested.where(F.col("refers_id").isNull()).withColumn("refers_key", F.lit(None).cast("string"))
-    full = digested.where(F.col("refers_id").isNull()).groupBy("alias_id").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"), F.max("key").alias("refers_key"))
-    again = digested.where(F.col("refers_id").isNotNull()).drop("alias_id", "payload_bytes", "payload_digest")
-    found = again.join(full.withColumnRenamed("alias_id", "refers_id"), "refers_id", "left")
+    full = own.dropDuplicates(["record_id"]).select(F.col("record_id").alias("refers_id"), "payload_bytes", "payload_digest", F.col("key").alias("refers_key"))
+    found = digested.where(F.col("refers_id").isNotNull()).drop("payload_bytes", "payload_digest").join(full, "refers_id", "left")
     same = F.coalesce(F.col("payload_digest") == F.col("digest"), F.lit(False))
-    checked = F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("a payload differs from its digest: "), F.coalesce("refers_id", "alias_id"))))
-    return own.unionByName(found, allowMissingColumns=True).select("key", "uri", "kind", "payload_bytes", checked.alias("payload_digest"), "refers_key")
+    checked = F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("a payload differs from its digest: "), F.coalesce("refers_id", "record_id"))))
+    return own.unionByName(found).select("key", "uri", "kind", "payload_bytes", checked.alias("payload_digest"), "refers_key")
