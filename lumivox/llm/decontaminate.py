@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumivox.plans.scratch import written
@@ -15,7 +15,8 @@ UNITS = (
     "percent dollar dollars euro euros cent cents usd eur gbp degree degrees celsius fahrenheit kelvin watt watts volt volts joule joules newton newtons hz kb mb gb tb"
 ).split()
 
-_BROADCAST_ROWS = 200_000
+#: So many distinct windows of a benchmark, of eight bytes each, are broadcast; more are shuffled.
+_BROADCAST_KEYS = 2_000_000
 
 
 def _parted(text: Column) -> Column:
@@ -40,75 +41,88 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def _windows(hashes: Column, size: int, stride: int) -> Column:
-    """Array of (first word, hash) of every ``stride``-th window of ``size`` words."""
-    starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(0), F.size(hashes) - size, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashes, i + 1, size), F.lit(size)).alias("key")))
+def _windows(hashes: Column, size: int) -> Column:
+    """Array of (first word, key) of every window of ``size`` words."""
+    starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(0), F.size(hashes) - size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(size), *[F.get(hashes, i + n) for n in range(size)]).alias("key")))
 
 
 def _hashed(template: Column) -> Column:
     return F.transform(template, lambda w: F.xxhash64(w))
 
 
+def window_size(words: Column, similarity: float) -> Column:
+    """How many words on end an item of ``words`` words surely keeps where ``similarity`` of them are in place: those between evenly spread changes."""
+    return F.floor(words / (F.floor(words * F.lit(1 - similarity) + F.lit(1e-9)) + 1)).cast("int")
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    window: int = 8, stride: int = 6, similarity: float = 0.8, consistency: float = 0.8,
+    similarity: float = 0.8, consistency: float = 0.8,
 ) -> DataFrame:
     """``(doc_id, item_id, start_word, item_words, matched_words, similarity, slots, changed_slots, consistency)`` of every leak.
 
-    Every window of ``window`` template words of an item is looked up for every ``stride``-th window of every whole
-    document, so each common run of ``window + stride - 1`` words meets; items shorter than that are looked up
-    whole, at every word. Then item and document are aligned as the windows say: a leak has ``similarity`` of
-    the item's templates in place, and its slots (numbers, names, units) must be changed alike wherever the
-    item repeats a value, in ``consistency`` of them; values that are unchanged count as changed alike. Both are asked
-    of each occurrence by itself, and of each of its alignments; one that passes makes the leak.
+    Every window of template words of every whole document is looked up among all windows of the items. How long
+    an item's windows are follows from its length (three or four words at 0.8, or the whole of the shortest items), so that
+    every place which has ``similarity`` of the item's words where the item has them shares a window with it: no
+    such leak is missed. Where words are put in or left out, the parts between that have a window's words are found,
+    and count together if they lie within a quarter of the item. Item and document are aligned as the windows
+    say: a leak has ``similarity`` of the item's templates in place, and its slots (numbers, names, units) must be
+    changed alike wherever the item repeats a value, in ``consistency`` of them; values that are unchanged count as changed
+    alike. Both are asked of each occurrence by itself, and of each of its alignments; one that passes makes the leak.
+
     Null or wordless texts and items leak nothing; rows with a null id aren't reported; repeated rows give
-    one row a pair; the earliest alignment with the most matches gives ``start_word``. The items' windows are
-    broadcast up to a checked number of rows and shuffled beyond it; candidates are always shuffled.
+    one row a pair; very long texts are looked up whole; of equal alignments the earliest gives ``start_word``; an empty table
+    gives an empty one; extra columns are left out. The items' keys are broadcast up to a checked number and
+    shuffled beyond it; candidates are always shuffled, and an occurrence has no more alignments than its item has words.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), _parted(F.col(item_text)).alias("parted")).where("parted is not null and item_id is not null")
     items = items.select("item_id", _template(F.col("parted")).alias("item_template"), _values(F.col("parted")).alias("item_values")).where(F.size("item_template") > 0)
     items = written(items.dropDuplicates(["item_id"]), "items")
-    whole = window + stride - 1
-    short = [r[0] for r in items.select(F.size("item_template").alias("n")).where(F.col("n") < whole).distinct().collect()]  # fewer than `whole` numbers
-    plan = [(window, stride, 1), *[(n, 1, n) for n in sorted(short)]]  # size, stride in documents, stride in items
-
-    hashed = items.select("item_id", F.size("item_template").alias("n"), _hashed(F.col("item_template")).alias("h"))
+    hashed = items.select("item_id", F.size("item_template").alias("item_words"), _hashed(F.col("item_template")).alias("h"))
+    hashed = hashed.withColumn("size", window_size(F.col("item_words"), similarity))
+    sizes = sorted(r[0] for r in hashed.select("size").distinct().collect())  # a handful: they depend on the similarity alone
     sought = None
-    for size, _, own in plan:
-        part = hashed.where(F.col("n") >= whole if own == 1 else F.col("n") == size).select("item_id", F.explode(_windows(F.col("h"), size, own)).alias("w"))
+    for size in sizes:
+        part = hashed.where(F.col("size") == size).select("item_id", "item_words", F.explode(_windows(F.col("h"), size)).alias("w"))
         sought = part if sought is None else sought.unionByName(part)
-    sought = written(sought.select("item_id", F.col("w.at").alias("item_at"), F.col("w.key").alias("key")), "windows")
-    if sought.count() <= _BROADCAST_ROWS:
-        sought = F.broadcast(sought)
-
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    if sought is None:
+        return rows.select("doc_id", F.lit(0).alias("start_word")).limit(0).crossJoin(items.limit(0)).selectExpr(
+            "doc_id", "item_id", "start_word", "0 AS item_words", "0 AS matched_words", "0D AS similarity", "0 AS slots", "0 AS changed_slots", "0D AS consistency")
+    sought = written(sought.select("item_id", "item_words", F.col("w.at").alias("item_at"), F.col("w.key").alias("key")), "windows")
+    keys = written(sought.select("key").distinct(), "keys")
+
     ranked = rows.select("doc_id", _hashed(_template(_parted(F.col("text")))).alias("h"))
-    seen = ranked.select("doc_id", F.explode(F.concat(*[_windows(F.col("h"), size, step) for size, step, _ in plan])).alias("w"))
-    met = seen.select("doc_id", F.col("w.at").alias("at"), F.col("w.key").alias("key")).join(sought, "key")
-    met = met.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-
-    aligned = rows.join(written(met, "met"), "doc_id").join(items, "item_id").withColumn("parted", _parted(F.col("text")))
-    aligned = aligned.select("doc_id", "item_id", "shift", "item_template", "item_values", _template(F.col("parted")).alias("doc_template"), _values(F.col("parted")).alias("doc_values"))
-    aligned = written(aligned, "aligned")  # or the templates would be made again for every word that is compared
-    steps = F.sequence(F.lit(0), F.size("item_template") - 1)
-    there = F.filter(steps, lambda i: F.get("item_template", i) == F.get("doc_template", F.col("shift") + i))
-    aligned = aligned.withColumn("there", there)
+    seen = ranked.select("doc_id", F.inline(F.concat(*[_windows(F.col("h"), size) for size in sizes])))
+    if keys.count() <= _BROADCAST_KEYS:
+        seen = seen.join(F.broadcast(keys), "key", "left_semi")
+    met = seen.join(sought, "key").select("doc_id", "item_id", "item_words", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    met = written(met, "met")
+
+    leaking = rows.join(met.select("doc_id").distinct(), "doc_id", "left_semi").distinct().withColumn("parted", _parted(F.col("text")))
+    templates = written(leaking.select("doc_id", _template(F.col("parted")).alias("doc_template"), _values(F.col("parted")).alias("doc_values")), "templates")
+    begin = F.greatest(F.lit(0), "shift")
+    place = lambda c: F.slice(c, begin + 1, F.greatest(F.lit(0), F.col("shift") + F.col("item_words") - begin)).alias(c)
+    aligned = met.join(templates, "doc_id").select("doc_id", "item_id", "item_words", "shift", (F.col("shift") - begin).alias("lead"), place("doc_template"), place("doc_values"))
+    aligned = written(aligned.join(items, "item_id"), "aligned")
+    there = F.filter(F.sequence(F.lit(0), F.col("item_words") - 1), lambda i: F.get("item_template", i) == F.get("doc_template", F.col("lead") + i))
     slots = F.transform(
         F.filter("there", lambda i: F.get("item_template", i).isin("<name>", "<num>", "<unit>")),
-        lambda i: F.struct(i.alias("i"), F.get("item_values", i).alias("was"), F.get("doc_values", F.col("shift") + i).alias("now")),
+        lambda i: F.struct(i.alias("i"), F.get("item_values", i).alias("was"), F.get("doc_values", F.col("lead") + i).alias("now")),
     )
-    aligned = aligned.select("doc_id", "item_id", "shift", F.size("item_template").alias("item_words"), "there", slots.alias("slots"))
-    # Shifts less than half an item apart are one occurrence; a word of the item counts where the fullest alignment has it.
-    row = Window.partitionBy("doc_id", "item_id").orderBy("shift")
-    apart = F.col("shift") - F.lag("shift").over(row) > F.col("item_words") / 2
-    placed = aligned.withColumn("new", F.when(apart, 1).otherwise(0)).withColumn("occurrence", F.sum("new").over(row))
+    aligned = aligned.withColumn("there", there).select("doc_id", "item_id", "item_words", "shift", "there", slots.alias("slots"))
+    # Alignments of one occurrence lie within a quarter of the item; they are dealt into two rows of places, half of each apart, so some place has them all.
+    half = F.ceil(F.col("item_words") / 4).cast("int")
+    dealt = aligned.withColumn("half", half).withColumn("row", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("occurrence", F.floor((F.col("shift") + F.col("row") * F.col("half")) / (2 * F.col("half"))))
     part = F.struct((-F.size("there")).alias("less"), "shift", "there", "slots")
-    grouped = placed.groupBy("doc_id", "item_id", "occurrence").agg(F.first("item_words").alias("item_words"), F.array_sort(F.collect_set(part)).alias("parts"))
+    grouped = dealt.groupBy("doc_id", "item_id", "row", "occurrence").agg(F.first("item_words").alias("item_words"), F.array_sort(F.collect_set(part)).alias("parts"))
+    # A word of the item counts where the fullest alignment has it.
     taken = lambda a, x: F.array_union(a["there"], x["there"])
     added = lambda a, x: F.concat(a["slots"], F.filter(x["slots"], lambda s: ~F.array_contains(a["there"], s["i"])))
     whole_one = F.aggregate("parts", F.get("parts", 0), lambda a, x: F.struct(a["less"].alias("less"), a["shift"].alias("shift"), taken(a, x).alias("there"), added(a, x).alias("slots")))
     each = grouped.select("doc_id", "item_id", "item_words", F.explode(F.concat("parts", F.array(whole_one))).alias("p"))
+    each = each.where(F.size("p.there") >= F.lit(similarity) * F.col("item_words"))
     pairs = F.array_distinct(F.transform("p.slots", lambda s: F.struct(s["was"].alias("was"), s["now"].alias("now"))))
     each = each.select("doc_id", "item_id", "item_words", F.col("p.shift").alias("shift"), F.size("p.there").alias("matched_words"), pairs.alias("slots"))
     values = F.size(F.array_distinct(F.transform("slots", lambda s: s["was"])))
@@ -117,8 +131,7 @@ def find_leaks(
         (F.col("matched_words") / F.col("item_words")).alias("similarity"), F.size("slots").alias("slots"),
         F.size(F.filter("slots", lambda s: s["was"] != s["now"])).alias("changed_slots"),
         F.when(F.size("slots") > 0, values / F.size("slots")).otherwise(1.0).alias("consistency"),
-    )
-    found = found.where((F.col("similarity") >= similarity) & (F.col("consistency") >= consistency))
+    ).where(F.col("consistency") >= consistency)
     names = ("item_words", "matched_words", "similarity", "slots", "changed_slots", "consistency")
     best = F.max(F.struct(F.col("matched_words").alias("n"), (-F.col("shift")).alias("back"), F.col("consistency").alias("alike"), F.struct(*names).alias("row")))
     found = found.groupBy("doc_id", "item_id").agg(best.alias("best"))
