@@ -33,26 +33,51 @@ class Chaining:
     similarity: float = 0.8
 
 
-#: A word that is said on end counts so often at most: once a k-mer, so that runs of one word have a seed, and one only.
-_SAID = Chaining.size
+#: Runs of up to so many words in turn are shortened.
+_PERIODS = 8
 
 
-def _shortened(texts: list[str | None]) -> tuple[Words, np.ndarray]:
-    """The words without what is said on end more often than ``_SAID``, and the places of those left in their texts."""
+def _turns(period: int) -> int:
+    """How many words on end must be those ``period`` words before, for what follows to be gone: a k-mer of one word, two of several in turn."""
+    return Chaining.size * min(period, 2)
+
+
+def _kept(period: int) -> int:
+    """How many words a shortened run keeps: so many that it has seeds, and the same ones however long it is."""
+    return _turns(period) + period - 1
+
+
+def _shortened(texts: list[str | None]) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words without those of long runs of a few words in turn, the places of those left in their texts, and at each the period of the run that is cut before it (0: none)."""
     w = Words(texts)
     first = w.first[w.text]
-    gone = np.zeros(len(w.text), bool)
-    if len(gone) > _SAID:
-        gone[_SAID:] = True
-        for back in range(1, _SAID + 1):
-            gone[_SAID:] &= (w.hashes[_SAID:] == w.hashes[_SAID - back : -back]) & (w.text[_SAID:] == w.text[_SAID - back : -back])
-    place = np.arange(len(w.text)) - first
+    n = len(w.text)
+    period = np.zeros(n, np.int8)
+    for p in range(_PERIODS, 0, -1):  # the shortest period is set last
+        turns = _turns(p)
+        if n >= turns + p:
+            same = np.concatenate([[0], np.cumsum((w.hashes[p:] == w.hashes[:-p]) & (w.text[p:] == w.text[:-p]))])
+            at = np.flatnonzero(same[turns:] - same[:-turns] == turns) + p + turns - 1
+            period[at[w.text[at] == w.text[at - p - turns + 1]]] = p
+    gone = period > 0
+    place = np.arange(n) - first
     lengths = w.counts
     w.hashes, w.text, w.starts, w.ends = w.hashes[~gone], w.text[~gone], w.starts[~gone], w.ends[~gone]
     w.counts = np.bincount(w.text, minlength=len(w.texts))
     w.first = np.cumsum(w.counts) - w.counts
     w.lengths = lengths
-    return w, place[~gone]
+    begins = gone & ~np.append(False, gone[:-1]) if n else gone
+    cut = np.zeros(len(w.text) + 1, np.int8)  # a run at the end of the last text is cut behind all words
+    np.maximum.at(cut, (np.cumsum(~gone) - ~gone)[begins], period[begins])
+    return w, place[~gone], cut
+
+
+def _cuts(w: Words, place: np.ndarray, cut: np.ndarray, i: int) -> np.ndarray:
+    """Where words of text ``i`` are gone, in threes: a place in the shortened text, how many are gone before it in all, and how many words of the run are kept."""
+    x, y = int(w.first[i]), int(w.first[i] + w.counts[i])
+    less = np.append(place[x:y], w.lengths[i]) - np.arange(y - x + 1)
+    at = np.flatnonzero(np.diff(less, prepend=0))
+    return np.stack([at, less[at], [_kept(max(1, int(p))) for p in cut[x + at]]], axis=1).ravel().astype(np.int32)
 
 
 def _seeds(w: Words, c: Chaining) -> tuple[np.ndarray, np.ndarray]:
@@ -83,13 +108,18 @@ def find_seeds(rows: DataFrame, c: Chaining) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            w, place = _shortened(batch.column("text").to_pylist())
+            w, place, cut = _shortened(batch.column("text").to_pylist())
             at, h = _seeds(w, c)
-            # A run of one word that is a passage by itself has a second seed, so that it meets the first run as long, not the first one.
-            ends = at + c.size
-            on = np.where(ends < w.first[w.text[at]] + w.counts[w.text[at]], place[np.minimum(ends, len(place) - 1)], w.lengths[w.text[at]]) if len(at) else at
-            runs = np.flatnonzero(on - place[ends - 1] - 1 + c.size >= c.words)
-            at, h = np.append(at, at[runs]), np.append(h, h[runs] ^ np.uint64(0x9E3779B97F4A7C15))
+            # A run that is a passage by itself has two more seeds before its cut, so that it meets the first run as long, not the first one.
+            all_at, all_h = w.windows(c.size)
+            ends = all_at + c.size
+            last = w.first[w.text[all_at]] + w.counts[w.text[all_at]]
+            on = np.where(ends < last, place[np.minimum(ends, max(0, len(place) - 1))], w.lengths[w.text[all_at]]) if len(all_at) else all_at
+            gap = on - place[ends - 1] - 1
+            runs = np.flatnonzero((gap > 0) & (gap + _turns(2) >= c.words))
+            twice = runs[(cut[ends[runs]] > 1) & (all_at[runs] > 0)] - 1  # a lone seed is no chain, but that of one word
+            at = np.concatenate([at, all_at[runs], all_at[twice]])
+            h = np.concatenate([h, all_h[runs] ^ np.uint64(0x9E3779B97F4A7C15), all_h[twice] ^ np.uint64(0x9E3779B97F4A7C15)])
             text = w.text[at]
             order = np.lexsort((at, h, text))
             first = np.ones(len(at), bool)
@@ -315,19 +345,14 @@ def align(mine: np.ndarray, theirs: np.ndarray, runs: list[tuple[int, int, int]]
 def _word_arrays(rows: DataFrame) -> DataFrame:
     """``(doc, words array<int>, gone array<int>)``: 32 bits of the hash of each word of the shortened text, and where words are gone.
 
-    ``gone`` has pairs: a place in the shortened text, and how many words are gone before it. Most texts have none.
+    ``gone`` has threes, as ``_cuts`` gives them. Most texts have none.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            w, place = _shortened(batch.column("text").to_pylist())
+            w, place, cut = _shortened(batch.column("text").to_pylist())
             ends = np.append(w.first, len(w.starts))
-            gone = []
-            for i in np.flatnonzero(w.lengths != w.counts):
-                less = np.append(place[ends[i] : ends[i + 1]], w.lengths[i]) - np.arange(w.counts[i] + 1)
-                at = np.flatnonzero(np.diff(less, prepend=0))
-                gone.append((i, np.stack([at, less[at]], axis=1).ravel()))
-            held = dict(gone)
+            held = {int(i): _cuts(w, place, cut, int(i)) for i in np.flatnonzero(w.lengths != w.counts)}
             yield pa.record_batch({
                 "doc": batch.column("doc"), "words": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((w.hashes >> np.uint64(32)).astype(np.uint32).view(np.int32))),
                 "gone": pa.array([held.get(i, ()) for i in range(len(w.texts))], pa.list_(pa.int32())),
@@ -338,8 +363,8 @@ def _word_arrays(rows: DataFrame) -> DataFrame:
 
 def _place(x: int, gone: np.ndarray) -> int:
     """The place in the whole text of a place in the shortened one."""
-    n = int(np.searchsorted(gone[::2], x, "right"))
-    return x + (int(gone[2 * n - 1]) if n else 0)
+    n = int(np.searchsorted(gone[::3], x, "right"))
+    return x + (int(gone[3 * n - 2]) if n else 0)
 
 
 def _parts(mine: np.ndarray, theirs: np.ndarray, steps: list[tuple[int, int, int]], stretch: tuple, own_gone: np.ndarray, gone: np.ndarray, b: int, ob: int, c: Chaining) -> Iterator[tuple]:
@@ -351,26 +376,30 @@ def _parts(mine: np.ndarray, theirs: np.ndarray, steps: list[tuple[int, int, int
     on = [(s, o, n) for s, o, n in steps if s < y and s + n > x]
     near = lambda p, side: min(on, key=lambda r: max(r[side] - p, p - r[side] - r[2], 0))
     less = lambda at, held: _place(at, held) - at - (_place(at - 1, held) - at + 1)
-    cuts = set()
-    for p in own_gone[::2] - b:
+    cuts: dict[tuple[int, int], int] = {}
+    for p, kept in zip(own_gone[::3] - b, own_gone[2::3]):
         if x < p <= y:
             r = near(p, 0)
-            cuts.add((int(p), int(p - r[0] + r[1])))
-    for q in gone[::2] - ob:
+            cuts[int(p), int(p - r[0] + r[1])] = int(kept)
+    for q, kept in zip(gone[::3] - ob, gone[2::3]):
         if ox < q <= oy:
             r = near(q, 1)
-            cuts.add((int(q - r[1] + r[0]), int(q)))
-    bounds, most = [(x, ox, 0)], c.spread + c.size
-    for p, q in sorted(cuts):
+            cuts[int(q - r[1] + r[0]), int(q)] = int(kept)
+    bounds, most = [(x, ox, 0, 0)], c.spread + c.size
+    for (p, q), kept in sorted(cuts.items()):
         own, their = less(p + b, own_gone), less(q + ob, gone)
         if own != their and bounds[-1][0] < p <= y and bounds[-1][1] < q <= oy:
-            bounds.append((p, q, _SAID + min(own, their)))
-            if bounds[-1][2] >= c.words and own > their and (mine[p - _SAID : p] == theirs[q - _SAID : q]).all():
-                n, first, source = bounds[-1][2], _place(p + b - 1, own_gone) + 1 - _SAID, _place(q + ob - 1, gone) + 1 - _SAID
-                for at in sorted({*range(first, first + _SAID + own - n, n), first + _SAID + own - n}):
-                    yield at, at + n, source, source + n, 1.0
-    bounds.append((y, oy, 0))
-    for (x0, o0, fore), (x1, o1, aft) in zip(bounds[:-1], bounds[1:]):
+            n = kept + min(own, their)
+            bounds.append((p, q, n, kept))
+            if n >= c.words and own > their and (mine[max(0, p - kept) : p] == theirs[max(0, q - kept) : q][-p:]).all():
+                first, source = _place(p + b - 1, own_gone) + 1 - kept, _place(q + ob - 1, gone) + 1 - kept
+                period = kept if kept == _kept(1) else kept - _turns(2) + 1
+                step = n if kept == _kept(1) else n // period * period  # so that every piece begins where the source's run does
+                last = kept + own - n if kept == _kept(1) else (kept + own - n) // period * period
+                for at in sorted({*range(0, last, step), last}):
+                    yield first + at, first + at + n, source, source + n, 1.0
+    bounds.append((y, oy, 0, 0))
+    for (x0, o0, fore, _), (x1, o1, aft, kept) in zip(bounds[:-1], bounds[1:]):
         inner = []
         for s, o, n in steps:
             cut = max(x0 - s, o0 - o, 0)
@@ -384,7 +413,7 @@ def _parts(mine: np.ndarray, theirs: np.ndarray, steps: list[tuple[int, int, int
             if fore and (s, os) == (x0, o0):
                 places[0], places[2], more = places[0] - fore, places[2] - fore, fore
             if aft and (e, oe) == (x1, o1):
-                places[1], places[3], more = places[1] + aft - _SAID, places[3] + aft - _SAID, more + aft - _SAID
+                places[1], places[3], more = places[1] + aft - kept, places[3] + aft - kept, more + aft - kept
             own, their = places[1] - places[0], places[3] - places[2]
             if matched >= c.similarity * max(e - s, oe - os) and min(own, their) >= c.similarity * max(own, their):
                 yield (*places, (matched + more) / (max(e - s, oe - os) + more))
@@ -399,8 +428,8 @@ def repeated_passages(docs: DataFrame, c: Chaining = Chaining(), id_col: str = "
     are first in several documents are joined once more, together, with the first document that has them so; a passage
     whose parts first occur in several documents is put together from their chains. The seeds and the aligned
     words are shuffled, a document's own matches are the largest group.
-    Texts are compared word by word, a word that is said on end more than five times as if it were said five times
-    (stretches whose whole lengths aren't alike, as ``similarity`` is, are parted at such words then); repeats within one document alone are none; null or wordless
+    Texts are compared word by word, long runs of up to eight words in turn (or of one) by their first words and their length
+    (stretches whose whole lengths aren't alike, as ``similarity`` is, are parted at such runs then); repeats within one document alone are none; null or wordless
     texts have none; rows with a null id aren't compared; rows that repeat an id and text count once; an empty
     table gives an empty one; extra columns are left out. Exact copies are passages as long as the document.
     """
