@@ -23,15 +23,16 @@ PIECE = "piece int, start long, length long, ids_crc32 long"
 class Limits:
     """What a sequence may hold: tokens, documents, and attention cost (the sum of its pieces' squared lengths).
 
-    ``choose`` is "dot" for the largest weighted dot product of a piece with a bin's residuals or "norm" for
-    the least weighted norm of the residuals that are left. The default cost never binds before the tokens do.
+    ``choose`` is "dot" for the largest weighted dot product of a piece with a bin's residuals, each as a share of its
+    capacity, or "norm" for the least weighted norm of the residuals that are left. The default capacities of documents and
+    attention don't bind before the tokens do, as fewer sequences are wanted first, but they have as much say in the choice.
     """
 
     tokens: int = 2048
     documents: int = 2048
     attention: int = 2048 * 2048
-    choose: str = "norm"
-    weights: tuple[float, float, float] = (1.0, 0.01, 0.01)
+    choose: str = "dot"
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
 
 
 def best_fit(lengths: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray]:
@@ -95,13 +96,16 @@ def pack(found: DataFrame, limits: Limits = Limits(), per_task: int = 16_000) ->
     """Adds ``sequence_id`` and ``offset`` to rows with ``doc_id, piece, length``.
 
     Rows are dealt by hash into groups of about ``per_task`` (their count is taken first, so the groups grow in
-    number, not in size), and each group is packed longest first. A group leaves about one sequence unfilled,
+    number, not in size; rows that are alike are parted by where they are read, so no id fills a group), and each group
+    is packed longest first. A group leaves about one sequence unfilled,
     a ten-thousandth of them. ``sequence_id`` is the group's number in the upper half and the bin's in the lower.
-    An empty table gives an empty one; every piece is placed once; ties go by doc_id, then piece.
+    An empty table gives an empty one; every piece, of repeated rows too, is placed once; ties go by doc_id, then piece; columns
+    that are called sequence_id or offset are replaced, others pass through.
     """
-    found = written(found, "pieces")
+    found = written(found.drop("sequence_id", "offset"), "pieces")
     groups = max(1, -(-found.count() // per_task))
-    dealt = found.repartition(groups, F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions(F.desc("length"), "doc_id", "piece")
+    salted = found.withColumn("_part", F.floor(F.monotonically_increasing_id() / per_task))
+    dealt = salted.repartition(groups, F.xxhash64("doc_id", "piece", "_part")).drop("_part").sortWithinPartitions(F.desc("length"), "doc_id", "piece")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches) if (batches := list(batches)) else None

@@ -631,6 +631,44 @@ def check_packed(rows, limits):
     return len(by)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=60), st.sampled_from(["norm", "dot"]), st.integers(2, 9), st.integers(2500, 5000))
+def test_best_fit_equals_brute_force(lengths, choose, documents, attention):
+    limits = packing.Limits(tokens=64, documents=documents, attention=attention, choose=choose, weights=(1.0, 0.7, 0.4))
+    full, bins, expected = np.array([64, documents, attention], float), [], []
+    for n in lengths:
+        need, best = np.array([n, 1, n * n], float), None
+        for k, rest in enumerate(bins):
+            if (rest >= need).all():
+                gain = (np.array(limits.weights) * rest / full * need / full).sum() if choose == "dot" else -((np.array(limits.weights) * (rest - need) / full) ** 2).sum()
+                if best is None or gain > best[0] + 1e-12:
+                    best = gain, k
+        if best is None:
+            bins.append(full.copy())
+            best = 0, len(bins) - 1
+        expected.append(round(best[0], 9))
+        bins[best[1]] -= need
+    of, offset = packing.best_fit(np.array(lengths, np.int64), limits)
+    assert (of.max() + 1 if len(of) else 0) <= len(bins) + 1  # equal gains may go to another bin
+    for k in set(of.tolist()):
+        mine = [(int(o), n) for o, n, b in zip(offset, lengths, of) if b == k]
+        assert [o for o, _ in mine] == list(np.cumsum([0, *[n for _, n in mine]])[:-1]) and sum(n for _, n in mine) <= 64
+        assert len(mine) <= documents and sum(n * n for _, n in mine) <= attention
+
+
+def test_capacities_other_than_tokens_have_a_say():
+    """The choice differs from plain best fit on many pieces, at the same number of sequences."""
+    lengths = np.sort(np.random.default_rng(4).geometric(1 / 300, 6000).clip(1, 2048))[::-1]
+    of, plain = (packing.best_fit(lengths, x)[0] for x in (packing.Limits(), packing.Limits(choose="norm", weights=(1.0, 0.0, 0.0))))
+    assert of.max() == plain.max() and (of != plain).mean() > 0.1 and of.max() + 1 <= -(-lengths.sum() // 2048) + 2
+
+
+def test_packing_of_one_repeated_row(spark):
+    rows = spark.range(3000).select(F.lit(7).alias("doc_id"), F.lit(0).alias("piece"), F.lit(100).cast("long").alias("length"), F.lit("mine").alias("offset"))
+    got = packing.pack(rows, per_task=500).collect()
+    assert len(got) == 3000 and check_packed(got, packing.Limits()) <= 3000 // 20 + 8
+
+
 @pytest.mark.parametrize("choose", ["norm", "dot"])
 def test_packing(spark, odd, nothing, choose):
     limits = packing.Limits(choose=choose)
