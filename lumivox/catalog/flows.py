@@ -2,56 +2,106 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lumivox.catalog.intensity import _rounded
-from lumivox.catalog.segments import GRID, S, _SURFACE, _long
+from lumivox.catalog.segments import GRID, S, _laterality, _long, _shifted, _stored
+from lumivox.functions import text as T
 from lumivox.operators import annotations as A
+from lumivox.operators import filters as X
+from lumivox.operators import hull as H
 from lumivox.operators import intensity as I
 from lumivox.operators import lattice as N
 from lumivox.operators import masks as M
+from lumivox.operators import profiles as P
+from lumivox.operators import reviews as R
 from lumivox.plans.scratch import scratch_path, written
 from lumivox.sources import cohort as C
 from lumivox.sources import volumes as V
 from lumivox.streaming import feeds
 
 def _id():
-    return F.regexp_extract("path", r"(\d+)\.nii$", 1).cast("long").alias("series_id")
+    return F.regexp_extract("path", r"(\d+)\.nii(?:\.gz)?$", 1).cast("long").alias("series_id")
 
 
-def _files(s, d, value: str):
+def _files(s, d, value: str, packed: bool = False):
     folder = scratch_path(s, "nifti")
-    written(V.write_volumes(C.voxels(s, d), folder, value, C.SPACING), "names")
+    written(V.write_volumes(C.voxels(s, d), folder, value, C.SPACING, packed=packed), "names")
     return s.read.format("binaryFile").load(folder), folder
 
 
-def _stream(s, d, name, select):
-    schema = s.read.parquet(f"{d}/{name}.parquet").schema
-    return s.readStream.schema(schema).parquet(f"{d}/[{name[0]}]{name[1:]}.parquet").selectExpr(*select)  # a pattern, as a table may be one file
+def _headers(s, d):
+    h = V.read_headers(_files(s, d, "value")[0])
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return _rounded(h.select(_id(), "nx", "ny", "nz", "volumes", "sx", "sy", "sz", "datatype", "slope", "intercept", "ox", "oy", "oz", text("direction"), text("target"), text("flip")))
 
 
-_AUDIT = ["CAST(event_id AS BIGINT) AS event_id", "CAST(ts AS TIMESTAMP) AS time", "CAST(user_id % 20 AS BIGINT) AS workspace", "CAST(event_id % 97 AS BIGINT) AS item",
-    "CASE event_type WHEN 'view' THEN 'probe' WHEN 'click' THEN 'segment edit' WHEN 'signup' THEN 'annotate add' WHEN 'purchase' THEN 'review confirm' ELSE 'review reject' END AS command", "COALESCE(value > 50, false) AS ok"]
+def _bricks(s, d):
+    """Ingested volumes as dense bricks of stored numbers; what is in them by count, sum and ends."""
+    values = V.read_volume(_files(s, d, "value")[0]).select(_id(), "i", "j", "k", "value")
+    bricks = V.to_bricks(values, -1000.0, 1000.0)
+    total = F.aggregate("data", F.lit(0).cast("long"), lambda a, x: a + x)
+    return _long(bricks.select("series_id", "bi", "bj", "bk", F.size("data").alias("n"), total.alias("total"), F.array_min("data").alias("low"), F.get("data", 0).alias("first")))
+
+
+def _audit_stream(s, d):
+    """The audit entries in three batches by time order; a sixth of the edits are deletions."""
+    delete = (F.col("event_id") % 6 == 0) & F.col("command").isin("segment edit", "annotate add")
+    entries = C.audit(s, d).withColumn("command", F.when(delete, "item delete").otherwise(F.col("command"))).withColumn("stale", F.when(F.col("event_id") % 4 == 0, 1).otherwise(0))
+    return feeds.spread(entries.withColumn("second", F.unix_seconds("time")), "second", 3, "entries")
+
+
+def _streamed_counts(s, d):
+    """Counts of the windows that the watermark has closed. A last batch that is a year on closes all; late entries come with it and are left out."""
+    entries = C.audit(s, d).withColumn("second", F.unix_seconds("time"))
+    folder = scratch_path(s, "entries")
+    entries.coalesce(1).write.parquet(folder)
+    end = s.sql("SELECT 0L AS event_id, TIMESTAMP '2030-01-01' AS time, 0L AS workspace, 0L AS item, 'end' AS command, true AS ok, 0L AS second")
+    late = entries.limit(50).withColumn("command", F.lit("late"))
+    end.coalesce(1).write.mode("append").parquet(folder)
+    late.coalesce(1).write.mode("append").parquet(folder)
+    stream = s.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return feeds.run_to_end(feeds.command_counts(stream), "append", "counts")
+
+
+def _deferred(s, d):
+    """A workspace an order's customer, a poll an order: metadata follow their label map at the same poll, at the next, or never."""
+    o = C.table(s, d, "orders")
+    n = F.col("o_orderkey")
+    polls = o.select((F.col("o_custkey") % 100).alias("workspace"), n.alias("poll"), F.floor((n + 1) / 3).cast("long").alias("labels"), F.floor(n / 9).cast("long").alias("metadata"))
+    return feeds.run_to_end(feeds.deferred_changes(feeds.spread(polls, "poll", 2, "polls")), "append", "deferred")
+
+
+def _arrivals(s, d):
+    lines = C.table(s, d, "lineitem").selectExpr("CAST(l_orderkey AS BIGINT) AS series_uid", "CAST(l_linenumber AS BIGINT) AS position", "CAST(l_partkey AS BIGINT) AS part")
+    return feeds.completeness(feeds.run_to_end(feeds.arrivals(feeds.spread(lines, "part", 2, "lines")), "complete", "arrivals"))
 
 
 def _audit_log(s, d):
-    """Appends the entries as JSON lines by date and reads them back with a fixed schema."""
+    """Appends the entries as JSON lines by date, those without a time at the given one, and reads them back with a fixed schema."""
     folder = scratch_path(s, "audit")
-    C.audit(s, d).withColumn("date", F.to_date("time")).write.mode("append").partitionBy("date").json(folder)
+    entries = C.audit(s, d).withColumn("time", F.when(F.col("event_id") % 10 > 0, F.col("time")))
+    R.append_audit(entries, folder, F.lit("2025-06-01 12:00:00").cast("timestamp"))
     back = s.read.schema("event_id long, time timestamp, workspace long, item long, command string, ok boolean").json(folder)
     return back.select("event_id", F.date_trunc("second", "time").alias("time"), "workspace", "item", "command", "ok")
 
 
 def _annotation_documents(s, d):
-    """A document a workspace, written as JSON and read back: older ones without status count as confirmed; wrong kinds are left out."""
+    """A document a workspace, written as JSON and read back: those of the first format count as confirmed; wrong kinds are left out, and documents of another grid refused."""
     a = C.annotations(s, d)
-    item = F.struct("id", "kind", "points", F.when(F.col("id") % 3 > 0, F.col("status")).alias("status"))
+    item = F.struct("id", "kind", "points", F.when(F.col("workspace") % 3 > 0, F.col("status")).alias("status"))
     folder = scratch_path(s, "documents")
-    a.groupBy("workspace").agg(F.collect_list(item).alias("annotations")).write.json(folder)
-    shape = "workspace long, annotations array<struct<id: long, kind: string, points: array<struct<x: double, y: double>>, status: string>>"
-    items = s.read.schema(shape).json(folder).select("workspace", F.inline("annotations"))
-    return items.where(F.col("kind") != "Text").select("workspace", "id", "kind", F.coalesce("status", F.lit("confirmed")).alias("status"), F.size("points").cast("long").alias("points"))
+    size = F.when(F.col("workspace") % 7 == 0, F.array(F.lit(16), F.lit(16), F.lit(11))).otherwise(F.array(*map(F.lit, GRID)))
+    a.groupBy("workspace").agg(F.collect_list(item).alias("annotations")).select("workspace", F.when(F.col("workspace") % 3 > 0, 2).otherwise(1).alias("version"), size.alias("dims"), "annotations").write.json(folder)
+    shape = "workspace long, version int, dims array<int>, annotations array<struct<id: long, kind: string, points: array<struct<x: double, y: double>>, status: string>>"
+    documents = s.read.schema(shape).json(folder)
+    same = F.col("dims") == F.array(*map(F.lit, GRID))
+    items = documents.where(same).select("workspace", "version", F.inline("annotations")).where(F.col("kind") != "Text")
+    read = items.select("workspace", "id", "kind", F.when(F.col("version") == 1, "confirmed").otherwise(F.col("status")).alias("status"), F.size("points").cast("long").alias("points"))
+    refused = documents.where(~same).select("workspace", F.lit(-1).cast("long").alias("id"), F.lit("document").alias("kind"), F.lit("refused: another grid").alias("status"), F.size("annotations").cast("long").alias("points"))
+    return read.unionByName(refused)
 
 
 def _segments(s, d):
@@ -65,35 +115,68 @@ def _segment_list(s, d):
 
 
 def _shape_card(s, d):
+    """Each segment's extent, slices, axes, border, pieces and side, and the same axes of its part at or above a value."""
     m = written(C.mask(s, d), "mask")
-    b = M.bounds(m)
-    extent = [((F.col(f"{a}1") - F.col(f"{a}0")) * sp).alias(f"{a}_mm") for a, sp in zip(M.VOX, S)]
-    pieces = N.components(m).groupBy(*M.KEY).agg(F.count("*").alias("pieces"))
-    axial = M.largest_slice(m).where("axis = 'axial'").select(*M.KEY, F.col("slice").alias("largest_axial"))
-    return _long(_rounded(M.size(m, 2.0).join(b.select(*M.KEY, *extent), M.KEY).join(M.border(m, GRID), M.KEY).join(pieces, M.KEY).join(axial, M.KEY)))
+    found = P.topology(m, GRID, 2.0).select(*M.KEY, F.col("components").alias("pieces"), F.col("border_sides").alias("sides"), (F.col("border_sides") > 0).alias("touches"))
+    ranges = M.bounds(m).select(*M.KEY, *[e for a, sp in zip(M.VOX, S) for e in (((F.col(f"{a}1") - F.col(f"{a}0")) * sp).alias(f"{a}_mm"), (F.col(f"{a}0") + 1).alias(f"{a}_from"), F.col(f"{a}1").alias(f"{a}_to"))])
+    axes = H.axial_axes(m, S).select(*M.KEY, "long_mm", "short_mm", (F.col("k") + 1).alias("largest_axial"))
+    solid = m.where("value >= 110")
+    part = M.size(solid, 2.0).select(*M.KEY, F.col("voxels").alias("solid_voxels")).join(H.axial_axes(solid, S).select(*M.KEY, F.col("long_mm").alias("solid_long_mm"), F.col("short_mm").alias("solid_short_mm")), M.KEY)
+    side = _laterality(s, d).select(*M.KEY, "observed", "consistent")
+    card = M.size(m, 2.0).join(ranges, M.KEY).join(found, M.KEY).join(axes, M.KEY).join(part, M.KEY, "left").join(side, M.KEY, "left")
+    return _long(_rounded(card.withColumn("solid_voxels", F.coalesce("solid_voxels", F.lit(0))), 4))
 
 
-def _metrics(s, d):
-    """The quick profile as a long table; segments of series without a known unit get reasons instead of intensities."""
-    counts = written(I.value_counts(C.mask(s, d), M.KEY), "counts")
-    wide = I.first_order(counts, M.KEY).join(I.percentiles(counts, M.KEY, [0.05, 0.5, 0.95]), M.KEY).join(C.series(s, d).select("series_id", "modality"), "series_id")
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), F.lit(needs).alias("needs_unit")) for f, needs in (("count", False), ("mean", True), ("p5", True), ("p50", True), ("p95", True))])
-    long = wide.select(*M.KEY, "modality", F.inline(pairs))
-    known = ~F.col("needs_unit") | (F.col("modality") == "CT")
-    return _rounded(long.select(*M.KEY, "feature", F.when(known, F.col("value")).alias("value"), F.when(~known, "unit is unknown").alias("reason")), 5)
+def _metrics(s, d, profile="quick"):
+    return _rounded(P.metrics(C.mask(s, d), C.series(s, d), GRID, S, profile), 3)
+
+
+def _compare(s, d):
+    """Two readings of the same segments, where both list the same files: volumes, overlap, distances of surfaces and centroids; null distances where one is empty."""
+    same = _same_files(_scans(s, d)).where("same").select(F.col("series").alias("series_id"))
+    a, b = C.mask(s, d).select(*M.KEY, *M.VOX), _shifted(s, d).where("NOT (label = 1 AND series_id % 4 = 0)").select(*M.KEY, *M.VOX)
+    a, b = written(a.join(same, "series_id", "left_semi"), "a"), written(b.join(same, "series_id", "left_semi"), "b")
+    sa, sb = M.surface(a), M.surface(b)
+    far = M.hausdorff(M.distances(sa, sb, S, M.KEY), M.distances(sb, sa, S, M.KEY))
+    apart = M.centroid(a).join(M.centroid(b).select(*M.KEY, *[F.col(f"c{x}").alias(f"d{x}") for x in M.VOX]), M.KEY)
+    centre = F.sqrt(sum((F.pow((F.col(f"c{x}") - F.col(f"d{x}")) * m, F.lit(2)) for x, m in zip(M.VOX, S)), F.lit(0.0)))
+    n = M.agreement(a, b).select(*M.KEY, (F.col("n_a") * 0.002).alias("ml_a"), (F.col("n_b") * 0.002).alias("ml_b"), ((F.col("n_b") - F.col("n_a")) * 0.002).alias("difference_ml"), (F.col("overlap") * 0.002).alias("overlap_ml"), "dice", "jaccard")
+    return _long(_rounded(n.join(far, M.KEY, "left").join(apart.select(*M.KEY, centre.alias("centroid_mm")), M.KEY, "left"), 4))
 
 
 def _edit(s, d):
-    before = M.size(C.mask(s, d), 2.0).select(*M.KEY, F.col("voxels").alias("before"))
-    after = M.size(N.fill_holes(N.keep_pieces(C.mask(s, d), largest=True)), 2.0).select(*M.KEY, F.col("voxels").alias("after"))
-    return _long(before.join(after, M.KEY))
+    """Four clean-ups by series, of segments that an agent made and nobody confirmed: voxels before and after, and why others are refused."""
+    m = written(C.mask(s, d).select(*M.KEY, *M.VOX), "mask")
+    op = F.element_at(F.array(*map(F.lit, ["keep_largest", "fill_holes", "restrict_to_box", "remove_small"])), (F.col("series_id") % 4 + 1).cast("int"))
+    asked = M.size(m, 2.0).select(*M.KEY, F.col("voxels").alias("before")).withColumn("op", op).withColumn("author", F.when(F.col("series_id") % 5 == 0, "human").otherwise("agent")).withColumn("status", F.when((F.col("series_id") + F.col("label")) % 7 == 0, "confirmed").otherwise("proposed"))
+    asked = written(asked.withColumn("reason", A.refusal()), "asked")
+    of = lambda name: m.join(asked.where((F.col("op") == name) & F.col("reason").isNull()), M.KEY, "left_semi")
+    taken = m.select("series_id", *M.VOX)  # holes are filled where no segment is
+    filled = of("fill_holes")
+    holes = N.enclosed(filled).select(*M.KEY, *M.VOX).join(taken, ["series_id", *M.VOX], "left_anti")
+    edited = N.keep_pieces(of("keep_largest"), largest=True).unionByName(filled.unionByName(holes)).unionByName(M.within_box(of("restrict_to_box"), (4, 4, 3), (12, 12, 7))).unionByName(N.keep_pieces(of("remove_small"), least=3))
+    after = M.size(edited, 2.0).select(*M.KEY, F.col("voxels").alias("after"))
+    return _long(asked.join(after, M.KEY, "left").select(*M.KEY, "op", "before", F.when(F.col("reason").isNull(), F.coalesce("after", F.lit(0))).otherwise(F.col("before")).alias("after"), "reason"))
 
 
 def _checks(s, d):
+    """The failed quality checks of every segment that was asked for, also of those without a voxel."""
     m = written(C.mask(s, d), "mask")
-    pieces = N.components(m).groupBy(*M.KEY).agg((F.max("voxels") / F.sum("voxels")).alias("share"))
-    all_ = M.size(m, 2.0).join(M.border(m, GRID), M.KEY).join(pieces, M.KEY)
-    failed = F.array_compact(F.array(F.when(F.col("ml") < 0.1, "size"), F.when(F.col("touches"), "border"), F.when(F.col("share") < 0.99, "components")))
+    asked = C.series(s, d).select("series_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("label"))
+    found = P.topology(m, GRID, 2.0).select(*M.KEY, F.col("largest_component_share").alias("share"), (F.col("border_sides") > 0).alias("touches"))
+    cut = F.lit(False)  # the region that was sent is voxels 2 to 13 of the first two axes
+    for a, n in zip("ij", GRID):
+        cut = cut | (F.col(f"{a}0") <= 2) | (F.col(f"{a}1") >= n - 2)
+    roi = M.bounds(m).select(*M.KEY, cut.alias("cut"))
+    owned = C.voxels(s, d).where("value > 700 AND label > 0").groupBy("series_id").agg(F.count("*").alias("owned"))
+    side = _laterality(s, d).select(*M.KEY, "consistent")
+    before = m.where("k < 7").groupBy(*M.KEY).agg(F.count("*").alias("kept"))  # the revision before has no slices above
+    all_ = asked.join(M.size(m, 2.0), M.KEY, "left").join(found, M.KEY, "left").join(roi, M.KEY, "left").join(owned, "series_id", "left").join(side, M.KEY, "left").join(before, M.KEY, "left")
+    dice = 2 * F.coalesce("kept", F.lit(0)) / (F.col("voxels") + F.coalesce("kept", F.lit(0)))
+    failed = F.when(F.col("voxels").isNull(), F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(
+        F.when(F.col("share") < 0.9, "components"), F.when(F.col("cut"), "roi"), F.when(F.col("touches"), "border"), F.when((F.col("ml") < 0.2) | (F.col("ml") > 5.0), "size"),
+        F.when((F.col("label") == 1) & (F.coalesce("owned", F.lit(0)) > 0.01 * F.col("voxels")), "overlap"), F.when(~F.col("consistent"), "laterality"), F.when(dice < 0.95, "stability"),
+    )))
     return _long(all_.select(*M.KEY, F.array_join(failed, ",").alias("failed")))
 
 
@@ -108,14 +191,24 @@ def _stability(s, d):
     return _long(_rounded(size.join(old, [*M.KEY, "revision"]).join(both, [*M.KEY, "revision"], "left").select(*M.KEY, "revision", dice.alias("dice"), (dice >= 0.95).alias("stable"))))
 
 
-def _catalogues(s, d):
-    """Whether two workspaces of a series list the same files with the same hashes."""
-    files = C.table(s, d, "lineitem").selectExpr("CAST(l_orderkey AS BIGINT) AS series", "l_linenumber % 2 AS workspace", "CAST(l_partkey AS STRING) AS path", "sha2(CAST(l_suppkey AS STRING), 256) AS sha256").distinct()
+def _same_files(files):
+    """Whether two workspaces of a series list the same files with the same hashes, from ``series, workspace, path, sha256``."""
     lists = files.groupBy("series", "workspace").agg(F.array_sort(F.collect_list(F.struct("path", "sha256"))).alias("files"))
     a, b = lists.where("workspace = 0"), lists.where("workspace = 1").select("series", F.col("files").alias("others"))
     return a.join(b, "series").select("series", (F.col("files") == F.col("others")).alias("same"), F.size("files").cast("long").alias("files"))
 
 
+def _catalogues(s, d):
+    return _same_files(C.table(s, d, "lineitem").selectExpr("CAST(l_orderkey AS BIGINT) AS series", "l_linenumber % 2 AS workspace", "CAST(l_partkey AS STRING) AS path", "sha2(CAST(l_suppkey AS STRING), 256) AS sha256").distinct())
+
+
+def _scans(s, d):
+    """The files of each series in two workspaces; in every third series one has other content."""
+    files = C.table(s, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("series"), F.col("l_partkey").cast("string").alias("path")).distinct()
+    other = F.when((F.col("series") % 3 == 0) & (F.col("workspace") == 1), "x").otherwise("")
+    return files.withColumn("workspace", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("sha256", F.sha2(F.concat("path", other), 256))
+
+
 def _integrity(s, d):
     recorded = C.table(s, d, "part").selectExpr("p_partkey", "sha2(p_name, 256) AS sha256")
     now = C.table(s, d, "part").where("p_partkey % 10 <> 0").selectExpr("p_partkey", "sha2(IF(p_partkey % 7 = 0, p_brand, p_name), 256) AS now")
@@ -130,28 +223,10 @@ def _slice_match(s, d):
     return near.groupBy("series_uid", F.col("slice").cast("long").alias("slice")).agg(F.min(F.struct(F.round("off", 6).alias("off"), "path")).alias("m")).select("series_uid", "slice", F.col("m.path").alias("path"), F.col("m.off").alias("off"))
 
 
-def _gaussian(s, d):
-    """One axis of a Gaussian of sigma 1 with borders held: the weighted sum of the seven nearest, by an array a line."""
-    import math
-
-    w = [math.exp(-x * x / 2) for x in range(-3, 4)]
-    w = [x / sum(w) for x in w]
-    line = C.voxels(s, d).where("k = 5").groupBy("series_id", "j").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("line"))
-    at = lambda i, o: F.get("line", F.greatest(F.lit(0), F.least(i + o, F.size("line") - 1)))["value"]
-    smooth = F.transform("line", lambda c: F.struct(c["i"].alias("i"), sum((at(c["i"], o) * w[o + 3] for o in range(-3, 4)), F.lit(0.0)).alias("smooth")))
-    return _long(_rounded(line.select("series_id", "j", F.inline(smooth)), 5))
-
-
 def _peaks(s, d):
-    """Peaks of a histogram smoothed by [1, 2, 1] / 4 with held ends, the highest first."""
-    bins = C.group_values(s, d).groupBy(F.floor(F.col("value") / 50).alias("bin")).agg(F.count("*").alias("n"))
-    ends = bins.agg(F.min("bin").alias("a"), F.max("bin").alias("b")).select(F.explode(F.sequence("a", "b")).alias("bin"))
-    by = Window.orderBy("bin")  # a few hundred bins, whatever the input
-    dense = ends.join(bins, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
-    smooth = (F.coalesce(F.lag("n").over(by), F.col("n")) + 2 * F.col("n") + F.coalesce(F.lead("n").over(by), F.col("n"))) / 4
-    s1 = dense.withColumn("h", smooth)
-    peak = (F.col("h") > F.coalesce(F.lag("h").over(by), F.lit(-1.0))) & (F.col("h") >= F.coalesce(F.lead("h").over(by), F.lit(-1.0)))
-    return s1.withColumn("peak", peak).where("peak").select("bin", F.round("h", 4).alias("height"))
+    """Peaks of the smoothed histogram of stored values, a series at a time."""
+    h = X.smoothed_histogram(I.storage_histogram(_stored(s, d), ["series_id"]), 1.5, ["series_id"], 64)
+    return X.peaks(h, ["series_id"]).select("series_id", "bin", F.round("height", 4).alias("height"), F.col("rank").cast("long").alias("rank"))
 
 
 def _seed_slices(s, d):
@@ -162,8 +237,21 @@ def _seed_slices(s, d):
 
 
 def _reorient(s, d):
-    """Voxels of a grid with axes (k, j, i), the second flipped, on the canonical grid."""
-    return _long(C.mask(s, d).select(*M.KEY, F.col("k").alias("i"), (C.NY - 1 - F.col("j")).alias("j"), F.col("i").alias("k")))
+    """Masks of grids that are stored in every order and direction, a little oblique, on the canonical grid. The orientation has one row a series."""
+    n = F.col("series_id")
+    order = F.element_at(F.array(*[F.array(*map(F.lit, p)) for p in _ORDERS]), (n % 6 + 1).cast("int"))
+    turned = [F.lit(1.0) - 2 * (F.floor(n / 6 / (1 << a)) % 2) for a in range(3)]
+    axes = F.array(*[F.when(F.get(order, a) == r, turned[a] * 0.95).otherwise(0.05 * (a + 1)) for r in range(3) for a in range(3)])  # by rows
+
+    @F.pandas_udf("target array<int>, flip array<boolean>")
+    def orient(axes: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([V.assigned(np.array(x).reshape(3, 3)) for x in axes], columns=["target", "flip"])
+
+    found = C.series(s, d).select("series_id", orient(axes).alias("o")).select("series_id", "o.target", "o.flip")
+    return _long(M.reoriented(C.mask(s, d).drop("value"), found, GRID))
+
+
+_ORDERS = [(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]
 
 
 def _planes(s, d):
@@ -172,13 +260,10 @@ def _planes(s, d):
     return _long(m.select(*M.KEY, F.inline(planes)))
 
 
-def _mask_hash(s, d):
-    linear = F.col("i") + C.NX * (F.col("j") + C.NY * F.col("k"))
-    return _long(C.mask(s, d).groupBy(*M.KEY).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(linear.cast("long"))), ","), 256).alias("hash")))
-
-
 def _json_numbers(s, d):
-    return C.table(s, d, "events").select("event_id", F.explode(F.transform(F.regexp_extract_all("props", F.lit(r"-?[0-9]+(?:\.[0-9]+)?"), F.lit(0)), lambda x: x.cast("double"))).alias("number"))
+    """The numbers of nested JSON around the events' own; digits in keys and strings are none."""
+    nested = F.concat(F.lit('{"k9": ["v12", {"at": [-3.5, '), F.col("event_id").cast("string"), F.lit(']}], "props": '), F.coalesce("props", F.lit("null")), F.lit("}"))
+    return C.table(s, d, "events").select("event_id", F.explode(T.json_numbers(nested)).alias("number"))
 
 
 def _uids(s, d):
@@ -193,22 +278,27 @@ def _uids(s, d):
 
 QUERIES = {
     "src01_src02_inventory": lambda s, d: V.inventory(s, _files(s, d, "value")[1]).select(_id(), "length", "format"),
-    "src03_headers": lambda s, d: _rounded(V.read_headers(_files(s, d, "value")[0]).select(_id(), "nx", "ny", "nz", "volumes", "sx", "sy", "sz", "datatype", "slope", "intercept")),
-    "src04_volume_ingest": lambda s, d: _long(V.read_volume(_files(s, d, "value")[0]).select(_id(), "i", "j", "k", "value")),
-    "src05_label_ingest": lambda s, d: _long(V.read_labels(_files(s, d, "label")[0]).select(_id(), "label", "i", "j", "k")),
+    "src03_headers": lambda s, d: _headers(s, d),
+    "src04_volume_ingest": lambda s, d: _long(V.read_volume(_files(s, d, "value", packed=True)[0]).select(_id(), "i", "j", "k", "value")),
+    "src04_bricks": _bricks,
+    "src05_label_ingest": lambda s, d: _long(V.read_labels(_files(s, d, "label")[0], GRID).select(_id(), "label", "i", "j", "k")),
     "src12_snk01_audit_log": _audit_log,
     "src09_annotation_documents": _annotation_documents,
     "src10_snk03_pip03_segment_list": _segment_list,
-    "snk04_file_hashes": lambda s, d: V.inventory(s, _files(s, d, "value")[1]).select(_id(), F.length("sha256").cast("long").alias("digits")),
-    "str01_change_feed": lambda s, d: feeds.run_to_end(feeds.change_feed(_stream(s, d, "events", _AUDIT)), "append", "feed"),
-    "str04_streamed_counts": lambda s, d: feeds.run_to_end(feeds.command_counts(_stream(s, d, "events", _AUDIT)), "complete", "counts"),
-    "str05_arrivals": lambda s, d: feeds.run_to_end(feeds.arrivals(_stream(s, d, "lineitem", ["CAST(l_orderkey AS BIGINT) AS series_uid", "CAST(l_linenumber AS BIGINT) AS number"])), "complete", "arrivals"),
+    "snk04_file_hashes": lambda s, d: V.hashes(_files(s, d, "value")[0]).select(_id(), "sha256"),
+    "str01_change_feed": lambda s, d: feeds.run_to_end(feeds.change_feed(_audit_stream(s, d)), "append", "feed"),
+    "str02_deferred_changes": _deferred,
+    "str03_decision_stream": lambda s, d: feeds.run_to_end(feeds.decisions(_audit_stream(s, d)), "append", "decisions"),
+    "str04_streamed_counts": _streamed_counts,
+    "str05_arrivals": _arrivals,
     "pip04_shape_card": _shape_card,
     "pip05_metrics": _metrics,
+    "pip05_clinical": lambda s, d: _metrics(s, d, "clinical"),
+    "pip06_compare": _compare,
     "pip07_edit": _edit,
     "pip08_checks": _checks,
     "win15_stability": _stability,
-    "win08_gaussian": _gaussian,
+    "win08_gaussian": lambda s, d: _long(_rounded(X.gaussian_smooth(C.voxels(s, d), 1.0), 5)),
     "win11_peaks": _peaks,
     "join12_same_catalogues": _catalogues,
     "join13_source_integrity": _integrity,
@@ -218,44 +308,110 @@ QUERIES = {
     "prj12_reorientation": _reorient,
     "prj14_uids": _uids,
     "prj21_json_numbers": _json_numbers,
-    "agg36_mask_hash": _mask_hash,
+    "agg36_mask_hash": lambda s, d: M.mask_hash(C.mask(s, d), GRID).select("series_id", F.col("label").cast("long").alias("label"), "hash"),
 }
 
 from lumivox.catalog import lattice as _lattice  # noqa: E402
+from lumivox.catalog.intensity import _STORED  # noqa: E402
+from lumivox.catalog.segments import _SURFACE  # noqa: E402
 from lumivox.catalog.workspaces import _A, _H  # noqa: E402
 
 W = f"WITH {C.VOXELS_SQL}"
-R = f"WITH RECURSIVE {C.VOXELS_SQL}, {_lattice._PIECES}"
+_R = f"WITH RECURSIVE {C.VOXELS_SQL}, {_lattice._PIECES}"
 L = "series_id, CAST(label AS BIGINT) AS label"
 IJK = "CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(k AS BIGINT) AS k"
+_HOLES = _lattice._HOLES
+_SAME_SQL = "SELECT DISTINCT l_suppkey AS series FROM lineitem WHERE l_suppkey % 3 <> 0"
+
+
+def _axes_sql(name: str, source: str) -> str:
+    """``k, long_mm, short_mm`` of each segment of a mask: all pairs of pixels of the largest slice, then bands along the first farthest one."""
+    n = f"{name}_"
+    return f"""{n}c AS (SELECT series_id, label, k, count(*) AS n FROM {source} GROUP BY series_id, label, k QUALIFY row_number() OVER (PARTITION BY series_id, label ORDER BY n DESC, k) = 1), {n}m AS (SELECT x.* FROM {source} x JOIN {n}c c ON x.series_id = c.series_id AND x.label = c.label AND x.k = c.k),
+    {n}p AS (SELECT a.series_id, a.label, a.k, a.i AS i0, a.j AS j0, b.i - a.i AS dx, b.j - a.j AS dy, sqrt((a.i-b.i)*(a.i-b.i)+(a.j-b.j)*(a.j-b.j)) AS long_mm FROM {n}m a JOIN {n}m b ON a.series_id = b.series_id AND a.label = b.label QUALIFY row_number() OVER (PARTITION BY a.series_id, a.label ORDER BY long_mm DESC, a.j, a.i, b.j, b.i) = 1),
+    {n}w AS (SELECT p.series_id, p.label, p.k, long_mm, max(((m.j-j0)*dx - (m.i-i0)*dy) / CASE WHEN long_mm > 0 THEN long_mm ELSE 1 END) - min(((m.j-j0)*dx - (m.i-i0)*dy) / CASE WHEN long_mm > 0 THEN long_mm ELSE 1 END) AS wide FROM {n}p p JOIN {n}m m ON m.series_id = p.series_id AND m.label = p.label GROUP BY p.series_id, p.label, p.k, long_mm, round(((m.i-i0)*dx + (m.j-j0)*dy) / CASE WHEN long_mm > 0 THEN long_mm ELSE 1 END)),
+    {name} AS (SELECT series_id, label, k, long_mm, max(wide) AS short_mm FROM {n}w GROUP BY ALL)"""
+
+
+_HEADER_HEX = "CASE series_id % 4 " + " ".join(f"WHEN {n} THEN '{V.header_bytes(list(GRID), S, layout).hex()}'" for n, layout in enumerate(V.LAYOUTS)) + " END"
 _BORDER = "bool_or(i=0 OR i=15 OR j=0 OR j=15 OR k=0 OR k=11)"
 _PCT = lambda q: f"max(CASE WHEN place = round((total - 1) * {q}) THEN value END)"
 
 ORACLE_SQL = {
     "src01_src02_inventory": f"{W} SELECT series_id, CAST(352 + 2 * count(*) AS BIGINT) AS length, 'nifti' AS format FROM voxels GROUP BY 1",
-    "src03_headers": f"WITH {C.SERIES_SQL} SELECT series_id, CAST(16 AS BIGINT) AS nx, CAST(16 AS BIGINT) AS ny, CAST(12 AS BIGINT) AS nz, CAST(1 AS BIGINT) AS volumes, sx, sy, sz, CAST(4 AS BIGINT) AS datatype, CAST(1 AS DOUBLE) AS slope, CAST(0 AS DOUBLE) AS intercept FROM series",
+    "src03_headers": f"""WITH {C.SERIES_SQL} SELECT series_id, CAST(CASE series_id % 4 WHEN 1 THEN 12 ELSE 16 END AS BIGINT) AS nx, CAST(16 AS BIGINT) AS ny, CAST(CASE series_id % 4 WHEN 1 THEN 16 ELSE 12 END AS BIGINT) AS nz, CAST(1 AS BIGINT) AS volumes,
+        CASE series_id % 4 WHEN 1 THEN sz ELSE sx END AS sx, sy, CASE series_id % 4 WHEN 1 THEN sx ELSE sz END AS sz, CAST(4 AS BIGINT) AS datatype, CAST(1 AS DOUBLE) AS slope, CAST(0 AS DOUBLE) AS intercept, CAST(0 AS DOUBLE) AS ox, CAST(0 AS DOUBLE) AS oy, CAST(0 AS DOUBLE) AS oz,
+        '1.0,0.0,0.0,0.0,1.0,0.0,0.0,0.0,1.0' AS direction, CASE series_id % 4 WHEN 1 THEN '2,1,0' ELSE '0,1,2' END AS target, CASE series_id % 4 WHEN 1 THEN 'false,true,false' WHEN 2 THEN 'true,true,false' ELSE 'false,false,false' END AS flip FROM series""",
     "src04_volume_ingest": f"{W} SELECT series_id, {IJK}, value FROM voxels",
+    "src04_bricks": f"{W}, s AS (SELECT *, CAST(least(greatest(round((value + 1000) / (2000.0 / 65535)), 0), 65535) AS BIGINT) AS v FROM voxels) SELECT series_id, CAST(i // 8 AS BIGINT) AS bi, CAST(j // 8 AS BIGINT) AS bj, CAST(k // 8 AS BIGINT) AS bk, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, min(v) AS low, arg_min(v, i + 16*(j + 16*k)) AS first FROM s GROUP BY ALL",
     "src05_label_ingest": f"{W} SELECT {L}, {IJK} FROM mask",
-    "src12_snk01_audit_log": f"{_A} SELECT event_id, date_trunc('second', time) AS time, workspace, item, command, ok FROM audit",
-    "src09_annotation_documents": f"WITH {C.ANNOTATIONS_SQL} SELECT workspace, id, kind, CASE WHEN id % 3 > 0 THEN status ELSE 'confirmed' END AS status, CAST(4 AS BIGINT) AS points FROM annotations WHERE kind <> 'Text'",
+    "src12_snk01_audit_log": f"{_A} SELECT event_id, CASE WHEN event_id % 10 > 0 THEN date_trunc('second', time) ELSE TIMESTAMP '2025-06-01 12:00:00' END AS time, workspace, item, command, ok FROM audit",
+    "src09_annotation_documents": f"WITH {C.ANNOTATIONS_SQL} SELECT workspace, id, kind, CASE WHEN workspace % 3 > 0 THEN status ELSE 'confirmed' END AS status, CAST(4 AS BIGINT) AS points FROM annotations WHERE kind <> 'Text' AND workspace % 7 > 0 UNION ALL SELECT workspace, -1, 'document', 'refused: another grid', count(*) FROM annotations WHERE workspace % 7 = 0 GROUP BY 1",
     "src10_snk03_pip03_segment_list": f"{W}, n AS (SELECT series_id, label, count(*) AS voxels FROM mask GROUP BY ALL), g AS (SELECT series_id, l AS label FROM series, (VALUES (1), (3)) AS t(l)) SELECT coalesce(n.series_id, g.series_id) AS series_id, CAST(coalesce(n.label, g.label) AS BIGINT) AS label, CASE WHEN g.label IS NULL THEN 'Segment ' ELSE 'lesion ' END || coalesce(n.label, g.label) AS name, CASE WHEN g.label IS NOT NULL AND g.series_id % 2 = 0 THEN 'confirmed' ELSE 'proposed' END AS status, coalesce(voxels, 0) AS voxels, round(coalesce(voxels, 0) * 2.0 / 1000, 6) AS ml FROM n FULL JOIN g ON n.series_id = g.series_id AND n.label = g.label",
-    "snk04_file_hashes": f"WITH {C.SERIES_SQL} SELECT series_id, CAST(64 AS BIGINT) AS digits FROM series",
-    "str01_change_feed": f"""{_A}, e AS (SELECT event_id, workspace, item, CASE WHEN row_number() OVER (PARTITION BY workspace, item ORDER BY time, event_id) = 1 THEN 'added' ELSE 'revised' END AS change FROM audit WHERE command IN ('segment edit', 'annotate add')),
-        r AS (SELECT event_id, workspace, item, command, lag(command) OVER (PARTITION BY workspace, item ORDER BY time, event_id) AS before FROM audit WHERE ok AND starts_with(command, 'review ')) SELECT * FROM e UNION ALL SELECT event_id, workspace, item, 'reviewed' FROM r WHERE before IS DISTINCT FROM command""",
+    "snk04_file_hashes": f"""{W}, o AS (SELECT series_id, CASE series_id % 4 WHEN 1 THEN k + 12*(15 - j + 16*i) WHEN 2 THEN (15 - i) + 16*((15 - j) + 16*k) ELSE i + 16*(j + 16*k) END AS pos, CAST(value AS INTEGER) & 65535 AS v FROM voxels)
+        SELECT series_id, sha256(unhex({_HEADER_HEX} || string_agg(CASE WHEN series_id % 4 = 2 THEN printf('%04x', v) ELSE printf('%02x%02x', v & 255, v >> 8) END, '' ORDER BY pos))) AS sha256 FROM o GROUP BY series_id""",
+    "str01_change_feed": f"""{_A}, e AS (SELECT event_id, time, workspace, item, ok, CASE WHEN event_id % 6 = 0 AND command IN ('segment edit', 'annotate add') THEN 'delete' WHEN command IN ('segment edit', 'annotate add') THEN 'edit' ELSE command END AS c FROM audit),
+        l AS (SELECT *, coalesce(sum(CAST(c = 'delete' AS INT)) OVER w, 0) AS life, c = 'edit' AS edit, ok AND starts_with(c, 'review ') AS review FROM e WINDOW w AS (PARTITION BY workspace, item ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        n AS (SELECT *, coalesce(sum(CAST(edit AS INT)) OVER w, 0) AS edits, last_value(CASE WHEN review THEN c END IGNORE NULLS) OVER w AS before FROM l WINDOW w AS (PARTITION BY workspace, item, life ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        x AS (SELECT *, last_value(CASE WHEN review THEN c WHEN c = 'delete' AND edits > 0 THEN '' END IGNORE NULLS) OVER (PARTITION BY workspace, item ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM n)
+        SELECT event_id, workspace, item, CASE WHEN edit THEN CASE WHEN edits = 0 THEN 'added' ELSE 'revised' END WHEN c = 'delete' THEN 'removed' ELSE 'reviewed' END AS change FROM x WHERE edit OR (c = 'delete' AND edits > 0) OR (review AND coalesce(held, '') <> c)""",
+    "str03_decision_stream": f"""{_A}, n AS (SELECT *, coalesce(count(*) FILTER (WHERE command IN ('segment edit', 'annotate add') AND event_id % 6 > 0) OVER (PARTITION BY workspace, item ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS now FROM audit),
+        d AS (SELECT *, event_id % 4 = 0 AND now > 0 AS stale FROM n WHERE starts_with(command, 'review ')), v AS (SELECT *, coalesce(max(CAST(ok AND NOT stale AS INT)) OVER (PARTITION BY workspace, item ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS decided FROM d)
+        SELECT event_id, workspace, item, CASE WHEN decided THEN 'decided' WHEN stale THEN 'stale' WHEN ok THEN 'accepted' ELSE 'failed' END AS verdict FROM v""",
     "str04_streamed_counts": f"{_A} SELECT time_bucket(INTERVAL 1 DAY, time) AS start, command, count(*) AS n, count(*) FILTER (WHERE NOT ok) AS failed FROM audit GROUP BY ALL",
-    "str05_arrivals": "SELECT CAST(l_orderkey AS BIGINT) AS series_uid, count(*) AS images, CAST(max(l_linenumber) AS BIGINT) AS last FROM lineitem GROUP BY 1",
-    "pip04_shape_card": f"{R}, p AS (SELECT series_id, label, count(*) AS pieces FROM comp GROUP BY ALL), x AS (SELECT series_id, label, k, count(*) AS n FROM mask GROUP BY series_id, label, k QUALIFY row_number() OVER (PARTITION BY series_id, label ORDER BY n DESC, k) = 1), m AS (SELECT series_id, label, count(*) AS voxels, round(count(*) * 2.0 / 1000, 6) AS ml, CAST(max(i)-min(i)+1 AS DOUBLE) AS i_mm, CAST(max(j)-min(j)+1 AS DOUBLE) AS j_mm, 2.0*(max(k)-min(k)+1) AS k_mm, CAST(max(CAST(i=0 AS INT)) + max(CAST(i=15 AS INT)) + max(CAST(j=0 AS INT)) + max(CAST(j=15 AS INT)) + max(CAST(k=0 AS INT)) + max(CAST(k=11 AS INT)) AS BIGINT) AS sides, {_BORDER} AS touches FROM mask GROUP BY ALL) SELECT m.series_id, CAST(m.label AS BIGINT) AS label, voxels, CAST(ml AS DOUBLE) AS ml, i_mm, j_mm, CAST(k_mm AS DOUBLE) AS k_mm, sides, touches, pieces, CAST(x.k + 1 AS BIGINT) AS largest_axial FROM m JOIN p ON p.series_id = m.series_id AND p.label = m.label JOIN x ON x.series_id = m.series_id AND x.label = m.label",
-    "pip05_metrics": f"{W}, r AS (SELECT series_id, label, value, row_number() OVER (PARTITION BY series_id, label ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY series_id, label) AS total FROM mask), f AS (SELECT series_id, label, CAST(count(*) AS DOUBLE) AS count, avg(value) AS mean, {_PCT(0.05)} AS p5, {_PCT(0.5)} AS p50, {_PCT(0.95)} AS p95 FROM r GROUP BY ALL), u AS (UNPIVOT f ON count, mean, p5, p50, p95 INTO NAME feature VALUE value) SELECT u.series_id, CAST(label AS BIGINT) AS label, feature, CASE WHEN feature = 'count' OR modality = 'CT' THEN round(value, 5) END AS value, CASE WHEN feature <> 'count' AND modality <> 'CT' THEN 'unit is unknown' END AS reason FROM u JOIN series s ON s.series_id = u.series_id",
-    "pip08_checks": f"{R}, p AS (SELECT series_id, label, max(voxels) / sum(voxels) AS share FROM comp GROUP BY ALL), m AS (SELECT series_id, label, count(*) * 2.0 / 1000 AS ml, {_BORDER} AS touches FROM mask GROUP BY ALL) SELECT m.series_id, CAST(m.label AS BIGINT) AS label, concat_ws(',', CASE WHEN ml < 0.1 THEN 'size' END, CASE WHEN touches THEN 'border' END, CASE WHEN share < 0.99 THEN 'components' END) AS failed FROM m JOIN p ON p.series_id = m.series_id AND p.label = m.label",
+    "str05_arrivals": "WITH p AS (SELECT CAST(l_orderkey AS BIGINT) AS series_uid, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL) SELECT series_uid, CAST(sum(n) AS BIGINT) AS images, count(*) AS positions, max(n) AS most, max(n) = min(n) AS complete FROM p GROUP BY 1",
+    "pip04_shape_card": f"""{_R}, p AS (SELECT series_id, label, count(*) AS pieces FROM comp GROUP BY ALL), {_axes_sql('x', 'mask')}, sm AS (SELECT * FROM mask WHERE value >= 110), {_axes_sql('y', 'sm')}, sn AS (SELECT series_id, label, count(*) AS n FROM sm GROUP BY ALL),
+        m AS (SELECT series_id, label, count(*) AS voxels, round(CAST(count(*) * 2.0 / 1000 AS DOUBLE), 4) AS ml, {', '.join(f'CAST({w} * (max({a})-min({a})+1) AS DOUBLE) AS {a}_mm, CAST(min({a})+1 AS BIGINT) AS {a}_from, CAST(max({a})+1 AS BIGINT) AS {a}_to' for a, w in zip('ijk', (1, 1, 2)))}, CAST(max(CAST(i=0 AS INT)) + max(CAST(i=15 AS INT)) + max(CAST(j=0 AS INT)) + max(CAST(j=15 AS INT)) + max(CAST(k=0 AS INT)) + max(CAST(k=11 AS INT)) AS BIGINT) AS sides, {_BORDER} AS touches, avg(i) - 8 AS x FROM mask GROUP BY ALL),
+        l AS (SELECT m.series_id, CASE WHEN round(m.x, 5) > round(CASE WHEN m.series_id % 3 = 0 THEN o.x ELSE -0.5 END, 5) THEN 'left' ELSE 'right' END AS observed FROM m LEFT JOIN m o ON o.series_id = m.series_id AND o.label = 2 WHERE m.label = 1)
+        SELECT m.series_id, CAST(m.label AS BIGINT) AS label, voxels, ml, i_mm, i_from, i_to, j_mm, j_from, j_to, k_mm, k_from, k_to, pieces, sides, touches, round(x.long_mm, 4) AS long_mm, round(x.short_mm, 4) AS short_mm, CAST(x.k + 1 AS BIGINT) AS largest_axial,
+            coalesce(sn.n, 0) AS solid_voxels, round(y.long_mm, 4) AS solid_long_mm, round(y.short_mm, 4) AS solid_short_mm, CASE WHEN m.label = 1 THEN observed END AS observed, CASE WHEN m.label = 1 THEN observed = CASE WHEN m.series_id % 2 = 0 THEN 'left' ELSE 'right' END END AS consistent
+        FROM m JOIN p ON p.series_id = m.series_id AND p.label = m.label JOIN x ON x.series_id = m.series_id AND x.label = m.label LEFT JOIN y ON y.series_id = m.series_id AND y.label = m.label LEFT JOIN sn ON sn.series_id = m.series_id AND sn.label = m.label LEFT JOIN l ON l.series_id = m.series_id""",
+    "pip05_metrics": f"""{W}, {_axes_sql('x', 'mask')}, r AS (SELECT series_id, label, value, row_number() OVER (PARTITION BY series_id, label ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY series_id, label) AS total FROM mask),
+        s AS (SELECT series_id, label, 'axial' AS axis, k AS n, count(*) AS c FROM mask GROUP BY ALL UNION ALL SELECT series_id, label, 'coronal', j, count(*) FROM mask GROUP BY ALL UNION ALL SELECT series_id, label, 'sagittal', i, count(*) FROM mask GROUP BY ALL),
+        t AS (SELECT series_id, label, axis, n + 1 AS n FROM s QUALIFY row_number() OVER (PARTITION BY series_id, label, axis ORDER BY c DESC, n) = 1), b AS (SELECT series_id, label, max(n) FILTER (WHERE axis = 'axial') AS a, max(n) FILTER (WHERE axis = 'coronal') AS c, max(n) FILTER (WHERE axis = 'sagittal') AS s FROM t GROUP BY ALL),
+        g AS (SELECT m.series_id, m.label, any_value(modality) AS modality, count(*) AS n, {', '.join(f'max({a})-min({a})+1 AS e{a}, avg({a}) AS c{a}' for a in 'ijk')}, any_value(ox) AS ox, any_value(oy) AS oy, any_value(oz) AS oz, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS lo, max(value) AS hi FROM mask m JOIN series s ON s.series_id = m.series_id GROUP BY m.series_id, m.label),
+        q AS (SELECT series_id, label, {', '.join(f'{_PCT(v / 100)} AS p{v}' for v in (5, 25, 50, 75, 95))} FROM r GROUP BY ALL),
+        f AS (SELECT g.series_id, g.label, modality, CAST(n AS DOUBLE) AS "size.voxels", n * 2.0::DOUBLE AS "size.volume_mm3", n * 0.002::DOUBLE AS "size.volume_ml", ei::DOUBLE AS "size.extent_i_mm", ej::DOUBLE AS "size.extent_j_mm", 2.0::DOUBLE * ek AS "size.extent_k_mm",
+            ox + ci AS "size.centroid_x_mm", oy + cj AS "size.centroid_y_mm", oz + 2 * ck AS "size.centroid_z_mm", x.long_mm AS "size.long_axis_mm", x.short_mm AS "size.short_axis_mm", b.a::DOUBLE AS "size.largest_slice_axial", b.c::DOUBLE AS "size.largest_slice_coronal", b.s::DOUBLE AS "size.largest_slice_sagittal",
+            mean AS "intensity.mean", std AS "intensity.std", lo AS "intensity.min", hi AS "intensity.max", hi - lo AS "intensity.range", {', '.join(f'p{v} AS "intensity.p{v}"' for v in (5, 25, 50, 75, 95))}, p75 - p25 AS "intensity.iqr"
+            FROM g JOIN q ON q.series_id = g.series_id AND q.label = g.label JOIN b ON b.series_id = g.series_id AND b.label = g.label JOIN x ON x.series_id = g.series_id AND x.label = g.label),
+        u AS (UNPIVOT f ON COLUMNS(* EXCLUDE (series_id, label, modality)) INTO NAME feature VALUE value)
+        SELECT series_id, CAST(label AS BIGINT) AS label, feature, CASE WHEN modality = 'CT' OR starts_with(feature, 'size.') THEN round(value, 3) END AS value, CASE WHEN modality <> 'CT' AND starts_with(feature, 'intensity.') THEN 'the unit of the values is unknown' END AS reason FROM u""",
+    "pip06_compare": f"""WITH sm AS ({{same}}), {C.VOXELS_SQL}, a AS (SELECT m.series_id, label, i, j, k FROM mask m JOIN sm ON sm.series = m.series_id), b AS (SELECT series_id, label, i + 1 AS i, j, k FROM a WHERE NOT (label = 1 AND series_id % 4 = 0)), {_SURFACE('sa', 'a')}, {_SURFACE('sb', 'b')},
+        d AS (SELECT a.series_id, a.label, a.i AS ai, a.j AS aj, a.k AS ak, b.i AS bi, b.j AS bj, b.k AS bk, sqrt((a.i-b.i)*(a.i-b.i) + (a.j-b.j)*(a.j-b.j) + 4*(a.k-b.k)*(a.k-b.k)) AS mm FROM sa a JOIN sb b ON a.series_id = b.series_id AND a.label = b.label),
+        u AS (SELECT series_id, label, 1 AS way, min(mm) AS mm FROM d GROUP BY series_id, label, ai, aj, ak UNION ALL SELECT series_id, label, 2, min(mm) FROM d GROUP BY series_id, label, bi, bj, bk),
+        r AS (SELECT *, row_number() OVER (PARTITION BY series_id, label, way ORDER BY mm) - 1 AS place, count(*) OVER (PARTITION BY series_id, label, way) AS n FROM u), h AS (SELECT series_id, label, max(mm) AS hausdorff, max(CASE WHEN place = round((n-1)*0.95) THEN mm END) AS hd95 FROM r GROUP BY ALL),
+        na AS (SELECT series_id, label, count(*) AS n, avg(i) AS x, avg(j) AS y, avg(k) AS z FROM a GROUP BY ALL), nb AS (SELECT series_id, label, count(*) AS n, avg(i) AS x, avg(j) AS y, avg(k) AS z FROM b GROUP BY ALL), o AS (SELECT a.series_id, a.label, count(*) AS n FROM a JOIN b ON a.series_id = b.series_id AND a.label = b.label AND a.i = b.i AND a.j = b.j AND a.k = b.k GROUP BY ALL)
+        SELECT na.series_id, CAST(na.label AS BIGINT) AS label, round(na.n * 0.002::DOUBLE, 4) AS ml_a, round(coalesce(nb.n, 0) * 0.002::DOUBLE, 4) AS ml_b, round((coalesce(nb.n, 0) - na.n) * 0.002::DOUBLE, 4) AS difference_ml, round(coalesce(o.n, 0) * 0.002::DOUBLE, 4) AS overlap_ml,
+            round(2.0::DOUBLE * coalesce(o.n, 0) / (na.n + coalesce(nb.n, 0)), 4) AS dice, round(1.0::DOUBLE * coalesce(o.n, 0) / (na.n + coalesce(nb.n, 0) - coalesce(o.n, 0)), 4) AS jaccard, round(hausdorff, 4) AS hausdorff, round(hd95, 4) AS hd95, round(sqrt((na.x-nb.x)**2 + (na.y-nb.y)**2 + 4*(na.z-nb.z)**2), 4) AS centroid_mm
+        FROM na LEFT JOIN nb ON nb.series_id = na.series_id AND nb.label = na.label LEFT JOIN o ON o.series_id = na.series_id AND o.label = na.label LEFT JOIN h ON h.series_id = na.series_id AND h.label = na.label""".replace("{same}", _SAME_SQL),
+    "pip07_edit": f"""{_R}, {_HOLES}, n AS (SELECT series_id, label, count(*) AS before, count(*) FILTER (WHERE i BETWEEN 4 AND 12 AND j BETWEEN 4 AND 12 AND k BETWEEN 3 AND 7) AS boxed FROM mask GROUP BY ALL), c AS (SELECT series_id, label, max(voxels) AS largest, coalesce(sum(voxels) FILTER (WHERE voxels >= 3), 0) AS big FROM comp GROUP BY ALL),
+        f AS (SELECT h.series_id, h.label, count(*) AS filled FROM hole h ANTI JOIN mask m ON m.series_id = h.series_id AND m.i = h.i AND m.j = h.j AND m.k = h.k GROUP BY ALL),
+        r AS (SELECT n.*, largest, big, coalesce(filled, 0) AS filled, ['keep_largest', 'fill_holes', 'restrict_to_box', 'remove_small'][n.series_id % 4 + 1] AS op, CASE WHEN n.series_id % 5 = 0 THEN 'made by a person' WHEN (n.series_id + n.label) % 7 = 0 THEN 'confirmed' END AS reason FROM n JOIN c ON c.series_id = n.series_id AND c.label = n.label LEFT JOIN f ON f.series_id = n.series_id AND f.label = n.label)
+        SELECT series_id, CAST(label AS BIGINT) AS label, op, before, CAST(CASE WHEN reason IS NOT NULL THEN before WHEN op = 'keep_largest' THEN largest WHEN op = 'fill_holes' THEN before + filled WHEN op = 'restrict_to_box' THEN boxed ELSE big END AS BIGINT) AS after, reason FROM r""",
+    "pip08_checks": f"""{_R}, p AS (SELECT series_id, label, max(voxels) / sum(voxels) AS share FROM comp GROUP BY ALL), m AS (SELECT series_id, label, count(*) AS n, {_BORDER} AS touches, min(i) <= 2 OR max(i) >= 13 OR min(j) <= 2 OR max(j) >= 13 AS cut, count(*) FILTER (WHERE k < 7) AS kept, avg(i) - 8 AS x FROM mask GROUP BY ALL),
+        w AS (SELECT series_id, count(*) AS owned FROM mask WHERE value > 700 GROUP BY 1), q AS (SELECT series_id, CAST(l AS BIGINT) AS label FROM series, (VALUES (1), (2), (3)) AS t(l)),
+        l AS (SELECT m.series_id, (round(m.x, 5) > round(CASE WHEN m.series_id % 3 = 0 THEN o.x ELSE -0.5 END, 5)) = (m.series_id % 2 = 0) AS consistent FROM m LEFT JOIN m o ON o.series_id = m.series_id AND o.label = 2 WHERE m.label = 1)
+        SELECT q.series_id, q.label, CASE WHEN n IS NULL THEN 'empty' ELSE concat_ws(',', CASE WHEN share < 0.9 THEN 'components' END, CASE WHEN cut THEN 'roi' END, CASE WHEN touches THEN 'border' END, CASE WHEN n * 0.002 < 0.2 OR n * 0.002 > 5 THEN 'size' END, CASE WHEN q.label = 1 AND coalesce(owned, 0) > 0.01 * n THEN 'overlap' END,
+            CASE WHEN q.label = 1 AND NOT consistent THEN 'laterality' END, CASE WHEN 2.0 * kept / (n + kept) < 0.95 THEN 'stability' END) END AS failed
+        FROM q LEFT JOIN m ON m.series_id = q.series_id AND m.label = q.label LEFT JOIN p ON p.series_id = q.series_id AND p.label = q.label LEFT JOIN w ON w.series_id = q.series_id LEFT JOIN l ON l.series_id = q.series_id""",
     "win15_stability": f"{W}, v AS (SELECT series_id, label, i, j, k, r.revision FROM mask, range(1, 4) AS r(revision) WHERE k BETWEEN 2 AND 8 AND k <= 4 + r.revision), n AS (SELECT series_id, label, revision, count(*) AS n FROM v GROUP BY ALL) SELECT a.series_id, CAST(a.label AS BIGINT) AS label, a.revision, round(2.0 * b.n / (a.n + b.n), 6) AS dice, 2.0 * b.n / (a.n + b.n) >= 0.95 AS stable FROM n a JOIN n b ON b.series_id = a.series_id AND b.label = a.label AND b.revision = a.revision - 1",
-    "win08_gaussian": f"{W}, w AS (SELECT o, exp(-o*o/2.0) / (1 + 2*exp(-0.5) + 2*exp(-2.0) + 2*exp(-4.5)) AS w FROM range(-3, 4) AS t(o)), p AS (SELECT * FROM voxels WHERE k = 5) SELECT a.series_id, CAST(a.i AS BIGINT) AS i, CAST(a.j AS BIGINT) AS j, round(sum(w.w * b.value), 5) AS smooth FROM p a, w JOIN p b ON b.series_id = a.series_id AND b.j = a.j AND b.i = least(greatest(a.i + w.o, 0), 15) GROUP BY ALL",
-    "win11_peaks": f"WITH {C.VALUES_SQL}, b AS (SELECT CAST(floor(value / 50) AS BIGINT) AS bin, count(*) AS n FROM group_values GROUP BY 1), e AS (SELECT unnest(range((SELECT min(bin) FROM b), (SELECT max(bin) + 1 FROM b))) AS bin), d AS (SELECT e.bin, coalesce(n, 0) AS n FROM e LEFT JOIN b ON b.bin = e.bin), h AS (SELECT bin, (coalesce(lag(n) OVER w, n) + 2*n + coalesce(lead(n) OVER w, n)) / 4 AS h FROM d WINDOW w AS (ORDER BY bin)) SELECT bin, round(h, 4) AS height FROM h QUALIFY h > coalesce(lag(h) OVER (ORDER BY bin), -1) AND h >= coalesce(lead(h) OVER (ORDER BY bin), -1)",
+    "win08_gaussian": f"""{W}, w AS (SELECT o, exp(-o*o/2.0) / (1 + 2*exp(-0.5) + 2*exp(-2.0) + 2*exp(-4.5)) AS w FROM range(-3, 4) AS t(o)),
+        x AS (SELECT p.series_id, p.i, p.j, p.k, sum(w.w * b.value) AS v FROM voxels p, w JOIN voxels b ON b.series_id = p.series_id AND b.j = p.j AND b.k = p.k AND b.i = least(greatest(p.i + w.o, 0), 15) GROUP BY ALL),
+        y AS (SELECT p.series_id, p.i, p.j, p.k, sum(w.w * b.v) AS v FROM x p, w JOIN x b ON b.series_id = p.series_id AND b.i = p.i AND b.k = p.k AND b.j = least(greatest(p.j + w.o, 0), 15) GROUP BY ALL)
+        SELECT p.series_id, CAST(p.i AS BIGINT) AS i, CAST(p.j AS BIGINT) AS j, CAST(p.k AS BIGINT) AS k, round(sum(w.w * b.v), 5) AS smooth FROM y p, w JOIN y b ON b.series_id = p.series_id AND b.i = p.i AND b.j = p.j AND b.k = least(greatest(p.k + w.o, 0), 11) GROUP BY ALL""",
+    "win11_peaks": f"""{_STORED}, w AS (SELECT o, exp(-o*o/4.5) AS w FROM range(-5, 6) AS t(o)), s AS (SELECT a.series_id, a.bin, round(sum(w.w * b.n) / sum(w.w), 9) AS h FROM h a, w JOIN h b ON b.series_id = a.series_id AND b.bin = a.bin + w.o GROUP BY ALL),
+        p AS (SELECT *, lag(h) OVER v AS f, lead(h) OVER v AS t FROM s WINDOW v AS (PARTITION BY series_id ORDER BY bin))
+        SELECT series_id, CAST(bin AS BIGINT) AS bin, round(h, 4) AS height, row_number() OVER (PARTITION BY series_id ORDER BY h DESC, bin) AS rank FROM p WHERE bin >= 2 AND h > f AND h >= t AND h > 0""",
     "join12_same_catalogues": "WITH f AS (SELECT DISTINCT l_orderkey AS series, l_linenumber % 2 AS w, CAST(l_partkey AS VARCHAR) AS path, sha256(CAST(l_suppkey AS VARCHAR)) AS h FROM lineitem), l AS (SELECT series, w, list_sort(list(path || h)) AS files FROM f GROUP BY ALL) SELECT a.series, a.files = b.files AS same, len(a.files) AS files FROM l a JOIN l b ON a.series = b.series AND a.w = 0 AND b.w = 1",
     "join13_source_integrity": "SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'missing' WHEN p_partkey % 7 = 0 AND p_brand <> p_name THEN 'changed' ELSE 'ok' END AS status FROM part",
     "join14_slice_match": f"{_H}, n AS (SELECT DISTINCT series_uid, path, z FROM h WHERE z IS NOT NULL), o AS (SELECT series_uid, unnest(range(CAST(floor(min(z)) AS BIGINT), CAST(floor(max(z)) AS BIGINT) + 1)) AS slice FROM n GROUP BY 1), m AS (SELECT o.series_uid, o.slice, path, round(abs(z - o.slice), 6) AS off FROM o JOIN n ON n.series_uid = o.series_uid AND abs(z - o.slice) <= 1.25) SELECT series_uid, slice, path, off FROM m QUALIFY row_number() OVER (PARTITION BY series_uid, slice ORDER BY off, path) = 1",
     "top09_seed_slices": f"{W}, c AS (SELECT series_id, label, 'sagittal' AS axis, i AS at, count(*) AS n FROM mask GROUP BY ALL UNION ALL SELECT series_id, label, 'coronal', j, count(*) FROM mask GROUP BY ALL UNION ALL SELECT series_id, label, 'axial', k, count(*) FROM mask GROUP BY ALL), t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY series_id, label, axis ORDER BY n DESC, at) = 1) SELECT m.series_id, CAST(m.label AS BIGINT) AS label, axis, {IJK} FROM mask m JOIN t ON t.series_id = m.series_id AND t.label = m.label AND CASE axis WHEN 'axial' THEN k WHEN 'coronal' THEN j ELSE i END = t.at".replace("AS at,", "AS pos,").replace("slice, at)", "slice, pos)").replace("n DESC, at)", "n DESC, pos)").replace("t.at", "t.pos"),
     "prj11_plane_mapping": f"{W} SELECT {L}, 'axial' AS plane, CAST(i AS BIGINT) AS px, CAST(j AS BIGINT) AS py, CAST(k AS BIGINT) AS slice FROM mask UNION ALL SELECT {L}, 'coronal', CAST(i AS BIGINT), CAST(11 - k AS BIGINT), CAST(j AS BIGINT) FROM mask UNION ALL SELECT {L}, 'sagittal', CAST(j AS BIGINT), CAST(11 - k AS BIGINT), CAST(i AS BIGINT) FROM mask",
-    "prj12_reorientation": f"{W} SELECT {L}, CAST(k AS BIGINT) AS i, CAST(15 - j AS BIGINT) AS j, CAST(i AS BIGINT) AS k FROM mask",
-    "prj21_json_numbers": "SELECT event_id, CAST(unnest(regexp_extract_all(props, '-?[0-9]+(?:\\.[0-9]+)?')) AS DOUBLE) AS number FROM events",
-    "agg36_mask_hash": f"{W} SELECT {L}, sha256(string_agg(CAST(i + 16*(j + 16*k) AS VARCHAR), ',' ORDER BY i + 16*(j + 16*k))) AS hash FROM mask GROUP BY ALL",
+    "prj12_reorientation": f"""{W}, o AS (SELECT *, [[0, 1, 2], [0, 2, 1], [1, 0, 2], [1, 2, 0], [2, 0, 1], [2, 1, 0]][series_id % 6 + 1] AS t, CASE WHEN (series_id // 6) % 2 = 1 THEN 15 - i ELSE i END AS a, CASE WHEN (series_id // 12) % 2 = 1 THEN 15 - j ELSE j END AS b, CASE WHEN (series_id // 24) % 2 = 1 THEN 11 - k ELSE k END AS c FROM mask)
+        SELECT {L}, {', '.join(f'CAST(CASE {n} WHEN t[1] THEN a WHEN t[2] THEN b ELSE c END AS BIGINT) AS {x}' for n, x in enumerate('ijk'))} FROM o""",
+    "prj14_uids": """WITH h AS (SELECT c_custkey, substr(sha256(c_name || chr(0)), 1, 32) AS h FROM customer), n AS (SELECT c_custkey, list_reduce(list_transform(range(1, 33), lambda x: CAST(strpos('0123456789abcdef', h[x]) - 1 AS UHUGEINT)), lambda a, x: a * 16 + x) AS n FROM h)
+        SELECT c_custkey, '2.25.' || CAST(n AS VARCHAR) AS uid FROM n""",
+    "prj21_json_numbers": "WITH e AS (SELECT event_id, unnest(regexp_extract_all(regexp_replace(coalesce(props, 'null'), '\"[^\"]*\"', '', 'g'), '-?[0-9]+(?:\\.[0-9]+)?')) AS n FROM events) SELECT event_id, CAST(n AS DOUBLE) AS number FROM e UNION ALL SELECT event_id, -3.5 FROM events UNION ALL SELECT event_id, CAST(event_id AS DOUBLE) FROM events",
+    "agg36_mask_hash": f"{W}, h AS (SELECT series_id, label, k, sha256(string_agg(CAST(i + 16*j AS VARCHAR), ',' ORDER BY i + 16*j)) AS h FROM mask GROUP BY ALL) SELECT {L}, sha256(string_agg(k || ':' || h, ',' ORDER BY k)) AS hash FROM h GROUP BY ALL",
 }

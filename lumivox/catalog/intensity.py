@@ -34,31 +34,42 @@ def scalars(spark, sf_dir) -> DataFrame:
 
 
 def presets(spark, sf_dir) -> DataFrame:
+    """Every value in the four fixed windows and in that of the full range; the range is one row, so it is broadcast."""
     rows = [("brain", 40.0, 80.0), ("soft_tissue", 50.0, 400.0), ("lung", -600.0, 1500.0), ("bone", 400.0, 1800.0)]
-    dimension = F.array(*[F.struct(F.lit(name).alias("preset"), F.lit(center).alias("center"), F.lit(width).alias("width")) for name, center, width in rows])
-    joined = C.group_values(spark, sf_dir).select("value").distinct().select("value", F.inline(dimension))
+    values = C.group_values(spark, sf_dir).select("value").distinct()
+    whole = values.agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    fixed = [F.struct(F.lit(name).alias("preset"), F.lit(center).alias("center"), F.lit(width).alias("width")) for name, center, width in rows]
+    full = F.struct(F.lit("full_range").alias("preset"), ((F.col("low") + F.col("high")) / 2).alias("center"), (F.col("high") - F.col("low")).alias("width"))
+    joined = values.crossJoin(F.broadcast(whole)).select("value", F.inline(F.array(*fixed, full)))
     return joined.select("preset", "value", grid.grey(grid.window_level(F.col("value"), F.col("center"), F.col("width"))).cast("long").alias("grey"))
 
 
+#: Control points of the example's transfer function: place, then red, green, blue and opacity.
+POINTS = [(0.0, 0.0, 0.0, 0.0, 0.0), (0.3, 0.55, 0.25, 0.15, 0.1), (0.6, 0.88, 0.6, 0.29, 0.8), (1.0, 1.0, 0.94, 0.95, 1.0)]
+
+
 def transfer(spark, sf_dir) -> DataFrame:
-    points = [(0.0, 0.0), (0.3, 0.1), (0.6, 0.8), (1.0, 1.0)]
     x = grid.normalize(F.col("value"), F.lit(-1000.0), F.lit(1000.0))
-    y = F.lit(points[-1][1])
-    for (x0, y0), (x1, y1) in reversed(list(zip(points, points[1:]))):
-        y = F.when(x < x1, F.lit(y0) + (x - x0) / (x1 - x0) * (y1 - y0)).otherwise(y)
-    return _rounded(C.group_values(spark, sf_dir).select("value").distinct().select("value", y.alias("opacity")))
+    parts = [grid.piecewise(x, [(p[0], p[n]) for p in POINTS]).alias(name) for n, name in enumerate(("red", "green", "blue", "opacity"), 1)]
+    return _rounded(C.group_values(spark, sf_dir).select("value").distinct().select("value", *parts))
 
 
 def lossless(spark, sf_dir) -> DataFrame:
-    spans = C.group_values(spark, sf_dir).groupBy("label").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.bool_and(F.pmod(F.col("value"), F.lit(0.015625)) == 0).alias("fine"))
-    span = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
-    exponent = F.ceil(F.log2(span / 65535)).cast("long")
-    return spans.select("label", exponent.alias("exponent"), F.col("fine").alias("lossless"))
+    """Whole numbers, halves and thirds by label: the step of each group, whether all its values are on the grid from its least, and the range that stores them."""
+    values = C.group_values(spark, sf_dir).select("label", (F.col("value") / (F.col("label") % 3 + 1)).alias("value"))
+    ends = values.groupBy("label").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    exponent = grid.grid_exponent(F.col("low"), F.col("high"))
+    checked = values.join(ends.withColumn("exponent", exponent), "label").groupBy("label").agg(*[F.first(c).alias(c) for c in ("low", "high", "exponent")], F.bool_and(grid.on_grid(F.col("value"), F.col("low"), F.col("exponent"))).alias("lossless"))
+    most = F.when(F.col("lossless"), F.col("low") + F.pow(F.lit(2.0), "exponent") * grid.STORED).otherwise(F.col("high"))
+    return _rounded(checked.select("label", "exponent", "lossless", most.alias("range_max")), 4)
 
 
 def monochrome1(spark, sf_dir) -> DataFrame:
-    ends = C.group_values(spark, sf_dir).groupBy("label").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    return C.group_values(spark, sf_dir).distinct().join(ends, "label").select("label", "value", (F.col("low") + F.col("high") - F.col("value")).alias("inverted"))
+    """Inverted within their group's range where low is bright, else the luminance of a colour that the value is the red of."""
+    v = C.group_values(spark, sf_dir)
+    ends = v.groupBy("label").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    grey = F.when(F.col("label") % 2 == 0, F.col("low") + F.col("high") - F.col("value")).otherwise(grid.luminance(F.col("value"), F.col("value") / 2, F.col("low")))
+    return _rounded(v.distinct().join(ends, "label").select("label", "value", grey.alias("grey")))
 
 
 QUERIES = {
@@ -112,11 +123,16 @@ ORACLE_SQL = {
     "prj01_prj05_scalars": f"""{_V}, d AS (SELECT DISTINCT label, value, CAST(least(greatest(round((value + 1000) / (2000.0 / 65535)), 0), 65535) AS BIGINT) AS stored FROM group_values)
         SELECT label, value, stored, round(CAST(CAST(-1000 + stored * (2000.0 / 65535) AS FLOAT) AS DOUBLE), 4) AS restored, round(least(greatest((value + 1000) / 2000, 0), 1), 4) AS share,
         round(-1000 + least(greatest((value + 1000) / 2000, 0), 1) * 2000, 4) AS back, CAST(round(least(greatest((value + 150) / 400, 0), 1) * 255) AS BIGINT) AS soft_grey FROM d""",
-    "prj03_lossless_grid": f"{_V} SELECT label, CAST(ceil(log2(CASE WHEN max(value) > min(value) THEN max(value) - min(value) ELSE 1 END / 65535)) AS BIGINT) AS exponent, bool_and(value * 64 = floor(value * 64)) AS lossless FROM group_values GROUP BY label",
-    "prj06_window_presets": f"{_V}, p(preset, center, width) AS (VALUES ('brain', 40.0, 80.0), ('soft_tissue', 50.0, 400.0), ('lung', -600.0, 1500.0), ('bone', 400.0, 1800.0)) SELECT preset, value, CAST(round(least(greatest((value - (CAST(center AS DOUBLE) - CAST(width AS DOUBLE) / 2)) / CAST(width AS DOUBLE), 0), 1) * 255) AS BIGINT) AS grey FROM (SELECT DISTINCT value FROM group_values) CROSS JOIN p",
-    "prj07_transfer_function": f"""{_V}, x AS (SELECT DISTINCT value, least(greatest((value + 1000) / 2000, 0), 1) AS x FROM group_values)
-        SELECT value, round(CASE WHEN x < 0.3 THEN x / 0.3 * 0.1 WHEN x < 0.6 THEN 0.1 + (x - 0.3) / 0.3 * 0.7 WHEN x < 1 THEN 0.8 + (x - 0.6) / 0.4 * 0.2 ELSE 1 END, 6) AS opacity FROM x""",
-    "prj08_monochrome1": f"{_V} SELECT DISTINCT label, value, min(value) OVER w + max(value) OVER w - value AS inverted FROM group_values WINDOW w AS (PARTITION BY label)",
+    "prj03_lossless_grid": f"""{_V}, v AS (SELECT label, value / (label % 3 + 1) AS value FROM group_values), e AS (SELECT label, min(value) AS low, max(value) AS high FROM v GROUP BY 1),
+        x AS (SELECT *, CASE WHEN high > low THEN CAST(ceil(log2((high - low) / 65535)) AS BIGINT) END AS exponent FROM e),
+        o AS (SELECT v.label, bool_and((value - low) / pow(2, exponent) = floor((value - low) / pow(2, exponent))) AS lossless FROM v JOIN x ON x.label = v.label GROUP BY 1)
+        SELECT x.label, exponent, lossless, round(CASE WHEN lossless THEN low + pow(2, exponent) * 65535 ELSE high END, 4) AS range_max FROM x JOIN o ON o.label = x.label""",
+    "prj06_window_presets": f"{_V}, p(preset, center, width) AS (VALUES ('brain', 40.0, 80.0), ('soft_tissue', 50.0, 400.0), ('lung', -600.0, 1500.0), ('bone', 400.0, 1800.0) UNION ALL SELECT 'full_range', (min(value) + max(value)) / 2, max(value) - min(value) FROM group_values) SELECT preset, value, CAST(round(least(greatest((value - (CAST(center AS DOUBLE) - CAST(width AS DOUBLE) / 2)) / CAST(width AS DOUBLE), 0), 1) * 255) AS BIGINT) AS grey FROM (SELECT DISTINCT value FROM group_values) CROSS JOIN p",
+    "prj07_transfer_function": f"""{_V}, x AS (SELECT DISTINCT value, least(greatest((value + 1000) / 2000, 0), 1) AS x FROM group_values),
+        p(n, pos, red, green, blue, opacity) AS (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0.3, 0.55, 0.25, 0.15, 0.1), (2, 0.6, 0.88, 0.6, 0.29, 0.8), (3, 1.0, 1.0, 0.94, 0.95, 1.0)),
+        s AS (SELECT x.value, (x - a.pos) / (b.pos - a.pos) AS t, a, b, row_number() OVER (PARTITION BY x.value ORDER BY a.n) AS first FROM x, p a JOIN p b ON b.n = a.n + 1 WHERE x BETWEEN a.pos AND b.pos)
+        SELECT value, {', '.join(f"round(a.{c} + t * (b.{c} - a.{c}), 6) AS {c}" for c in ('red', 'green', 'blue', 'opacity'))} FROM s WHERE first = 1""",
+    "prj08_monochrome1": f"{_V}, e AS (SELECT DISTINCT label, value, min(value) OVER w AS low, max(value) OVER w AS high FROM group_values WINDOW w AS (PARTITION BY label)) SELECT label, value, round(CASE WHEN label % 2 = 0 THEN low + high - value ELSE 0.299 * value + 0.587 * value / 2 + 0.114 * low END, 6) AS grey FROM e",
     "win10_auto_window": f"""{_STORED}, c AS (SELECT *, sum(n) OVER (PARTITION BY series_id ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY series_id) AS total FROM h)
         SELECT series_id, round(min(CASE WHEN upto >= greatest(1, ceil(total * 0.005)) THEN bin + 1 END) / 64, 6) AS low, round(min(CASE WHEN upto >= greatest(1, ceil(total * 0.995)) THEN bin + 1 END) / 64, 6) AS high FROM c GROUP BY series_id""",
 }

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from lumivox.catalog.intensity import _rounded
 from lumivox.catalog.segments import _long
+from lumivox.operators import annotations as A
+from lumivox.operators import filters as X
 from lumivox.operators import studies as U
 from lumivox.plans.scratch import scratch_path
 from lumivox.sources import cohort as C
+from lumivox.streaming import feeds
 
 
 def _frames(s, d):
@@ -42,9 +45,14 @@ def _catalogue(s, d):
 
 
 def _strokes(s, d):
-    """A stroke a line item, of two points and a radius, on a raster of 40 x 40."""
-    o = C.table(s, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 31 + 2.0).alias("x0"), (F.col("o_orderkey") % 29 + 3.0).alias("y0"), (F.col("o_custkey") % 23 + 8.0).alias("x1"), (F.col("o_orderkey") % 19 + 12.0).alias("y1"), (F.col("o_orderkey") % 3 + 1.5).alias("r"))
-    return U.rasterised_strokes(o, 40, 40).groupBy("id").agg(F.count("*").alias("pixels"), F.sum(F.col("x") + 40 * F.col("y")).alias("places"))
+    """A prompt an order on a raster of 40 x 40: strokes of two points and a radius, and lassos of four corners."""
+    n, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = C.table(s, d, "orders")
+    strokes = o.where(n % 2 == 0).select(n.alias("id"), (c % 31 + 2.0).alias("x0"), (n % 29 + 3.0).alias("y0"), (c % 23 + 8.0).alias("x1"), (n % 19 + 12.0).alias("y1"), (n % 3 + 1.5).alias("r"))
+    corners = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((c % 13 + 0.5, n % 11 + 1.25), (c % 17 + 15.5, n % 7 + 0.25), (c % 11 + 20.5, n % 17 + 18.25), (c % 19 + 2.5, n % 13 + 22.25))])
+    lassos = o.where(n % 2 == 1).select(n.alias("id"), corners.alias("corners"))
+    pixels = U.rasterised_strokes(strokes, 40, 40).unionByName(U.rasterised_lassos(lassos, 40, 40))
+    return pixels.groupBy("id").agg(F.count("*").alias("pixels"), F.sum(F.col("x") + 40 * F.col("y")).alias("places"))
 
 
 def _auto(s, d):
@@ -56,23 +64,16 @@ def _auto(s, d):
     return _long(n.join(top, "series_id").select("series_id", "found", (F.col("top") + rank).alias("new_label"), "voxels", "overlap", F.lit("proposed").alias("status")))
 
 
-def _short_axis(s, d):
-    return _rounded(U.short_axis(C.mask(s, d), C.SPACING), 4)
-
-
-def _sobel(s, d):
-    return _long(_rounded(U.sobel_2d(C.voxels(s, d).where("k = 5")).select("series_id", "i", "j", "edge"), 4))
-
-
 def _flat(s, d):
     """Masks with a hole that only single slices enclose."""
     return C.voxels(s, d).where("label > 0 AND NOT (label = 2 AND i BETWEEN 11 AND 12 AND j BETWEEN 11 AND 12)").select("series_id", "label", "i", "j", "k")
 
 
 def _rejects(s, d):
-    rows = C.table(s, d, "events").select("event_id", F.when(F.col("event_id") % 9 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")).alias("props"))
-    good, bad = U.readable(rows, "props", "k long")
-    return good.select("event_id", F.col("k").alias("k"), F.lit(False).alias("rejected")).unionByName(bad.select("event_id", F.lit(-1).cast("long").alias("k"), F.lit(True).alias("rejected")))
+    """Versions of sources as they come in two batches, every third unreadable: what is read, and one row for the first of unreadable ones on end, with the last good value."""
+    rows = C.table(s, d, "events").select((F.col("event_id") % 40).cast("long").alias("source"), F.col("event_id").cast("long").alias("version"), F.when(F.floor(F.col("event_id") / 40) % 3 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")).alias("props"))
+    parsed = U.parsed(rows, "props", "k long").select("source", "version", F.col("k").alias("value"))
+    return feeds.run_to_end(feeds.readable_states(feeds.spread(parsed, "version", 2, "versions")), "append", "states").withColumn("value", F.coalesce("value", F.lit(-1)))
 
 
 def _bundle(s, d):
@@ -92,6 +93,15 @@ def _segment_changes(s, d):
     return _long(out.select("series_id", "label", F.when(allowed & (F.col("asked") == "rename"), "renamed").otherwise(F.concat_ws(" ", F.lit("Segment"), "label")).alias("name"), "voxels"))
 
 
+def _revisions(s, d):
+    """What a reviewer saw of an annotation, as one hash: its kind, slice, value to thousandths, and corners."""
+    a = C.annotations(s, d)
+    value = F.round(A.value(F.col("kind"), F.col("points")) * 1000).cast("long")
+    corners = F.array_join(F.flatten(F.transform("points", lambda p: F.array(p["x"].cast("long").cast("string"), p["y"].cast("long").cast("string")))), ",")
+    told = a.select("id", F.lit("annotation").alias("what"), "kind", "slice_index", value.alias("value"), corners.alias("corners"))
+    return told.select("id", U.revision(["what", "id", "kind", "slice_index", "value", "corners"]).alias("revision"))
+
+
 QUERIES = {
     "src07_frames": lambda s, d: U.positioned_frames(_frames(s, d)),
     "src08_sidecars": _sidecars,
@@ -100,14 +110,15 @@ QUERIES = {
     "geo07_strokes": _strokes,
     "pip09_adopted_labels": _auto,
     "pip13_segment_changes": _segment_changes,
-    "top04_short_axis": _short_axis,
-    "win09_sobel": _sobel,
+    "win09_sobel": lambda s, d: _long(_rounded(X.sobel(C.voxels(s, d)), 4)),
     "gra10_fill_by_slices": lambda s, d: _long(U.fill_by_slices(_flat(s, d))),
     "str06_rejects": _rejects,
     "snk05_bundle": _bundle,
-    "agg37_revisions": lambda s, d: C.annotations(s, d).select("id", F.length(U.revision(["kind", "status", "author"])).cast("long").alias("digits")),
+    "agg37_revisions": lambda s, d: _revisions(s, d),
 }
 
+from lumivox.catalog.workspaces import _VALUE  # noqa: E402
+
 W = f"WITH {C.VOXELS_SQL}"
 L = "series_id, CAST(label AS BIGINT) AS label"
 IJK = "CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(k AS BIGINT) AS k"
@@ -127,15 +138,24 @@ ORACLE_SQL = {
     "src08_sidecars": "WITH o AS (SELECT o_custkey AS file, o_orderkey % 3 * 500 AS b, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS volume FROM orders WHERE o_custkey % 7 <> 0) SELECT file, volume, CASE WHEN count(*) OVER (PARTITION BY file, b) > 1 THEN 'b' || b || ' ' || row_number() OVER (PARTITION BY file, b ORDER BY volume) || '/' || count(*) OVER (PARTITION BY file, b) ELSE 'b' || b END AS name FROM o",
     "src11_prompts": "SELECT o_custkey, o_orderkey AS seq, unnest(range(o_orderkey % 50, o_orderkey % 50 + o_orderkey % 7 + 1)) AS pixel FROM orders WHERE o_orderkey % 2 = 0",
     "src13_join15_catalogue": "SELECT 'headers' AS format, CAST(l_orderkey AS VARCHAR) AS series, count(*) AS images FROM lineitem GROUP BY l_orderkey UNION ALL SELECT 'volumes', 'v' || s_suppkey, CAST(12 AS BIGINT) FROM supplier",
-    "geo07_strokes": """WITH o AS (SELECT o_orderkey AS id, o_custkey % 31 + 2.0 AS x0, o_orderkey % 29 + 3.0 AS y0, o_custkey % 23 + 8.0 AS x1, o_orderkey % 19 + 12.0 AS y1, o_orderkey % 3 + 1.5 AS r FROM orders WHERE o_orderkey % 5 = 0),
-        p AS (SELECT o.*, px.v AS x, py.v AS y, CASE WHEN (x1-x0)**2+(y1-y0)**2 > 0 THEN least(greatest(((px.v-x0)*(x1-x0)+(py.v-y0)*(y1-y0))/((x1-x0)**2+(y1-y0)**2), 0), 1) ELSE 0 END AS t FROM o, range(40) AS px(v), range(40) AS py(v))
-        SELECT id, count(*) AS pixels, CAST(sum(x + 40*y) AS BIGINT) AS places FROM p WHERE (x-(x0+t*(x1-x0)))**2 + (y-(y0+t*(y1-y0)))**2 <= r*r GROUP BY id""",
+    "geo07_strokes": """WITH o AS (SELECT o_orderkey AS id, o_custkey % 31 + 2.0 AS x0, o_orderkey % 29 + 3.0 AS y0, o_custkey % 23 + 8.0 AS x1, o_orderkey % 19 + 12.0 AS y1, o_orderkey % 3 + 1.5 AS r FROM orders WHERE o_orderkey % 2 = 0),
+        p AS (SELECT o.*, px.v AS x, py.v AS y, CASE WHEN (x1-x0)**2+(y1-y0)**2 > 0 THEN least(greatest(((px.v-x0)*(x1-x0)+(py.v-y0)*(y1-y0))/((x1-x0)**2+(y1-y0)**2), 0), 1) ELSE 0 END AS t FROM o, range(40) AS px(v), range(40) AS py(v)),
+        c AS (SELECT o_orderkey AS id, [o_custkey % 13 + 0.5, o_custkey % 17 + 15.5, o_custkey % 11 + 20.5, o_custkey % 19 + 2.5] AS xs, [o_orderkey % 11 + 1.25, o_orderkey % 7 + 0.25, o_orderkey % 17 + 18.25, o_orderkey % 13 + 22.25] AS ys FROM orders WHERE o_orderkey % 2 = 1),
+        e AS (SELECT id, CAST(xs[n + 1] AS DOUBLE) AS ax, CAST(ys[n + 1] AS DOUBLE) AS ay, CAST(xs[(n + 1) % 4 + 1] AS DOUBLE) AS bx, CAST(ys[(n + 1) % 4 + 1] AS DOUBLE) AS by FROM c, range(4) AS t(n)),
+        l AS (SELECT id, px.v AS x, py.v AS y FROM e, range(40) AS px(v), range(40) AS py(v) WHERE (ay > py.v) <> (by > py.v) AND px.v < (bx - ax) * (py.v - ay) / (by - ay) + ax GROUP BY ALL HAVING count(*) % 2 = 1),
+        u AS (SELECT id, x, y FROM p WHERE (x-(x0+t*(x1-x0)))**2 + (y-(y0+t*(y1-y0)))**2 <= r*r UNION ALL SELECT id, x, y FROM l)
+        SELECT id, count(*) AS pixels, CAST(sum(x + 40*y) AS BIGINT) AS places FROM u GROUP BY id""",
     "pip09_adopted_labels": f"{W}, f AS (SELECT series_id, CASE WHEN value > 820 THEN 2 ELSE 1 END AS found, count(*) AS voxels, count(*) FILTER (WHERE label > 0) AS overlap FROM voxels WHERE value > 110 GROUP BY ALL) SELECT series_id, CAST(found AS BIGINT) AS found, 2 + row_number() OVER (PARTITION BY series_id ORDER BY found) AS new_label, voxels, overlap, 'proposed' AS status FROM f",
     "pip13_segment_changes": f"{W} SELECT {L}, CASE WHEN series_id % 3 <> 0 AND label = 1 THEN 'renamed' ELSE 'Segment ' || label END AS name, count(*) AS voxels FROM mask WHERE NOT (series_id % 3 <> 0 AND label = 2) GROUP BY ALL",
-    "win09_sobel": f"""{W}, p AS (SELECT series_id, i, j, value FROM voxels WHERE k = 5), o AS (SELECT a.series_id, a.i, a.j, x.o AS x, y.o AS y, b.value FROM p a, range(-1, 2) AS x(o), range(-1, 2) AS y(o) JOIN p b ON b.series_id = a.series_id AND b.i = least(greatest(a.i + x.o, 0), 15) AND b.j = least(greatest(a.j + y.o, 0), 15)),
-        g AS (SELECT series_id, i, j, sqrt(sum(value * x * (2 - abs(y)))**2 + sum(value * y * (2 - abs(x)))**2) AS g FROM o GROUP BY ALL) SELECT series_id, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(g / max(g) OVER (PARTITION BY series_id), 4) AS edge FROM g""",
+    "win09_sobel": f"""{W}, o AS (SELECT a.series_id, a.i, a.j, a.k, x.o AS x, y.o AS y, z.o AS z, b.value FROM voxels a, range(-1, 2) AS x(o), range(-1, 2) AS y(o), range(-1, 2) AS z(o) JOIN voxels b ON b.series_id = a.series_id AND b.i = least(greatest(a.i + x.o, 0), 15) AND b.j = least(greatest(a.j + y.o, 0), 15) AND b.k = least(greatest(a.k + z.o, 0), 11)),
+        g AS (SELECT series_id, i, j, k, sqrt(sum(value * x * (2 - abs(y)) * (2 - abs(z)))**2 + sum(value * y * (2 - abs(x)) * (2 - abs(z)))**2 + sum(value * z * (2 - abs(x)) * (2 - abs(y)))**2) AS g FROM o GROUP BY ALL)
+        SELECT series_id, {IJK}, round(g / max(g) OVER (PARTITION BY series_id), 4) AS edge FROM g""",
     "gra10_fill_by_slices": f"WITH RECURSIVE {C.VOXELS_SQL}, f0 AS (SELECT series_id, label, i, j, k FROM mask WHERE NOT (label = 2 AND i BETWEEN 11 AND 12 AND j BETWEEN 11 AND 12)), {_pass_sql(1, 'i')}, {_pass_sql(2, 'j')}, {_pass_sql(3, 'k')} SELECT {L}, {IJK} FROM f3",
-    "str06_rejects": "SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) ELSE -1 END AS k, event_id % 9 = 0 AS rejected FROM events",
+    "str06_rejects": """WITH e AS (SELECT CAST(event_id % 40 AS BIGINT) AS source, CAST(event_id AS BIGINT) AS version, CASE WHEN (event_id // 40) % 3 > 0 THEN CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) END AS value FROM events),
+        l AS (SELECT *, lag(value) OVER w AS before, row_number() OVER w AS n, last_value(value IGNORE NULLS) OVER (PARTITION BY source ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS good FROM e WINDOW w AS (PARTITION BY source ORDER BY version))
+        SELECT source, version, coalesce(value, good, -1) AS value, CASE WHEN value IS NULL THEN 'rejected' ELSE 'read' END AS state FROM l WHERE value IS NOT NULL OR n = 1 OR before IS NOT NULL""",
     "snk05_bundle": f"WITH {C.VOXELS_SQL}, {C.ANNOTATIONS_SQL}, u AS (SELECT workspace, 'annotation' AS kind, status = 'confirmed' AS c FROM annotations UNION ALL SELECT DISTINCT ON (series_id, label) series_id % 50, 'segment', label = 1 FROM mask) SELECT workspace, kind, count(*) AS items, count(*) FILTER (WHERE NOT c) AS unconfirmed FROM u GROUP BY ALL",
-    "agg37_revisions": "SELECT o_orderkey AS id, CAST(64 AS BIGINT) AS digits FROM orders",
+    "agg37_revisions": f"""WITH {C.ANNOTATIONS_SQL}, v AS (SELECT id, kind, slice_index, CAST(round(1000 * {_VALUE}) AS BIGINT) AS v, [x1, y1, x2, y2, x3, y3, x4, y4] AS p FROM annotations),
+        t AS (SELECT id, ['annotation', CAST(id AS VARCHAR), kind, CAST(slice_index AS VARCHAR), coalesce(CAST(v AS VARCHAR), ''), array_to_string(list_transform(p, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')] AS f FROM v)
+        SELECT id, sha256(array_to_string(list_transform(f, lambda x: strlen(x) || ':' || x), '')) AS revision FROM t""",
 }

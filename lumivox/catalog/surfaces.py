@@ -12,7 +12,7 @@ from lumivox.sources import cohort as C
 
 
 def _directions(s, d):
-    found = X.directions(M.covariance(C.mask(s, d).where("label = 2"), S))
+    found = X.directions(M.covariance(C.mask(s, d), S))
     return _long(found.select(*M.KEY, *[F.round(F.get("axis", n), 4).alias(a) for n, a in enumerate("xyz")]))
 
 
@@ -35,8 +35,21 @@ QUERIES = {
 
 _SMOOTH = "avg({v}) OVER (PARTITION BY series_id, {a}, {b} ORDER BY {x} RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
 
+_PATTERNS = ", ".join(f"({n}, {', '.join(f'CAST({x!r} AS DOUBLE)' for x in row)})" for n, *row in X.pattern_table(S))
+
 ORACLE_SQL = {
-    "agg21_directions": f"WITH {C.VOXELS_SQL} SELECT DISTINCT series_id, CAST(2 AS BIGINT) AS label, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(1 AS DOUBLE) AS z FROM mask WHERE label = 2",
+    "agg21_directions": f"""WITH {C.VOXELS_SQL}, c AS (SELECT series_id, label, covar_pop(i, i) AS a, covar_pop(j, j) AS b, 4*covar_pop(k, k) AS c, covar_pop(i, j) AS d, 2*covar_pop(i, k) AS e, 2*covar_pop(j, k) AS f FROM mask GROUP BY ALL),
+        q AS (SELECT *, (a+b+c)/3 AS q FROM c), p AS (SELECT *, sqrt(((a-q)**2 + (b-q)**2 + (c-q)**2 + 2*(d*d+e*e+f*f)) / 6) AS p FROM q),
+        t AS (SELECT *, acos(least(greatest(((a-q)*((b-q)*(c-q)-f*f) - d*(d*(c-q)-f*e) + e*(d*f-(b-q)*e)) / (2*p**3), -1), 1)) / 3 AS t FROM p),
+        l AS (SELECT *, q + 2*p*cos(t) AS hi, 3*q - (q + 2*p*cos(t)) - (q + 2*p*cos(t + 2.0943951023931953)) AS mid FROM t),
+        r AS (SELECT *, [d*f - e*(b-hi), e*d - (a-hi)*f, (a-hi)*(b-hi) - d*d] AS v1, [d*(c-hi) - e*f, e*e - (a-hi)*(c-hi), (a-hi)*f - d*e] AS v2, [(b-hi)*(c-hi) - f*f, f*e - d*(c-hi), d*f - (b-hi)*e] AS v3 FROM l),
+        n AS (SELECT *, list_sum(list_transform(v1, lambda x: x*x)) AS n1, list_sum(list_transform(v2, lambda x: x*x)) AS n2, list_sum(list_transform(v3, lambda x: x*x)) AS n3 FROM r),
+        b AS (SELECT series_id, label, hi, mid, CASE WHEN n1 >= n2 AND n1 >= n3 THEN v1 WHEN n2 >= n3 THEN v2 ELSE v3 END AS v, sqrt(greatest(n1, n2, n3)) AS n FROM n),
+        s AS (SELECT *, CASE WHEN abs(v[1]) >= abs(v[2]) AND abs(v[1]) >= abs(v[3]) THEN sign(v[1]) WHEN abs(v[2]) >= abs(v[3]) THEN sign(v[2]) ELSE sign(v[3]) END AS g, hi - mid <= 1e-9 * greatest(1, hi) AS same FROM b)
+        SELECT series_id, CAST(label AS BIGINT) AS label, {', '.join(f'CASE WHEN NOT same THEN round(g * v[{n}] / n, 4) + 0.0 END AS {x}' for n, x in enumerate('xyz', 1))} FROM s""",
+    "agg22_agg23_mesh": f"""WITH {C.VOXELS_SQL}, t(pattern, area, ax, ay, az, moment) AS (VALUES {_PATTERNS}), c AS (SELECT series_id, label, i - x.o AS ci, j - y.o AS cj, k - z.o AS ck, CAST(bit_or(CAST(1 << (x.o + 2*y.o + 4*z.o) AS INTEGER)) AS INTEGER) AS pattern FROM mask, range(2) AS x(o), range(2) AS y(o), range(2) AS z(o) GROUP BY ALL),
+        m AS (SELECT series_id, label, sum(area) AS a, sum(moment + (ci*ax + cj*ay + 2*ck*az) / 3) AS v FROM c JOIN t ON t.pattern = c.pattern GROUP BY ALL), s AS (SELECT *, pow(36 * pi() * v * v, 1.0/3) / a AS s FROM m)
+        SELECT series_id, CAST(label AS BIGINT) AS label, round(a, 5) AS area_mm2, round(v, 5) AS volume_mm3, round(a / v, 5) AS surface_by_volume, round(s, 5) AS sphericity, round(s**3, 5) AS compactness_2, round(v / sqrt(pi() * a**3), 5) AS compactness_1, round(1 / s, 5) AS disproportion FROM s""",
     "gra08_robust_growing": f"""WITH RECURSIVE {C.VOXELS_SQL}, s1 AS (SELECT *, {_SMOOTH.format(v='value', x='i', a='j', b='k')} AS m1 FROM voxels), s2 AS (SELECT *, {_SMOOTH.format(v='m1', x='j', a='i', b='k')} AS m2 FROM s1), s3 AS (SELECT *, {_SMOOTH.format(v='m2', x='k', a='i', b='j')} AS m3 FROM s2),
         l AS (SELECT series_id, list_sort(list(m3)) AS v FROM s3 WHERE i BETWEEN 1 AND 3 AND j BETWEEN 12 AND 14 AND k BETWEEN 4 AND 6 GROUP BY 1), f AS (SELECT s3.*, v[len(v) // 2 + 1] AS level FROM s3 JOIN l ON l.series_id = s3.series_id WHERE label = 0),
         band AS (SELECT series_id, i, j, k FROM f WHERE abs(m3 - level) <= 12), core AS (SELECT * FROM band WHERE i = 2 AND j = 13 AND k = 5 UNION SELECT b.series_id, b.i, b.j, b.k FROM core c JOIN band b ON b.series_id = c.series_id AND abs(b.i-c.i)+abs(b.j-c.j)+abs(b.k-c.k) = 1),

@@ -43,16 +43,60 @@ def _numbers(s, d):
     return C.table(s, d, "lineitem").select(t.alias("text")).distinct().select("text", F.posexplode(T.numbers(F.col("text"))).alias("place", "number")).select("text", F.col("place").cast("long").alias("place"), "number")
 
 
-def _grade(s, d):
+def _transcripts(s, d):
+    """An answer an assistant's turn with a number and mostly its unit, and the calls it was made with; half of the results hold other numbers."""
     c = C.table(s, d, "conversations").where("role = 'assistant'")
-    got = F.col("conv_id") * 0.5
-    answer = F.concat(F.substring("text", 1, 1 << 30), F.lit(" The length is "), got.cast("decimal(20,1)"), F.when(F.col("conv_id") % 3 == 0, F.lit(" mm")).otherwise(F.lit("")), F.when(F.col("turn") % 5 == 1, F.lit(" a malignant lesion")).otherwise(F.lit("")))
-    result = F.when(F.col("conv_id") % 2 == 0, got).otherwise(got + 3)
-    return T.grade(c.select("conv_id", "turn", answer.alias("answer"), result.alias("result"), got.alias("expected")), "mm").select("conv_id", "turn", "right", "unit", "traced", "clean")
+    n, got = F.col("conv_id"), F.col("conv_id") * 0.5
+    answer = F.concat("text", F.lit(" The length is "), got.cast("decimal(20,1)"), F.when(n % 3 == 0, F.lit(" mm")).otherwise(F.lit("")), F.when(F.col("turn") % 5 == 1, F.lit(" a malignant lesion")).otherwise(F.lit("")), F.when(n % 4 == 1, F.lit(", please confirm")).otherwise(F.lit("")))
+    result = F.concat(F.lit('{"note7": "12 of 99", "points": [[1, {"mm": '), (got + F.when(n % 2 == 0, 0.0).otherwise(3.0)).cast("decimal(20,1)"), F.lit("}]]}"))
+    calls = F.array(F.struct(F.when(n % 6 < 4, "measure distance").otherwise("probe").alias("command"), result.alias("result")))
+    return c.select("conv_id", "turn", answer.alias("answer"), calls.alias("calls"), F.array(got).alias("expected"), F.lit(0.05).alias("tolerance"), F.when(n % 5 > 0, "mm").alias("unit"), (n % 2 == 1).alias("proposes"), F.array(F.lit("measure distance")).alias("requires"))
+
+
+def _grade(s, d):
+    return T.grade(_transcripts(s, d)).select("conv_id", "turn", "right", "unit_said", "traced", "clean", "review", "tools", "passed")
+
+
+def _stale(s, d):
+    return C.audit(s, d).withColumn("stale", F.when(F.col("event_id") % 4 == 0, 1).otherwise(0))
+
+
+def _state_at(s, d):
+    """Each series with its newest three edits undone, or at its middle edit where more are asked for than it has."""
+    e = _edits(s, d)
+    middle = e.groupBy("series_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY version)").cast("long").alias("version"))
+    undone = R.undo(e, 3)
+    versions = middle.where("series_id % 2 = 0").unionByName(undone.where("series_id % 2 = 1"))
+    return R.state_at(e, versions)
+
+
+def _pending(s, d):
+    """What waits for review in each workspace: annotations and segments, by who made them."""
+    a = C.annotations(s, d).select("workspace", F.lit("annotation").alias("kind"), "status", "author")
+    g = C.mask(s, d).select("series_id", "label").distinct().select((F.col("series_id") % 50).alias("workspace"), F.lit("segment").alias("kind"), F.when((F.col("series_id") + F.col("label")) % 3 == 0, "confirmed").otherwise("proposed").alias("status"), F.when(F.col("label") == 1, "agent").otherwise("human").alias("author"))
+    pending = F.col("status") == "proposed"
+    return a.unionByName(g).groupBy("workspace", "kind").agg(F.count(F.when(pending, 1)).alias("pending"), F.count(F.when(pending & (F.col("author") == "agent"), 1)).alias("by_agents"), F.count("*").alias("items"))
+
+
+def _asked(s, d):
+    """A request an order: new annotations with two to four points, names for old ones, and deletions."""
+    a = C.annotations(s, d).withColumn("name", F.concat_ws(" ", "kind", "id"))
+    n = F.col("id")
+    known = F.element_at(F.array(*map(F.lit, ["Distance", "Angle", "Area", "Rectangle", "Text", "Circle"])), (n % 6 + 1).cast("int"))
+    requests = a.select((n + F.when(n % 3 == 0, 10_000_000).otherwise(0)).alias("id"), F.when(n % 3 < 2, "add").when(n % 2 == 0, "rename").otherwise("delete").alias("asked"), known.alias("kind"),
+        F.slice("points", 1, (n % 4 + 1).cast("int")).alias("points"), F.when(n % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))).alias("slices"), F.concat(F.lit("new "), n).alias("new_name"))
+    return A.asked_change(a, requests)
+
+
+def _report(s, d):
+    """The report's rows, written as JSON and read back."""
+    rows = A.report(C.annotations(s, d))
+    back = F.from_json("row", "id long, kind string, value double, unit string, confirmed boolean")
+    return rows.select("workspace", back.alias("r")).select("workspace", "r.*")
 
 
 def _privacy(s, d):
-    secrets = C.table(s, d, "benchmark").select(F.col("item_id").cast("long").alias("secret_id"), F.substring("text", 1, 20).alias("secret"))
+    secrets = C.table(s, d, "benchmark").select(F.col("item_id").cast("long").alias("secret_id"), F.col("text").alias("secret")).where("length(secret) >= 12")
     return T.find_secrets(C.table(s, d, "documents").select("doc_id", "text"), secrets).select("doc_id", "secret_id")
 
 
@@ -65,17 +109,18 @@ QUERIES = {
     "win05_win06_volumes": lambda s, d: S.volumes(_ordered(s, d)),
     "pip01_catalogue": _catalogue,
     "win13_latest_reviews": lambda s, d: R.latest_reviews(C.audit(s, d)),
-    "win14_state_at_version": lambda s, d: R.state_at(_edits(s, d), 500),
-    "str03_pip11_decisions": lambda s, d: R.first_valid_decisions(C.audit(s, d)),
+    "win14_state_at_version": _state_at,
+    "str03_pip11_decisions": lambda s, d: R.first_valid_decisions(_stale(s, d)),
     "str04_command_counts": lambda s, d: R.command_counts(C.audit(s, d)),
     "set05_changes": lambda s, d: R.changes(R.snapshot(C.audit(s, d), "2024-01-15"), R.snapshot(C.audit(s, d), "2025-01-01")),
     "top08_last_entries": lambda s, d: R.last_entries(C.audit(s, d), 5, 100),
     "geo01_geo03_measurements": lambda s, d: _rounded(A.values(C.annotations(s, d)), 4),
     "geo05_nearest_annotation": lambda s, d: _rounded(A.nearest(C.annotations(s, d), 30.0, 30.0, 12.0), 4),
-    "agg33_pip10_pending": lambda s, d: C.annotations(s, d).groupBy("workspace").agg(F.count(F.when(F.col("status") == "proposed", 1)).alias("pending"), F.count("*").alias("items")),
+    "agg33_pip10_pending": _pending,
     "prj16_changeable": lambda s, d: C.annotations(s, d).select("id", A.changeable().alias("changeable"), A.refusal().alias("reason")),
     "pip12_default_names": lambda s, d: A.default_names(C.annotations(s, d)),
-    "snk02_report_rows": lambda s, d: A.report(C.annotations(s, d)),
+    "pip12_asked_changes": _asked,
+    "snk02_report_rows": _report,
     "prj13_pseudonym": lambda s, d: C.table(s, d, "customer").select("c_custkey", T.pseudonym("pepper", F.col("c_name")).alias("pseudonym")),
     "prj15_redaction": lambda s, d: C.table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("").alias("date"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise("").alias("accession")),
     "prj17_value_unit": lambda s, d: C.series(s, d).select("series_id", F.when(F.upper("modality") == "CT", "HU").otherwise("unknown").alias("unit"), F.when(F.upper("modality") != "CT", "needs a known unit").alias("reason")),
@@ -89,18 +134,25 @@ QUERIES = {
 }
 
 _H = f"WITH {C.HEADERS_SQL}, h AS (SELECT DISTINCT * FROM headers)"
-_O = f"""{_H}, p AS (SELECT *, CASE WHEN z - lag(z) OVER w > 1e-4 THEN 1 ELSE 0 END AS step FROM h WHERE z IS NOT NULL WINDOW w AS (PARTITION BY series_uid ORDER BY z, echo_number, b_value, instance_number NULLS LAST, path)),
-    q AS (SELECT *, CAST(sum(step) OVER (PARTITION BY series_uid ORDER BY z, echo_number, b_value, instance_number NULLS LAST, path ROWS UNBOUNDED PRECEDING) AS BIGINT) AS position FROM p),
-    o AS (SELECT *, row_number() OVER (PARTITION BY series_uid, position ORDER BY echo_number, b_value, instance_number NULLS LAST, path) AS rank FROM q)"""
+_STACK = "temporal_position NULLS LAST, echo_number NULLS LAST, echo_time NULLS LAST, b_value NULLS LAST, acquisition_number NULLS LAST, trigger_time NULLS LAST, frame_reference_time NULLS LAST, isotropic NULLS FIRST, instance_number NULLS LAST, path"
+_O = f"""{_H}, zs AS (SELECT series_uid, list_reduce(list_transform(list_sort(list(DISTINCT z)), lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[-1] < 1e-4 THEN a ELSE list_concat(a, x) END) AS firsts FROM h WHERE z IS NOT NULL GROUP BY 1),
+    q AS (SELECT h.*, CAST(len(list_filter(firsts, lambda x: x <= h.z)) - 1 AS BIGINT) AS position FROM h JOIN zs ON zs.series_uid = h.series_uid WHERE z IS NOT NULL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY series_uid, position ORDER BY {_STACK}) AS rank FROM q)"""
 _GAPS = """a AS (SELECT series_uid, position, min(z) AS z, count(*) AS images FROM o GROUP BY ALL), g AS (SELECT *, z - lag(z) OVER (PARTITION BY series_uid ORDER BY position) AS gap FROM a),
     m AS (SELECT series_uid, count(*) AS positions, min(images) AS fewest, max(images) AS most, list_sort(list(gap) FILTER (WHERE gap IS NOT NULL)) AS gaps FROM g GROUP BY 1),
     n AS (SELECT *, gaps[len(gaps) // 2 + 1] AS median FROM m),
     r AS (SELECT series_uid, positions, fewest, most, round(median, 6) AS median, coalesce(len(list_filter(gaps, lambda x: abs(x - median) > greatest(0.01, median * 0.02))) > 0, false) AS irregular FROM n)"""
-_VOL = """d0 AS (SELECT series_uid, position, count(DISTINCT echo_number) AS e, count(DISTINCT b_value) AS b FROM o GROUP BY ALL), d AS (SELECT series_uid, max(e) > 1 AS by_echo, max(b) > 1 AS by_b FROM d0 GROUP BY 1),
-    k AS (SELECT o.*, CASE WHEN by_b OR by_echo THEN concat_ws('-', CASE WHEN by_b THEN 'b' || CAST(b_value AS BIGINT) END, CASE WHEN by_echo THEN 'e' || echo_number END) ELSE 'all' END AS key FROM o JOIN d ON o.series_uid = d.series_uid),
-    n0 AS (SELECT *, row_number() OVER (PARTITION BY series_uid, key, position ORDER BY instance_number NULLS LAST, path) AS nth FROM k), s0 AS (SELECT series_uid, key, nth, count(*) AS images FROM n0 GROUP BY ALL),
-    t0 AS (SELECT series_uid, max(position) + 1 AS positions FROM o GROUP BY 1),
-    vol AS (SELECT s0.series_uid, CASE WHEN max(nth) OVER (PARTITION BY s0.series_uid, key) > 1 THEN key || '-n' || nth ELSE key END AS volume, images, images = positions AS complete FROM s0 JOIN t0 ON s0.series_uid = t0.series_uid)"""
+_KINDS = {
+    "c": "CASE WHEN component IS NULL THEN NULL WHEN upper(component) = 'MAGNITUDE' THEN 0 WHEN upper(component) = 'PHASE' THEN 1 ELSE 5 END", "t": "temporal_position", "e": "echo_number", "te": "echo_time", "b": "b_value",
+    "tr": "trigger_time", "f": "frame_reference_time", "a": "acquisition_number", "iso": "CAST(isotropic AS INTEGER)",
+}
+_VOL = f"""w AS (SELECT *, {', '.join(f'CAST({e} AS DOUBLE) AS v_{k}' for k, e in _KINDS.items())} FROM o),
+    d0 AS (SELECT series_uid, position, count(*) AS n, {', '.join(f"count(DISTINCT coalesce(CAST(v_{k} AS VARCHAR), 'none')) > 1 AS d_{k}" for k in _KINDS)} FROM w GROUP BY ALL),
+    d AS (SELECT series_uid, count(*) AS positions, max(n) AS most, {', '.join(f'bool_or(d_{k}) AS d_{k}' for k in _KINDS)} FROM d0 GROUP BY 1),
+    k AS (SELECT w.*, positions, most, concat_ws('-', {', '.join(f"CASE WHEN d_{k} THEN '{k}' || coalesce(CASE WHEN v_{k} = floor(v_{k}) THEN CAST(CAST(v_{k} AS BIGINT) AS VARCHAR) ELSE CAST(v_{k} AS VARCHAR) END, 'x') END" for k in _KINDS)}) AS key FROM w JOIN d ON w.series_uid = d.series_uid),
+    n0 AS (SELECT *, row_number() OVER (PARTITION BY series_uid, key, position ORDER BY {_STACK}) AS nth FROM k),
+    s0 AS (SELECT series_uid, key, nth, count(*) AS images, any_value(positions) AS positions, any_value(most) AS most FROM n0 GROUP BY series_uid, key, nth),
+    vol AS (SELECT series_uid, CASE WHEN most = 1 THEN 'all' WHEN key = '' THEN 'n' || nth WHEN max(nth) OVER (PARTITION BY series_uid, key) > 1 THEN key || '-n' || nth ELSE key END AS volume, images, images = positions AS complete FROM s0)"""
 _A = f"WITH {C.AUDIT_SQL}"
 _N = f"WITH {C.ANNOTATIONS_SQL}"
 _SNAP = lambda name, until: f"{name} AS (SELECT workspace, item, count(*) FILTER (WHERE command IN ('segment edit', 'annotate add')) AS edits, max(CASE WHEN ok AND starts_with(command, 'review') THEN command END) AS review FROM audit WHERE time < TIMESTAMP '{until}' GROUP BY ALL HAVING edits > 0)"
@@ -112,22 +164,32 @@ _SEG = lambda a, b: f"sqrt((30 - (x{a} + t{a}{b}*(x{b}-x{a})))**2 + (30 - (y{a}
 _T = lambda a, b: f"CASE WHEN (x{b}-x{a})**2+(y{b}-y{a})**2 > 0 THEN least(greatest(((30-x{a})*(x{b}-x{a})+(30-y{a})*(y{b}-y{a}))/((x{b}-x{a})**2+(y{b}-y{a})**2), 0), 1) ELSE 0 END AS t{a}{b}"
 
 ORACLE_SQL = {
-    "src06_header_fallbacks": f"WITH {C.HEADERS_SQL} SELECT series_uid, path, coalesce(pixel_spacing, imager_spacing, 1.0) AS spacing, CASE WHEN window_width > 0 THEN window_width END AS width, photometric = 'MONOCHROME1' AS inverted FROM headers",
+    "src06_header_fallbacks": f"WITH {C.HEADERS_SQL} SELECT series_uid, path, coalesce(pixel_spacing, imager_spacing, group_spacing, 1.0) AS spacing, CASE WHEN window_width > 0 THEN window_width END AS width, CASE photometric WHEN 'MONOCHROME1' THEN 'inverted' WHEN 'MONOCHROME2' THEN 'grey' ELSE 'colour' END AS reading FROM headers",
     "set06_distinct_series": f"WITH {C.HEADERS_SQL} SELECT series_uid, matrix, CAST(round(tilt * 1000) AS BIGINT) AS tilt_key, count(*) AS images FROM headers GROUP BY ALL",
     "win01_win02_slice_order": f"{_O} SELECT series_uid, path, position, rank FROM o",
     "win03_gaps": f"{_O}, {_GAPS} SELECT * FROM r",
-    "win04_fallback_order": f"{_H}, l AS (SELECT *, bool_or(z IS NULL) OVER w AS lost, bool_and(instance_number IS NOT NULL) OVER w AS numbered FROM h WINDOW w AS (PARTITION BY series_uid)) SELECT series_uid, path, row_number() OVER (PARTITION BY series_uid ORDER BY CASE WHEN numbered THEN instance_number ELSE path END, path) AS place, numbered FROM l WHERE lost",
+    "win04_fallback_order": f"""{_H}, l AS (SELECT *, bool_or(z IS NULL) OVER w AS lost, max(z) OVER w - min(z) OVER w < 1e-4 AND count(*) OVER w > 1 AS one, bool_and(instance_number IS NOT NULL) OVER w AS numbered, bool_and(slice_location IS NOT NULL) OVER w AS located FROM h WINDOW w AS (PARTITION BY series_uid)),
+        m AS (SELECT *, CASE WHEN numbered THEN 'Instance Number' WHEN located THEN 'Slice Location' ELSE 'file order' END AS method, CASE WHEN numbered THEN CAST(instance_number AS DOUBLE) WHEN located THEN slice_location ELSE 0 END AS key FROM l WHERE lost OR one),
+        p AS (SELECT *, row_number() OVER (PARTITION BY series_uid ORDER BY key, path) AS place, key - lag(key) OVER (PARTITION BY series_uid ORDER BY key, path) AS gap FROM m),
+        g AS (SELECT series_uid, list_sort(list(gap) FILTER (WHERE gap IS NOT NULL AND method = 'Slice Location')) AS gaps, arg_min(coalesce(spacing_between_slices, slice_thickness), path) FILTER (WHERE coalesce(spacing_between_slices, slice_thickness) IS NOT NULL) AS field FROM p GROUP BY 1)
+        SELECT p.series_uid, path, place, method, CASE WHEN gaps[len(gaps) // 2 + 1] > 1e-4 THEN gaps[len(gaps) // 2 + 1] ELSE coalesce(field, 1.0) END AS spacing, one AND NOT lost AS stacked FROM p JOIN g ON g.series_uid = p.series_uid""",
     "win05_win06_volumes": f"{_O}, {_VOL} SELECT * FROM vol",
     "pip01_catalogue": f"{_O}, {_GAPS}, {_VOL} SELECT count(*) AS volumes, count(*) FILTER (WHERE complete) AS complete, any_value(positions) AS positions, any_value(irregular) AS irregular, 'anon-' || substr(sha256('salt' || chr(0) || CAST(vol.series_uid AS VARCHAR)), 1, 16) AS series FROM vol JOIN r ON r.series_uid = vol.series_uid GROUP BY vol.series_uid",
     "win13_latest_reviews": f"{_A} SELECT workspace, item, CASE WHEN NOT ok THEN 'proposed' WHEN command = 'review confirm' THEN 'confirmed' ELSE 'rejected' END AS status, CASE WHEN ok THEN time END AS reviewed FROM audit WHERE starts_with(command, 'review ') QUALIFY row_number() OVER (PARTITION BY workspace, item ORDER BY time DESC, event_id DESC) = 1",
-    "win14_state_at_version": "WITH e AS (SELECT CAST(l_suppkey AS BIGINT) AS series_id, CAST(l_partkey % 300 AS BIGINT) AS vox, l_orderkey AS version, CAST(l_linenumber % 4 AS BIGINT) AS label FROM lineitem WHERE l_orderkey <= 500), r AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY series_id, vox ORDER BY version DESC, label DESC) = 1) SELECT series_id, vox, label FROM r WHERE label > 0",
-    "str03_pip11_decisions": f"{_A} SELECT event_id, workspace, item, command, CASE WHEN coalesce(max(CAST(ok AS INT)) OVER (PARTITION BY workspace, item ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'decided' WHEN ok THEN 'accepted' ELSE 'failed' END AS verdict FROM audit WHERE starts_with(command, 'review ')",
+    "win14_state_at_version": """WITH e AS (SELECT CAST(l_suppkey AS BIGINT) AS series_id, CAST(l_partkey % 300 AS BIGINT) AS vox, CAST(l_orderkey AS BIGINT) AS version, CAST(l_linenumber % 4 AS BIGINT) AS label FROM lineitem),
+        u AS (SELECT series_id, quantile_disc(version, 0.5) AS until FROM e WHERE series_id % 2 = 0 GROUP BY 1 UNION ALL SELECT series_id, list_sort(list(DISTINCT version), 'DESC')[4] FROM e WHERE series_id % 2 = 1 GROUP BY 1),
+        r AS (SELECT e.* FROM e JOIN u ON u.series_id = e.series_id AND version <= until QUALIFY row_number() OVER (PARTITION BY e.series_id, vox ORDER BY version DESC, label DESC) = 1) SELECT series_id, vox, label FROM r WHERE label > 0""",
+    "str03_pip11_decisions": f"""{_A}, n AS (SELECT *, coalesce(count(*) FILTER (WHERE command IN ('segment edit', 'annotate add')) OVER (PARTITION BY workspace, item ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS now FROM audit),
+        d AS (SELECT *, greatest(0, now - CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END) AS seen FROM n WHERE starts_with(command, 'review ')),
+        v AS (SELECT *, coalesce(max(CAST(ok AND seen = now AS INT)) OVER (PARTITION BY workspace, item ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS decided FROM d)
+        SELECT event_id, workspace, item, command, CASE WHEN decided THEN 'decided' WHEN seen <> now THEN 'stale' WHEN ok THEN 'accepted' ELSE 'failed' END AS verdict, sha256(workspace || '/' || item || '/' || seen) AS seen_revision, sha256(workspace || '/' || item || '/' || now) AS now_revision FROM v""",
     "str04_command_counts": f"{_A} SELECT time_bucket(INTERVAL 1 DAY, time) AS start, command, count(*) AS n, count(*) FILTER (WHERE NOT ok) AS failed FROM audit GROUP BY ALL",
     "set05_changes": f"{_A}, {_SNAP('a', '2024-01-15')}, {_SNAP('b', '2025-01-01')}, u AS (SELECT coalesce(a.workspace, b.workspace) AS workspace, coalesce(a.item, b.item) AS item, a.edits AS ea, b.edits AS eb, a.review AS ra, b.review AS rb FROM a FULL JOIN b ON a.workspace = b.workspace AND a.item = b.item) SELECT workspace, item, 'added' AS change FROM u WHERE ea IS NULL UNION ALL SELECT workspace, item, 'removed' FROM u WHERE eb IS NULL UNION ALL SELECT workspace, item, 'revised' FROM u WHERE ea <> eb UNION ALL SELECT workspace, item, 'reviewed' FROM u WHERE ea IS NOT NULL AND eb IS NOT NULL AND ra IS DISTINCT FROM rb",
     "top08_last_entries": f"{_A} SELECT workspace, event_id, command, greatest(0, count(*) OVER (PARTITION BY workspace) - 5) AS dropped FROM audit WHERE event_id > 100 QUALIFY row_number() OVER (PARTITION BY workspace ORDER BY event_id DESC) <= 5",
     "geo01_geo03_measurements": f"{_N} SELECT id, kind, round({_VALUE}, 4) AS value, {_UNIT} AS unit FROM annotations",
     "geo05_nearest_annotation": f"{_N}, t AS (SELECT *, {_T(1, 2)}, {_T(2, 3)}, {_T(3, 4)} FROM annotations), m AS (SELECT workspace, slice_index, id, least({_SEG(1, 2)}, {_SEG(2, 3)}, {_SEG(3, 4)}) AS mm FROM t) SELECT workspace, slice_index, id, round(mm, 4) AS mm FROM m WHERE mm <= 12 QUALIFY row_number() OVER (PARTITION BY workspace, slice_index ORDER BY mm, id) = 1",
-    "agg33_pip10_pending": f"{_N} SELECT workspace, count(*) FILTER (WHERE status = 'proposed') AS pending, count(*) AS items FROM annotations GROUP BY 1",
+    "agg33_pip10_pending": f"""WITH {C.VOXELS_SQL}, {C.ANNOTATIONS_SQL}, u AS (SELECT workspace, 'annotation' AS kind, status, author FROM annotations UNION ALL SELECT series_id % 50, 'segment', CASE WHEN (series_id + label) % 3 = 0 THEN 'confirmed' ELSE 'proposed' END, CASE WHEN label = 1 THEN 'agent' ELSE 'human' END FROM (SELECT DISTINCT series_id, label FROM mask))
+        SELECT workspace, kind, count(*) FILTER (WHERE status = 'proposed') AS pending, count(*) FILTER (WHERE status = 'proposed' AND author = 'agent') AS by_agents, count(*) AS items FROM u GROUP BY ALL""",
     "prj16_changeable": f"{_N} SELECT id, author = 'agent' AND status <> 'confirmed' AS changeable, CASE WHEN author <> 'agent' THEN 'made by a person' WHEN status = 'confirmed' THEN 'confirmed' END AS reason FROM annotations",
     "pip12_default_names": f"{_N} SELECT id, kind || ' ' || row_number() OVER (PARTITION BY workspace, kind ORDER BY id) AS name FROM annotations",
     "prj13_pseudonym": "SELECT c_custkey, 'anon-' || substr(sha256('pepper' || chr(0) || c_name), 1, 16) AS pseudonym FROM customer",
@@ -138,9 +200,17 @@ ORACLE_SQL = {
     "prj20_numbers_in_text": "WITH t AS (SELECT DISTINCT 'size ' || CAST(l_quantity AS BIGINT) || '.5 mm, 1,' || lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') || ' of -' || l_linenumber AS text FROM lineitem), n AS (SELECT text, regexp_extract_all(text, '-?[0-9]+(?:\\.[0-9]+)?') AS n FROM t) SELECT text, CAST(i AS BIGINT) AS place, CAST(n[i + 1] AS DOUBLE) AS number FROM n, range(4) AS r(i) WHERE i < len(n)",
     "prj22_volume_keys": "WITH k AS (SELECT 'b' || (l_partkey % 3 * 500) || CASE l_suppkey % 3 WHEN 0 THEN '-e' || (l_suppkey % 2 + 1) WHEN 1 THEN '-Smith' ELSE '' END AS k FROM lineitem) SELECT CASE WHEN regexp_full_match(k, '(?:(?:b|te|t|e|n)[0-9]+)(?:-(?:b|te|t|e|n)[0-9]+)*') THEN k ELSE 'other' END AS key, count(*) AS n FROM k GROUP BY 1",
     "prj23_people": "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_name WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN NULL ELSE c_name END AS person FROM customer",
-    "pip14_privacy_scan": "SELECT doc_id, CAST(item_id AS BIGINT) AS secret_id FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 20))",
-    "pip15_transcript_grades": """WITH a AS (SELECT *, text || ' The length is ' || CAST(CAST(conv_id * 0.5 AS DECIMAL(20,1)) AS VARCHAR) || CASE WHEN conv_id % 3 = 0 THEN ' mm' ELSE '' END || CASE WHEN turn % 5 = 1 THEN ' a malignant lesion' ELSE '' END AS answer FROM conversations WHERE role = 'assistant'),
-        n AS (SELECT *, list_transform(regexp_extract_all(answer, '-?[0-9]+(?:\\.[0-9]+)?'), lambda x: CAST(x AS DOUBLE)) AS n, conv_id * 0.5 AS want, conv_id * 0.5 + CASE WHEN conv_id % 2 = 0 THEN 0 ELSE 3 END AS result FROM a)
-        SELECT conv_id, turn, len(list_filter(n, lambda x: abs(x - want) <= 0.05)) > 0 AS "right", regexp_matches(lower(answer), '(^|[^a-z])mm([^a-z]|$)') AS unit,
-        len(list_filter(n, lambda x: abs(x - result) > greatest(0.05, 0.01 * abs(result)))) = 0 AS traced, NOT regexp_matches(lower(answer), 'malignan|benign|diagnos|cancer|metasta|tumou?r') AS clean FROM n""",
+    "pip14_privacy_scan": "SELECT doc_id, CAST(item_id AS BIGINT) AS secret_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND length(b.text) >= 12",
+    "pip12_asked_changes": f"""{_N}, q AS (SELECT id + CASE WHEN id % 3 = 0 THEN 10000000 ELSE 0 END AS id, CASE WHEN id % 3 < 2 THEN 'add' WHEN id % 2 = 0 THEN 'rename' ELSE 'delete' END AS asked, ['Distance', 'Angle', 'Area', 'Rectangle', 'Text', 'Circle'][id % 6 + 1] AS kind, id % 4 + 1 AS points, id % 7 = 0 AS apart, 'new ' || id AS new_name FROM annotations),
+        j AS (SELECT q.*, a.id IS NOT NULL AS there, a.kind AS old_kind, a.kind || ' ' || a.id AS old_name, author, status FROM q LEFT JOIN annotations a ON a.id = q.id),
+        r AS (SELECT *, CASE WHEN asked = 'add' THEN CASE WHEN there THEN 'there already' WHEN kind = 'Circle' THEN 'unknown kind' WHEN NOT CASE kind WHEN 'Angle' THEN points = 3 WHEN 'Area' THEN points >= 3 WHEN 'Text' THEN points = 1 ELSE points = 2 END THEN 'wrong number of points' WHEN apart THEN 'points on several slices' END
+            ELSE CASE WHEN NOT there THEN 'not found' WHEN author <> 'agent' THEN 'made by a person' WHEN status = 'confirmed' THEN 'confirmed' END END AS reason FROM j)
+        SELECT id, asked, reason, CASE WHEN asked = 'add' THEN kind ELSE old_kind END AS kind, CASE WHEN reason IS NULL AND asked = 'delete' THEN NULL WHEN reason IS NOT NULL THEN old_name ELSE new_name END AS name,
+        CASE WHEN reason IS NULL THEN asked <> 'delete' WHEN there THEN true END AS kept FROM r""",
+    "snk02_report_rows": f"{_N} SELECT workspace, id, kind, round({_VALUE}, 3) AS value, {_UNIT} AS unit, status = 'confirmed' AS confirmed FROM annotations",
+    "pip15_transcript_grades": """WITH a AS (SELECT *, conv_id * CAST(0.5 AS DOUBLE) AS want, text || ' The length is ' || CAST(CAST(conv_id * 0.5 AS DECIMAL(20,1)) AS VARCHAR) || CASE WHEN conv_id % 3 = 0 THEN ' mm' ELSE '' END || CASE WHEN turn % 5 = 1 THEN ' a malignant lesion' ELSE '' END || CASE WHEN conv_id % 4 = 1 THEN ', please confirm' ELSE '' END AS answer FROM conversations WHERE role = 'assistant'),
+        n AS (SELECT *, list_filter(list_transform(regexp_extract_all(answer, '-?[0-9]+(?:\\.[0-9]+)?'), lambda x: CAST(x AS DOUBLE)), lambda x: abs(x - want) <= 0.05)[1] AS g, [1.0, want + CASE WHEN conv_id % 2 = 0 THEN 0 ELSE 3 END] AS results FROM a),
+        c AS (SELECT conv_id, turn, g IS NOT NULL AS r, conv_id % 5 = 0 OR contains(lower(answer), 'mm') AS u, coalesce(len(list_filter(results, lambda t: abs(t - g) <= greatest(0.05, 0.01 * abs(g)))) > 0, false) AS t,
+            NOT regexp_matches(lower(answer), 'malignan|benign|cancer|carcinoma|metasta|tumour is') AS s, conv_id % 2 = 0 OR contains(lower(answer), 'review') OR contains(lower(answer), 'confirm') AS v, conv_id % 6 < 4 AS m FROM n)
+        SELECT conv_id, turn, r AS "right", u AS unit_said, t AS traced, s AS clean, v AS review, m AS tools, r AND u AND t AND s AND v AND m AS passed FROM c""",
 }

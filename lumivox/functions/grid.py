@@ -64,3 +64,27 @@ def inside_grid(index: list[Column], size: list[int]) -> Column:
     """Whether the nearest voxel of a continuous index is on the grid."""
     flags = [F.round(x).between(0, n - 1) for x, n in zip(index, size)]
     return flags[0] & flags[1] & flags[2]
+
+
+def luminance(red: Column, green: Column, blue: Column) -> Column:
+    """The grey of a colour, by the weights of its parts (fixed values)."""
+    return red * 0.299 + green * 0.587 + blue * 0.114
+
+
+def piecewise(x: Column, points: list[tuple[float, float]]) -> Column:
+    """Straight lines between control points of rising places; the ends hold beyond them."""
+    y = F.lit(points[-1][1])
+    for (x0, y0), (x1, y1) in reversed(list(zip(points, points[1:]))):
+        y = F.when(x <= x1, F.lit(y0) + (x - x0) / (x1 - x0) * (y1 - y0)).otherwise(y)
+    return F.when(x <= points[0][0], F.lit(points[0][1])).otherwise(y)
+
+
+def grid_exponent(low: Column, high: Column) -> Column:
+    """The power of two of the least step whose 65,535 steps cover a range; null for a range without extent."""
+    return F.when(high > low, F.ceil(F.log2((high - low) / STORED)).cast("long"))
+
+
+def on_grid(value: Column, low: Column, exponent: Column) -> Column:
+    """Whether a value is a whole number of steps above the range's begin."""
+    steps = (value - low) / F.pow(F.lit(2.0), exponent)
+    return steps == F.floor(steps)

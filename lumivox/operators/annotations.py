@@ -70,6 +70,32 @@ def default_names(annotations: DataFrame) -> DataFrame:
     return annotations.select("id", F.concat_ws(" ", "kind", F.row_number().over(Window.partitionBy("workspace", "kind").orderBy("id")).cast("string")).alias("name"))
 
 
+#: How many points each kind has: at least, and at most (fixed values).
+POINTS = {"Distance": (2, 2), "Rectangle": (2, 2), "Angle": (3, 3), "Area": (3, 1 << 20), "Text": (1, 1)}
+
+
+def asked_change(annotations: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests ``id, asked, kind, points, slices, new_name`` applied to ``annotations``: each request with its outcome, and the item as it is then.
+
+    ``add`` wants a known kind, as many points as it has, all on one slice, and an id that isn't there; ``rename`` and ``delete`` want an item that an
+    agent made and nobody has confirmed. Refused requests say why and change nothing. One row a request; an item that isn't asked about isn't given.
+    """
+    there = annotations.select("id", F.col("kind").alias("old_kind"), F.col("name").alias("old_name"), "author", "status", F.lit(True).alias("there"))
+    both = requests.join(there, "id", "left")
+    least = F.create_map(*[F.lit(x) for k, (n, _) in POINTS.items() for x in (k, n)])
+    most = F.create_map(*[F.lit(x) for k, (_, n) in POINTS.items() for x in (k, n)])
+    add = (
+        F.when(F.col("there"), "there already").when(least[F.col("kind")].isNull(), "unknown kind")
+        .when(~F.size("points").between(least[F.col("kind")], most[F.col("kind")]), "wrong number of points").when(F.size(F.array_distinct("slices")) > 1, "points on several slices")
+    )
+    change = F.when(F.col("there").isNull(), "not found").otherwise(refusal())
+    reason = F.when(F.col("asked") == "add", add).otherwise(change)
+    done = both.withColumn("reason", reason)
+    name = F.when(F.col("reason").isNotNull() | (F.col("asked") == "delete"), F.col("old_name")).otherwise(F.col("new_name"))
+    gone = F.col("reason").isNull() & (F.col("asked") == "delete")
+    return done.select("id", "asked", "reason", F.when(F.col("asked") == "add", F.col("kind")).otherwise(F.col("old_kind")).alias("kind"), F.when(~gone, name).alias("name"), (~gone & (F.col("reason").isNull() | F.col("there"))).alias("kept"))
+
+
 def report(annotations: DataFrame) -> DataFrame:
     """The report's rows as JSON, values to thousandths, with whether they are confirmed."""
     row = F.struct("id", "kind", F.round(value(F.col("kind"), F.col("points")), 3).alias("value"), unit(F.col("kind")).alias("unit"), (F.col("status") == "confirmed").alias("confirmed"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,23 +103,45 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return n.withColumn("dice", F.when(total > 0, 2 * F.col("overlap") / total).otherwise(1.0)).withColumn("jaccard", F.when(total > 0, F.col("overlap") / (total - F.col("overlap"))).otherwise(1.0))
 
 
-def distances(a: DataFrame, b: DataFrame, spacing: tuple[float, float, float], block: int = 8) -> DataFrame:
-    """``KEY, i, j, k, mm``: of each voxel of ``a`` the distance to the nearest of ``b`` in the same series (labels of ``a``).
+def distances(a: DataFrame, b: DataFrame, spacing: tuple[float, float, float], on: list[str] = ["series_id"], levels: tuple[int, ...] = (64, 16, 4)) -> DataFrame:  # noqa: B006
+    """``KEY, i, j, k, mm, ti, tj, tk``: of each voxel of ``a`` the distance to the nearest of ``b`` that is alike in ``on``, and which that is.
 
-    An equi join on growing cubes of blocks: voxels look in the blocks at most one away; those that found nothing as
-    near as the looked-at blocks reach look in all blocks of their series.
+    Both masks are cut into cubes of ``levels`` voxels, each with the box of what is in it. From the coarsest level down a
+    source cube keeps the target cubes that may hold the nearest voxel: those no farther at least than another is at most.
+    Only the cubes within kept pairs meet on the next level, so far parts never meet voxel by voxel. Of equally near
+    ones the first in grid order is named. A voxel without any target isn't given.
     """
-    near = lambda f: sum((F.pow((F.col(x) - F.col(f"t{x}")) * s, F.lit(2)) for x, s in zip(VOX, spacing)), F.lit(0.0))
-    at = lambda x: F.floor(F.col(x) / block).cast("int")
-    target = written(b.select("series_id", *[F.col(x).alias(f"t{x}") for x in VOX], *[at(x).alias(f"b{x}") for x in VOX]), "targets")
-    source = written(a.select(*KEY, *VOX), "sources")
-    cubes = F.array(*[F.struct(*[(at(x) + o).alias(f"b{x}") for x, o in zip(VOX, offset)]) for offset in [(0, 0, 0), *AROUND]])
-    first = source.select(*KEY, *VOX, F.inline(cubes)).join(target, ["series_id", "bi", "bj", "bk"]).groupBy(*KEY, *VOX).agg(F.min(near(0)).alias("d2"))
-    first = written(first, "near")
-    sure = (block * min(spacing)) ** 2
-    done = first.where(F.col("d2") <= sure)
-    rest = source.join(done, [*KEY, *VOX], "left_anti").join(target.drop("bi", "bj", "bk"), "series_id").groupBy(*KEY, *VOX).agg(F.min(near(0)).alias("d2"))
-    return done.unionByName(rest).select(*KEY, *VOX, F.sqrt("d2").alias("mm"))
+    source = written(a.select(*KEY, *VOX).distinct(), "sources")
+    target = written(b.select(*on, *VOX).distinct(), "targets")
+
+    def cubes(rows: DataFrame, key: list[str], level: int, side: str) -> DataFrame:
+        names = [F.floor(F.col(x) / level).cast("int").alias(f"{side}{x}") for x in VOX]
+        return rows.groupBy(*key, *names).agg(*[e for x in VOX for e in (F.min(x).alias(f"{side}{x}0"), F.max(x).alias(f"{side}{x}1"))])
+
+    def far(x: str) -> Column:
+        return F.greatest(F.abs(F.col(f"s{x}1") - F.col(f"t{x}0")), F.abs(F.col(f"t{x}1") - F.col(f"s{x}0")))
+
+    def near(x: str) -> Column:
+        return F.greatest(F.col(f"t{x}0") - F.col(f"s{x}1"), F.col(f"s{x}0") - F.col(f"t{x}1"), F.lit(0))
+
+    total = lambda f: sum((F.pow(f(x) * s, F.lit(2)) for x, s in zip(VOX, spacing)), F.lit(0.0))
+    kept, before = None, None
+    for level in (*levels, 1):
+        s, t = cubes(source, KEY, level, "s"), cubes(target, on, level, "t")
+        if kept is None:
+            pairs = s.join(t, on)
+        else:
+            up = lambda side: [F.floor(F.col(f"{side}{x}") * level / before).cast("int").alias(f"{side}p{x}") for x in VOX]  # noqa: B023, E731
+            pairs = kept.join(s.select("*", *up("s")), [*KEY, *[f"sp{x}" for x in VOX]])
+            pairs = pairs.join(t.select("*", *up("t")), [*on, *[f"tp{x}" for x in VOX]])
+        cube = [*KEY, *[f"s{x}" for x in VOX]]
+        if level == 1:
+            best = F.min(F.struct(total(lambda x: F.col(f"s{x}") - F.col(f"t{x}")).alias("d2"), "tk", "tj", "ti")).alias("m")
+            return pairs.groupBy(*cube).agg(best).select(*KEY, *[F.col(f"s{x}").alias(x) for x in VOX], F.sqrt("m.d2").alias("mm"), *[F.col(f"m.t{x}").alias(f"t{x}") for x in VOX])
+        ranged = pairs.withColumn("near", total(near)).withColumn("most", F.min(total(far)).over(Window.partitionBy(*cube)))
+        kept = written(ranged.where("near <= most").select(*KEY, *[c for c in on if c not in KEY], *[F.col(f"{side}{x}").alias(f"{side}p{x}") for side in "st" for x in VOX]), "cubes")
+        before = level
+    raise AssertionError
 
 
 def hausdorff(forth: DataFrame, back: DataFrame) -> DataFrame:
@@ -144,26 +168,32 @@ def from_runs(found: DataFrame, grid: tuple[int, int, int]) -> DataFrame:
     return vox.select(*KEY, (F.col("vox") % grid[0]).cast("int").alias("i"), F.floor(F.col("vox") / grid[0] % grid[1]).cast("int").alias("j"), F.floor(F.col("vox") / (grid[0] * grid[1])).cast("int").alias("k"))
 
 
-def long_axis(mask: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:
-    """The farthest pair of pixel centres on the largest axial slice; only the ends of its rows are compared."""
-    at = largest_slice(mask).where("axis = 'axial'").select(*KEY, (F.col("slice") - 1).cast("int").alias("k"))
-    ends = mask.join(at, [*KEY, "k"]).groupBy(*KEY, "k", "j").agg(F.array(F.min("i"), F.max("i")).alias("is")).select(*KEY, "k", "j", F.explode("is").alias("i")).distinct()
-    other = ends.select(*KEY, F.col("i").alias("oi"), F.col("j").alias("oj"))
-    mm = F.sqrt(F.pow((F.col("i") - F.col("oi")) * spacing[0], F.lit(2)) + F.pow((F.col("j") - F.col("oj")) * spacing[1], F.lit(2)))
-    return ends.join(other, KEY).groupBy(*KEY, "k").agg(F.max(mm).alias("long_mm"))
+def within_box(rows: DataFrame, a: tuple[int, int, int], b: tuple[int, int, int]) -> DataFrame:
+    """Rows in the box of two inclusive corners in any order."""
+    return rows.where(F.lit(True) & F.col("i").between(min(a[0], b[0]), max(a[0], b[0])) & F.col("j").between(min(a[1], b[1]), max(a[1], b[1])) & F.col("k").between(min(a[2], b[2]), max(a[2], b[2])))
 
 
-def max_diameter(mask: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:
-    """The farthest pair of voxel centres, among the ends of the lines along i."""
-    ends = mask.groupBy(*KEY, "j", "k").agg(F.array(F.min("i"), F.max("i")).alias("is")).select(*KEY, "j", "k", F.explode("is").alias("i")).distinct()
-    other = ends.select(*KEY, *[F.col(x).alias(f"o{x}") for x in VOX])
-    d2 = sum((F.pow((F.col(x) - F.col(f"o{x}")) * s, F.lit(2)) for x, s in zip(VOX, spacing)), F.lit(0.0))
-    return ends.join(other, KEY).groupBy(*KEY).agg(F.sqrt(F.max(d2)).alias("diameter_mm"))
+def cylinder(rows: DataFrame, centre: list[Column], direction: list[Column], spacing: tuple[float, float, float], radius: float, depth: float, back: float = 0.5) -> DataFrame:
+    """Rows within ``radius`` mm of a line that runs ``depth`` mm from ``centre`` along a unit ``direction``, and ``back`` mm behind it."""
+    off = [(F.col(a) - c) * s for a, c, s in zip(VOX, centre, spacing)]
+    along = F.round(sum((o * d for o, d in zip(off, direction)), F.lit(0.0)), 9)
+    across = sum((o * o for o in off), F.lit(0.0)) - along * along
+    return rows.where(along.between(-back, depth) & (across <= radius * radius + 1e-9))
 
 
-def within_box(rows: DataFrame, a: tuple[int, int, int], b: tuple[int, int, int]) -> DataFrame:
-    """Rows in the box of two inclusive corners in any order."""
-    return rows.where(F.lit(True) & F.col("i").between(min(a[0], b[0]), max(a[0], b[0])) & F.col("j").between(min(a[1], b[1]), max(a[1], b[1])) & F.col("k").between(min(a[2], b[2]), max(a[2], b[2])))
+def oblique_plane(azimuth: float, elevation: float, offset: float) -> tuple[float, float, float, float]:
+    """The half space on the far side of a plane whose normal has an azimuth and an elevation in degrees, ``offset`` from the first voxel."""
+    a, e = math.radians(azimuth), math.radians(elevation)
+    return math.cos(e) * math.cos(a), math.cos(e) * math.sin(a), math.sin(e), -offset
+
+
+def box_union(boxes: DataFrame, key: list[str]) -> DataFrame:
+    """The least box around a key's half-open boxes ``i0 .. k1``; empty ones don't count, and a key of empty boxes has an empty one of zeros."""
+    full = F.lit(True)
+    for a in VOX:
+        full = full & (F.col(f"{a}0") < F.col(f"{a}1"))
+    ends = [e for a in VOX for e in (F.coalesce(F.min(F.when(full, F.col(f"{a}0"))), F.lit(0)).alias(f"{a}0"), F.coalesce(F.max(F.when(full, F.col(f"{a}1"))), F.lit(0)).alias(f"{a}1"))]
+    return boxes.groupBy(*key).agg(*ends)
 
 
 def half_spaces(rows: DataFrame, planes: list[tuple[float, float, float, float]]) -> DataFrame:
@@ -183,15 +213,29 @@ def in_polygon(x: Column, y: Column, corners: Column) -> Column:
     return F.size(crossings) % 2 == 1
 
 
-def brick_ranges(voxels: DataFrame, edge: int = 8) -> DataFrame:
-    """Least and largest value of each brick with an apron of one voxel: a voxel counts for every brick whose apron holds it."""
-    lo = lambda a: F.floor((F.col(a) - 1) / edge).cast("int")
-    hi = lambda a: F.floor((F.col(a) + 1) / edge).cast("int")
-    ends = voxels.groupBy("series_id").agg(*[F.floor(F.max(a) / edge).cast("int").alias(f"l{a}") for a in VOX])
-    spread = voxels.join(ends, "series_id")
-    for a in VOX:
-        spread = spread.withColumn(f"b{a}", F.explode(F.array_distinct(F.array(F.greatest(lo(a), F.lit(0)), F.least(hi(a), F.col(f"l{a}"))))))
-    return spread.groupBy("series_id", "bi", "bj", "bk").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+def brick_ranges(voxels: DataFrame, grid: tuple[int, int, int], edge: int = 8) -> DataFrame:
+    """Least and largest value of each brick with an apron of one voxel: a voxel counts for every brick whose apron holds it, mostly one."""
+    ends = {a: (F.greatest(F.floor((F.col(a) - 1) / edge), F.lit(0)).cast("int"), F.least(F.floor((F.col(a) + 1) / edge), F.lit((n - 1) // edge)).cast("int")) for a, n in zip(VOX, grid)}
+    bricks = F.array_distinct(F.array(*[F.struct(*[ends[a][o].alias(f"b{a}") for a, o in zip(VOX, (x, y, z))]) for x in (0, 1) for y in (0, 1) for z in (0, 1)]))
+    return voxels.select("series_id", "value", F.inline(bricks)).groupBy("series_id", "bi", "bj", "bk").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+def mask_hash(mask: DataFrame, grid: tuple[int, int, int]) -> DataFrame:
+    """``hash`` of each segment's content: of its slices' hashes in order, each of the slice's places in order. A slice is the largest group."""
+    place = (F.col("i") + grid[0] * F.col("j")).cast("long")
+    slices = mask.groupBy(*KEY, "k").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(place)), ","), 256).alias("h"))
+    return slices.groupBy(*KEY).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda s: F.concat(s["k"].cast("string"), F.lit(":"), s["h"])), ","), 256).alias("hash"))
+
+
+def reoriented(rows: DataFrame, orientation: DataFrame, grid: tuple[int, int, int]) -> DataFrame:
+    """Voxels of stored grids on the canonical one: ``orientation`` has for each series the axis that each stored axis becomes, and whether it is turned.
+
+    It has one row a series; voxels change their coordinates where they are.
+    """
+    joined = rows.join(orientation, "series_id")
+    stored = [F.when(F.get("flip", a), n - 1 - F.col(x)).otherwise(F.col(x)) for a, (x, n) in enumerate(zip(VOX, grid))]
+    moved = [F.when(F.get("target", F.lit(0)) == t, stored[0]).when(F.get("target", F.lit(1)) == t, stored[1]).otherwise(stored[2]).alias(x) for t, x in enumerate(VOX)]
+    return joined.select(*[c for c in rows.columns if c not in VOX], *moved)
 
 
 def downsample(voxels: DataFrame, factors: tuple[int, int, int]) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ITEM = ["workspace", "item"]
 
 
+def append_audit(entries: DataFrame, folder: str, now: Column | None = None) -> None:
+    """Appends entries to a log of JSON lines, a folder a day; an entry without a time has that of the writing."""
+    timed = entries.withColumn("time", F.coalesce("time", now if now is not None else F.current_timestamp()))
+    timed.withColumn("date", F.to_date("time")).write.mode("append").partitionBy("date").json(folder)
+
+
 def latest_reviews(audit: DataFrame) -> DataFrame:
     """The state of each reviewed item after its last decision: confirmed or rejected if that went through, else proposed."""
     decided = audit.where(F.col("command").startswith("review "))
@@ -16,12 +22,23 @@ def latest_reviews(audit: DataFrame) -> DataFrame:
     return last.select(*ITEM, status.alias("status"), F.when(F.col("d.ok"), F.col("d.time")).alias("reviewed"))
 
 
-def first_valid_decisions(audit: DataFrame) -> DataFrame:
-    """Every decision with its verdict: the first that went through is accepted, later ones are refused as decided, the others as failed."""
-    decided = audit.where(F.col("command").startswith("review "))
+EDITS = ("segment edit", "annotate add")
+
+
+def first_valid_decisions(entries: DataFrame) -> DataFrame:
+    """Every decision with its verdict and two hashes: what the reviewer saw of the item, and what it was then.
+
+    ``entries`` are audit entries with ``stale``, by how many edits the reviewer's view of the item was behind. The first decision that goes through
+    is accepted; later ones are refused as decided, those on another revision as stale, the others as failed.
+    """
     by = Window.partitionBy(*ITEM).orderBy("time", "event_id")
-    before = F.coalesce(F.max(F.col("ok").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
-    return decided.select("event_id", *ITEM, "command", F.when(before, "decided").when(F.col("ok"), "accepted").otherwise("failed").alias("verdict"))
+    edits = F.coalesce(F.sum(F.col("command").isin(*EDITS).cast("long")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = entries.withColumn("now", edits).withColumn("seen", F.greatest(F.lit(0), F.col("now") - F.col("stale"))).where(F.col("command").startswith("review "))
+    goes = F.col("ok") & (F.col("seen") == F.col("now"))
+    before = F.coalesce(F.max(goes.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
+    verdict = F.when(before, "decided").when(F.col("seen") != F.col("now"), "stale").when(F.col("ok"), "accepted").otherwise("failed")
+    hashed = lambda c: F.sha2(F.concat_ws("/", *ITEM, c), 256).alias(f"{c}_revision")
+    return told.select("event_id", *ITEM, "command", verdict.alias("verdict"), hashed("seen"), hashed("now"))
 
 
 def snapshot(audit: DataFrame, until: str) -> DataFrame:
@@ -56,7 +73,14 @@ def last_entries(audit: DataFrame, most: int, after: int) -> DataFrame:
     return ranked.where(F.col("place") <= most).select("workspace", "event_id", "command", F.greatest(F.lit(0), F.col("all") - most).alias("dropped"))
 
 
-def state_at(edits: DataFrame, version: int) -> DataFrame:
-    """The last write of each voxel up to a version, cleared voxels left out: what undoing the later edits gives."""
-    last = edits.where(F.col("version") <= version).groupBy("series_id", "vox").agg(F.max_by("label", F.struct("version", "label")).alias("label"))
-    return last.where("label > 0")
+def state_at(edits: DataFrame, versions: DataFrame) -> DataFrame:
+    """The last write of each voxel up to its series' version, cleared voxels left out: what undoing the later edits gives. ``versions`` has one row a series."""
+    kept = edits.join(versions.withColumnRenamed("version", "until"), "series_id").where(F.col("version") <= F.col("until"))
+    return kept.groupBy("series_id", "vox").agg(F.max_by("label", F.struct("version", "label")).alias("label")).where("label > 0")
+
+
+def undo(edits: DataFrame, newest: int, most: int = 32) -> DataFrame:
+    """``series_id, version``: where each series stands when its ``newest`` edits are undone; no more than ``most`` are kept for it."""
+    versions = edits.select("series_id", "version").distinct()
+    ranked = versions.withColumn("place", F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("version"))))
+    return ranked.where(F.col("place") == min(newest, most) + 1).select("series_id", "version")

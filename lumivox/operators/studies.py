@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumivox.operators.lattice import label_components
-from lumivox.operators.masks import KEY, VOX, largest_slice
+from lumivox.operators.masks import KEY, VOX, in_polygon
 from lumivox.plans.scratch import written
 
 
@@ -43,41 +43,12 @@ def rasterised_strokes(strokes: DataFrame, width: int, height: int) -> DataFrame
     return cells.where(off <= F.col("r") * F.col("r")).select("id", "x", "y")
 
 
-def short_axis(mask: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:
-    """On the largest axial slice the widest extent across the long axis, in bands one pixel wide along it.
-
-    The long axis is the farthest pair of the rows' ends (the first such pair in grid order); it has one row a segment.
-    """
-    at = largest_slice(mask).where("axis = 'axial'").select(*KEY, (F.col("slice") - 1).cast("int").alias("k"))
-    here = mask.join(at, [*KEY, "k"]).select(*KEY, (F.col("i") * spacing[0]).alias("x"), (F.col("j") * spacing[1]).alias("y"))
-    ends = here.groupBy(*KEY, "y").agg(F.array(F.min("x"), F.max("x")).alias("xs")).select(*KEY, "y", F.explode("xs").alias("x")).distinct()
-    other = ends.select(*KEY, F.col("x").alias("u"), F.col("y").alias("v"))
-    d2 = F.pow(F.col("x") - F.col("u"), F.lit(2)) + F.pow(F.col("y") - F.col("v"), F.lit(2))
-    pair = ends.join(other, KEY).groupBy(*KEY).agg(F.max(F.struct(d2.alias("d2"), (-F.col("y")).alias("a"), (-F.col("x")).alias("b"), (-F.col("v")).alias("c"), (-F.col("u")).alias("d"))).alias("m"))
-    axis = pair.select(*KEY, (-F.col("m.b")).alias("x0"), (-F.col("m.a")).alias("y0"), (F.col("m.b") - F.col("m.d")).alias("dx"), (F.col("m.a") - F.col("m.c")).alias("dy"), F.sqrt("m.d2").alias("long_mm"))
-    unit = F.when(F.col("long_mm") > 0, F.col("long_mm")).otherwise(1.0)
-    along = ((F.col("x") - F.col("x0")) * F.col("dx") + (F.col("y") - F.col("y0")) * F.col("dy")) / unit
-    across = ((F.col("y") - F.col("y0")) * F.col("dx") - (F.col("x") - F.col("x0")) * F.col("dy")) / unit
-    bands = here.join(axis, KEY).groupBy(*KEY, "long_mm", F.round(along / min(spacing[:2])).alias("band")).agg((F.max(across) - F.min(across)).alias("wide"))
-    return bands.groupBy(*KEY, "long_mm").agg(F.max("wide").alias("short_mm"))
-
-
-def sobel_2d(pixels: DataFrame) -> DataFrame:
-    """``edge``: the gradient's size in each pixel of a slice by Sobel's kernels, borders held, as a share of the series' strongest.
-
-    Lines are arrays, so a pixel's neighbours cost no join: a line's smoothed and differenced values, then those of the lines beside it.
-    """
-    line = pixels.groupBy("series_id", "j").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("line"))
-    at = lambda i, o: F.get("line", F.greatest(F.lit(0), F.least(i + o, F.size("line") - 1)))["value"]
-    along = F.transform("line", lambda c: F.struct(c["i"].alias("i"), (at(c["i"], -1) + 2 * at(c["i"], 0) + at(c["i"], 1)).alias("smooth"), (at(c["i"], 1) - at(c["i"], -1)).alias("step")))
-    rows = line.select("series_id", "j", F.inline(along))
-    column = Window.partitionBy("series_id", "i").orderBy("j")
-    beside = lambda c, f: F.coalesce(f(c).over(column), F.col(c))
-    gx = beside("step", F.lag) + 2 * F.col("step") + beside("step", F.lead)
-    gy = beside("smooth", F.lead) - beside("smooth", F.lag)
-    sized = rows.withColumn("g", F.sqrt(gx * gx + gy * gy))
-    most = F.max("g").over(Window.partitionBy("series_id"))
-    return sized.withColumn("edge", F.when(most > 0, F.col("g") / most).otherwise(0.0))
+def rasterised_lassos(lassos: DataFrame, width: int, height: int) -> DataFrame:
+    """``id, x, y``: the pixels whose centres are inside each lasso's ``corners`` by the even-odd rule; only those of its box are looked at."""
+    ends = lambda axis, most: (F.greatest(F.lit(0), F.floor(F.array_min(F.transform("corners", lambda c: c[axis])))).cast("int"), F.least(F.lit(most - 1), F.ceil(F.array_max(F.transform("corners", lambda c: c[axis])))).cast("int"))
+    (x0, x1), (y0, y1) = ends("x", width), ends("y", height)
+    boxed = lassos.where((x0 <= x1) & (y0 <= y1)).withColumn("x", F.explode(F.sequence(x0, x1))).withColumn("y", F.explode(F.sequence(y0, y1)))
+    return boxed.where(in_polygon(F.col("x").cast("double"), F.col("y").cast("double"), F.col("corners"))).select("id", "x", "y")
 
 
 def fill_by_slices(mask: DataFrame) -> DataFrame:
@@ -107,6 +78,16 @@ def readable(rows: DataFrame, column: str, schema: str) -> tuple[DataFrame, Data
     return good, parsed.where(F.col("_parsed._corrupt").isNotNull() | F.col("_parsed").isNull()).select(*rows.columns).distinct()
 
 
+def parsed(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """The rows with the fields of their JSON, null where it doesn't read."""
+    good = F.from_json(column, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    names = [part.split()[0] for part in schema.split(", ")]
+    held = rows.withColumn("_parsed", good)
+    fields = [F.when(F.col("_parsed._corrupt").isNull(), F.col(f"_parsed.{n}")).alias(n) for n in names]
+    return held.select(*[c for c in rows.columns if c != column], *fields)
+
+
 def revision(fields: list[str]) -> Column:
-    """A hash of an item's fields as JSON, for telling whether it has changed since it was reviewed."""
-    return F.sha2(F.to_json(F.struct(*fields)), 256)
+    """A hash of an item's fields, for telling whether it has changed since it was reviewed: each field's length in bytes, a colon, and its text."""
+    texts = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
+    return F.sha2(F.concat(*[part for t in texts for part in (F.octet_length(t).cast("string"), F.lit(":"), t)]), 256)

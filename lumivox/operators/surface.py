@@ -61,11 +61,12 @@ def pattern_table(spacing: tuple[float, float, float]) -> list[tuple[int, float,
         area, vector, moment = 0.0, np.zeros(3), 0.0
         for loop in polygons(pattern):
             points = [(CORNERS[a] + CORNERS[b]) / 2 * spacing for a, b in loop]
-            for p, q in zip(points[1:], points[2:]):
-                cross = np.cross(q - points[0], p - points[0])
+            middle = np.mean(points, axis=0)  # loops aren't flat: triangles go out from their middle
+            for p, q in zip(points, points[1:] + points[:1]):
+                cross = np.cross(q - middle, p - middle)
                 area += np.linalg.norm(cross) / 2
                 vector += cross / 2
-                moment += points[0] @ cross / 6
+                moment += middle @ cross / 6
         rows.append((pattern, float(area), *map(float, vector), float(moment)))
     return rows
 
@@ -88,18 +89,21 @@ def mesh(mask: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:
 
 
 def directions(covariance: DataFrame, same: float = 1e-9) -> DataFrame:
-    """The unit direction of each segment's longest axis, its largest part positive; null where two lengths are the same. One row a segment."""
+    """``axes``: the unit directions of each segment's axes, the longest first, each with its largest part positive; null where another axis is as long. ``axis`` is the first. One row a segment."""
 
-    @F.pandas_udf("array<double>")
-    def longest(*parts: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<array<double>>")
+    def turned(*parts: pd.Series) -> pd.Series:
         out = []
         for ii, jj, kk, ij, ik, jk in zip(*parts):
             values, vectors = np.linalg.eigh(np.array([[ii, ij, ik], [ij, jj, jk], [ik, jk, kk]]))
-            axis = vectors[:, 2] * np.sign(vectors[np.argmax(np.abs(vectors[:, 2])), 2])
-            out.append(None if values[2] - values[1] <= same * max(1.0, values[2]) else axis)
+            alike = [abs(values[n] - values[n - 1]) <= same * max(1.0, values[2]) for n in (1, 2)]
+            known = [not (alike[1]), not (alike[0] or alike[1]), not alike[0]]
+            signed = [vectors[:, n] * np.sign(vectors[np.argmax(np.abs(vectors[:, n])), n]) for n in (2, 1, 0)]
+            out.append([list(axis) if there else None for axis, there in zip(signed, known)])
         return pd.Series(out)
 
-    return covariance.select(*KEY, longest("cii", "cjj", "ckk", "cij", "cik", "cjk").alias("axis"))
+    axes = turned("cii", "cjj", "ckk", "cij", "cik", "cjk")
+    return covariance.select(*KEY, axes.alias("axes")).withColumn("axis", F.get("axes", 0))
 
 
 def grow_robust(voxels: DataFrame, seeds: DataFrame, radius: int, tolerance: float) -> DataFrame:

@@ -67,28 +67,41 @@ def group_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 VALUES_SQL = "group_values AS (SELECT CAST(l_suppkey AS BIGINT) AS label, CAST(floor(l_extendedprice / 100) - 500 AS DOUBLE) AS value FROM lineitem)"
 
 
+#: Fields of slice headers that both engines derive by the same expression.
+_FIELDS = {
+    "series_uid": "CAST(l_orderkey AS BIGINT)",
+    "path": "CAST(l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS BIGINT)",
+    "z": """CASE WHEN l_orderkey % 5 = 0 THEN NULL WHEN l_orderkey % 17 = 0 THEN CAST(7 AS DOUBLE)
+        ELSE l_linenumber * CAST(2.5 AS DOUBLE) + CASE WHEN l_partkey % 7 = 0 THEN CAST(0.4 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END + l_suppkey % 4 * CAST(0.00007 AS DOUBLE) END""",
+    "instance_number": "CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE CAST(l_linenumber AS BIGINT) END",
+    "slice_location": "CASE WHEN l_orderkey % 20 = 0 THEN NULL ELSE l_linenumber * CAST(1.5 AS DOUBLE) END",
+    "spacing_between_slices": "CASE WHEN l_partkey % 3 = 0 THEN CAST(2.5 AS DOUBLE) END",
+    "slice_thickness": "CASE WHEN l_partkey % 2 = 0 THEN CAST(3 AS DOUBLE) END",
+    "temporal_position": "CASE WHEN l_orderkey % 9 = 0 AND l_partkey % 11 > 0 THEN CAST(1 + l_suppkey % 3 AS BIGINT) END",
+    "echo_number": "CASE WHEN l_orderkey % 3 = 0 THEN CAST(1 + l_suppkey % 2 AS BIGINT) END",
+    "echo_time": "CASE WHEN l_orderkey % 3 = 1 THEN 30 + l_partkey % 2 * CAST(50.5 AS DOUBLE) END",
+    "b_value": "CASE WHEN l_orderkey % 2 = 0 THEN CAST(l_partkey % 3 * 500 AS DOUBLE) END",
+    "acquisition_number": "CAST(1 + l_orderkey % 4 AS BIGINT)",
+    "trigger_time": "CASE WHEN l_orderkey % 7 = 1 THEN CAST(l_partkey % 3 * 40 AS DOUBLE) END",
+    "frame_reference_time": "CASE WHEN l_orderkey % 6 = 5 THEN CAST(l_linenumber * 1000 AS DOUBLE) END",
+    "isotropic": "CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END",
+    "component": "CASE WHEN l_orderkey % 8 = 3 THEN CASE l_suppkey % 3 WHEN 0 THEN 'PHASE' WHEN 1 THEN 'magnitude' ELSE 'OTHER' END END",
+    "photometric": "CASE WHEN l_returnflag = 'A' THEN 'MONOCHROME1' WHEN l_returnflag = 'N' THEN 'MONOCHROME2' ELSE 'RGB' END",
+    "pixel_spacing": "CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE CAST(0.5 AS DOUBLE) + l_partkey % 3 END",
+    "imager_spacing": "CASE WHEN l_partkey % 8 = 0 THEN NULL ELSE CAST(0.7 AS DOUBLE) END",
+    "group_spacing": "CASE WHEN l_partkey % 16 = 0 THEN NULL ELSE CAST(0.9 AS DOUBLE) END",
+    "window_width": "CAST(l_quantity - 10 AS DOUBLE)",
+    "matrix": "CAST(256 + 256 * (l_orderkey % 2) AS BIGINT)",
+    "tilt": "l_orderkey % 3 * CAST(0.0004 AS DOUBLE)",
+}
+
+
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A slice header a line item: series an order, several images at some positions, some without position or number."""
-    return table(spark, sf_dir, "lineitem").selectExpr(
-        "CAST(l_orderkey AS BIGINT) AS series_uid", "CAST(l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS BIGINT) AS path",
-        "IF(l_orderkey % 5 = 0, NULL, l_linenumber * 2.5D + IF(l_partkey % 7 = 0, 0.4D, 0D)) AS z",
-        "IF(l_orderkey % 10 = 0, NULL, CAST(l_linenumber AS BIGINT)) AS instance_number",
-        "CAST(1 + l_suppkey % 2 AS BIGINT) AS echo_number", "CAST(l_partkey % 3 * 500 AS DOUBLE) AS b_value",
-        "IF(l_returnflag = 'A', 'MONOCHROME1', 'MONOCHROME2') AS photometric",
-        "IF(l_partkey % 4 = 0, NULL, 0.5D + l_partkey % 3) AS pixel_spacing", "IF(l_partkey % 8 = 0, NULL, 0.7D) AS imager_spacing",
-        "CAST(l_quantity - 10 AS DOUBLE) AS window_width", "CAST(256 + 256 * (l_orderkey % 2) AS BIGINT) AS matrix", "l_orderkey % 3 * 0.0004D AS tilt",
-    )
+    """A slice header a line item: series an order, several images at some positions, some without position or number, some at one place only."""
+    return table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in _FIELDS.items()])
 
 
-HEADERS_SQL = """headers AS (SELECT CAST(l_orderkey AS BIGINT) AS series_uid, CAST(l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS BIGINT) AS path,
-    CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE CAST(l_linenumber AS DOUBLE) * 2.5 + CASE WHEN l_partkey % 7 = 0 THEN CAST(0.4 AS DOUBLE) ELSE 0 END END AS z,
-    CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE CAST(l_linenumber AS BIGINT) END AS instance_number,
-    CAST(1 + l_suppkey % 2 AS BIGINT) AS echo_number, CAST(l_partkey % 3 * 500 AS DOUBLE) AS b_value,
-    CASE WHEN l_returnflag = 'A' THEN 'MONOCHROME1' ELSE 'MONOCHROME2' END AS photometric,
-    CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE CAST(0.5 AS DOUBLE) + l_partkey % 3 END AS pixel_spacing,
-    CASE WHEN l_partkey % 8 = 0 THEN NULL ELSE CAST(0.7 AS DOUBLE) END AS imager_spacing,
-    CAST(l_quantity - 10 AS DOUBLE) AS window_width, CAST(256 + 256 * (l_orderkey % 2) AS BIGINT) AS matrix, CAST(l_orderkey % 3 AS DOUBLE) * 0.0004 AS tilt
-    FROM lineitem)"""
+HEADERS_SQL = f"headers AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _FIELDS.items())} FROM lineitem)"
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:

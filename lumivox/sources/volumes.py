@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+import re
 import struct
 from collections.abc import Iterator
 
@@ -10,28 +12,84 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumivox.functions.grid import to_storage
 from lumivox.plans.scratch import file_system
 
 #: NIfTI-1 datatype codes and their numpy kinds.
 KINDS = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
-HEADER = "path string, nx int, ny int, nz int, volumes int, sx double, sy double, sz double, datatype int, slope double, intercept double, ox double, oy double, oz double"
+HEADER = (
+    "path string, nx int, ny int, nz int, volumes long, sx double, sy double, sz double, datatype int, slope double, intercept double, "
+    "ox double, oy double, oz double, direction array<double>, target array<int>, flip array<boolean>"
+)
 
 
-def inventory(spark: SparkSession, folder: str, most: int = 100_000) -> DataFrame:
-    """``path, length, format`` of the files below a folder, hidden ones left out; more than ``most`` are refused, never cut.
+def inventory(spark: SparkSession, folder: str, most: int = 100_000, depth: int = 8) -> DataFrame:
+    """``path, length, format`` of the files below a folder; no content is read but of files whose name says no format.
 
-    The format is told by the first bytes and the name: ``DICM`` behind 128 bytes, or a NIfTI-1 magic.
+    What is hidden, or in a hidden folder, is left out. More than ``most`` files, or files more than ``depth`` folders down, are refused,
+    never cut. Names tell NIfTI (``.nii``, ``.nii.gz``, ``.hdr``) and DICOM (``.dcm``); of others the first bytes do: ``DICM`` behind 128, or a NIfTI-1 magic.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    seen = files.where(~F.element_at(F.split("path", "/"), -1).startswith("."))
-    if seen.select("path").limit(most + 1).count() > most:
+    below = F.regexp_replace("path", rf"^.*?{re.escape(folder.rstrip('/').rsplit('/', 1)[-1])}/", "")
+    parts = F.split(below, "/")
+    seen = files.where(~F.exists(parts, lambda p: p.startswith(".")))
+    limits = seen.select(F.size(parts).alias("parts")).limit(most + 1).agg(F.count("*"), F.max("parts")).first()
+    if limits[0] > most:
         raise ValueError(f"{folder} has more than {most} files")
-    kind = F.when(F.substring("content", 129, 4) == F.lit(b"DICM"), "dicom").when(F.substring("content", 345, 3).isin(F.lit(b"n+1"), F.lit(b"ni1")), "nifti").otherwise("unknown")
-    return seen.select("path", "length", kind.alias("format"), F.sha2("content", 256).alias("sha256"))
+    if (limits[1] or 0) - 1 > depth:
+        raise ValueError(f"{folder} has files more than {depth} folders down")
+    name = F.lower("path")
+    told = F.when(name.rlike(r"\.(nii(\.gz)?|hdr)$"), "nifti").when(name.endswith(".dcm"), "dicom")
+    byte = F.when(F.substring("content", 129, 4) == F.lit(b"DICM"), "dicom").when(F.substring("content", 345, 3).isin(F.lit(b"n+1"), F.lit(b"ni1")), "nifti").otherwise("unknown")
+    return seen.where(told.isNotNull()).select("path", "length", told.alias("format")).unionByName(seen.where(told.isNull()).select("path", "length", byte.alias("format")))
+
+
+def hashes(files: DataFrame) -> DataFrame:
+    """``path, length, sha256`` of whole files."""
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def _unpacked(content: bytes) -> bytes:
+    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+
+
+def _axes(content: bytes, order: str, step: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+    """The voxel axes (columns, in mm) and the origin of a header in the file's own frame, right and front and up; None without an orientation."""
+    number = lambda at, n=1: np.array(struct.unpack_from(f"{order}{n}f", content, at), float)
+    qform, sform = struct.unpack_from(order + "2h", content, 252)
+    if sform > 0:
+        rows = number(280, 12).reshape(3, 4)
+        axes, origin = rows[:, :3], rows[:, 3]
+    elif qform > 0:
+        b, c, d = number(256, 3)
+        a = np.sqrt(max(0.0, 1 - b * b - c * c - d * d))
+        turn = np.array([[a * a + b * b - c * c - d * d, 2 * (b * c - a * d), 2 * (b * d + a * c)], [2 * (b * c + a * d), a * a + c * c - b * b - d * d, 2 * (c * d - a * b)], [2 * (b * d - a * c), 2 * (c * d + a * b), a * a + d * d - b * b - c * c]])
+        axes, origin = turn * step * [1, 1, -1 if number(76)[0] < 0 else 1], number(268, 3)
+    else:
+        return None, np.zeros(3)
+    usable = np.isfinite(axes).all() and (np.linalg.norm(axes, axis=0) > 1e-6).all()
+    return (axes if usable else None), np.where(np.isfinite(origin).all(), origin, 0.0)
+
+
+def assigned(axes: np.ndarray, frame: np.ndarray = np.eye(3)) -> tuple[list[int], list[bool]]:
+    """For each stored axis (a column) the axis of ``frame`` that it becomes, and whether it runs against it.
+
+    The axis with the largest single part chooses first, so an oblique grid goes to the nearest permutation and no axis is taken twice.
+    """
+    parts = frame.T @ axes
+    left, target, flip = {0, 1, 2}, [0, 0, 0], [False] * 3
+    for a in sorted(range(3), key=lambda a: -np.abs(parts[:, a]).max()):
+        t = max(left, key=lambda t: (abs(parts[t, a]), t))
+        left.remove(t)
+        target[a], flip[a] = t, bool(parts[t, a] < 0)
+    return target, flip
 
 
 def parse_header(content: bytes) -> dict:
-    """The fields of a NIfTI-1 header of either byte order; an error says what is wrong with it."""
+    """The fields of a NIfTI-1 header of either byte order; an error says what is wrong with it.
+
+    ``target`` and ``flip`` say how its axes go to left, back and up; ``direction`` (by columns) and origin are those of the grid after that.
+    """
     if len(content) < 348:
         raise ValueError("shorter than a header")
     order = "<" if struct.unpack("<i", content[:4])[0] == 348 else ">"
@@ -39,19 +97,32 @@ def parse_header(content: bytes) -> dict:
         raise ValueError("no NIfTI-1 header")
     dim = struct.unpack(order + "8h", content[40:56])
     datatype = struct.unpack(order + "h", content[70:72])[0]
-    pixdim = struct.unpack(order + "8f", content[76:108])
+    pixdim = np.abs(struct.unpack(order + "8f", content[76:108]))
+    step = np.where(np.isfinite(pixdim[1:4]) & (pixdim[1:4] > 0), pixdim[1:4], 1.0)
     offset, slope, intercept = struct.unpack(order + "3f", content[108:120])
-    rows = [struct.unpack(order + "4f", content[280 + 16 * r : 296 + 16 * r]) for r in range(3)]
-    if datatype not in KINDS or not 3 <= dim[0] <= 7 or min(dim[1:4]) < 1:
+    if datatype not in KINDS or not 1 <= dim[0] <= 7:
         raise ValueError("dimensions or datatype that aren't read")
+    size = [max(1, dim[a]) if a <= dim[0] else 1 for a in range(1, 8)]
+    axes, origin = _axes(content, order, step)
+    target, flip, direction = [0, 1, 2], [False] * 3, np.eye(3)
+    if axes is not None:
+        turned = axes * [[-1.0], [-1.0], [1.0]]  # from right and front to left and back
+        target, flip = assigned(turned)
+        origin = origin * [-1.0, -1.0, 1.0]
+        for a in range(3):
+            direction[:, target[a]] = turned[:, a] / np.linalg.norm(turned[:, a]) * (-1 if flip[a] else 1)
+            if flip[a]:
+                origin = origin + turned[:, a] * (size[a] - 1)
+    good = np.isfinite(slope) and slope != 0
     return {
-        "nx": dim[1], "ny": dim[2], "nz": dim[3], "volumes": max(1, dim[4]) if dim[0] > 3 else 1, "sx": pixdim[1], "sy": pixdim[2], "sz": pixdim[3], "datatype": datatype,
-        "slope": slope if slope else 1.0, "intercept": intercept if slope else 0.0, "ox": rows[0][3], "oy": rows[1][3], "oz": rows[2][3], "order": order, "offset": int(offset),
+        "nx": size[0], "ny": size[1], "nz": size[2], "volumes": int(np.prod(size[3:])), "sx": float(step[0]), "sy": float(step[1]), "sz": float(step[2]), "datatype": datatype,
+        "slope": slope if good else 1.0, "intercept": intercept if np.isfinite(intercept) else 0.0, "ox": float(origin[0]) + 0.0, "oy": float(origin[1]) + 0.0, "oz": float(origin[2]) + 0.0,
+        "direction": (direction.T.ravel() + 0.0).tolist(), "target": target, "flip": flip, "order": order, "offset": max(348, int(offset)),
     }
 
 
 def read_headers(files: DataFrame) -> DataFrame:
-    """The header rows of ``path, content``; files that can't be read are left to ``rejects``."""
+    """The header rows of ``path, content`` (gzipped or not); files that can't be read are left to ``rejected``."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in HEADER.split(", ")]
@@ -59,61 +130,123 @@ def read_headers(files: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    rows.append({"path": path, **parse_header(content)})
-                except ValueError:
+                    rows.append({"path": path, **parse_header(_unpacked(content))})
+                except (ValueError, OSError, EOFError):
                     continue
             yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(parse, HEADER)
 
 
-def read_volume(files: DataFrame, volume: int = 0) -> DataFrame:
-    """``path, i, j, k, value`` of one volume of each file, scaled as its header says; a line of voxels at a time goes out."""
+def rejected(files: DataFrame) -> DataFrame:
+    """``path, reason`` of the files that ``read_headers`` leaves out."""
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    parse_header(_unpacked(content))
+                except (ValueError, OSError, EOFError) as error:
+                    rows.append({"path": path, "reason": str(error)})
+            yield pd.DataFrame(rows, columns=["path", "reason"])
+
+    return files.select("path", "content").mapInPandas(parse, "path string, reason string")
+
+
+def read_volume(files: DataFrame, volume: int = 0, canonical: bool = True) -> DataFrame:
+    """``path, i, j, k, value`` of one volume of each file, scaled as its header says, on the grid that runs left, back and up.
+
+    A slice goes out at a time. A volume that the file hasn't, or whose voxels are cut off, fails the job; with ``canonical`` unset voxels stay as stored.
+    """
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, packed in zip(batch["path"], batch["content"]):
+                content = _unpacked(packed)
                 h = parse_header(content)
-                n = h["nx"] * h["ny"] * h["nz"]
-                kind = np.dtype(h["order"] + KINDS[h["datatype"]])
+                size = [h["nx"], h["ny"], h["nz"]]
+                n, kind = size[0] * size[1] * size[2], np.dtype(h["order"] + KINDS[h["datatype"]])
+                if volume >= h["volumes"]:
+                    raise ValueError(f"no volume {volume + 1} in a file of {h['volumes']}: {path}")
+                if len(content) < h["offset"] + (volume + 1) * n * kind.itemsize:
+                    raise ValueError(f"voxels are cut off: {path}")
                 data = np.frombuffer(content, kind, n, h["offset"] + volume * n * kind.itemsize)
-                for k in range(h["nz"]):  # a slice at a time
-                    plane = data[k * h["nx"] * h["ny"] : (k + 1) * h["nx"] * h["ny"]]
-                    at = np.arange(len(plane))
-                    yield pd.DataFrame({"path": path, "i": (at % h["nx"]).astype("int32"), "j": (at // h["nx"]).astype("int32"), "k": np.int32(k), "value": plane * h["slope"] + h["intercept"]})
+                at = np.arange(size[0] * size[1])
+                for k in range(size[2]):
+                    stored = [at % size[0], at // size[0], np.full(len(at), k)]
+                    out = {}
+                    for a in range(3):
+                        turned = canonical and h["flip"][a]
+                        out["ijk"[h["target"][a] if canonical else a]] = (size[a] - 1 - stored[a] if turned else stored[a]).astype("int32")
+                    yield pd.DataFrame({"path": path, **{a: out[a] for a in "ijk"}, "value": data[k * len(at) : (k + 1) * len(at)] * h["slope"] + h["intercept"]})
 
     return files.select("path", "content").mapInPandas(decode, "path string, i int, j int, k int, value double")
 
 
-def read_labels(files: DataFrame) -> DataFrame:
-    """``path, label, i, j, k`` of label maps; a file with values other than 0 to 255 fails the job."""
+def read_labels(files: DataFrame, grid: tuple[int, int, int] | None = None) -> DataFrame:
+    """``path, label, i, j, k`` of label maps on the canonical grid; values other than 0 to 255, or a grid of another size than ``grid``, fail the job."""
     v = read_volume(files)
     bad = (F.col("value") != F.floor("value")) | ~F.col("value").between(0, 255)
-    label = F.when(bad, F.raise_error(F.concat(F.lit("no label map: "), "path")).cast("double")).otherwise(F.col("value"))
-    return v.select("path", label.cast("int").alias("label"), "i", "j", "k").where("label > 0")
-
-
-def write_volumes(voxels: DataFrame, folder: str, value: str, spacing: tuple[float, float, float], slope: float = 1.0, intercept: float = 0.0) -> DataFrame:
-    """A NIfTI-1 file a series of ``series_id, i, j, k, value`` in ``folder``; gives ``series_id, name``. A volume is one group."""
+    label = F.when(bad, F.raise_error(F.concat(F.lit("no label map: "), "path")).cast("double"))
+    if grid:
+        size = F.greatest(*[F.col(a) - (n - 1) for a, n in zip("ijk", grid)])
+        label = label.when(size > 0, F.raise_error(F.concat(F.lit("another grid than the volume's: "), "path")).cast("double"))
+    return v.select("path", label.otherwise(F.col("value")).cast("int").alias("label"), "i", "j", "k").where("label > 0")
+
+
+def to_bricks(voxels: DataFrame, low: float, high: float, edge: int = 8) -> DataFrame:
+    """``series_id, bi, bj, bk, data``: stored numbers of dense cubes of ``edge`` voxels, i fastest; a group is one brick."""
+    brick = [F.floor(F.col(a) / edge).cast("int").alias(f"b{a}") for a in "ijk"]
+    cells = voxels.select("series_id", *brick, "k", "j", "i", to_storage(F.col("value"), F.lit(low), F.lit(high)).alias("stored"))
+    packed = cells.groupBy("series_id", "bi", "bj", "bk").agg(F.array_sort(F.collect_list(F.struct("k", "j", "i", "stored"))).alias("cells"))
+    return packed.select("series_id", "bi", "bj", "bk", F.transform("cells", lambda c: c["stored"]).alias("data"))
+
+
+#: How example files are stored, by series: (axes of the canonical grid that the stored axes are, which of them are turned round, form, byte order).
+LAYOUTS = [((0, 1, 2), (False, False, False), "sform", "<"), ((2, 1, 0), (False, True, False), "sform", "<"), ((0, 1, 2), (True, True, False), "qform", ">"), ((0, 1, 2), (False, False, False), "none", "<")]
+
+
+def header_bytes(size: list[int], spacing: tuple[float, float, float], layout: tuple, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> bytes:
+    """A header of 352 bytes for 16-bit voxels of a canonical grid that is stored by a layout; ``origin`` is the canonical grid's."""
+    axes, turned, form, order = layout
+    header = bytearray(352)
+    struct.pack_into(order + "i", header, 0, 348)
+    struct.pack_into(order + "8h", header, 40, 3, *[size[a] for a in axes], 1, 1, 1, 1)
+    struct.pack_into(order + "2h", header, 70, 4, 16)
+    struct.pack_into(order + "8f", header, 76, 1, *[spacing[a] for a in axes], 1, 1, 1, 1)
+    struct.pack_into(order + "3f", header, 108, 352, 1, 0)
+    matrix, first = np.zeros((3, 3)), np.array(origin, float)
+    for column, (a, t) in enumerate(zip(axes, turned)):
+        matrix[a, column] = -spacing[a] if t else spacing[a]
+        first[a] += (size[a] - 1) * spacing[a] if t else 0
+    back = np.array([-1.0, -1.0, 1.0])  # to right and front
+    if form == "sform":
+        struct.pack_into(order + "2h", header, 252, 0, 1)
+        struct.pack_into(order + "12f", header, 280, *np.column_stack([matrix * back[:, None], first * back]).ravel())
+    elif form == "qform":  # no turn: the stored axes run right, front and up
+        struct.pack_into(order + "2h", header, 252, 1, 0)
+        struct.pack_into(order + "6f", header, 256, 0, 0, 0, *(first * back))
+    header[344:348] = b"n+1\0"
+    return bytes(header)
+
+
+def write_volumes(voxels: DataFrame, folder: str, value: str, spacing: tuple[float, float, float], layouts: list = LAYOUTS, packed: bool = False) -> DataFrame:  # noqa: B006
+    """A NIfTI-1 file a series of ``series_id, i, j, k, value`` in ``folder``, stored by a layout in turn; gives ``series_id, name``. A volume is one group."""
 
     def write(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         size = [int(frame[a].max()) + 1 for a in "ijk"]
-        data = np.zeros(size[::-1], "<i2")
-        data[frame["k"], frame["j"], frame["i"]] = np.round((frame[value] - intercept) / slope)
-        header = bytearray(352)
-        struct.pack_into("<i", header, 0, 348)
-        struct.pack_into("<8h", header, 40, 3, *size, 1, 1, 1, 1)
-        struct.pack_into("<2h", header, 70, 4, 16)
-        struct.pack_into("<8f", header, 76, 1, *spacing, 1, 1, 1, 1)
-        struct.pack_into("<3f", header, 108, 352, slope, intercept)
-        for r in range(3):
-            struct.pack_into("<4f", header, 280 + 16 * r, *[spacing[r] * (c == r) for c in range(3)], 0)
-        header[344:348] = b"n+1\0"
+        layout = layouts[key[0] % len(layouts)]
+        axes, turned, _, order = layout
+        data = np.zeros(size, order + "i2")
+        data[frame["i"], frame["j"], frame["k"]] = np.round(frame[value])
+        data = np.flip(data.transpose(axes), [n for n, t in enumerate(turned) if t])
+        content = header_bytes(size, spacing, layout) + data.tobytes(order="F")
         store, top = file_system(folder)
         store.create_dir(top)
-        name = f"{key[0]:08d}.nii"
-        with store.open_output_stream(f"{top}/{name}") as out:
-            out.write(bytes(header) + data.tobytes())
+        name = f"{key[0]:08d}.nii" + ".gz" * packed
+        with store.open_output_stream(f"{top}/{name}", compression=None) as out:
+            out.write(gzip.compress(content, 1, mtime=0) if packed else content)
         return pd.DataFrame({"series_id": [key[0]], "name": [name]})
 
     return voxels.select("series_id", "i", "j", "k", value).groupBy("series_id").applyInPandas(write, "series_id long, name string")

@@ -13,37 +13,156 @@ from lumivox.plans.scratch import scratch_path
 
 
 def command_counts(audit: DataFrame, every: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Entries and failures of each command in tumbling windows of event time; entries later than ``late`` are left out."""
+    """Entries and failures of each command in tumbling windows of event time.
+
+    In append mode a window goes out once, when the watermark has passed it, and its state is dropped; entries that come
+    for it after that are left out, so state holds the open windows only.
+    """
     windowed = audit.withWatermark("time", late).groupBy(F.window("time", every).alias("w"), "command")
     return windowed.agg(F.count("*").alias("n"), F.count(F.when(~F.col("ok"), 1)).alias("failed")).select(F.col("w.start").alias("start"), "command", "n", "failed")
 
 
+def _frame(rows: list[tuple], columns: dict[str, str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=list(columns)).astype(columns)
+
+
 def change_feed(audit: DataFrame) -> DataFrame:
-    """One row a change of an item: ``added`` at its first edit, ``revised`` at later ones, ``reviewed`` where a review that went through changes its state.
+    """One row a change of an item: ``added`` at its first edit, ``revised`` at later ones, ``reviewed`` where a review that went through changes its state, ``removed`` where it is deleted.
 
-    State is kept for each item (its edits and its last review), so a change is told once, whatever batch it comes in.
+    State is kept for each item that is there (its edits and its last review), so a change is told once, whatever batch it comes in; a
+    removed item's state goes, and a later edit adds it anew.
     """
+    columns = {"event_id": "int64", "workspace": "int64", "item": "int64", "change": "object"}
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         edits, review = state.get if state.exists else (0, "")
-        rows = pd.concat(list(frames)).sort_values(["time", "event_id"])
         out = []
+        rows = pd.concat(list(frames)).sort_values(["time", "event_id"])
         for event, command, ok in zip(rows["event_id"], rows["command"], rows["ok"]):
             if command in ("segment edit", "annotate add"):
-                out.append((event, "added" if edits == 0 else "revised"))
+                out.append((event, *key, "added" if edits == 0 else "revised"))
                 edits += 1
+            elif command == "item delete" and edits:
+                out.append((event, *key, "removed"))
+                edits, review = 0, ""
             elif command.startswith("review ") and ok and command != review:
-                out.append((event, "reviewed"))
+                out.append((event, *key, "reviewed"))
                 review = command
-        state.update((edits, review))
-        yield pd.DataFrame({"event_id": [e for e, _ in out], "workspace": key[0], "item": key[1], "change": [c for _, c in out]}).astype({"event_id": "int64", "workspace": "int64", "item": "int64", "change": "object"})
+        if edits or review:
+            state.update((edits, review))
+        elif state.exists:
+            state.remove()
+        yield _frame(out, columns)
 
     return audit.groupBy("workspace", "item").applyInPandasWithState(step, "event_id long, workspace long, item long, change string", "edits long, review string", "append", GroupStateTimeout.NoTimeout)
 
 
+def decisions(entries: DataFrame) -> DataFrame:
+    """``event_id, workspace, item, verdict`` of every review decision as it comes: accepted, failed, or refused as decided or as of a stale revision.
+
+    ``entries`` have ``stale``, by how many edits the reviewer's view was behind. State is an item's edits and whether it is decided.
+    """
+    columns = {"event_id": "int64", "workspace": "int64", "item": "int64", "verdict": "object"}
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        edits, decided = state.get if state.exists else (0, False)
+        out = []
+        rows = pd.concat(list(frames)).sort_values(["time", "event_id"])
+        for event, command, ok, stale in zip(rows["event_id"], rows["command"], rows["ok"], rows["stale"]):
+            if command in ("segment edit", "annotate add"):
+                edits += 1
+            elif command.startswith("review "):
+                behind = stale > 0 and edits > 0
+                verdict = "decided" if decided else "stale" if behind else "accepted" if ok else "failed"
+                out.append((event, *key, verdict))
+                decided = decided or verdict == "accepted"
+        state.update((edits, decided))
+        yield _frame(out, columns)
+
+    return entries.groupBy("workspace", "item").applyInPandasWithState(step, "event_id long, workspace long, item long, verdict string", "edits long, decided boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def deferred_changes(polls: DataFrame) -> DataFrame:
+    """``workspace, poll, change``: what each poll of a workspace's label map and metadata tells.
+
+    ``polls`` are ``workspace, poll, labels, metadata`` (hashes). A label map that changed without its metadata waits for one poll: if the
+    metadata follow, both are told together, else the label map by itself. State is the last told pair, and what waits.
+    """
+    columns = {"workspace": "int64", "poll": "int64", "change": "object"}
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        labels, metadata, waiting = state.get if state.exists else (None, None, False)
+        out = []
+        rows = pd.concat(list(frames)).sort_values("poll")
+        for poll, new_labels, new_metadata in zip(rows["poll"], rows["labels"], rows["metadata"]):
+            told = ""
+            if labels is None:
+                labels, metadata = new_labels, new_metadata
+                continue
+            moved, described = new_labels != labels, new_metadata != metadata
+            if described:
+                told, waiting = ("labels and metadata" if moved else "metadata"), False
+            elif moved and waiting:
+                told, waiting = "labels alone", False
+            elif moved:
+                waiting = True
+                continue
+            if told:
+                out.append((*key, poll, told))
+                labels, metadata = new_labels, new_metadata
+        state.update((labels, metadata, waiting))
+        yield _frame(out, columns)
+
+    return polls.groupBy("workspace").applyInPandasWithState(step, "workspace long, poll long, change string", "labels long, metadata long, waiting boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def readable_states(rows: DataFrame) -> DataFrame:
+    """``source, version, value, state``: of each version of a source its value if it reads; where it doesn't, ``rejected`` once and the last good value.
+
+    ``rows`` are ``source, version, value``, the value null where it can't be read. Further unreadable versions on end say nothing new.
+    """
+    columns = {"source": "int64", "version": "int64", "value": "Int64", "state": "object"}
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        good, bad = state.get if state.exists else (None, False)
+        out = []
+        rows = pd.concat(list(frames)).sort_values("version")
+        for version, value in zip(rows["version"], rows["value"]):
+            if pd.isna(value):
+                if not bad:
+                    out.append((*key, version, good, "rejected"))
+                bad = True
+            else:
+                good, bad = int(value), False
+                out.append((*key, version, good, "read"))
+        state.update((good, bad))
+        yield _frame(out, columns)
+
+    return rows.groupBy("source").applyInPandasWithState(step, "source long, version long, value long, state string", "good long, bad boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def arrivals(headers: DataFrame) -> DataFrame:
-    """Images and highest number of each series so far."""
-    return headers.groupBy("series_uid").agg(F.count("*").alias("images"), F.max("number").alias("last"))
+    """Images of each position of a series so far, by position, so that the state of a series is spread; ``completeness`` sums them up."""
+    return headers.groupBy("series_uid", "position").agg(F.count("*").alias("images"))
+
+
+def completeness(at: DataFrame) -> DataFrame:
+    """The series of ``arrivals``' last state: images, positions, most images at one, and whether all positions have as many."""
+    found = at.groupBy("series_uid").agg(F.sum("images").alias("images"), F.count("*").alias("positions"), F.max("images").alias("most"), F.min("images").alias("fewest"))
+    return found.select("series_uid", "images", "positions", "most", (F.col("most") == F.col("fewest")).alias("complete"))
+
+
+def spread(table: DataFrame, order: str, batches: int, name: str) -> DataFrame:
+    """A table as a stream that brings it in ``batches`` files, one a batch, by even ranges of ``order``."""
+    spark, folder = table.sparkSession, scratch_path(table.sparkSession, name)
+    low, high = table.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        low = high = 0
+    wide = (high - low) // batches + 1
+    number = F.floor((F.col(order) - F.lit(low)) / wide)
+    for n in range(batches):
+        table.where(number == n).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def run_to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:

@@ -7,11 +7,17 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumivox.functions import text as T
+from lumivox.operators import filters as X
+from lumivox.operators import hull as H
 from lumivox.operators import intensity as I
 from lumivox.operators import lattice as N
 from lumivox.operators import masks as M
 from lumivox.plans.components import connected_components
+from lumivox.operators import profiles as P
+from lumivox.operators import series as S
+from lumivox.sources import volumes as V
 from lumivox.sources.volumes import parse_header
+from lumivox.streaming import feeds
 
 MASK = "series_id long, label int, i int, j int, k int"
 
@@ -35,7 +41,7 @@ def test_cube(spark):
     assert one(M.covariance(m, (1, 1, 1)))["cii"] == pytest.approx(35 / 12)
     assert one(M.axis_lengths(M.covariance(m, (1, 1, 1))))["major"] == pytest.approx(4 * np.sqrt(35 / 12))
     assert M.surface(m).count() == 216 - 64
-    assert one(M.max_diameter(m, (1, 1, 2)))["diameter_mm"] == pytest.approx(np.sqrt(25 + 25 + 100))
+    assert one(H.max_diameter(m, (1, 1, 2)))["diameter_mm"] == pytest.approx(np.sqrt(25 + 25 + 100))
     assert M.runs(m, (6, 6, 6)).count() == 1
 
 
@@ -130,3 +136,159 @@ def test_mesh(spark):
         edges = [e for loop in polygons(pattern) for e in loop]
         cut = [(a, b) for a in range(8) for b in range(a + 1, 8) if bin(a ^ b).count("1") == 1 and (pattern >> a & 1) != (pattern >> b & 1)]
         assert sorted(edges) == sorted(cut)
+
+
+def test_hull(spark):
+    cube = one(H.convex_hull(mask(spark, box(6)), (1.0, 1.0, 1.0)))  # a cube of voxels with its edges and corners cut off
+    assert cube["hull_volume_mm3"] == pytest.approx(6**3 - 12 * (5 / 8) - 8 * (1 / 8 - 1 / 48), rel=1e-4) and cube["corners"] == 24
+    cells = [(i, j, k) for i in range(-8, 9) for j in range(-8, 9) for k in range(-8, 9) if i * i + j * j + k * k <= 64]
+    ball = mask(spark, cells)
+    hull = one(H.convex_hull(ball, (1.0, 1.0, 1.0)))
+    from lumivox.operators.surface import mesh
+
+    assert 0.9 < one(mesh(ball, (1.0, 1.0, 1.0)))["volume_mm3"] / hull["hull_volume_mm3"] <= 1
+    points = np.array(cells, float)
+    far = ((points[:, None] - points[None]) ** 2).sum(axis=2).max()
+    assert one(H.max_diameter(ball, (1, 1, 1)))["diameter_mm"] == pytest.approx(np.sqrt(far))
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.integers(0, 6)), min_size=5, max_size=60))
+def test_no_point_is_outside_its_hull(cells):
+    points = np.array(sorted({(2 * i + a, 2 * j + b, 2 * k + c) for i, j, k in cells for a, b, c in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))}), float)
+    faces = H._facets(points)
+    a, b, c = (points[faces[:, n]] for n in range(3))
+    normal = np.cross(b - a, c - a)
+    assert ((points @ normal.T - (a * normal).sum(axis=1)) <= 1e-3).all()
+    edges = {(f[n], f[(n + 1) % 3]) for f in faces.tolist() for n in range(3)}
+    assert len(edges) == 3 * len(faces) and all((v, u) in edges for u, v in edges)  # closed
+
+
+def test_distances_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 200, (60, 3)), np.concatenate([rng.integers(0, 30, (40, 3)), rng.integers(150, 200, (40, 3))])
+    got = M.distances(mask(spark, a.tolist()), mask(spark, b.tolist(), label=2), (1.0, 0.5, 2.0)).collect()
+    assert len(got) == len({tuple(x) for x in a.tolist()})
+    for r in got:
+        d = np.sqrt((((b - [r["i"], r["j"], r["k"]]) * (1.0, 0.5, 2.0)) ** 2).sum(axis=1))
+        assert r["mm"] == pytest.approx(d.min()) and any((b[n] == [r["ti"], r["tj"], r["tk"]]).all() for n in np.flatnonzero(d == d.min()))
+
+
+def test_small_steps_are_no_one_position(spark):
+    rows = [(1, n, 0.00006 * n) for n in range(6)] + [(2, n, 1.0) for n in range(3)]
+    names = ["temporal_position", "echo_number", "echo_time", "b_value", "acquisition_number", "trigger_time", "frame_reference_time", "isotropic", "instance_number"]
+    df = spark.createDataFrame(rows, "series_uid long, path long, z double").select("*", *[F.lit(None).cast("boolean" if n == "isotropic" else "double").alias(n) for n in names])
+    got = {(r["series_uid"], r["path"]): r["position"] for r in S.order_by_position(df).collect()}
+    assert [got[1, n] for n in range(6)] == [0, 0, 1, 1, 2, 2] and {got[2, n] for n in range(3)} == {0}
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.permutations([0, 1, 2]), st.tuples(st.booleans(), st.booleans(), st.booleans()), st.floats(-0.2, 0.2))
+def test_oblique_axes_go_to_the_nearest(order, turned, off):
+    axes = np.full((3, 3), off)
+    for stored, axis in enumerate(order):
+        axes[axis, stored] = -1.0 if turned[stored] else 1.0
+    assert V.assigned(axes) == (list(order), list(turned))
+
+
+def test_files_of_every_layout_read_alike(spark):
+    from lumivox.plans.scratch import scratch_path
+
+    rng = np.random.default_rng(2)
+    cells = [(s, i, j, k, int(rng.integers(-900, 900))) for s in range(4) for i in range(3) for j in range(4) for k in range(5)]
+    df = spark.createDataFrame(cells, "series_id long, i int, j int, k int, value int")
+    for packed in (False, True):
+        folder = scratch_path(spark, "files")
+        V.write_volumes(df, folder, "value", (1.0, 2.0, 3.0), packed=packed).collect()
+        files = spark.read.format("binaryFile").load(folder)
+        got = V.read_volume(files).selectExpr("CAST(regexp_extract(path, '([0-9]+).nii', 1) AS BIGINT) AS series_id", "i", "j", "k", "CAST(value AS INT) AS value")
+        assert sorted(map(tuple, got.collect())) == sorted(cells)
+        assert V.rejected(files).count() == 0
+    bad = spark.createDataFrame([("a.nii", b"short")], "path string, content binary")
+    assert V.read_headers(bad).count() == 0 and V.rejected(bad).first()["reason"] == "shorter than a header"
+    with pytest.raises(Exception, match="no volume 2"):
+        V.read_volume(files, 1).collect()
+
+
+def test_inventory_has_bounds(spark, tmp_path):
+    for name in ("a.nii", ".hidden.nii", "sub/b.dcm", "sub/.secret/c.nii", "sub/plain"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * 200)
+    got = {r["path"].rsplit("/", 1)[-1]: r["format"] for r in V.inventory(spark, str(tmp_path)).collect()}
+    assert got == {"a.nii": "nifti", "b.dcm": "dicom", "plain": "unknown"}
+    for limit in ({"most": 2}, {"depth": 0}):
+        with pytest.raises(ValueError):
+            V.inventory(spark, str(tmp_path), **limit)
+
+
+def test_metrics_give_reasons(spark):
+    m = mask(spark, box(3)).withColumn("value", F.lit(5.0))
+    series = spark.createDataFrame([(1, 0.0, 0.0, 0.0, "CT")], "series_id long, ox double, oy double, oz double, modality string")
+    got = {r["feature"]: (r["value"], r["reason"]) for r in P.metrics(m, series, (8, 8, 8), (1.0, 1.0, 1.0), "clinical").collect()}
+    assert len(got) == sum(map(len, P.CLINICAL.values()))
+    assert got["intensity.skewness"] == (None, "all values are equal") and got["shape.major_axis_dir_x"] == (None, "another axis is as long")
+    assert got["topology.euler_number"][0] == 1 and got["size.max_diameter_mm"][0] == pytest.approx(np.sqrt(12)) and got["topology.border_sides"][0] == 3
+    unknown = {r["feature"]: r["reason"] for r in P.metrics(m, series.withColumn("modality", F.lit("MR")), (8, 8, 8), (1.0, 1.0, 1.0)).collect()}
+    assert unknown["intensity.mean"] == "the unit of the values is unknown" and unknown["size.voxels"] is None
+    with pytest.raises(ValueError, match="unknown profile"):
+        P.metrics(m, series, (8, 8, 8), (1.0, 1.0, 1.0), "nope")
+
+
+def streamed(spark, batches, schema, step):
+    """What a stream tells of batches that come one after another."""
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="spark-")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return sorted(map(tuple, feeds.run_to_end(step(stream), "append", "told").collect()))
+
+
+def test_late_entries_are_left_out(spark):
+    schema = "event_id long, time timestamp, command string, ok boolean"
+    at = lambda day, hour=0: __import__("datetime").datetime(2024, 1, day, hour)
+    batches = [[(1, at(1), "a", True), (2, at(1, 5), "a", False)], [(3, at(9), "b", True)], [(4, at(9, 5), "b", True)], [(5, at(1, 6), "a", True)], [(6, at(20), "c", True)]]
+    got = streamed(spark, batches, schema, feeds.command_counts)
+    assert [r[1:] for r in got] == [("a", 2, 1), ("b", 2, 0)]  # the last window is open still
+
+
+def test_change_feed_over_batches(spark):
+    schema = "event_id long, time long, workspace long, item long, command string, ok boolean"
+    row = lambda n, command, ok=True: (n, n, 1, 7, command, ok)
+    batches = [[row(1, "segment edit"), row(2, "review confirm")], [row(3, "segment edit"), row(4, "review confirm")], [row(5, "item delete"), row(6, "item delete")], [row(7, "segment edit"), row(8, "review confirm", False)]]
+    got = streamed(spark, batches, schema, feeds.change_feed)
+    assert [(r[0], r[3]) for r in got] == [(1, "added"), (2, "reviewed"), (3, "revised"), (5, "removed"), (7, "added")]
+
+
+def test_decisions_over_batches(spark):
+    schema = "event_id long, time long, workspace long, item long, command string, ok boolean, stale int"
+    row = lambda n, command, ok=True, stale=0: (n, n, 1, 7, command, ok, stale)
+    batches = [[row(1, "segment edit")], [row(2, "review confirm", True, 1), row(3, "review reject", False)], [row(4, "review confirm")], [row(5, "review reject")]]
+    assert [r[3] for r in streamed(spark, batches, schema, feeds.decisions)] == ["stale", "failed", "accepted", "decided"]
+
+
+def test_a_label_map_waits_one_poll_for_its_metadata(spark):
+    polls = [(1, n, labels, metadata) for n, (labels, metadata) in enumerate([(1, 1), (2, 1), (2, 2), (3, 2), (3, 2), (3, 2), (4, 3), (4, 4)])]
+    got = streamed(spark, [polls[:2], polls[2:4], polls[4:]], "workspace long, poll long, labels long, metadata long", feeds.deferred_changes)
+    assert [r[1:] for r in got] == [(2, "labels and metadata"), (4, "labels alone"), (6, "labels and metadata"), (7, "metadata")]
+
+
+def test_the_last_good_state_is_kept(spark):
+    rows = [(1, 1, 5), (1, 2, None), (1, 3, None), (1, 4, 6), (1, 5, None)]
+    got = streamed(spark, [rows[:2], rows[2:3], rows[3:]], "source long, version long, value long", feeds.readable_states)
+    assert got == [(1, 1, 5, "read"), (1, 2, 5, "rejected"), (1, 4, 6, "read"), (1, 5, 6, "rejected")]
+
+
+def test_filters(spark):
+    line = spark.createDataFrame([(1, i, 0, 0, float(i == 4)) for i in range(9)], "series_id long, i int, j int, k int, value double")
+    smooth = {r["i"]: r["smooth"] for r in X.gaussian_smooth(line, 1.0).collect()}
+    assert sum(smooth.values()) == pytest.approx(1, abs=1e-2) and smooth[4] == max(smooth.values()) and smooth[3] == pytest.approx(smooth[5])
+    ramp = spark.createDataFrame([(1, i, j, k, float(i)) for i in range(5) for j in range(4) for k in range(4)], "series_id long, i int, j int, k int, value double")
+    edge = {r["i"]: r["edge"] for r in X.sobel(ramp).collect()}
+    assert edge[2] == 1.0 and edge[0] == pytest.approx(0.5)
+
+
+def test_box_union_of_empty_boxes(spark):
+    boxes = spark.createDataFrame([(1, 0, 0, 0, 5, 0, 5), (1, 2, 4, 1, 3, 0, 9), (2, 3, 3, 0, 1, 0, 1)], "key long, i0 int, i1 int, j0 int, j1 int, k0 int, k1 int")
+    assert sorted(map(tuple, M.box_union(boxes, ["key"]).collect())) == [(1, 2, 4, 1, 3, 0, 9), (2, 0, 0, 0, 0, 0, 0)]
