@@ -27,6 +27,15 @@ def _narrow(s, d):
     return C.voxels(s, d).where("label = 2 OR (j = 11 AND k = 5 AND i BETWEEN 7 AND 9)").select("series_id", F.lit(2).alias("label"), "i", "j", "k")
 
 
+def _two(s, d):
+    """Two boxes and a thin bridge between them: an opening at a seed keeps the one near it."""
+    return C.voxels(s, d).where("(i BETWEEN 9 AND 13 AND j BETWEEN 9 AND 13 AND k BETWEEN 3 AND 7) OR (i BETWEEN 1 AND 5 AND j BETWEEN 9 AND 13 AND k BETWEEN 3 AND 7) OR (j = 11 AND k = 5 AND i BETWEEN 6 AND 8)").select("series_id", F.lit(2).alias("label"), "i", "j", "k")
+
+
+def _beside(s, d):
+    return C.series(s, d).selectExpr("series_id", "2 AS label", "CASE WHEN series_id % 2 = 0 THEN 0 ELSE 15 END AS i", "11 AS j", "5 AS k")
+
+
 QUERIES = {
     "gra01_top02_components": lambda s, d: _long(_rounded(N.components(C.mask(s, d)), 5)),
     "gra02_split": lambda s, d: _long(N.split_segments(C.mask(s, d), 2)),
@@ -37,6 +46,7 @@ QUERIES = {
     "gra06_cavities": lambda s, d: _long(N.cavities(C.mask(s, d))),
     "gra07_region_growing": lambda s, d: _long(N.grow(C.voxels(s, d), _seeds(s, d), -930.0, -870.0, 2600)),
     "gra09_opening": lambda s, d: _long(N.opening(_narrow(s, d), C.SPACING, 2.0)),
+    "gra09_opening_at_seeds": lambda s, d: _long(N.opening(_two(s, d), C.SPACING, 2.0, _beside(s, d))),
     "geo02_distance_transform": lambda s, d: _long(_distance(s, d)),
 }
 
@@ -68,5 +78,9 @@ ORACLE_SQL = {
         o AS (SELECT m.series_id, m.i, m.j, m.k, m.i + x.d AS a, m.j + y.d AS b, m.k + z.d AS c FROM m, range(-1, 2) AS x(d), range(-1, 2) AS y(d), range(-1, 2) AS z(d) WHERE x.d*x.d + y.d*y.d + 4*z.d*z.d < 4),
         core AS (SELECT o.series_id, o.i, o.j, o.k FROM o LEFT JOIN m ON m.series_id = o.series_id AND m.i = a AND m.j = b AND m.k = c GROUP BY ALL HAVING count(m.i) = count(*))
         SELECT DISTINCT m.series_id, CAST(2 AS BIGINT) AS label, CAST(m.i AS BIGINT) AS i, CAST(m.j AS BIGINT) AS j, CAST(m.k AS BIGINT) AS k FROM m JOIN core c ON c.series_id = m.series_id AND (m.i-c.i)*(m.i-c.i) + (m.j-c.j)*(m.j-c.j) + 4*(m.k-c.k)*(m.k-c.k) <= 4""",
+    "gra09_opening_at_seeds": f"""WITH {C.VOXELS_SQL}, m AS (SELECT series_id, i, j, k FROM voxels WHERE (i BETWEEN 9 AND 13 AND j BETWEEN 9 AND 13 AND k BETWEEN 3 AND 7) OR (i BETWEEN 1 AND 5 AND j BETWEEN 9 AND 13 AND k BETWEEN 3 AND 7) OR (j = 11 AND k = 5 AND i BETWEEN 6 AND 8)),
+        o AS (SELECT m.series_id, m.i, m.j, m.k, m.i + x.d AS a, m.j + y.d AS b, m.k + z.d AS c FROM m, range(-1, 2) AS x(d), range(-1, 2) AS y(d), range(-1, 2) AS z(d) WHERE x.d*x.d + y.d*y.d + 4*z.d*z.d < 4),
+        core AS (SELECT o.series_id, o.i, o.j, o.k FROM o LEFT JOIN m ON m.series_id = o.series_id AND m.i = a AND m.j = b AND m.k = c WHERE (o.i < 7) = (o.series_id % 2 = 0) GROUP BY ALL HAVING count(m.i) = count(*))
+        SELECT DISTINCT m.series_id, CAST(2 AS BIGINT) AS label, CAST(m.i AS BIGINT) AS i, CAST(m.j AS BIGINT) AS j, CAST(m.k AS BIGINT) AS k FROM m JOIN core c ON c.series_id = m.series_id AND (m.i-c.i)*(m.i-c.i) + (m.j-c.j)*(m.j-c.j) + 4*(m.k-c.k)*(m.k-c.k) <= 4""",
     "geo02_distance_transform": f"WITH {C.VOXELS_SQL} SELECT v.series_id, CAST(v.i AS BIGINT) AS i, CAST(v.j AS BIGINT) AS j, CAST(v.k AS BIGINT) AS k, CAST(min((v.i-m.i)*(v.i-m.i) + (v.j-m.j)*(v.j-m.j) + 4*(v.k-m.k)*(v.k-m.k)) AS DOUBLE) AS d2 FROM voxels v JOIN mask m ON m.series_id = v.series_id AND m.label = 2 GROUP BY ALL",
 }

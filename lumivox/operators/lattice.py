@@ -12,27 +12,74 @@ from lumivox.plans.components import connected_components
 from lumivox.plans.scratch import written
 
 
-def lines(mask: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """Runs of voxels along i: ``key, j, k, i0, i1`` (inclusive). They are the nodes of the lattice's graph, far fewer than voxels."""
-    row = Window.partitionBy(*key, "j", "k").orderBy("i")
-    return mask.select(*key, *VOX).distinct().withColumn("island", F.col("i") - F.row_number().over(row)).groupBy(*key, "j", "k", "island").agg(F.min("i").alias("i0"), F.max("i").alias("i1")).drop("island")
+#: Lines of the grid to a side of the bricks that are labelled by themselves.
+BRICK = 64
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of each of ``n`` nodes' piece, by pointers that are jumped until nothing moves."""
+    root = np.arange(n)
+    while len(a):
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        while not (root[root] == root).all():
+            root = root[root]
+        live = root[a] != root[b]
+        a, b = a[live], b[live]
+    return root
+
+
+def _brick_runs(frame: pd.DataFrame, diagonal: bool) -> pd.DataFrame:
+    """The runs of voxels along i of one brick, in grid order, and the first run of the piece within the brick that each is in."""
+    i, j, k = (frame[a].to_numpy(np.int64) for a in VOX)
+    wide = int(i.max()) - (low := int(i.min())) + 4
+    tall = int(j.max()) - (first := int(j.min())) + 3
+    vox = np.unique(((k - (front := int(k.min()))) * tall + (j - first + 1)) * wide + (i - low + 1))
+    starts = np.flatnonzero(np.diff(vox, prepend=-5) != 1)
+    begin, end = vox[starts], vox[np.append(starts[1:], len(vox)) - 1]
+    reach = 1 if diagonal else 0
+    pairs = []
+    for dj, dk in [(dj, dk) for dk in (0, 1) for dj in (-1, 0, 1) if (dk, dj) > (0, 0)] if diagonal else [(1, 0), (0, 1)]:
+        off = (dk * tall + dj) * wide
+        x, y = np.searchsorted(end, begin + off - reach), np.searchsorted(begin, end + off + reach, "right")
+        many = np.maximum(y - x, 0)
+        mine = np.repeat(np.arange(len(begin)), many)
+        pairs.append((mine, np.repeat(x, many) + np.arange(len(mine)) - np.repeat(np.cumsum(many) - many, many)))
+    root = _roots(len(begin), *(np.concatenate(x) for x in zip(*pairs)))
+    at = lambda v: {"k": v // wide // tall + front, "j": v // wide % tall + first - 1, "i": v % wide + low - 1}
+    here, there = at(begin), at(begin[root])
+    return pd.DataFrame({"j": here["j"], "k": here["k"], "i0": here["i"], "i1": end % wide + low - 1, "rk": there["k"], "rj": there["j"], "ri": there["i"]}).astype("int32")
 
 
 def label_components(mask: DataFrame, diagonal: bool = True, key: list[str] = KEY) -> DataFrame:
     """Adds ``piece`` to the voxels: the first run, in grid order, of the 26- or 6-connected piece that a voxel is in.
 
-    Runs in neighbouring lines are joined on their line and compared by their ends, so a pair of runs is one
-    edge however many voxels touch.
+    Bricks of ``BRICK`` x ``BRICK`` lines are labelled by themselves, a brick at a time; only runs on their sides are joined with those
+    of the bricks beside them, and only the pieces that meet there are nodes of the graph whose components are sought. So the
+    iterated joins follow the bricks' surfaces, not the voxels.
     """
-    runs = written(lines(mask, key).withColumn("node", F.struct(*key, "k", "j", "i0")), "lines")
+    kinds = ", ".join(f"{c} {mask.schema[c].dataType.simpleString()}" for c in key)
+
+    def label(of: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        runs = _brick_runs(frame, diagonal)
+        for place, (c, value) in enumerate(zip(key, of)):
+            runs.insert(place, c, value)
+        return runs
+
+    brick = [F.floor(F.col(a) / BRICK).cast("int").alias(f"b{a}") for a in ("j", "k")]
+    found = mask.select(*key, *VOX, *brick).groupBy(*key, "bj", "bk").applyInPandas(label, f"{kinds}, j int, k int, i0 int, i1 int, rk int, rj int, ri int")
+    runs = written(found.withColumn("node", F.struct(*key, F.col("rk").alias("k"), F.col("rj").alias("j"), F.col("ri").alias("i0"))).drop("rk", "rj", "ri"), "runs")
     steps = [(dj, dk) for dk in (0, 1) for dj in (-1, 0, 1) if (dk, dj) > (0, 0)] if diagonal else [(1, 0), (0, 1)]
     reach = 1 if diagonal else 0
     near = F.array(*[F.struct((F.col("j") + dj).alias("j"), (F.col("k") + dk).alias("k")) for dj, dk in steps])
-    looks = runs.select(*key, F.col("node").alias("src"), F.col("i0").alias("a0"), F.col("i1").alias("a1"), F.inline(near))
-    edges = looks.join(runs.select(*key, "j", "k", F.col("node").alias("dst"), F.col("i0").alias("b0"), F.col("i1").alias("b1")), [*key, "j", "k"])
+    side = F.pmod(F.col("j"), F.lit(BRICK)).isin(0, BRICK - 1) | F.pmod(F.col("k"), F.lit(BRICK)).isin(0, BRICK - 1)
+    border = runs.where(side)
+    looks = border.select(*key, F.col("node").alias("src"), F.col("i0").alias("a0"), F.col("i1").alias("a1"), *[F.floor(F.col(a) / BRICK).alias(f"s{a}") for a in ("j", "k")], F.inline(near))
+    looks = looks.where((F.col("sj") != F.floor(F.col("j") / BRICK)) | (F.col("sk") != F.floor(F.col("k") / BRICK)))
+    edges = looks.join(border.select(*key, "j", "k", F.col("node").alias("dst"), F.col("i0").alias("b0"), F.col("i1").alias("b1")), [*key, "j", "k"])
     edges = edges.where((F.col("a0") <= F.col("b1") + reach) & (F.col("b0") <= F.col("a1") + reach)).select("src", "dst")
-    found = connected_components(edges)
-    named = runs.join(found, runs["node"] == found["node"], "left").select(*key, "j", "k", "i0", "i1", F.coalesce("component", runs["node"]).alias("piece"))
+    named = runs.join(connected_components(edges).withColumnRenamed("node", "met"), F.col("node") == F.col("met"), "left").select(*key, "j", "k", "i0", "i1", F.coalesce("component", "node").alias("piece"))
     return named.select(*key, F.explode(F.sequence("i0", "i1")).alias("i"), "j", "k", "piece")
 
 
@@ -101,37 +148,52 @@ def grow(voxels: DataFrame, seeds: DataFrame, low: float, high: float, most: int
     return sized.select("series_id", F.when(F.col("voxels") <= most, F.col("i")).alias("i"), F.when(F.col("voxels") <= most, F.col("j")).alias("j"), F.when(F.col("voxels") <= most, F.col("k")).alias("k"), (F.col("voxels") > most).alias("refused")).distinct()
 
 
-def _line_transform(step: float):
-    @F.pandas_udf("array<double>")
-    def transform(lines: pd.Series) -> pd.Series:
-        def one(f) -> np.ndarray:
-            f = np.asarray(f, float)
-            at = np.arange(len(f)) * step
-            return (f[None, :] + (at[:, None] - at[None, :]) ** 2).min(axis=1)
-
-        return lines.map(one)
-
-    return transform
+def _nearer(f: np.ndarray, step: float) -> np.ndarray:
+    """Along the rows of ``f`` the least of f plus the squared distance to where it is; steps grow until none can be nearer any more."""
+    out = f.copy()
+    some = np.isfinite(f).any(axis=1)
+    held, best = f[some], out[some]
+    for d in range(1, f.shape[1]):
+        cost = (d * step) ** 2
+        if not (best > cost).any():
+            break
+        np.minimum(best[:, d:], held[:, :-d] + cost, out=best[:, d:])
+        np.minimum(best[:, :-d], held[:, d:] + cost, out=best[:, :-d])
+    out[some] = best
+    return out
 
 
 def squared_distances(cells: DataFrame, spacing: tuple[float, float, float], key: list[str] = KEY) -> DataFrame:
-    """``d2``: each cell's squared distance in mm to the nearest cell with ``inside``, exact, by one pass along each axis.
+    """``d2``: each cell's squared distance in mm to the nearest cell with ``inside``, exact, from two passes: axial slices, then coronal ones.
 
-    ``cells`` are whole boxes (``key, i, j, k, inside``). A pass gathers a line of the grid, never more, and takes the
-    lower envelope of the parabolas over it. Infinity where a box has no inside cell.
+    ``cells`` are whole boxes (``key, i, j, k, inside``). A slice of a box is the largest group; its lines are worked on
+    together along two axes, then along the third. Infinity where a box has no inside cell.
     """
-    state = cells.select(*key, *VOX, F.when(F.col("inside"), 0.0).otherwise(float("inf")).alias("d2"))
-    for axis, step in zip(VOX, spacing):
-        line = [*key, *[a for a in VOX if a != axis]]
-        packed = state.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct(axis, "d2"))).alias("cells"))
-        moved = packed.select(*line, F.expr(f"transform(cells, c -> c.{axis})").alias("at"), _line_transform(step)(F.expr("transform(cells, c -> c.d2)")).alias("d2"))
-        state = moved.select(*line, F.posexplode("at").alias("pos", axis), "d2").select(*line, axis, F.get("d2", "pos").alias("d2"))
-    return state.select(*key, *VOX, "d2")
+    kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in key)
+
+    def pass_over(a: str, b: str, steps: tuple[float | None, float]):
+        other = next(x for x in VOX if x not in (a, b))
+
+        def one(of: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            x, y = (frame[c].to_numpy(np.int64) - int(frame[c].min()) for c in (a, b))
+            grid = np.full((int(x.max()) + 1, int(y.max()) + 1), np.inf)
+            grid[x, y] = frame["d2"]
+            grid = _nearer(grid, steps[1])  # along b
+            if steps[0] is not None:
+                grid = _nearer(np.ascontiguousarray(grid.T), steps[0]).T
+            return frame.assign(d2=grid[x, y])[[*key, *VOX, "d2"]]
+
+        return lambda state: state.groupBy(*key, other).applyInPandas(one, f"{kinds}, i int, j int, k int, d2 double")
+
+    state = cells.select(*key, *[F.col(a).cast("int").alias(a) for a in VOX], F.when(F.col("inside"), 0.0).otherwise(float("inf")).alias("d2"))
+    state = pass_over("j", "i", (spacing[1], spacing[0]))(state)
+    return pass_over("i", "k", (None, spacing[2]))(state)
 
 
-def opening(mask: DataFrame, spacing: tuple[float, float, float], radius: float) -> DataFrame:
+def opening(mask: DataFrame, spacing: tuple[float, float, float], radius: float, seeds: DataFrame | None = None) -> DataFrame:
     """A segment without what is narrower than twice ``radius``: its voxels within the radius of the core, which is as far from the outside.
 
+    With ``seeds`` (``KEY, i, j, k``, one a segment) only the core's piece that is nearest to the seed counts, of equals the first in grid order.
     A segment without a core stays as it is.
     """
     pad = [int(radius // s) + 1 for s in spacing]
@@ -145,6 +207,13 @@ def opening(mask: DataFrame, spacing: tuple[float, float, float], radius: float)
     out = squared_distances(flagged.withColumn("inside", ~F.col("own")), spacing)
     core = flagged.join(out, [*KEY, *VOX]).withColumn("inside", F.col("own") & (F.col("d2") >= radius * radius)).select(*KEY, *VOX, "own", "inside")
     core = written(core, "core")
+    if seeds is not None:
+        pieces = label_components(core.where("inside").select(*KEY, *VOX))
+        d2 = sum((F.pow((F.col(a) - F.col(f"s{a}")) * m, F.lit(2)) for a, m in zip(VOX, spacing)), F.lit(0.0))
+        near = pieces.join(seeds.select(*KEY, *[F.col(a).alias(f"s{a}") for a in VOX]), KEY)
+        chosen = near.groupBy(*KEY).agg(F.min_by("piece", F.struct(d2.alias("d2"), "k", "j", "i")).alias("piece"))
+        kept = pieces.join(chosen, [*KEY, "piece"], "left_semi").select(*KEY, *VOX, F.lit(True).alias("kept"))
+        core = written(core.join(kept, [*KEY, *VOX], "left").withColumn("inside", F.coalesce("kept", F.lit(False))).drop("kept"), "core")
     near = squared_distances(core, spacing)
     has = core.groupBy(*KEY).agg(F.bool_or("inside").alias("has"))
     return core.where("own").join(near, [*KEY, *VOX]).join(has, KEY).where((F.col("d2") <= radius * radius) | ~F.col("has")).select(*KEY, *VOX)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumivox.plans.scratch import written
+from lumivox.plans.scratch import written_with
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,14 +30,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull())
     loops = pairs.where("u = v").select("u").distinct()
-    current = written(pairs.where("u <> v").distinct(), "edges")
+    size = (F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x"))
+    current, seen = written_with(pairs.where("u <> v").distinct(), "edges", *size)
     before = None
-    while True:
-        seen = current.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-        if seen[0] == 0 or seen == before:
-            break
+    while seen["n"] and seen != before:
         before = seen
-        current = written(_small_star(_large_star(current)), "edges")
+        current, seen = written_with(_small_star(_large_star(current)), "edges", *size)
     found = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component"))
     alone = loops.select(F.col("u").alias("node"), F.col("u").alias("component"))

@@ -6,13 +6,15 @@ import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a fresh temporary folder only where that setting is unset."""
+    """The cluster's ``spark.checkpoint.dir``; a fresh temporary folder where that setting is unset in a local session, an error elsewhere."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that driver and executors share")
     if not folder:
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         folder = context.getCheckpointDir()
@@ -32,6 +34,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_with(df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
+    """``written``, and aggregates of the rows (each with an alias) that are taken as they are written, without a job of their own."""
+    seen = Observation()
+    table = written(df.observe(seen, *measures), name)
+    return table, seen.get
+
+
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI or absolute path, and the path in it, for tasks that write or map files themselves."""
     if uri.startswith("file:"):

@@ -292,3 +292,33 @@ def test_filters(spark):
 def test_box_union_of_empty_boxes(spark):
     boxes = spark.createDataFrame([(1, 0, 0, 0, 5, 0, 5), (1, 2, 4, 1, 3, 0, 9), (2, 3, 3, 0, 1, 0, 1)], "key long, i0 int, i1 int, j0 int, j1 int, k0 int, k1 int")
     assert sorted(map(tuple, M.box_union(boxes, ["key"]).collect())) == [(1, 2, 4, 1, 3, 0, 9), (2, 0, 0, 0, 0, 0, 0)]
+
+
+@pytest.mark.parametrize("diagonal", [True, False])
+def test_pieces_over_several_bricks(spark, diagonal):
+    rng = np.random.default_rng(6)
+    cells = {(int(i), int(j), int(k)) for i, j, k in zip(rng.integers(-2, 9, 5200), rng.integers(50, 145, 5200), rng.integers(60, 70, 5200))} | {(20, j, 5) for j in range(400)}
+    near = M.AROUND if diagonal else M.FACES
+    left, pieces = set(cells), []
+    while left:
+        stack, piece = [left.pop()], set()
+        while stack:
+            c = stack.pop()
+            piece.add(c)
+            for o in near:
+                n = tuple(x + y for x, y in zip(c, o))
+                if n in left:
+                    left.remove(n)
+                    stack.append(n)
+        pieces.append(piece)
+    got = {}
+    for r in N.label_components(mask(spark, sorted(cells)), diagonal).collect():
+        got.setdefault(r["piece"], set()).add((r["i"], r["j"], r["k"]))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, pieces))
+
+
+def test_opening_at_a_seed(spark):
+    boxes = [(i, j, k) for i in (*range(5), *range(9, 14)) for j in range(5) for k in range(5)] + [(i, 2, 2) for i in range(5, 9)]
+    seeds = spark.createDataFrame([(1, 1, 13, 2, 2)], MASK)
+    assert {r["i"] for r in N.opening(mask(spark, boxes), (1.0, 1.0, 1.0), 2.0, seeds).collect()} >= set(range(9, 14))
+    assert min(r["i"] for r in N.opening(mask(spark, boxes), (1.0, 1.0, 1.0), 2.0, seeds).collect()) >= 8
