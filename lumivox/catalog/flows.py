@@ -216,11 +216,13 @@ def _integrity(s, d):
 
 
 def _slice_match(s, d):
-    """The source image nearest to each exported slice along the normal, within half a spacing."""
-    h = C.headers(s, d).where("z IS NOT NULL").select("series_uid", "path", "z").distinct()
-    out = h.groupBy("series_uid").agg(F.min("z").alias("a"), F.max("z").alias("b")).select("series_uid", F.explode(F.sequence(F.floor("a").cast("int"), F.floor("b").cast("int"))).alias("slice"))
-    near = out.join(h, "series_uid").withColumn("off", F.abs(F.col("z") - F.col("slice"))).where("off <= 1.25")
-    return near.groupBy("series_uid", F.col("slice").cast("long").alias("slice")).agg(F.min(F.struct(F.round("off", 6).alias("off"), "path")).alias("m")).select("series_uid", "slice", F.col("m.path").alias("path"), F.col("m.off").alias("off"))
+    """The source image nearest to each exported slice along the normal, of those whose own normal is parallel, within half a slice spacing."""
+    h = C.headers(s, d).where("z IS NOT NULL").select("series_uid", "path", "z", F.when(F.col("path") % 13 == 0, -0.9995).when(F.col("path") % 11 == 0, 0.95).otherwise(F.cos("tilt")).alias("along")).distinct()
+    spacing = 1.5 + F.col("series_uid") % 3
+    out = h.groupBy("series_uid").agg(F.min("z").alias("a"), F.max("z").alias("b")).withColumn("spacing", spacing)
+    out = out.select("series_uid", "spacing", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("b") - F.col("a")) / F.col("spacing")))).alias("slice"))
+    near = out.join(h.where(F.abs("along") > 0.999), "series_uid").withColumn("off", F.round(F.abs(F.col("z") - (F.col("a") + F.col("slice") * F.col("spacing"))), 6)).where(F.col("off") <= F.col("spacing") / 2)
+    return near.groupBy("series_uid", "slice").agg(F.min(F.struct("off", "path")).alias("m")).select("series_uid", "slice", F.col("m.path").alias("path"), F.col("m.off").alias("off"))
 
 
 def _peaks(s, d):
@@ -405,7 +407,9 @@ ORACLE_SQL = {
         SELECT series_id, CAST(bin AS BIGINT) AS bin, round(h, 4) AS height, row_number() OVER (PARTITION BY series_id ORDER BY h DESC, bin) AS rank FROM p WHERE bin >= 2 AND h > f AND h >= t AND h > 0""",
     "join12_same_catalogues": "WITH f AS (SELECT DISTINCT l_orderkey AS series, l_linenumber % 2 AS w, CAST(l_partkey AS VARCHAR) AS path, sha256(CAST(l_suppkey AS VARCHAR)) AS h FROM lineitem), l AS (SELECT series, w, list_sort(list(path || h)) AS files FROM f GROUP BY ALL) SELECT a.series, a.files = b.files AS same, len(a.files) AS files FROM l a JOIN l b ON a.series = b.series AND a.w = 0 AND b.w = 1",
     "join13_source_integrity": "SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'missing' WHEN p_partkey % 7 = 0 AND p_brand <> p_name THEN 'changed' ELSE 'ok' END AS status FROM part",
-    "join14_slice_match": f"{_H}, n AS (SELECT DISTINCT series_uid, path, z FROM h WHERE z IS NOT NULL), o AS (SELECT series_uid, unnest(range(CAST(floor(min(z)) AS BIGINT), CAST(floor(max(z)) AS BIGINT) + 1)) AS slice FROM n GROUP BY 1), m AS (SELECT o.series_uid, o.slice, path, round(abs(z - o.slice), 6) AS off FROM o JOIN n ON n.series_uid = o.series_uid AND abs(z - o.slice) <= 1.25) SELECT series_uid, slice, path, off FROM m QUALIFY row_number() OVER (PARTITION BY series_uid, slice ORDER BY off, path) = 1",
+    "join14_slice_match": f"""{_H}, n AS (SELECT DISTINCT series_uid, path, z, CASE WHEN path % 13 = 0 THEN -0.9995 WHEN path % 11 = 0 THEN 0.95 ELSE cos(tilt) END AS along FROM h WHERE z IS NOT NULL), e AS (SELECT series_uid, 1.5::DOUBLE + series_uid % 3 AS spacing, min(z) AS a, max(z) AS b FROM n GROUP BY 1),
+        o AS (SELECT *, unnest(range(0, CAST(floor((b - a) / spacing) AS BIGINT) + 1)) AS slice FROM e), m AS (SELECT o.series_uid, o.slice, path, spacing, round(abs(z - (a + slice * spacing)), 6) AS off FROM o JOIN n ON n.series_uid = o.series_uid AND abs(along) > 0.999)
+        SELECT series_uid, slice, path, off FROM m WHERE off <= spacing / 2 QUALIFY row_number() OVER (PARTITION BY series_uid, slice ORDER BY off, path) = 1""",
     "top09_seed_slices": f"{W}, c AS (SELECT series_id, label, 'sagittal' AS axis, i AS at, count(*) AS n FROM mask GROUP BY ALL UNION ALL SELECT series_id, label, 'coronal', j, count(*) FROM mask GROUP BY ALL UNION ALL SELECT series_id, label, 'axial', k, count(*) FROM mask GROUP BY ALL), t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY series_id, label, axis ORDER BY n DESC, at) = 1) SELECT m.series_id, CAST(m.label AS BIGINT) AS label, axis, {IJK} FROM mask m JOIN t ON t.series_id = m.series_id AND t.label = m.label AND CASE axis WHEN 'axial' THEN k WHEN 'coronal' THEN j ELSE i END = t.at".replace("AS at,", "AS pos,").replace("slice, at)", "slice, pos)").replace("n DESC, at)", "n DESC, pos)").replace("t.at", "t.pos"),
     "prj11_plane_mapping": f"{W} SELECT {L}, 'axial' AS plane, CAST(i AS BIGINT) AS px, CAST(j AS BIGINT) AS py, CAST(k AS BIGINT) AS slice FROM mask UNION ALL SELECT {L}, 'coronal', CAST(i AS BIGINT), CAST(11 - k AS BIGINT), CAST(j AS BIGINT) FROM mask UNION ALL SELECT {L}, 'sagittal', CAST(j AS BIGINT), CAST(11 - k AS BIGINT), CAST(i AS BIGINT) FROM mask",
     "prj12_reorientation": f"""{W}, o AS (SELECT *, [[0, 1, 2], [0, 2, 1], [1, 0, 2], [1, 2, 0], [2, 0, 1], [2, 1, 0]][series_id % 6 + 1] AS t, CASE WHEN (series_id // 6) % 2 = 1 THEN 15 - i ELSE i END AS a, CASE WHEN (series_id // 12) % 2 = 1 THEN 15 - j ELSE j END AS b, CASE WHEN (series_id // 24) % 2 = 1 THEN 11 - k ELSE k END AS c FROM mask)

@@ -9,6 +9,7 @@ from lumivox.catalog.intensity import _rounded
 from lumivox.catalog.segments import _long
 from lumivox.operators import annotations as A
 from lumivox.operators import filters as X
+from lumivox.operators import series as S
 from lumivox.operators import studies as U
 from lumivox.plans.scratch import scratch_path
 from lumivox.sources import cohort as C
@@ -23,9 +24,13 @@ def _frames(s, d):
 
 
 def _sidecars(s, d):
-    """A sidecar a customer: b-values as text, used only if there are as many as volumes."""
-    o = C.table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("volumes"), F.concat_ws(" ", F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: (k % 3 * 500).cast("string"))).alias("text"))
-    return U.sidecar_names(o.select(F.col("o_custkey").alias("file"), (F.col("volumes") + (F.col("o_custkey") % 7 == 0).cast("int")).alias("volumes"), "text"))
+    """A sidecar a customer, b-values as text or frame starts as JSON, used only if there are as many as volumes."""
+    o = C.table(s, d, "orders").groupBy(F.col("o_custkey").alias("file")).agg(F.count("*").alias("volumes"), F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    o = o.withColumn("volumes", F.col("volumes") + (F.col("file") % 7 == 0).cast("int"))
+    b = o.where("file % 2 = 0").select("file", "volumes", F.concat_ws(" ", F.transform("keys", lambda k: (k % 3 * 500).cast("string"))).alias("text"))
+    starts = F.transform("keys", lambda k: k % 50 + 0.5)
+    t = o.where("file % 2 = 1").select("file", "volumes", F.to_json(F.struct(starts.alias("FrameTimesStart"), F.lit("x").alias("Units"))).alias("text"))
+    return U.sidecar_names(b).withColumn("start", F.lit(-1.0)).unionByName(U.frame_times(t))
 
 
 def _prompts(s, d):
@@ -44,6 +49,14 @@ def _catalogue(s, d):
     return U.not_empty(headers.unionByName(volumes))
 
 
+def _members(s, d):
+    """The images of each first volume (the one shown) with their series' description."""
+    h = C.headers(s, d).distinct()
+    shown = S.order_by_position(h).where("rank = 1").select("series_uid", "path", F.col("position").cast("long").alias("position"))
+    described = C.table(s, d, "orders").select(F.col("o_orderkey").cast("long").alias("series_uid"), F.col("o_orderpriority").alias("description"))
+    return U.members(h.select("series_uid", "path", "matrix").distinct(), shown, described.distinct())
+
+
 def _strokes(s, d):
     """A prompt an order on a raster of 40 x 40: strokes of two points and a radius, and lassos of four corners."""
     n, c = F.col("o_orderkey"), F.col("o_custkey")
@@ -56,12 +69,16 @@ def _strokes(s, d):
 
 
 def _auto(s, d):
-    """Adopts bands of the value as proposed segments: the lowest labels above those in use, their voxels and overlap."""
+    """Adopts bands of the value as proposed segments of an engine: the lowest free labels, voxels that were free and those of others that stay, and failed checks."""
     found = C.voxels(s, d).withColumn("found", F.when(F.col("value") > 820, 2).when(F.col("value") > 110, 1)).where("found IS NOT NULL")
-    n = found.groupBy("series_id", "found").agg(F.count("*").alias("voxels"), F.count(F.when(F.col("label") > 0, 1)).alias("overlap"))
-    top = C.mask(s, d).groupBy("series_id").agg(F.max("label").alias("top"))
+    n = found.groupBy("series_id", "found").agg(F.count("*").alias("voxels"), F.count(F.when(F.col("label") > 0, 1)).alias("overlap"), F.bool_or(F.col("i").isin(0, C.NX - 1) | F.col("j").isin(0, C.NY - 1) | F.col("k").isin(0, C.NZ - 1)).alias("touches"))
+    free = C.mask(s, d).select("series_id", "label").distinct().groupBy("series_id").agg(F.collect_set("label").alias("used"))  # 255 at most
     rank = F.row_number().over(Window.partitionBy("series_id").orderBy("found"))
-    return _long(n.join(top, "series_id").select("series_id", "found", (F.col("top") + rank).alias("new_label"), "voxels", "overlap", F.lit("proposed").alias("status")))
+    label = F.get(F.array_except(F.sequence(F.lit(1), F.lit(255)), "used"), F.col("rank") - 1)
+    adopted = F.col("voxels") - F.col("overlap")
+    failed = F.when(adopted == 0, F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(F.when(F.col("touches"), "border"), F.when(F.col("overlap") > 0.01 * adopted, "overlap"))))
+    ranked = n.withColumn("rank", rank).join(free, "series_id")
+    return _long(ranked.select("series_id", "found", label.alias("new_label"), adopted.alias("voxels"), "overlap", F.array_join(failed, ",").alias("failed"), F.lit("proposed").alias("status"), F.lit("engine").alias("author")))
 
 
 def _flat(s, d):
@@ -77,20 +94,27 @@ def _rejects(s, d):
 
 
 def _bundle(s, d):
+    """The export of each workspace: its items with whether they are confirmed, counts, a disclaimer where some aren't, and the files by name and hash."""
     a = C.annotations(s, d).select("workspace", F.lit("annotation").alias("kind"), F.col("id").cast("string").alias("item"), (F.col("status") == "confirmed").alias("confirmed"))
     g = C.mask(s, d).select("series_id", "label").distinct().select((F.col("series_id") % 50).alias("workspace"), F.lit("segment").alias("kind"), F.concat_ws("/", "series_id", "label").alias("item"), (F.col("label") == 1).alias("confirmed"))
     folder = scratch_path(s, "bundle")
     a.unionByName(g).write.partitionBy("workspace").parquet(folder)
-    return s.read.parquet(folder).groupBy(F.col("workspace").cast("long").alias("workspace"), "kind").agg(F.count("*").alias("items"), F.count(F.when(~F.col("confirmed"), 1)).alias("unconfirmed"))
+    files = C.series(s, d).select((F.col("series_id") % 50).alias("workspace"), F.concat(F.lit("file"), "series_id").alias("name")).groupBy("workspace").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "name", F.sha2("name", 256)))), ",").alias("files"))
+    counted = s.read.parquet(folder).groupBy(F.col("workspace").cast("long").alias("workspace"), "kind").agg(F.count("*").alias("items"), F.count(F.when(~F.col("confirmed"), 1)).alias("unconfirmed"))
+    return counted.join(files, "workspace", "left").select("workspace", "kind", "items", "unconfirmed", F.when(F.col("unconfirmed") > 0, F.concat_ws(" ", "unconfirmed", F.lit("of these were not reviewed by a person"))).otherwise("").alias("disclaimer"), F.coalesce("files", F.lit("")).alias("files"))
 
 
 def _segment_changes(s, d):
-    """Renames and deletions of segments; only what an agent made and nobody confirmed may be changed."""
-    g = C.mask(s, d).groupBy("series_id", "label").agg(F.count("*").alias("voxels")).withColumn("author", F.when(F.col("series_id") % 3 == 0, "human").otherwise("agent"))
-    asked = F.when(F.col("label") == 1, "rename").otherwise("delete")
-    allowed = F.col("author") == "agent"
-    out = g.withColumn("asked", asked).where(~(allowed & (F.col("asked") == "delete")))
-    return _long(out.select("series_id", "label", F.when(allowed & (F.col("asked") == "rename"), "renamed").otherwise(F.concat_ws(" ", F.lit("Segment"), "label")).alias("name"), "voxels"))
+    """Renames, colours, visibility, opacity (kept within 0 to 1) and deletions of segments; only what an agent made and nobody confirmed may be renamed or deleted."""
+    g = C.mask(s, d).groupBy("series_id", "label").agg(F.count("*").alias("voxels")).withColumn("author", F.when(F.col("series_id") % 3 == 0, "human").otherwise("agent")).withColumn("status", F.when(F.col("series_id") % 5 == 0, "confirmed").otherwise("proposed"))
+    n = F.col("series_id")
+    asked = F.when(F.col("label") == 1, F.element_at(F.array(*map(F.lit, ["rename", "colour", "hide", "opacity"])), (n % 4 + 1).cast("int"))).otherwise("delete")
+    reason = F.when(asked.isin("rename", "delete"), A.refusal())
+    told = g.withColumn("asked", asked).withColumn("reason", reason)
+    done = lambda what: (F.col("asked") == what) & F.col("reason").isNull()
+    return _long(told.where(~done("delete")).select(
+        "series_id", "label", "voxels", F.when(done("rename"), "renamed").otherwise(F.concat_ws(" ", F.lit("Segment"), "label")).alias("name"), F.when(done("colour"), "#00ff00").otherwise("#ff0000").alias("colour"),
+        (~done("hide")).alias("visible"), F.when(done("opacity"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), n * 0.3))).otherwise(0.5).alias("opacity"), "reason"))
 
 
 def _revisions(s, d):
@@ -106,7 +130,8 @@ QUERIES = {
     "src07_frames": lambda s, d: U.positioned_frames(_frames(s, d)),
     "src08_sidecars": _sidecars,
     "src11_prompts": _prompts,
-    "src13_join15_catalogue": _catalogue,
+    "src13_catalogue": _catalogue,
+    "join15_volume_members": _members,
     "geo07_strokes": _strokes,
     "pip09_adopted_labels": _auto,
     "pip13_segment_changes": _segment_changes,
@@ -117,7 +142,7 @@ QUERIES = {
     "agg37_revisions": lambda s, d: _revisions(s, d),
 }
 
-from lumivox.catalog.workspaces import _VALUE  # noqa: E402
+from lumivox.catalog.workspaces import _O, _VALUE  # noqa: E402
 
 W = f"WITH {C.VOXELS_SQL}"
 L = "series_id, CAST(label AS BIGINT) AS label"
@@ -135,9 +160,12 @@ def _pass_sql(n: int, axis: str) -> str:
 
 ORACLE_SQL = {
     "src07_frames": "WITH f AS (SELECT l_orderkey AS file, l_linenumber AS number, CASE WHEN l_partkey % 3 > 0 THEN l_linenumber * CAST(2.5 AS DOUBLE) END AS z, max(CASE WHEN l_partkey % 5 = 0 THEN CAST(1.5 AS DOUBLE) END) OVER (PARTITION BY l_orderkey) AS t, bool_and(l_partkey % 3 > 0) OVER (PARTITION BY l_orderkey) AS whole FROM lineitem) SELECT file, CAST(number AS BIGINT) AS number, z, coalesce(t, 1.0) AS thickness FROM f WHERE whole",
-    "src08_sidecars": "WITH o AS (SELECT o_custkey AS file, o_orderkey % 3 * 500 AS b, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS volume FROM orders WHERE o_custkey % 7 <> 0) SELECT file, volume, CASE WHEN count(*) OVER (PARTITION BY file, b) > 1 THEN 'b' || b || ' ' || row_number() OVER (PARTITION BY file, b ORDER BY volume) || '/' || count(*) OVER (PARTITION BY file, b) ELSE 'b' || b END AS name FROM o",
+    "src08_sidecars": """WITH o AS (SELECT o_custkey AS file, o_orderkey % 3 * 500 AS b, o_orderkey % 50 + 0.5 AS t, row_number() OVER w - 1 AS volume, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_custkey % 7 <> 0 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+        SELECT file, volume, CASE WHEN count(*) OVER (PARTITION BY file, b) > 1 THEN 'b' || b || ' ' || row_number() OVER (PARTITION BY file, b ORDER BY volume) || '/' || count(*) OVER (PARTITION BY file, b) ELSE 'b' || b END AS name, CAST(-1 AS DOUBLE) AS start FROM o WHERE file % 2 = 0
+        UNION ALL SELECT file, volume, 'frame ' || (volume + 1) || '/' || n, CAST(t AS DOUBLE) FROM o WHERE file % 2 = 1""",
     "src11_prompts": "SELECT o_custkey, o_orderkey AS seq, unnest(range(o_orderkey % 50, o_orderkey % 50 + o_orderkey % 7 + 1)) AS pixel FROM orders WHERE o_orderkey % 2 = 0",
-    "src13_join15_catalogue": "SELECT 'headers' AS format, CAST(l_orderkey AS VARCHAR) AS series, count(*) AS images FROM lineitem GROUP BY l_orderkey UNION ALL SELECT 'volumes', 'v' || s_suppkey, CAST(12 AS BIGINT) FROM supplier",
+    "src13_catalogue": "SELECT 'headers' AS format, CAST(l_orderkey AS VARCHAR) AS series, count(*) AS images FROM lineitem GROUP BY l_orderkey UNION ALL SELECT 'volumes', 'v' || s_suppkey, CAST(12 AS BIGINT) FROM supplier",
+    "join15_volume_members": f"{_O} SELECT o.series_uid, path, matrix, position, o_orderpriority AS description FROM o JOIN (SELECT DISTINCT o_orderkey, o_orderpriority FROM orders) r ON r.o_orderkey = o.series_uid WHERE rank = 1",
     "geo07_strokes": """WITH o AS (SELECT o_orderkey AS id, o_custkey % 31 + 2.0 AS x0, o_orderkey % 29 + 3.0 AS y0, o_custkey % 23 + 8.0 AS x1, o_orderkey % 19 + 12.0 AS y1, o_orderkey % 3 + 1.5 AS r FROM orders WHERE o_orderkey % 2 = 0),
         p AS (SELECT o.*, px.v AS x, py.v AS y, CASE WHEN (x1-x0)**2+(y1-y0)**2 > 0 THEN least(greatest(((px.v-x0)*(x1-x0)+(py.v-y0)*(y1-y0))/((x1-x0)**2+(y1-y0)**2), 0), 1) ELSE 0 END AS t FROM o, range(40) AS px(v), range(40) AS py(v)),
         c AS (SELECT o_orderkey AS id, [o_custkey % 13 + 0.5, o_custkey % 17 + 15.5, o_custkey % 11 + 20.5, o_custkey % 19 + 2.5] AS xs, [o_orderkey % 11 + 1.25, o_orderkey % 7 + 0.25, o_orderkey % 17 + 18.25, o_orderkey % 13 + 22.25] AS ys FROM orders WHERE o_orderkey % 2 = 1),
@@ -145,8 +173,10 @@ ORACLE_SQL = {
         l AS (SELECT id, px.v AS x, py.v AS y FROM e, range(40) AS px(v), range(40) AS py(v) WHERE (ay > py.v) <> (by > py.v) AND px.v < (bx - ax) * (py.v - ay) / (by - ay) + ax GROUP BY ALL HAVING count(*) % 2 = 1),
         u AS (SELECT id, x, y FROM p WHERE (x-(x0+t*(x1-x0)))**2 + (y-(y0+t*(y1-y0)))**2 <= r*r UNION ALL SELECT id, x, y FROM l)
         SELECT id, count(*) AS pixels, CAST(sum(x + 40*y) AS BIGINT) AS places FROM u GROUP BY id""",
-    "pip09_adopted_labels": f"{W}, f AS (SELECT series_id, CASE WHEN value > 820 THEN 2 ELSE 1 END AS found, count(*) AS voxels, count(*) FILTER (WHERE label > 0) AS overlap FROM voxels WHERE value > 110 GROUP BY ALL) SELECT series_id, CAST(found AS BIGINT) AS found, 2 + row_number() OVER (PARTITION BY series_id ORDER BY found) AS new_label, voxels, overlap, 'proposed' AS status FROM f",
-    "pip13_segment_changes": f"{W} SELECT {L}, CASE WHEN series_id % 3 <> 0 AND label = 1 THEN 'renamed' ELSE 'Segment ' || label END AS name, count(*) AS voxels FROM mask WHERE NOT (series_id % 3 <> 0 AND label = 2) GROUP BY ALL",
+    "pip09_adopted_labels": f"""{W}, f AS (SELECT series_id, CASE WHEN value > 820 THEN 2 ELSE 1 END AS found, count(*) AS n, count(*) FILTER (WHERE label > 0) AS overlap, bool_or(i IN (0, 15) OR j IN (0, 15) OR k IN (0, 11)) AS touches FROM voxels WHERE value > 110 GROUP BY ALL)
+        SELECT series_id, CAST(found AS BIGINT) AS found, 2 + row_number() OVER (PARTITION BY series_id ORDER BY found) AS new_label, n - overlap AS voxels, overlap, CASE WHEN n = overlap THEN 'empty' ELSE concat_ws(',', CASE WHEN touches THEN 'border' END, CASE WHEN overlap > 0.01 * (n - overlap) THEN 'overlap' END) END AS failed, 'proposed' AS status, 'engine' AS author FROM f""",
+    "pip13_segment_changes": f"""{W}, g AS (SELECT series_id, label, count(*) AS voxels, CASE WHEN label = 1 THEN ['rename', 'colour', 'hide', 'opacity'][series_id % 4 + 1] ELSE 'delete' END AS asked, CASE WHEN series_id % 3 = 0 THEN 'made by a person' WHEN series_id % 5 = 0 THEN 'confirmed' END AS r FROM mask GROUP BY ALL), t AS (SELECT *, CASE WHEN asked IN ('rename', 'delete') THEN r END AS reason FROM g)
+        SELECT {L}, voxels, CASE WHEN asked = 'rename' AND reason IS NULL THEN 'renamed' ELSE 'Segment ' || label END AS name, CASE WHEN asked = 'colour' THEN '#00ff00' ELSE '#ff0000' END AS colour, asked <> 'hide' AS visible, CASE WHEN asked = 'opacity' THEN least(1.0::DOUBLE, series_id * 0.3::DOUBLE) ELSE 0.5::DOUBLE END AS opacity, reason FROM t WHERE NOT (asked = 'delete' AND reason IS NULL)""",
     "win09_sobel": f"""{W}, o AS (SELECT a.series_id, a.i, a.j, a.k, x.o AS x, y.o AS y, z.o AS z, b.value FROM voxels a, range(-1, 2) AS x(o), range(-1, 2) AS y(o), range(-1, 2) AS z(o) JOIN voxels b ON b.series_id = a.series_id AND b.i = least(greatest(a.i + x.o, 0), 15) AND b.j = least(greatest(a.j + y.o, 0), 15) AND b.k = least(greatest(a.k + z.o, 0), 11)),
         g AS (SELECT series_id, i, j, k, sqrt(sum(value * x * (2 - abs(y)) * (2 - abs(z)))**2 + sum(value * y * (2 - abs(x)) * (2 - abs(z)))**2 + sum(value * z * (2 - abs(x)) * (2 - abs(y)))**2) AS g FROM o GROUP BY ALL)
         SELECT series_id, {IJK}, round(g / max(g) OVER (PARTITION BY series_id), 4) AS edge FROM g""",
@@ -154,7 +184,9 @@ ORACLE_SQL = {
     "str06_rejects": """WITH e AS (SELECT CAST(event_id % 40 AS BIGINT) AS source, CAST(event_id AS BIGINT) AS version, CASE WHEN (event_id // 40) % 3 > 0 THEN CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) END AS value FROM events),
         l AS (SELECT *, lag(value) OVER w AS before, row_number() OVER w AS n, last_value(value IGNORE NULLS) OVER (PARTITION BY source ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS good FROM e WINDOW w AS (PARTITION BY source ORDER BY version))
         SELECT source, version, coalesce(value, good, -1) AS value, CASE WHEN value IS NULL THEN 'rejected' ELSE 'read' END AS state FROM l WHERE value IS NOT NULL OR n = 1 OR before IS NOT NULL""",
-    "snk05_bundle": f"WITH {C.VOXELS_SQL}, {C.ANNOTATIONS_SQL}, u AS (SELECT workspace, 'annotation' AS kind, status = 'confirmed' AS c FROM annotations UNION ALL SELECT DISTINCT ON (series_id, label) series_id % 50, 'segment', label = 1 FROM mask) SELECT workspace, kind, count(*) AS items, count(*) FILTER (WHERE NOT c) AS unconfirmed FROM u GROUP BY ALL",
+    "snk05_bundle": f"""WITH {C.VOXELS_SQL}, {C.ANNOTATIONS_SQL}, u AS (SELECT workspace, 'annotation' AS kind, status = 'confirmed' AS c FROM annotations UNION ALL SELECT DISTINCT ON (series_id, label) series_id % 50, 'segment', label = 1 FROM mask),
+        f AS (SELECT series_id % 50 AS workspace, string_agg('file' || series_id || ':' || sha256('file' || series_id), ',' ORDER BY 'file' || series_id || ':') AS files FROM series GROUP BY 1), n AS (SELECT workspace, kind, count(*) AS items, count(*) FILTER (WHERE NOT c) AS unconfirmed FROM u GROUP BY ALL)
+        SELECT n.workspace, kind, items, unconfirmed, CASE WHEN unconfirmed > 0 THEN unconfirmed || ' of these were not reviewed by a person' ELSE '' END AS disclaimer, coalesce(files, '') AS files FROM n LEFT JOIN f ON f.workspace = n.workspace""",
     "agg37_revisions": f"""WITH {C.ANNOTATIONS_SQL}, v AS (SELECT id, kind, slice_index, CAST(round(1000 * {_VALUE}) AS BIGINT) AS v, [x1, y1, x2, y2, x3, y3, x4, y4] AS p FROM annotations),
         t AS (SELECT id, ['annotation', CAST(id AS VARCHAR), kind, CAST(slice_index AS VARCHAR), coalesce(CAST(v AS VARCHAR), ''), array_to_string(list_transform(p, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')] AS f FROM v)
         SELECT id, sha256(array_to_string(list_transform(f, lambda x: strlen(x) || ':' || x), '')) AS revision FROM t""",

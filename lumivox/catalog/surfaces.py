@@ -6,8 +6,13 @@ from pyspark.sql import functions as F
 
 from lumivox.catalog.intensity import _rounded
 from lumivox.catalog.segments import S, _long
+from lumivox.catalog.workspaces import _GAPS, _O, _VOL
+from lumivox.operators import lattice as N
 from lumivox.operators import masks as M
+from lumivox.operators import series as R
+from lumivox.operators import studies as U
 from lumivox.operators import surface as X
+from lumivox.plans.scratch import written
 from lumivox.sources import cohort as C
 
 
@@ -21,15 +26,31 @@ def _robust(s, d):
     return _long(X.grow_robust(C.voxels(s, d), seeds, 1, 12.0))
 
 
+def _field_defaults(s, d):
+    """Growth with what follows it in practice: opened at the seed by 2 mm, and what slices enclose filled."""
+    seeds = C.series(s, d).selectExpr("series_id", "1 AS label", "2 AS i", "13 AS j", "5 AS k")
+    grown = X.grow_robust(C.voxels(s, d), seeds.drop("label"), 1, 12.0).select("series_id", F.lit(1).alias("label"), *M.VOX)
+    opened = N.opening(written(grown, "grown"), S, 2.0, seeds)
+    return M.size(U.fill_by_slices(opened), 2.0).select("series_id", "voxels")
+
+
 def _information(s, d):
-    ends = C.voxels(s, d).groupBy("series_id").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("voxels"))
-    return C.series(s, d).join(ends, "series_id").select("series_id", "sx", "sy", "sz", "low", "high", "voxels", F.when(F.col("modality") == "CT", "HU").otherwise("unknown").alias("unit"))
+    """Each series' grid, spacing, values, unit, volumes and what its data warn of, from its stored numbers and its header volumes."""
+    v = C.voxels(s, d)
+    ends = v.groupBy("series_id").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("voxels"), *[(F.max(a) + 1).cast("long").alias(f"n{a}") for a in M.VOX])
+    ordered = R.order_by_position(C.headers(s, d).distinct())
+    volumes = R.volumes(ordered).groupBy(F.col("series_uid").alias("series_id")).agg(F.count("*").alias("volumes"), F.bool_and("complete").alias("complete"))
+    gaps = R.gaps(ordered).select(F.col("series_uid").alias("series_id"), "irregular", "most")
+    joined = C.series(s, d).join(ends, "series_id").join(volumes, "series_id", "left").join(gaps, "series_id", "left")
+    codes = F.array_compact(F.array(F.when(F.col("irregular"), "irregular spacing"), F.when(F.col("most") > 1, "several images at a position"), F.when(~F.col("complete"), "incomplete volumes"), F.when(F.col("modality") != "CT", "unit unknown")))
+    return joined.select("series_id", "ni", "nj", "nk", "sx", "sy", "sz", "low", "high", "voxels", F.when(F.col("modality") == "CT", "HU").otherwise("unknown").alias("unit"), F.coalesce("volumes", F.lit(0)).alias("volumes"), F.array_join(codes, ", ").alias("warnings"))
 
 
 QUERIES = {
     "agg21_directions": _directions,
     "agg22_agg23_mesh": lambda s, d: _rounded(X.mesh(C.mask(s, d), S), 5),
     "gra08_robust_growing": _robust,
+    "gra08_opened_and_filled": _field_defaults,
     "pip02_study_information": _information,
 }
 
@@ -55,5 +76,8 @@ ORACLE_SQL = {
         band AS (SELECT series_id, i, j, k FROM f WHERE abs(m3 - level) <= 12), core AS (SELECT * FROM band WHERE i = 2 AND j = 13 AND k = 5 UNION SELECT b.series_id, b.i, b.j, b.k FROM core c JOIN band b ON b.series_id = c.series_id AND abs(b.i-c.i)+abs(b.j-c.j)+abs(b.k-c.k) = 1),
         e AS (SELECT DISTINCT f.series_id, f.i, f.j, f.k FROM f JOIN core c ON c.series_id = f.series_id AND f.i BETWEEN c.i-1 AND c.i+1 AND f.j BETWEEN c.j-1 AND c.j+1 AND f.k BETWEEN c.k-1 AND c.k+1 WHERE abs(f.value - level) <= 12)
         SELECT series_id, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(k AS BIGINT) AS k, true AS core FROM core UNION ALL SELECT e.series_id, CAST(e.i AS BIGINT), CAST(e.j AS BIGINT), CAST(e.k AS BIGINT), false FROM e ANTI JOIN core c ON c.series_id = e.series_id AND c.i = e.i AND c.j = e.j AND c.k = e.k""",
-    "pip02_study_information": f"WITH {C.VOXELS_SQL} SELECT s.series_id, sx, sy, sz, min(value) AS low, max(value) AS high, count(*) AS voxels, CASE WHEN modality = 'CT' THEN 'HU' ELSE 'unknown' END AS unit FROM series s JOIN voxels v ON v.series_id = s.series_id GROUP BY ALL",
+    "pip02_study_information": f"""{_O}, {_GAPS}, {_VOL}, {C.VOXELS_SQL}, ev AS (SELECT series_id, min(value) AS low, max(value) AS high, count(*) AS voxels FROM voxels GROUP BY 1), nv AS (SELECT series_uid, count(*) AS volumes, bool_and(complete) AS complete FROM vol GROUP BY 1)
+        SELECT s.series_id, CAST(16 AS BIGINT) AS ni, CAST(16 AS BIGINT) AS nj, CAST(12 AS BIGINT) AS nk, sx, sy, sz, low, high, voxels, CASE WHEN modality = 'CT' THEN 'HU' ELSE 'unknown' END AS unit, coalesce(volumes, 0) AS volumes,
+        concat_ws(', ', CASE WHEN irregular THEN 'irregular spacing' END, CASE WHEN most > 1 THEN 'several images at a position' END, CASE WHEN NOT complete THEN 'incomplete volumes' END, CASE WHEN modality <> 'CT' THEN 'unit unknown' END) AS warnings
+        FROM series s JOIN ev e ON e.series_id = s.series_id LEFT JOIN nv ON nv.series_uid = s.series_id LEFT JOIN r ON r.series_uid = s.series_id""",
 }

@@ -25,6 +25,18 @@ def sidecar_names(sidecars: DataFrame) -> DataFrame:
     return rows.select("file", F.col("volume").cast("long").alias("volume"), F.when(n > 1, F.concat(F.lit("b"), "b", F.lit(" "), nth, F.lit("/"), n)).otherwise(F.concat(F.lit("b"), "b")).alias("name"))
 
 
+def frame_times(sidecars: DataFrame) -> DataFrame:
+    """``file, volume, name, start`` by the frame starts (seconds) of JSON sidecars, a frame a volume; a list of another length than the volumes' isn't used."""
+    read = sidecars.withColumn("starts", F.from_json("text", "FrameTimesStart array<double>")["FrameTimesStart"]).where(F.size("starts") == F.col("volumes"))
+    rows = read.select("file", F.size("starts").alias("n"), F.posexplode("starts").alias("volume", "start"))
+    return rows.select("file", F.col("volume").cast("long").alias("volume"), F.concat_ws("/", F.concat(F.lit("frame "), F.col("volume") + 1), "n").alias("name"), "start")
+
+
+def members(headers: DataFrame, volumes: DataFrame, series: DataFrame) -> DataFrame:
+    """Headers with the series they are of and the volume they belong to; headers of no series are left out. Series are few and joined by their key."""
+    return headers.join(series, "series_uid").join(volumes, ["series_uid", "path"])
+
+
 def not_empty(rows: DataFrame) -> DataFrame:
     """The rows; an error if there is none, as a catalogue that finds nothing is a mistake."""
     if rows.isEmpty():
