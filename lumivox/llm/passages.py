@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ class Chaining:
 
     size: int = 5
     spread: int = 10
-    gap: float = 0.25
+    gap: float = 0.125
     words: int = 50
     similarity: float = 0.8
 
@@ -304,12 +305,41 @@ def _common(a: np.ndarray, b: np.ndarray, most: int = 64) -> int:
     return int(row[-1])
 
 
-def align(mine: np.ndarray, theirs: np.ndarray, runs: list[tuple[int, int, int]], apart: int) -> list[tuple[int, int, int, int, int]]:
+def _onward(a: list[int], b: list[int], most: int = 6, sure: int = 3) -> tuple[int, int, int]:
+    """How far two runs of words go on together through edits: places reached in both, and words in place.
+
+    At words that differ up to ``most`` are passed over on either side, the fewest after which ``sure`` words agree. A word in place
+    gains one and a word passed over costs two, so what is reached is four fifths alike; the best of all places counts.
+    """
+    i = j = matched = score = top = 0
+    best = (0, 0, 0)
+    while True:
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j, matched, score = i + 1, j + 1, matched + 1, score + 1
+        if score > top:
+            top, best = score, (i, j, matched)
+        if score < top - 2 * most:
+            return best
+        for x, y in _passed(most):
+            if a[i + x : i + x + sure] == b[j + y : j + y + sure] and len(a) >= i + x + sure and len(b) >= j + y + sure:
+                i, j, score = i + x, j + y, score - 2 * max(x, y)
+                break
+        else:
+            return best
+
+
+@cache
+def _passed(most: int) -> list[tuple[int, int]]:
+    """Numbers of words to pass over in two texts, the fewest first, as many in both before others."""
+    return sorted(((x, y) for x in range(most + 1) for y in range(most + 1) if x or y), key=lambda p: (max(p), p[0] != p[1], p))
+
+
+def align(mine: np.ndarray, theirs: np.ndarray, runs: list[tuple[int, int, int]], apart: int, reach: int = 64) -> list[tuple[int, int, int, int, int]]:
     """The aligned stretches of a chain: begin and end of each in both texts, and its words in place.
 
     A run's words are compared one for one; it is parted where more than ``apart`` words on end differ, and a
     stretch ends where a longer gap than that follows. What lies in a shorter gap is aligned for the most common
-    words. The ends of a stretch reach out as far as the words agree.
+    words. The ends of a stretch reach out as far as the words agree, and on through edits, up to ``reach`` words, where most of them do.
     """
     agreed: list[tuple[int, int, int, int]] = []  # begin in both, length, words in place
     for b, ob, length in runs:
@@ -338,7 +368,10 @@ def align(mine: np.ndarray, theirs: np.ndarray, runs: list[tuple[int, int, int]]
         n, m = min(b, ob), min(len(mine) - e, len(theirs) - oe)
         back = int(np.argmin(np.append(mine[b - n : b][::-1] == theirs[ob - n : ob][::-1], False)))
         on = int(np.argmin(np.append(mine[e : e + m] == theirs[oe : oe + m], False)))
-        stretch[:] = b - back, e + on, ob - back, oe + on, stretch[4] + back + on
+        b, e, ob, oe, matched = b - back, e + on, ob - back, oe + on, stretch[4] + back + on
+        x, ox, more = _onward(mine[max(0, b - reach) : b][::-1].tolist(), theirs[max(0, ob - reach) : ob][::-1].tolist())
+        y, oy, yet = _onward(mine[e : e + reach].tolist(), theirs[oe : oe + reach].tolist())
+        stretch[:] = b - x, e + y, ob - ox, oe + oy, matched + more + yet
     return [tuple(x) for x in out]
 
 
@@ -441,7 +474,7 @@ def repeated_passages(docs: DataFrame, c: Chaining = Chaining(), id_col: str = "
     chains = written(find_chains(matches, c), "chains")
 
     words = _word_arrays(rows)
-    margin = c.spread + c.size
+    margin = c.words + c.spread + c.size
     begin = lambda at: F.greatest(F.lit(0), F.get("runs", at) - margin)
     size = F.size("runs")
     placed = chains.withColumn("b", begin(F.lit(0))).withColumn("ob", begin(F.lit(1)))

@@ -6,14 +6,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import compute, fs
+from pyarrow import compute
 
+from lumivox.plans.scratch import file_system as resolve
 
-def resolve(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a URI or absolute path, and the path in it."""
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+__all__ = ["attempt_name", "resolve", "slices"]
 
 
 def attempt_name(part: int) -> str:

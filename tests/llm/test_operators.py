@@ -140,6 +140,43 @@ def test_passage_whose_seeds_are_first_in_many_documents(spark):
     assert found == [(57, 56, 40, 100), (58, 56, 40, 101)]
 
 
+def likeness(a, b):
+    """The words of two passages in order in both, as a share of the longer, by the whole table of a longest common subsequence."""
+    row = np.zeros(len(b) + 1, int)
+    for x in a:
+        row = np.append(0, np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (np.array(b) == x))))
+    return row[-1] / max(len(a), len(b))
+
+
+@pytest.mark.parametrize(("edits", "recall"), [(0.05, 0.97), (0.1, 0.9)])
+def test_recall_of_edited_passages(spark, edits, recall):
+    """Of passages that are at least 0.8 alike by brute force, in words that mostly are common ones, so many are found, and what is found is that alike."""
+    rng = np.random.default_rng(5)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(2, 8)))) for _ in range(3000)])
+    share = 1 / np.arange(1, 3001)
+    words = lambda n: vocabulary[rng.choice(3000, n, p=share / share.sum())].tolist()
+    first, second, places = [], [], []
+    for _ in range(150):
+        passage, edited = words(int(rng.integers(60, 150))), []
+        for w in passage:
+            kind = rng.random() / edits  # another word, a word more, a word less
+            edited += words(1) if kind < 0.6 else [w, *words(1)] if kind < 0.8 else [] if kind < 1 else [w]
+        before, behind = int(rng.integers(20, 200)), int(rng.integers(20, 200))
+        first.append(words(behind) + passage + words(before))
+        second.append(words(before) + edited + words(behind))
+        places.append((before, before + len(edited), likeness(passage, edited)))
+    got = passages.repeated_passages(spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(first + second)], "doc_id long, text string")).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+        mine, theirs = (first + second)[r["doc_id"]], (first + second)[r["source_doc_id"]]
+        source = (r["source_start"], r["source_end"])
+        assert r["n_words"] - (source[1] - source[0]) > 10 or likeness(mine[r["start_word"] : r["end_word"]], theirs[slice(*source)]) > 0.7
+    alike = [(n, p) for n, p in enumerate(places) if p[2] >= 0.8]
+    covered = [sum(max(0, min(y, p[1]) - max(x, p[0])) for x, y in found.get(150 + n, [])) / (p[1] - p[0]) for n, p in alike]
+    assert len(alike) > 100 and np.mean(np.array(covered) > 0.5) >= recall, np.mean(np.array(covered) > 0.5)
+
+
 @pytest.mark.parametrize("size", [5, 12, 20, 30, 45])
 def test_passage_whose_parts_stray_through_many_documents(spark, size):
     """However long the parts are that other documents have first, a copy of the whole is found, but for some words at its ends if they are nearly passages."""
