@@ -21,14 +21,20 @@ from lumivox.session import ship
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier doesn't reject; a rejected document goes, a null or empty text is scored like any."""
+    """The documents that the classifier doesn't reject; a rejected document goes, a null or empty text is scored like any.
+
+    Repeated rows have one verdict and stay or go together; an empty table gives an empty one; without labels nothing is rejected.
+    """
     ship(spark)
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")  # so that no column of theirs is in the way of the score
     return score_quality(rows, quality_model(spark, docs, sf_dir)).where(F.col("score") >= QUALITY).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document that names it, once; rows with a null id stay."""
+    """Of each near-duplicate group the document that names it, once, also where its row is repeated; rows with a null id stay; an empty table gives an empty one.
+
+    Null and empty texts are alike, so one document of them stays.
+    """
     ship(spark)
     kept = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
@@ -36,21 +42,24 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every passage that an earlier document has is cut; ``n_chars`` follows, and documents without a word left go."""
+    """Every passage that an earlier document has is cut; ``n_chars`` follows, and documents without a word left go.
+
+    Null and wordless texts stay as they are, as do rows with a null id; repeated rows are cut alike; an empty table gives an empty one.
+    """
     ship(spark)
     cut = without_passages(docs, repeated_passages(docs))
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without a benchmark question in them; rows with a null id stay."""
+    """The documents without a benchmark question in them; rows with a null id stay, repeated rows go or stay together, an empty table gives an empty one."""
     ship(spark)
     leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and their places in sequences."""
+    """The documents' pieces and their places in sequences; repeated rows are all packed, a null text is its end id alone, an empty table gives an empty one."""
     ship(spark)
     return pack_documents(docs, public_tokenizers.path(TOKENIZER), end_id=0)
 
