@@ -107,6 +107,8 @@ def _seeds(w: Words, c: Chaining) -> tuple[np.ndarray, np.ndarray]:
 def find_seeds(rows: DataFrame, c: Chaining) -> DataFrame:
     """``(hash, doc, at, first, said)`` of the seeds of ``doc, text``: whether the document has that hash first, and whether it is shortened."""
 
+    kept = np.array([0, *map(_kept, range(1, _PERIODS + 1))])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             w, place, cut = _shortened(batch.column("text").to_pylist())
@@ -117,7 +119,7 @@ def find_seeds(rows: DataFrame, c: Chaining) -> DataFrame:
             last = w.first[w.text[all_at]] + w.counts[w.text[all_at]]
             on = np.where(ends < last, place[np.minimum(ends, max(0, len(place) - 1))], w.lengths[w.text[all_at]]) if len(all_at) else all_at
             gap = on - place[ends - 1] - 1
-            runs = np.flatnonzero((gap > 0) & (gap + _turns(2) >= c.words))
+            runs = np.flatnonzero((gap > 0) & (gap + kept[cut[ends]] >= c.words))
             twice = runs[(cut[ends[runs]] > 1) & (all_at[runs] > 0)] - 1  # a lone seed is no chain, but that of one word
             at = np.concatenate([at, all_at[runs], all_at[twice]])
             h = np.concatenate([h, all_h[runs] ^ np.uint64(0x9E3779B97F4A7C15), all_h[twice] ^ np.uint64(0x9E3779B97F4A7C15)])
