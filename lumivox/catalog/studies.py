@@ -169,8 +169,8 @@ ORACLE_SQL = {
     "geo07_strokes": """WITH o AS (SELECT o_orderkey AS id, o_custkey % 31 + 2.0 AS x0, o_orderkey % 29 + 3.0 AS y0, o_custkey % 23 + 8.0 AS x1, o_orderkey % 19 + 12.0 AS y1, o_orderkey % 3 + 1.5 AS r FROM orders WHERE o_orderkey % 2 = 0),
         p AS (SELECT o.*, px.v AS x, py.v AS y, CASE WHEN (x1-x0)**2+(y1-y0)**2 > 0 THEN least(greatest(((px.v-x0)*(x1-x0)+(py.v-y0)*(y1-y0))/((x1-x0)**2+(y1-y0)**2), 0), 1) ELSE 0 END AS t FROM o, range(40) AS px(v), range(40) AS py(v)),
         c AS (SELECT o_orderkey AS id, [o_custkey % 13 + 0.5, o_custkey % 17 + 15.5, o_custkey % 11 + 20.5, o_custkey % 19 + 2.5] AS xs, [o_orderkey % 11 + 1.25, o_orderkey % 7 + 0.25, o_orderkey % 17 + 18.25, o_orderkey % 13 + 22.25] AS ys FROM orders WHERE o_orderkey % 2 = 1),
-        e AS (SELECT id, CAST(xs[n + 1] AS DOUBLE) AS ax, CAST(ys[n + 1] AS DOUBLE) AS ay, CAST(xs[(n + 1) % 4 + 1] AS DOUBLE) AS bx, CAST(ys[(n + 1) % 4 + 1] AS DOUBLE) AS by FROM c, range(4) AS t(n)),
-        l AS (SELECT id, px.v AS x, py.v AS y FROM e, range(40) AS px(v), range(40) AS py(v) WHERE (ay > py.v) <> (by > py.v) AND px.v < (bx - ax) * (py.v - ay) / (by - ay) + ax GROUP BY ALL HAVING count(*) % 2 = 1),
+        e AS (SELECT id, CAST(xs[n + 1] AS DOUBLE) AS ax, CAST(ys[n + 1] AS DOUBLE) AS ay, CAST(xs[(n + 1) % 4 + 1] AS DOUBLE) AS bx, CAST(ys[(n + 1) % 4 + 1] AS DOUBLE) AS bz FROM c, range(4) AS t(n)),
+        l AS (SELECT id, px.v AS x, py.v AS y FROM e, range(40) AS px(v), range(40) AS py(v) WHERE (ay > py.v) <> (bz > py.v) AND px.v < (bx - ax) * (py.v - ay) / (bz - ay) + ax GROUP BY ALL HAVING count(*) % 2 = 1),
         u AS (SELECT id, x, y FROM p WHERE (x-(x0+t*(x1-x0)))**2 + (y-(y0+t*(y1-y0)))**2 <= r*r UNION ALL SELECT id, x, y FROM l)
         SELECT id, count(*) AS pixels, CAST(sum(x + 40*y) AS BIGINT) AS places FROM u GROUP BY id""",
     "pip09_adopted_labels": f"""{W}, f AS (SELECT series_id, CASE WHEN value > 820 THEN 2 ELSE 1 END AS found, count(*) AS n, count(*) FILTER (WHERE label > 0) AS overlap, bool_or(i IN (0, 15) OR j IN (0, 15) OR k IN (0, 11)) AS touches FROM voxels WHERE value > 110 GROUP BY ALL)
