@@ -11,18 +11,21 @@ from lumivox.llm.decontaminate import find_leaks
 from lumivox.llm.html import extract, fit_costs
 from lumivox.llm.labelled import crc_fold, label_sample
 from lumivox.llm.language import identify, learn_dictionaries
+from lumivox.llm.manifest import folded, leaf_digest, merkle_proofs, proof_digest
 from lumivox.llm.packing import pack_documents
 from lumivox.llm.passages import repeated_passages
 from lumivox.llm.rules import fit_ratio, judge
+from lumivox.llm.shards import jump_hash, read_shards, write_shards
 from lumivox.llm.simhash import near_duplicates
 from lumivox.llm.token_files import read_token_files, write_token_files
 from lumivox.llm.warc import read_warc, resolve_revisits, write_warc
-from lumivox.plans.scratch import scratch_path
+from lumivox.plans.scratch import scratch_path, written
 from lumivox.session import ship
 
 #: The least quality score of a kept document.
 QUALITY = 0.3
 TOKENIZER = "word_bpe_49k.json"
+SHARDS = 24
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +90,26 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_key").cast("long").alias("refers_to"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    torn = F.when(tampered, leaf_digest(*fields, F.translate("text", "\n", "")))  # null where the row is as it was
+    leaves = written(docs.select("doc_id", "source", leaf_digest(*fields, F.col("text")).alias("leaf"), torn.alias("torn")), "digests")
+    proofs = merkle_proofs(leaves, "source", ["doc_id"])
+    found = proofs.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), folded(F.coalesce("torn", "leaf"), F.col("path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "shards")
+    write_shards(_table(spark, sf_dir, "documents"), folder, SHARDS)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = read_shards(spark, folder)
+    return rows.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", jump_hash(F.col("doc_id"), SHARDS + 1).alias("grown_shard"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_repeated_passages": op2_repeated_passages,
@@ -98,6 +121,8 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_shards": op12_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
