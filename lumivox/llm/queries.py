@@ -15,6 +15,7 @@ from lumivox.llm.manifest import folded, leaf_digest, merkle_proofs, proof_diges
 from lumivox.llm.packing import pack_documents
 from lumivox.llm.passages import repeated_passages
 from lumivox.llm.rules import fit_ratio, judge
+from lumivox.llm.search import search
 from lumivox.llm.shards import jump_hash, read_shards, write_shards
 from lumivox.llm.simhash import near_duplicates
 from lumivox.llm.token_files import read_token_files, write_token_files
@@ -110,6 +111,10 @@ def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", jump_hash(F.col("doc_id"), SHARDS + 1).alias("grown_shard"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_repeated_passages": op2_repeated_passages,
@@ -123,6 +128,7 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_shards": op12_shards,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
