@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumivox.llm import twins
 from lumivox.llm.classifier import Neighbours, fit_neighbours, score_quality
 from lumivox.llm.decontaminate import find_leaks
 from lumivox.llm.html import extract, fit_costs
@@ -132,12 +133,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op9_warc": """
-        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
-        d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
-        f AS (SELECT h, max(page_id) AS first FROM d WHERE n >= 1000 GROUP BY h)
-        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.h AS payload_digest,
-               CASE WHEN first IS NOT NULL AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN first <> page_id THEN first END AS refers_to
-        FROM d LEFT JOIN f ON d.h = f.h AND n >= 1000""",
+    "op9_warc": twins.WARC,
+    "op11_merkle_manifest": twins.MERKLE,
+    "op12_shards": twins.SHARDS,
+    "op13_ranked_search": twins.SEARCH,
 }
