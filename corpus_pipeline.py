@@ -15,7 +15,7 @@ from lumivox.llm.packing import pack_documents
 from lumivox.llm.passages import repeated_passages, without_passages
 from lumivox.llm.queries import QUALITY, TOKENIZER, quality_model
 from lumivox.llm.classifier import score_quality
-from lumivox.llm.simhash import near_duplicates
+from lumivox.llm.simhash import near_duplicates, with_fingerprints
 from lumivox.plans.scratch import written
 from lumivox.session import ship
 
@@ -31,13 +31,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document that names it, once, also where its row is repeated; rows with a null id stay; an empty table gives an empty one.
+    """Of each near-duplicate group one row of the document that names it, also where its row is repeated; rows with a null id stay; an empty table gives an empty one.
 
-    Null and empty texts are alike, so one document of them stays.
+    Null and empty texts are alike, so one document of them stays. Of an id that has several texts, those stay that name a group each:
+    the row kept has the least fingerprint that the naming id has in the group.
     """
     ship(spark)
-    kept = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+    known = docs.where("doc_id is not null")
+    found = written(near_duplicates(known), "near")
+    kept = found.where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("fingerprint").alias("fingerprint"))
+    several = found.groupBy("doc_id").agg((F.min("fingerprint") != F.max("fingerprint")).alias("several")).where("several").select("doc_id")
+    kept = written(kept.join(several.withColumn("several", F.lit(True)), "doc_id", "left").select("doc_id", "fingerprint", F.coalesce("several", F.lit(False)).alias("several")), "kept")
+    named = known.join(kept.where("not several").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    several = kept.where("several").drop("several")
+    if not several.isEmpty():  # which of their rows is meant only the fingerprint says
+        rows = known.join(several.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+        marked = with_fingerprints(rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "row")
+        named = named.unionByName(marked.dropDuplicates(["doc_id", "fingerprint"]).join(several, ["doc_id", "fingerprint"], "left_semi").select("row.*"))
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

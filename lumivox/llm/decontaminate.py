@@ -72,51 +72,51 @@ def find_leaks(
     alike. Both are asked of each occurrence by itself, and of each of its alignments; one that passes makes the leak.
 
     Null or wordless texts and items leak nothing; rows with a null id aren't reported; repeated rows give
-    one row a pair; very long texts are looked up whole; of equal alignments the earliest gives ``start_word``; an empty table
+    one row a pair; of an item id that has several texts each is looked for, and the one with most words in place gives the row; very long texts are looked up whole; of equal alignments the earliest gives ``start_word``; an empty table
     gives an empty one; extra columns are left out. The items' keys are broadcast up to a checked number and
     shuffled beyond it; candidates are always shuffled, and an occurrence has no more alignments than its item has words.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), _parted(F.col(item_text)).alias("parted")).where("parted is not null and item_id is not null")
-    items = items.select("item_id", _template(F.col("parted")).alias("item_template"), _values(F.col("parted")).alias("item_values")).where(F.size("item_template") > 0)
-    items = written(items.dropDuplicates(["item_id"]), "items")
-    hashed = items.select("item_id", F.size("item_template").alias("item_words"), _hashed(F.col("item_template")).alias("h"))
+    items = items.distinct().select("item_id", _template(F.col("parted")).alias("item_template"), _values(F.col("parted")).alias("item_values")).where(F.size("item_template") > 0)
+    items = written(items.withColumn("item", F.monotonically_increasing_id()), "items")  # an id's texts are items of their own up to the last step
+    hashed = items.select("item", F.size("item_template").alias("item_words"), _hashed(F.col("item_template")).alias("h"))
     hashed = hashed.withColumn("size", window_size(F.col("item_words"), similarity))
     sizes = sorted(r[0] for r in hashed.select("size").distinct().collect())  # a handful: they depend on the similarity alone
     sought = None
     for size in sizes:
-        part = hashed.where(F.col("size") == size).select("item_id", "item_words", F.explode(_windows(F.col("h"), size)).alias("w"))
+        part = hashed.where(F.col("size") == size).select("item", "item_words", F.explode(_windows(F.col("h"), size)).alias("w"))
         sought = part if sought is None else sought.unionByName(part)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     if sought is None:
         return rows.select("doc_id", F.lit(0).alias("start_word")).limit(0).crossJoin(items.limit(0)).selectExpr(
             "doc_id", "item_id", "start_word", "0 AS item_words", "0 AS matched_words", "0D AS similarity", "0 AS slots", "0 AS changed_slots", "0D AS consistency")
-    sought = written(sought.select("item_id", "item_words", F.col("w.at").alias("item_at"), F.col("w.key").alias("key")), "windows")
+    sought = written(sought.select("item", "item_words", F.col("w.at").alias("item_at"), F.col("w.key").alias("key")), "windows")
     keys = written(sought.select("key").distinct(), "keys")
 
     ranked = rows.select("doc_id", _hashed(_template(_parted(F.col("text")))).alias("h"))
     seen = ranked.select("doc_id", F.inline(F.concat(*[_windows(F.col("h"), size) for size in sizes])))
     if keys.count() <= _BROADCAST_KEYS:
         seen = seen.join(F.broadcast(keys), "key", "left_semi")
-    met = seen.join(sought, "key").select("doc_id", "item_id", "item_words", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    met = seen.join(sought, "key").select("doc_id", "item", "item_words", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     met = written(met, "met")
 
     leaking = rows.join(met.select("doc_id").distinct(), "doc_id", "left_semi").distinct().withColumn("parted", _parted(F.col("text")))
     templates = written(leaking.select("doc_id", _template(F.col("parted")).alias("doc_template"), _values(F.col("parted")).alias("doc_values")), "templates")
     begin = F.greatest(F.lit(0), "shift")
     place = lambda c: F.slice(c, begin + 1, F.greatest(F.lit(0), F.col("shift") + F.col("item_words") - begin)).alias(c)
-    aligned = met.join(templates, "doc_id").select("doc_id", "item_id", "item_words", "shift", (F.col("shift") - begin).alias("lead"), place("doc_template"), place("doc_values"))
-    aligned = written(aligned.join(items, "item_id"), "aligned")
+    aligned = met.join(templates, "doc_id").select("doc_id", "item", "item_words", "shift", (F.col("shift") - begin).alias("lead"), place("doc_template"), place("doc_values"))
+    aligned = written(aligned.join(items, "item"), "aligned")
     there = F.filter(F.sequence(F.lit(0), F.col("item_words") - 1), lambda i: F.get("item_template", i) == F.get("doc_template", F.col("lead") + i))
     slots = F.transform(
         F.filter("there", lambda i: F.get("item_template", i).isin("<name>", "<num>", "<unit>")),
         lambda i: F.struct(i.alias("i"), F.get("item_values", i).alias("was"), F.get("doc_values", F.col("lead") + i).alias("now")),
     )
-    aligned = aligned.withColumn("there", there).select("doc_id", "item_id", "item_words", "shift", "there", slots.alias("slots"))
+    aligned = aligned.withColumn("there", there).select("doc_id", "item", "item_id", "item_words", "shift", "there", slots.alias("slots"))
     # Alignments of one occurrence lie within a quarter of the item; they are dealt into two rows of places, half of each apart, so some place has them all.
     half = F.ceil(F.col("item_words") / 4).cast("int")
     dealt = aligned.withColumn("half", half).withColumn("row", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("occurrence", F.floor((F.col("shift") + F.col("row") * F.col("half")) / (2 * F.col("half"))))
     part = F.struct((-F.size("there")).alias("less"), "shift", "there", "slots")
-    grouped = dealt.groupBy("doc_id", "item_id", "row", "occurrence").agg(F.first("item_words").alias("item_words"), F.array_sort(F.collect_set(part)).alias("parts"))
+    grouped = dealt.groupBy("doc_id", "item", "item_id", "row", "occurrence").agg(F.first("item_words").alias("item_words"), F.array_sort(F.collect_set(part)).alias("parts"))
     # A word of the item counts where the fullest alignment has it.
     taken = lambda a, x: F.array_union(a["there"], x["there"])
     added = lambda a, x: F.concat(a["slots"], F.filter(x["slots"], lambda s: ~F.array_contains(a["there"], s["i"])))

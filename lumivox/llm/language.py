@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from lumivox.llm.storage import slices
 
 UNKNOWN = "und"
-_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_OTHER, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def plain(text: str | None) -> str:
-    """A text's letters in lower case, with single spaces where anything else stood; empty if it has no letter."""
-    return _OTHER.sub(" ", text.lower()).strip() if text else ""
+    """A text's letters and their marks in lower case, with single spaces where anything else stood; empty if it has no letter (marks alone are none)."""
+    return _OTHER.sub(" ", text.lower()).strip() if text and _LETTER.search(text) else ""
 
 
 def _spread(text: str, size: int, parts: int = 3) -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumivox.llm.storage import slices
 from lumivox.llm.words import Words
+from lumivox.plans.joins import split_join
 from lumivox.plans.scratch import written
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -152,10 +153,10 @@ def neighbours(shared: DataFrame, c: Chaining) -> DataFrame:
     tuples = ahead.select("doc", "at", "said", F.explode(F.array(two, four)).alias("t")).where("t is not null").select("doc", "at", "said", "t.key", "t.span")
     tuples = written(tuples, "neighbours")
     first = tuples.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("f"), F.max("doc").alias("last")).where("f.doc < last").select("key", F.col("f.doc").alias("other"), F.col("f.at").alias("there"))
-    met = written(tuples.join(written(first, "first_neighbours"), "key").where("other < doc").select("doc", "at", "span", "other", "there", "said"), "met_neighbours")
+    met = written(split_join(tuples, first, "key").where("other < doc").select("doc", "at", "span", "other", "there", "said"), "met_neighbours")
     ends = met.select("doc", F.explode(F.array(F.lit(0), "span")).alias("on"), "at", "other", "there", "said").select("doc", (F.col("at") + F.col("on")).alias("at"), "other", (F.col("there") + F.col("on")).alias("there"), "said")
     own, theirs = shared.select("doc", "hash", "at", "said"), shared.groupBy(F.col("doc").alias("other"), "hash").agg(F.min("at").alias("there"))
-    alone = met.select("doc", "other").distinct().join(own, "doc").join(theirs, ["other", "hash"]).select("doc", "at", "other", "there", "said")
+    alone = split_join(met.select("doc", "other").distinct().join(own, "doc"), theirs, ["other", "hash"]).select("doc", "at", "other", "there", "said")
     return ends.unionByName(alone)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lumivox.llm.storage import slices
 from lumivox.plans.components import connected_components
+from lumivox.plans.joins import split_join
 from lumivox.plans.scratch import written
 
 
@@ -33,16 +34,22 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """``(id_col, fp long)`` for every row: ASCII capitals lowered, words parted by ASCII white space, XXH64 with seed 42."""
+def with_fingerprints(rows: DataFrame, text_col: str = "text", size: int = 4) -> DataFrame:
+    """Every row without its text, with ``fp long``: ASCII capitals lowered, words parted by ASCII white space, XXH64 with seed 42."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, 4 << 20):
             found = np.array([fingerprint(t, size) for t in batch.column(text_col).to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(id_col), pa.array(found)], names=[id_col, "fp"])
+            others = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != text_col]
+            yield pa.record_batch([*[c for _, c in others], pa.array(found)], names=[*[n for n, _ in others], "fp"])
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name != text_col)
+    return rows.mapInArrow(scan, f"{fields}fp long")
 
-    rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(scan, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, fp long")
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
+    """``(id_col, fp long)`` for every row."""
+    return with_fingerprints(docs.select(id_col, text_col), text_col, size)
 
 
 def _segments(bits: int, number: int) -> list[tuple[int, int, int]]:
@@ -99,10 +106,11 @@ def links(fps: DataFrame, bits: int = 4, crowd: int = 4096, number: int = 3) ->
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4, size: int = 4) -> DataFrame:
-    """``(id_col, fingerprint, component_id)`` a row: 16 hex digits and the smallest id reachable over links.
+    """``(id_col, fingerprint, component_id, root)`` a row: 16 hex digits, the smallest id reachable over links, and the smallest fingerprint.
 
-    Texts with equal fingerprints are one node, so copies are never paired. A null or empty text has fingerprint
-    zero and is linked like any other; repeated rows are all returned; rows with a null id are grouped too but
+    Texts with equal fingerprints are one node, so copies are never paired; nothing is ordered, so there are no ties. A null or empty text has fingerprint
+    zero and is linked like any other; very long texts are hashed whole, in pieces of bounded memory; repeated rows are all returned; an id with several texts
+    has a row for each, in as many groups as they have (``root`` tells them apart); rows with a null id are grouped too but
     never name a group (a group of such rows only has a null one); an empty table gives an empty one; extra
     columns are left out.
     """
@@ -112,5 +120,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = connected_components(links(nodes.select("fp"), bits, number=number))
     rooted = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(names, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(split_join(rooted, names, "root").select("fp", "component_id", "root"), "named")
+    shown = lambda c: F.lower(F.lpad(F.hex(c), 16, "0")).alias("fingerprint" if c == "fp" else c)
+    return rows.join(named, "fp").select(id_col, shown("fp"), "component_id", shown("root"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumivox.llm.storage import attempt_name, resolve, slices
+from lumivox.plans.joins import split_join
 from lumivox.plans.scratch import written
 
 WRITTEN = "name string, digest string, key string, record_id string"
@@ -111,13 +112,13 @@ def write_warc(pages: DataFrame, folder: str, key_col: str = "page_id", url_col:
     """
     rows = pages.select(F.col(key_col).alias("key"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html"))
-    first = rows.where(F.col("size") >= least).groupBy(F.col("digest").alias("same")).agg(F.max("key").alias("first"), (F.count("*") > 1).alias("asked"))
-    matched = rows.join(first, (F.col("digest") == F.col("same")) & (F.col("size") >= least), "left")
+    first = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("key").alias("first"), (F.count("*") > 1).alias("asked"))
+    matched = split_join(rows, first, "digest", "left")  # equal digests have equal sizes
     own = F.col("first").isNull() | F.col("key").eqNullSafe(F.col("first"))
     responses = _write_files(matched.where(own).withColumn("refers", F.lit(None).cast("string")).withColumn("asked", F.coalesce("asked", F.lit(False))), folder, segment)
 
-    named = responses.where("record_id IS NOT NULL AND key IS NOT NULL").groupBy(F.col("digest").alias("same")).agg(F.min("record_id").alias("refers"), F.max("key").alias("first"))
-    again = rows.where(F.col("size") >= least).drop("html", "size").join(named, F.col("digest") == F.col("same")).where(~F.col("key").cast("string").eqNullSafe(F.col("first")))
+    named = responses.where("record_id IS NOT NULL AND key IS NOT NULL").groupBy("digest").agg(F.min("record_id").alias("refers"), F.max("key").alias("first"))
+    again = split_join(rows.where(F.col("size") >= least).drop("html", "size"), named, "digest").where(~F.col("key").cast("string").eqNullSafe(F.col("first")))
     revisits = _write_files(again.withColumn("html", F.lit("")).withColumn("asked", F.lit(False)), folder, segment)
     return sorted(r["name"] for r in responses.select("name").unionByName(revisits.select("name")).distinct().collect())
 
