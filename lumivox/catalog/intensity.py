@@ -117,9 +117,9 @@ ORACLE_SQL = {
     "agg13_volume_curve": f"""{_V}, e AS (SELECT label, min(value) AS lo, max(value) AS hi, count(*) AS total FROM group_values GROUP BY label),
         f AS (SELECT g.label, CAST(floor((value - lo) * 100 / (hi - lo)) AS BIGINT) AS last, count(*) AS n FROM group_values g JOIN e ON g.label = e.label GROUP BY ALL)
         SELECT e.label, CAST(p.point AS BIGINT) AS point, round(sum(CASE WHEN f.last >= p.point THEN n ELSE 0 END) / any_value(total), 6) AS fraction FROM e CROSS JOIN range(101) AS p(point) JOIN f ON f.label = e.label GROUP BY e.label, p.point""",
-    "agg14_range_shares": f"""{_V}, n AS (SELECT label, CASE WHEN value >= -1100 AND value < -900 THEN 'air' WHEN value >= -900 AND value < -500 THEN 'lung' WHEN value >= -190 AND value < -30 THEN 'fat'
-        WHEN value >= -30 AND value < 30 THEN 'water' WHEN value >= 30 AND value < 150 THEN 'soft' WHEN value >= 300 AND value < 3000 THEN 'bone' ELSE 'outside' END AS name FROM group_values)
-        SELECT label, name, round(count(*) / sum(count(*)) OVER (PARTITION BY label), 6) AS share FROM n GROUP BY label, name""",
+    "agg14_range_shares": f"""{_V}, r(low, high) AS (VALUES (-1000, -500), (-500, -100), (-100, 0), (0, 100), (100, 300), (300, 1000), (NULL, NULL)), t AS (SELECT label, count(*) AS total FROM group_values GROUP BY 1)
+        SELECT t.label, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, count(v.value) AS voxels, round(count(v.value) / any_value(total), 6) AS share FROM t CROSS JOIN r
+        LEFT JOIN group_values v ON v.label = t.label AND CASE WHEN low IS NULL THEN v.value < -1000 OR v.value >= 1000 ELSE v.value >= low AND v.value < high END GROUP BY ALL""",
     "prj01_prj05_scalars": f"""{_V}, d AS (SELECT DISTINCT label, value, CAST(least(greatest(round((value + 1000) / (2000.0 / 65535)), 0), 65535) AS BIGINT) AS stored FROM group_values)
         SELECT label, value, stored, round(CAST(CAST(-1000 + stored * (2000.0 / 65535) AS FLOAT) AS DOUBLE), 4) AS restored, round(least(greatest((value + 1000) / 2000, 0), 1), 4) AS share,
         round(-1000 + least(greatest((value + 1000) / 2000, 0), 1) * 2000, 4) AS back, CAST(round(least(greatest((value + 150) / 400, 0), 1) * 255) AS BIGINT) AS soft_grey FROM d""",

@@ -141,10 +141,10 @@ def _roi(s, d):
 
 
 def _trilinear(s, d):
-    """The value between voxels, and its slope along each axis by central differences half a voxel to either side."""
+    """The value between voxels, and its slope along each axis by central differences a voxel to either side, as steps of the value."""
     n = F.col("series_id")
     at = C.series(s, d).select("series_id", (n % 7 + 3.25).alias("x"), (n % 5 + 4.5).alias("y"), (n % 6 + 2.75).alias("z"))
-    steps = [("value", 0.0, 0.0, 0.0), *[(f"{a}{sign}", *(0.5 * o * (b == a) for b in "xyz")) for a in "xyz" for sign, o in (("+", 1), ("-", -1))]]
+    steps = [("value", 0.0, 0.0, 0.0), *[(f"{a}{sign}", *(1.0 * o * (b == a) for b in "xyz")) for a in "xyz" for sign, o in (("+", 1), ("-", -1))]]
     shifted = F.array(*[F.struct(F.lit(name).alias("what"), F.lit(float(x)).alias("ax"), F.lit(float(y)).alias("ay"), F.lit(float(z)).alias("az")) for name, x, y, z in steps])
     points = at.select("series_id", "x", "y", "z", F.inline(shifted)).select("series_id", "what", *[(F.col(p) + F.col(f"a{p}")).alias(p) for p in "xyz"])
     corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (0, 1) for b in (0, 1) for c in (0, 1)])
@@ -153,7 +153,7 @@ def _trilinear(s, d):
     placed = eight.select("series_id", "what", "w", *[F.least(F.floor(p) + F.col(o), F.lit(m - 1)).cast("int").alias(v) for p, o, m, v in zip("xyz", "abc", GRID, M.VOX)])
     sampled = placed.join(C.voxels(s, d).select("series_id", *M.VOX, "value"), ["series_id", *M.VOX]).groupBy("series_id", "what").agg(F.sum(F.col("w") * F.col("value")).alias("v"))
     one = lambda name: F.max(F.when(F.col("what") == name, F.col("v")))
-    return _rounded(sampled.groupBy("series_id").agg(one("value").alias("value"), *[((one(f"{a}+") - one(f"{a}-")) / m).alias(f"g{a}") for a, m in zip("xyz", S)]))
+    return _rounded(sampled.groupBy("series_id").agg(one("value").alias("value"), *[(one(f"{a}+") - one(f"{a}-")).alias(f"g{a}") for a in "xyz"]))
 
 
 def _hausdorff(s, d):
@@ -306,12 +306,12 @@ ORACLE_SQL = {
     "flt02_sphere": f"{W} SELECT series_id, count(*) AS count, min(value) AS min, max(value) AS max, round(avg(value), 5) AS mean FROM voxels WHERE (i-5)*(i-5)+(j-7)*(j-7)+4*(k-5)*(k-5) <= 16 GROUP BY ALL",
     "flt04_solid_part": f"{W} SELECT {L}, count(*) FILTER (WHERE value >= 110) AS solid, count(*) FILTER (WHERE value BETWEEN 80 AND 120) AS band FROM mask GROUP BY ALL",
     "flt05_half_spaces": f"{W} SELECT {L}, count(*) AS voxels FROM mask WHERE i - 4 >= 0 AND -j + 0.5*k + 9 >= 0 AND cos(radians(30))*cos(radians(60))*i + cos(radians(30))*sin(radians(60))*j + sin(radians(30))*k >= 5.1 GROUP BY ALL",
-    "flt06_set02_erase": f"{W}, o AS (SELECT *, i - 11 AS x, j - (series_id % 4 + 9) AS y, (k - 3) * 2 AS z, round(0.6 * (i - 11) + 0.8 * (k - 3) * 2, 9) AS along FROM mask) SELECT {L}, count(*) AS voxels FROM o WHERE NOT (along BETWEEN -0.5 AND 6 AND x*x + y*y + z*z - along*along <= 4.000000001) GROUP BY ALL",
+    "flt06_set02_erase": f"{W}, o AS (SELECT *, i - 11 AS x, j - (series_id % 4 + 9) AS y, (k - 3) * 2 AS z, round(0.6 * (i - 11) + 0.8 * (k - 3) * 2, 9) AS along FROM mask) SELECT {L}, count(*) AS voxels FROM o WHERE NOT (along BETWEEN -2 AND 6 AND x*x + y*y + z*z - along*along <= 4.000000001) GROUP BY ALL",
     "flt07_thirds": f"{W}, e AS (SELECT series_id, min(value) AS lo, max(value) AS hi FROM voxels GROUP BY ALL) SELECT v.series_id, CAST(least(2, floor((value-lo)*3/(hi-lo))) AS BIGINT) AS band, count(*) AS n FROM voxels v JOIN e ON e.series_id = v.series_id GROUP BY ALL",
     "flt03_polygon": f"{W}, {_POLYGON} SELECT series_id, count(*) AS pixels, round(avg(value), 5) AS mean FROM voxels v JOIN c ON v.i = c.i AND v.j = c.j WHERE k = 5 AND crossings % 2 = 1 GROUP BY ALL",
-    "geo06_trilinear": f"""{W}, p AS (SELECT series_id, 3.25 + series_id % 7 AS x, 4.5 + series_id % 5 AS y, 2.75 + series_id % 6 AS z FROM series), o(n, a, b, c) AS (VALUES (0, 0, 0, 0), (1, 0.5, 0, 0), (2, -0.5, 0, 0), (3, 0, 0.5, 0), (4, 0, -0.5, 0), (5, 0, 0, 0.5), (6, 0, 0, -0.5)),
+    "geo06_trilinear": f"""{W}, p AS (SELECT series_id, 3.25 + series_id % 7 AS x, 4.5 + series_id % 5 AS y, 2.75 + series_id % 6 AS z FROM series), o(n, a, b, c) AS (VALUES (0, 0, 0, 0), (1, 1, 0, 0), (2, -1, 0, 0), (3, 0, 1, 0), (4, 0, -1, 0), (5, 0, 0, 1), (6, 0, 0, -1)),
         t AS (SELECT p.series_id, o.n, CAST(sum(value * greatest(0, 1-abs(x+a-i)) * greatest(0, 1-abs(y+b-j)) * greatest(0, 1-abs(z+c-k))) AS DOUBLE) AS v FROM p, o JOIN voxels v ON v.series_id = p.series_id AND abs(x+a-i) < 1 AND abs(y+b-j) < 1 AND abs(z+c-k) < 1 GROUP BY ALL)
-        SELECT series_id, round(max(v) FILTER (WHERE n = 0), 6) AS value, round(max(v) FILTER (WHERE n = 1) - max(v) FILTER (WHERE n = 2), 6) AS gx, round(max(v) FILTER (WHERE n = 3) - max(v) FILTER (WHERE n = 4), 6) AS gy, round((max(v) FILTER (WHERE n = 5) - max(v) FILTER (WHERE n = 6)) / 2, 6) AS gz FROM t GROUP BY 1""",
+        SELECT series_id, round(max(v) FILTER (WHERE n = 0), 6) AS value, round(max(v) FILTER (WHERE n = 1) - max(v) FILTER (WHERE n = 2), 6) AS gx, round(max(v) FILTER (WHERE n = 3) - max(v) FILTER (WHERE n = 4), 6) AS gy, round(max(v) FILTER (WHERE n = 5) - max(v) FILTER (WHERE n = 6), 6) AS gz FROM t GROUP BY 1""",
     "join01_segment_values": f"{W} SELECT {L}, {IJK}, value FROM mask",
     "join03_containment": f"{W} SELECT {L}, bool_and(i <= 13 AND j <= 13 AND k <= 9) AS within FROM mask GROUP BY ALL",
     "join04_surface": f"{W}, {_SURFACE('s', 'mask')} SELECT {L}, {IJK} FROM s",

@@ -30,16 +30,23 @@ def _catalogue(s, d):
 def _people(s, d):
     c = C.table(s, d, "customer")
     name = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("  "), "c_name", F.lit(" "))).when(F.col("c_custkey") % 11 == 0, F.concat("c_name", F.lit("\t"), F.lit("x"))).when(F.col("c_custkey") % 13 == 0, F.lit("")).otherwise(F.col("c_name"))
-    return c.select("c_custkey", T.checked_person(name).alias("person"))
+    k = F.col("c_custkey")
+    digest = F.upper(F.sha2("c_name", 256))
+    digest = F.when(k % 5 == 0, F.concat(F.lit("x"), F.substring(digest, 2, 63))).when(k % 5 == 1, F.substring(digest, 1, 63)).when(k % 5 == 2, F.concat(digest, F.lit("\n"))).otherwise(digest)
+    return c.select("c_custkey", T.checked_person(name).alias("person"), T.checked_hash(digest).alias("shown_sha256"))
+
+
+_KEY_PARTS = ["", "-e2", "-Smith", "-a3", "-te80.5", "-tr40", "-iso1", "-ex", "-n2", "-", "-abcd1", "-t1.2.3", "-b1234567890123", "-te.5", "-x", "-isox", "-t5x", "-a1" * 20, "-a1" * 21, "-1", "-e 1", "-B1"]
 
 
 def _keys(s, d):
-    key = F.concat(F.lit("b"), F.col("l_partkey") % 3 * 500, F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("-e"), F.col("l_suppkey") % 2 + 1)).when(F.col("l_suppkey") % 3 == 1, F.lit("-Smith")).otherwise(F.lit("")))
+    more = F.element_at(F.array(*map(F.lit, _KEY_PARTS)), (F.col("l_suppkey") % len(_KEY_PARTS) + 1).cast("int"))
+    key = F.when(F.col("l_partkey") % 41 > 0, F.concat(F.lit("b"), F.col("l_partkey") % 3 * 500, more))
     return C.table(s, d, "lineitem").select(T.checked_volume_key(key).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
 def _numbers(s, d):
-    t = F.concat(F.lit("size "), F.col("l_quantity").cast("long"), F.lit(".5 mm, 1,"), F.lpad((F.col("l_partkey") % 1000).cast("string"), 3, "0"), F.lit(" of -"), F.col("l_linenumber"))
+    t = F.concat(F.lit("size "), F.col("l_quantity").cast("long"), F.lit(".5 mm, 1,"), F.lpad((F.col("l_partkey") % 1000).cast("string"), 3, "0"), F.lit(" of -"), F.col("l_linenumber"), F.lit(", "), F.col("l_suppkey") % 20, F.lit("-"), F.col("l_partkey") % 20, F.lit(" --7. -.5 - 1.2.3"))
     return C.table(s, d, "lineitem").select(t.alias("text")).distinct().select("text", F.posexplode(T.numbers(F.col("text"))).alias("place", "number")).select("text", F.col("place").cast("long").alias("place"), "number")
 
 
@@ -57,6 +64,25 @@ def _grade(s, d):
     return T.grade(_transcripts(s, d)).select("conv_id", "turn", "right", "unit_said", "traced", "clean", "review", "tools", "passed")
 
 
+_CODES = ["CT", " ct ", "mr", "", "   ", "C T", "ABCDEFGHIJKLMNOP", "ABCDEFGHIJKLMNOPQ", "Pt1", "C\u00e9", "CT-1"]
+
+
+def _units(s, d):
+    """The code that each order declares, the unit of its values, and why features that need a unit are refused."""
+    told = F.element_at(F.array(*map(F.lit, _CODES)), (F.col("o_orderkey") % len(_CODES) + 1).cast("int"))
+    code = F.upper(T.checked_code(told))
+    reason = F.when(F.col("modality").isNull(), "not a modality code").when(F.col("modality") != "CT", "needs a known unit")
+    return C.table(s, d, "orders").select("o_orderkey", code.alias("modality")).select("o_orderkey", "modality", F.when(F.col("modality") == "CT", "HU").when(F.col("modality").isNotNull(), "unknown").alias("unit"), reason.alias("reason"))
+
+
+def _redacted(s, d):
+    """What a study's identification may say outside: identifiers as pseudonyms where they are asked to be (empty ones stay empty), dates and accession numbers only where they are allowed."""
+    k = F.col("o_orderkey")
+    uid = F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("1.2.840."), k))
+    shared = F.when((uid != "") & (k % 7 > 0), T.pseudonym("pepper", uid)).otherwise(uid)
+    return C.table(s, d, "orders").select("o_orderkey", shared.alias("study_uid"), F.when(k % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("").alias("date"), F.when(k % 2 == 0, F.col("o_orderpriority")).otherwise("").alias("accession"))
+
+
 def _stale(s, d):
     return C.audit(s, d).withColumn("stale", F.when(F.col("event_id") % 4 == 0, 1).otherwise(0))
 
@@ -88,11 +114,27 @@ def _asked(s, d):
     return A.asked_change(a, requests)
 
 
+def _in_space(s, d):
+    """Measures of one to four points in the space of a series, turned grids among them."""
+    n = F.col("id")
+    turned = F.array(*[F.array(*[F.lit(float(x)) for x in axis]) for axis in ((0, 1, 0), (0, 0, 1), (1, 0, 0))])
+    straight = F.array(*[F.array(*[F.lit(float(x)) for x in axis]) for axis in ((1, 0, 0), (0, 0.6, 0.8), (0, -0.8, 0.6))])
+    lifted = F.transform(A.voxel_points(), lambda p, i: F.array(F.get(p, 0), F.get(p, 1), F.get(p, 2) + i % 2 * 1.5))
+    points = F.when(n % 13 == 0, F.array_repeat(F.get(lifted, 0), 3)).otherwise(F.slice(lifted, 1, F.when(n % 11 == 0, 1 + n % 4).when(F.col("kind") == "Distance", 2).when(F.col("kind") == "Angle", 3).otherwise(4).cast("int")))
+    a = C.annotations(s, d).where("kind IN ('Distance', 'Angle', 'Area')")
+    measures = a.select("id", "kind", points.alias("voxels"), F.array(F.lit(-20.0), F.lit(5.5), n % 100 * 1.0).alias("origin"), F.when(n % 2 == 0, turned).otherwise(straight).alias("axes"), F.array(F.lit(0.75), F.lit(1.0), 1.5 + n % 4).alias("spacing"))
+    return _rounded(A.in_space(measures), 4)
+
+
 def _report(s, d):
-    """The report's rows, written as JSON and read back."""
-    rows = A.report(C.annotations(s, d))
-    back = F.from_json("row", "id long, kind string, value double, unit string, confirmed boolean")
-    return rows.select("workspace", back.alias("r")).select("workspace", "r.*")
+    """The report's rows, written as JSON and read back, with points as text."""
+    n = F.col("workspace")
+    spacing = F.array(0.7 + n / 300, F.lit(1.0), 2 + n / 700)
+    rows = A.report(C.annotations(s, d).withColumn("spacing", spacing))
+    back = F.from_json("row", "id long, name string, kind string, plane string, slice_index long, slice_number long, value double, unit string, points_mm array<array<double>>, points_voxel array<array<double>>, spacing_mm array<double>, confirmed boolean")
+    flat = lambda c: F.array_join(F.transform(F.flatten(c), lambda x: F.format_string("%.3f", x)), " ")
+    told = rows.select("workspace", back.alias("r")).select("workspace", "r.*")
+    return told.withColumn("points_mm", flat("points_mm")).withColumn("points_voxel", flat("points_voxel")).withColumn("spacing_mm", F.array_join(F.transform("spacing_mm", lambda x: F.format_string("%.6f", x)), " "))
 
 
 def _privacy(s, d):
@@ -115,6 +157,7 @@ QUERIES = {
     "set05_changes": lambda s, d: R.changes(R.snapshot(C.audit(s, d), "2024-01-15"), R.snapshot(C.audit(s, d), "2025-01-01")),
     "top08_last_entries": lambda s, d: R.last_entries(C.audit(s, d), 5, 100),
     "geo01_geo03_measurements": lambda s, d: _rounded(A.values(C.annotations(s, d)), 4),
+    "geo01_patient_measures": _in_space,
     "geo05_nearest_annotation": lambda s, d: _rounded(A.nearest(C.annotations(s, d), 30.0, 30.0, 12.0), 4),
     "agg33_pip10_pending": _pending,
     "prj16_changeable": lambda s, d: C.annotations(s, d).select("id", A.changeable().alias("changeable"), A.refusal().alias("reason")),
@@ -122,8 +165,8 @@ QUERIES = {
     "pip12_asked_changes": _asked,
     "snk02_report_rows": _report,
     "prj13_pseudonym": lambda s, d: C.table(s, d, "customer").select("c_custkey", T.pseudonym("pepper", F.col("c_name")).alias("pseudonym")),
-    "prj15_redaction": lambda s, d: C.table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("").alias("date"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise("").alias("accession")),
-    "prj17_value_unit": lambda s, d: C.series(s, d).select("series_id", F.when(F.upper("modality") == "CT", "HU").otherwise("unknown").alias("unit"), F.when(F.upper("modality") != "CT", "needs a known unit").alias("reason")),
+    "prj15_redaction": _redacted,
+    "prj17_value_unit": _units,
     "prj18_named_side": lambda s, d: C.table(s, d, "part").select(F.concat_ws(" ", "p_name", F.element_at(F.array(F.lit("left"), F.lit("Right kidney"), F.lit("leftover"), F.lit("left and right")), (F.col("p_partkey") % 4 + 1).cast("int"))).alias("name")).distinct().select("name", T.named_side(F.col("name")).alias("side")),
     "prj19_timestamps": lambda s, d: C.audit(s, d).select("event_id", T.to_rfc3339(F.col("time")).alias("text"), T.from_rfc3339(T.to_rfc3339(F.col("time"))).alias("parsed")),
     "prj20_numbers_in_text": _numbers,
@@ -159,12 +202,20 @@ _SNAP = lambda name, until: f"{name} AS (SELECT workspace, item, count(*) FILTER
 _VALUE = """CASE kind WHEN 'Distance' THEN sqrt((x2-x1)**2+(y2-y1)**2)
     WHEN 'Angle' THEN CASE WHEN ((x1-x2)**2+(y1-y2)**2)*((x3-x2)**2+(y3-y2)**2) > 0 THEN degrees(acos(least(greatest(((x1-x2)*(x3-x2)+(y1-y2)*(y3-y2))/sqrt(((x1-x2)**2+(y1-y2)**2)*((x3-x2)**2+(y3-y2)**2)), -1), 1))) END
     WHEN 'Area' THEN abs(x1*y2-x2*y1+x2*y3-x3*y2+x3*y4-x4*y3+x4*y1-x1*y4)/2 WHEN 'Rectangle' THEN abs((x2-x1)*(y2-y1)) END"""
+_VOXEL_POINTS = "list_transform([[x1, y1], [x2, y2], [x3, y3], [x4, y4]], lambda q: CASE plane WHEN 'axial' THEN [q[1], q[2], slice_index] WHEN 'coronal' THEN [q[1], slice_index, 11 - q[2]] ELSE [slice_index, q[1], 11 - q[2]] END)"
 _UNIT = "CASE kind WHEN 'Distance' THEN 'mm' WHEN 'Angle' THEN 'deg' WHEN 'Text' THEN NULL ELSE 'mm2' END"
 _SEG = lambda a, b: f"sqrt((30 - (x{a} + t{a}{b}*(x{b}-x{a})))**2 + (30 - (y{a} + t{a}{b}*(y{b}-y{a})))**2)"
 _T = lambda a, b: f"CASE WHEN (x{b}-x{a})**2+(y{b}-y{a})**2 > 0 THEN least(greatest(((30-x{a})*(x{b}-x{a})+(30-y{a})*(y{b}-y{a}))/((x{b}-x{a})**2+(y{b}-y{a})**2), 0), 1) ELSE 0 END AS t{a}{b}"
 
+def _numbers_sql(text: str) -> str:
+    """The numbers of a text, read character by character: what is read so far, with a blank behind each number that has ended."""
+    step = "CASE WHEN x[1] BETWEEN '0' AND '9' OR (x[1] = '.' AND regexp_matches(a, '[^ ]$') AND NOT regexp_matches(a, '[.][^ ]*$')) OR (x[1] = '-' AND NOT regexp_matches(a, '[^ ]$')) THEN a || x ELSE a || ' ' END"
+    read = f"list_reduce(list_prepend('', string_split({text}, '')), lambda a, x: {step})"
+    return f"list_filter(list_transform(string_split({read}, ' '), lambda x: TRY_CAST(rtrim(x, '.') AS DOUBLE)), lambda x: x IS NOT NULL)"
+
+
 ORACLE_SQL = {
-    "src06_header_fallbacks": f"WITH {C.HEADERS_SQL} SELECT series_uid, path, coalesce(pixel_spacing, imager_spacing, group_spacing, 1.0) AS spacing, CASE WHEN window_width > 0 THEN window_width END AS width, CASE photometric WHEN 'MONOCHROME1' THEN 'inverted' WHEN 'MONOCHROME2' THEN 'grey' ELSE 'colour' END AS reading FROM headers",
+    "src06_header_fallbacks": f"WITH {C.HEADERS_SQL} SELECT series_uid, path, coalesce(pixel_spacing, imager_spacing, group_spacing, 1.0) AS spacing, CASE WHEN window_center IS NOT NULL AND window_width > 0 THEN window_center END AS center, CASE WHEN window_center IS NOT NULL AND window_width > 0 THEN window_width END AS width, CASE WHEN photometric = 'MONOCHROME1' THEN 'inverted' WHEN photometric = 'MONOCHROME2' OR photometric IS NULL THEN 'grey' ELSE 'colour' END AS reading FROM headers",
     "set06_distinct_series": f"WITH {C.HEADERS_SQL} SELECT series_uid, matrix, CAST(round(tilt * 1000) AS BIGINT) AS tilt_key, count(*) AS images FROM headers GROUP BY ALL",
     "win01_win02_slice_order": f"{_O} SELECT series_uid, path, position, rank FROM o",
     "win03_gaps": f"{_O}, {_GAPS} SELECT * FROM r",
@@ -187,19 +238,30 @@ ORACLE_SQL = {
     "set05_changes": f"{_A}, {_SNAP('a', '2024-01-15')}, {_SNAP('b', '2025-01-01')}, u AS (SELECT coalesce(a.workspace, b.workspace) AS workspace, coalesce(a.item, b.item) AS item, a.edits AS ea, b.edits AS eb, a.review AS ra, b.review AS rb FROM a FULL JOIN b ON a.workspace = b.workspace AND a.item = b.item) SELECT workspace, item, 'added' AS change FROM u WHERE ea IS NULL UNION ALL SELECT workspace, item, 'removed' FROM u WHERE eb IS NULL UNION ALL SELECT workspace, item, 'revised' FROM u WHERE ea <> eb UNION ALL SELECT workspace, item, 'reviewed' FROM u WHERE ea IS NOT NULL AND eb IS NOT NULL AND ra IS DISTINCT FROM rb",
     "top08_last_entries": f"{_A} SELECT workspace, event_id, command, greatest(0, count(*) OVER (PARTITION BY workspace) - 5) AS dropped FROM audit WHERE event_id > 100 QUALIFY row_number() OVER (PARTITION BY workspace ORDER BY event_id DESC) <= 5",
     "geo01_geo03_measurements": f"{_N} SELECT id, kind, round({_VALUE}, 4) AS value, {_UNIT} AS unit FROM annotations",
+    "geo01_patient_measures": f"""{_N}, p0 AS (SELECT id, kind, {_VOXEL_POINTS} AS p FROM annotations WHERE kind IN ('Distance', 'Angle', 'Area')), p1 AS (SELECT id, kind, [[p[n + 1][1], p[n + 1][2], p[n + 1][3] + n % 2 * 1.5::DOUBLE] for n in range(4)] AS p FROM p0),
+        p2 AS (SELECT id, kind, CASE WHEN id % 13 = 0 THEN [p[1], p[1], p[1]] WHEN id % 11 = 0 THEN p[1 : 1 + id % 4] WHEN kind = 'Distance' THEN p[1:2] WHEN kind = 'Angle' THEN p[1:3] ELSE p END AS p, [0.75::DOUBLE, 1::DOUBLE, 1.5::DOUBLE + id % 4] AS s FROM p1),
+        g AS (SELECT id, kind, s, list_transform(p, lambda q: [q[1] * s[1], q[2] * s[2], q[3] * s[3]]) AS p FROM p2), m AS (SELECT id, kind, s, list_transform(p, lambda q: CASE WHEN id % 2 = 0 THEN [q[3] - 20, q[1] + 5.5::DOUBLE, q[2] + id % 100] ELSE [q[1] - 20, 5.5::DOUBLE + 0.6::DOUBLE * q[2] - 0.8::DOUBLE * q[3], id % 100 + 0.8::DOUBLE * q[2] + 0.6::DOUBLE * q[3]] END) AS p FROM g),
+        c AS (SELECT *, len(p) AS n, list_distance(p[1], p[2]) AS d, list_distance(p[1], p[2]) * list_distance(p[3], p[2]) AS arms, CASE WHEN len(p) > 2 THEN list_dot_product([p[1][x] - p[2][x] for x in [1, 2, 3]], [coalesce(p[3][x], 0) - p[2][x] for x in [1, 2, 3]]) END AS dot,
+            [list_sum([p[a + 1][x % 3 + 1] * p[(a + 1) % len(p) + 1][(x + 1) % 3 + 1] - p[a + 1][(x + 1) % 3 + 1] * p[(a + 1) % len(p) + 1][x % 3 + 1] for a in range(len(p))]) for x in [1, 2, 3]] AS crs FROM m),
+        r AS (SELECT *, CASE WHEN kind = 'Distance' AND n <> 2 THEN 'a distance needs 2 points, got ' || n WHEN kind = 'Angle' AND n <> 3 THEN 'an angle needs 3 points, got ' || n WHEN kind = 'Area' AND n < 3 THEN 'an area needs at least 3 points, got ' || n WHEN kind = 'Angle' AND arms = 0 THEN 'the arms of the angle must have length' END AS reason FROM c)
+        SELECT id, round(CASE WHEN reason IS NOT NULL THEN NULL WHEN kind = 'Distance' THEN d WHEN kind = 'Angle' THEN degrees(acos(least(greatest(dot / CASE WHEN arms > 0 THEN arms END, -1), 1))) ELSE sqrt(list_dot_product(crs, crs)) / 2 END, 4) AS value,
+        CASE WHEN reason IS NULL THEN {_UNIT} END AS unit, CASE WHEN reason IS NULL AND kind = 'Distance' THEN round(list_max(s), 3) END AS uncertainty_mm, reason FROM r""",
     "geo05_nearest_annotation": f"{_N}, t AS (SELECT *, {_T(1, 2)}, {_T(2, 3)}, {_T(3, 4)} FROM annotations), m AS (SELECT workspace, slice_index, id, least({_SEG(1, 2)}, {_SEG(2, 3)}, {_SEG(3, 4)}) AS mm FROM t) SELECT workspace, slice_index, id, round(mm, 4) AS mm FROM m WHERE mm <= 12 QUALIFY row_number() OVER (PARTITION BY workspace, slice_index ORDER BY mm, id) = 1",
     "agg33_pip10_pending": f"""WITH {C.VOXELS_SQL}, {C.ANNOTATIONS_SQL}, u AS (SELECT workspace, 'annotation' AS kind, status, author FROM annotations UNION ALL SELECT series_id % 50, 'segment', CASE WHEN (series_id + label) % 3 = 0 THEN 'confirmed' ELSE 'proposed' END, CASE WHEN label = 1 THEN 'agent' ELSE 'human' END FROM (SELECT DISTINCT series_id, label FROM mask))
         SELECT workspace, kind, count(*) FILTER (WHERE status = 'proposed') AS pending, count(*) FILTER (WHERE status = 'proposed' AND author = 'agent') AS by_agents, count(*) AS items FROM u GROUP BY ALL""",
     "prj16_changeable": f"{_N} SELECT id, author = 'agent' AND status <> 'confirmed' AS changeable, CASE WHEN author <> 'agent' THEN 'made by a person' WHEN status = 'confirmed' THEN 'confirmed' END AS reason FROM annotations",
     "pip12_default_names": f"{_N} SELECT id, kind || ' ' || row_number() OVER (PARTITION BY workspace, kind ORDER BY id) AS name FROM annotations",
     "prj13_pseudonym": "SELECT c_custkey, 'anon-' || substr(sha256('pepper' || chr(0) || c_name), 1, 16) AS pseudonym FROM customer",
-    "prj15_redaction": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS date, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END AS accession FROM orders",
-    "prj17_value_unit": f"WITH {C.SERIES_SQL} SELECT series_id, CASE WHEN modality = 'CT' THEN 'HU' ELSE 'unknown' END AS unit, CASE WHEN modality <> 'CT' THEN 'needs a known unit' END AS reason FROM series",
+    "prj15_redaction": "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN '' WHEN o_orderkey % 7 > 0 THEN 'anon-' || substr(sha256('pepper' || chr(0) || '1.2.840.' || o_orderkey), 1, 16) ELSE '1.2.840.' || o_orderkey END AS study_uid, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS date, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END AS accession FROM orders",
+    "prj17_value_unit": f"""WITH t AS (SELECT o_orderkey, upper(trim({_CODES!r}[o_orderkey % {len(_CODES)} + 1])) AS m FROM orders), c AS (SELECT o_orderkey, CASE WHEN m <> '' AND strlen(m) <= 16 AND NOT regexp_matches(m, '[^0-9A-Z]') THEN m END AS modality FROM t)
+        SELECT *, CASE WHEN modality = 'CT' THEN 'HU' WHEN modality IS NOT NULL THEN 'unknown' END AS unit, CASE WHEN modality IS NULL THEN 'not a modality code' WHEN modality <> 'CT' THEN 'needs a known unit' END AS reason FROM c""",
     "prj18_named_side": "WITH n AS (SELECT DISTINCT p_name || ' ' || ['left', 'Right kidney', 'leftover', 'left and right'][p_partkey % 4 + 1] AS name FROM part), w AS (SELECT name, regexp_split_to_array(lower(name), '[^a-z0-9]+') AS w FROM n) SELECT name, CASE WHEN list_contains(w, 'left') AND NOT list_contains(w, 'right') THEN 'left' WHEN list_contains(w, 'right') AND NOT list_contains(w, 'left') THEN 'right' END AS side FROM w",
     "prj19_timestamps": f"{_A} SELECT event_id, strftime(date_trunc('second', time), '%Y-%m-%dT%H:%M:%SZ') AS text, date_trunc('second', time) AS parsed FROM audit",
-    "prj20_numbers_in_text": "WITH t AS (SELECT DISTINCT 'size ' || CAST(l_quantity AS BIGINT) || '.5 mm, 1,' || lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') || ' of -' || l_linenumber AS text FROM lineitem), n AS (SELECT text, regexp_extract_all(text, '-?[0-9]+(?:\\.[0-9]+)?') AS n FROM t) SELECT text, CAST(i AS BIGINT) AS place, CAST(n[i + 1] AS DOUBLE) AS number FROM n, range(4) AS r(i) WHERE i < len(n)",
-    "prj22_volume_keys": "WITH k AS (SELECT 'b' || (l_partkey % 3 * 500) || CASE l_suppkey % 3 WHEN 0 THEN '-e' || (l_suppkey % 2 + 1) WHEN 1 THEN '-Smith' ELSE '' END AS k FROM lineitem) SELECT CASE WHEN regexp_full_match(k, '(?:(?:b|te|t|e|n)[0-9]+)(?:-(?:b|te|t|e|n)[0-9]+)*') THEN k ELSE 'other' END AS key, count(*) AS n FROM k GROUP BY 1",
-    "prj23_people": "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_name WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN NULL ELSE c_name END AS person FROM customer",
+    "prj20_numbers_in_text": f"WITH t AS (SELECT DISTINCT 'size ' || CAST(l_quantity AS BIGINT) || '.5 mm, 1,' || lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') || ' of -' || l_linenumber || ', ' || l_suppkey % 20 || '-' || l_partkey % 20 || ' --7. -.5 - 1.2.3' AS text FROM lineitem), n AS (SELECT text, {_numbers_sql('text')} AS n FROM t) SELECT text, CAST(i AS BIGINT) AS place, n[i + 1] AS number FROM n, range(20) AS r(i) WHERE i < len(n)",
+    "prj22_volume_keys": f"""WITH k AS (SELECT CASE WHEN l_partkey % 41 > 0 THEN 'b' || (l_partkey % 3 * 500) || {_KEY_PARTS!r}[l_suppkey % {len(_KEY_PARTS)} + 1] END AS k FROM lineitem), p AS (SELECT k, string_split(k, '-') AS p FROM (SELECT DISTINCT k FROM k)),
+        d AS (SELECT k, len(k) BETWEEN 1 AND 64 AND len(list_filter(p, lambda x: NOT (regexp_full_match(x, '[a-z][a-z]?[a-z]?x') OR (len(regexp_extract(x, '^[a-z]*')) BETWEEN 1 AND 3 AND CASE WHEN contains(x, '.') THEN len(string_split(x, '.')) = 2 AND regexp_full_match(string_split(x, '.')[1], '[a-z]*[0-9]{{1,12}}') AND regexp_full_match(string_split(x, '.')[2], '[0-9]{{1,6}}') ELSE regexp_full_match(x, '[a-z]*[0-9]{{1,12}}') END)))) = 0 AS ok FROM p)
+        SELECT CASE WHEN k.k IS NULL THEN NULL WHEN ok THEN k.k ELSE 'other' END AS key, count(*) AS n FROM k LEFT JOIN d ON d.k = k.k GROUP BY 1""",
+    "prj23_people": "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_name WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN NULL ELSE c_name END AS person, CASE WHEN c_custkey % 5 > 2 THEN sha256(c_name) END AS shown_sha256 FROM customer",
     "pip14_privacy_scan": "SELECT doc_id, CAST(item_id AS BIGINT) AS secret_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND length(b.text) >= 12",
     "pip12_asked_changes": f"""{_N}, q AS (SELECT id + CASE WHEN id % 3 = 0 THEN 10000000 ELSE 0 END AS id, CASE WHEN id % 3 < 2 THEN 'add' WHEN id % 2 = 0 THEN 'rename' ELSE 'delete' END AS asked, ['Distance', 'Angle', 'Area', 'Rectangle', 'Text', 'Circle'][id % 6 + 1] AS kind, id % 4 + 1 AS points, id % 7 = 0 AS apart, 'new ' || id AS new_name FROM annotations),
         j AS (SELECT q.*, a.id IS NOT NULL AS there, a.kind AS old_kind, a.kind || ' ' || a.id AS old_name, author, status FROM q LEFT JOIN annotations a ON a.id = q.id),
@@ -207,9 +269,11 @@ ORACLE_SQL = {
             ELSE CASE WHEN NOT there THEN 'not found' WHEN author <> 'agent' THEN 'made by a person' WHEN status = 'confirmed' THEN 'confirmed' END END AS reason FROM j)
         SELECT id, asked, reason, CASE WHEN asked = 'add' THEN kind ELSE old_kind END AS kind, CASE WHEN reason IS NULL AND asked = 'delete' THEN NULL WHEN reason IS NOT NULL THEN old_name ELSE new_name END AS name,
         CASE WHEN reason IS NULL THEN asked <> 'delete' WHEN there THEN true END AS kept FROM r""",
-    "snk02_report_rows": f"{_N} SELECT workspace, id, kind, round({_VALUE}, 3) AS value, {_UNIT} AS unit, status = 'confirmed' AS confirmed FROM annotations",
-    "pip15_transcript_grades": """WITH a AS (SELECT *, conv_id * CAST(0.5 AS DOUBLE) AS want, text || ' The length is ' || CAST(CAST(conv_id * 0.5 AS DECIMAL(20,1)) AS VARCHAR) || CASE WHEN conv_id % 3 = 0 THEN ' mm' ELSE '' END || CASE WHEN turn % 5 = 1 THEN ' a malignant lesion' ELSE '' END || CASE WHEN conv_id % 4 = 1 THEN ', please confirm' ELSE '' END AS answer FROM conversations WHERE role = 'assistant'),
-        n AS (SELECT *, list_filter(list_transform(regexp_extract_all(answer, '-?[0-9]+(?:\\.[0-9]+)?'), lambda x: CAST(x AS DOUBLE)), lambda x: abs(x - want) <= 0.05)[1] AS g, [1.0, want + CASE WHEN conv_id % 2 = 0 THEN 0 ELSE 3 END] AS results FROM a),
+    "snk02_report_rows": f"""{_N} SELECT workspace, id, kind || ' ' || id AS name, kind, plane, slice_index, slice_index + 1 AS slice_number, round({_VALUE}, 3) AS value, {_UNIT} AS unit, status = 'confirmed' AS confirmed,
+        printf('%.3f %.3f %.3f %.3f %.3f %.3f %.3f %.3f', x1, y1, x2, y2, x3, y3, x4, y4) AS points_mm, array_to_string(list_transform({_VOXEL_POINTS}, lambda p: printf('%.3f %.3f %.3f', p[1], p[2], p[3])), ' ') AS points_voxel,
+        printf('%.6f %.6f %.6f', 0.7::DOUBLE + workspace / 300::DOUBLE, 1.0::DOUBLE, 2 + workspace / 700::DOUBLE) AS spacing_mm FROM annotations""",
+    "pip15_transcript_grades": f"""WITH a AS (SELECT *, conv_id * CAST(0.5 AS DOUBLE) AS want, text || ' The length is ' || CAST(CAST(conv_id * 0.5 AS DECIMAL(20,1)) AS VARCHAR) || CASE WHEN conv_id % 3 = 0 THEN ' mm' ELSE '' END || CASE WHEN turn % 5 = 1 THEN ' a malignant lesion' ELSE '' END || CASE WHEN conv_id % 4 = 1 THEN ', please confirm' ELSE '' END AS answer FROM conversations WHERE role = 'assistant'),
+        n AS (SELECT *, list_filter({_numbers_sql('answer')}, lambda x: abs(x - want) <= 0.05)[1] AS g, [1.0, want + CASE WHEN conv_id % 2 = 0 THEN 0 ELSE 3 END] AS results FROM a),
         c AS (SELECT conv_id, turn, g IS NOT NULL AS r, conv_id % 5 = 0 OR contains(lower(answer), 'mm') AS u, coalesce(len(list_filter(results, lambda t: abs(t - g) <= greatest(0.05, 0.01 * abs(g)))) > 0, false) AS t,
             NOT regexp_matches(lower(answer), 'malignan|benign|cancer|carcinoma|metasta|tumour is') AS s, conv_id % 2 = 0 OR contains(lower(answer), 'review') OR contains(lower(answer), 'confirm') AS v, conv_id % 6 < 4 AS m FROM n)
         SELECT conv_id, turn, r AS "right", u AS unit_said, t AS traced, s AS clean, v AS review, m AS tools, r AND u AND t AND s AND v AND m AS passed FROM c""",

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
+#: A number that is being read: a minus sign begins one, and ends one that has begun without being part of the next; it has one point at most.
+NUMBER = r"((?:-[0-9]*|[0-9]+)(?:\.[0-9]*)?)-?"
+#: A part of a volume's key: one to three letters, and a number or an x.
+KEY_PART = r"[a-z]{1,3}(?:x|[0-9]{1,12}(?:\.[0-9]{1,6})?)"
 #: What a measuring agent has no business to say (fixed values).
 DIAGNOSTIC = ["malignan", "benign", "cancer", "carcinoma", "metasta", "tumour is"]
 
@@ -32,13 +35,15 @@ def from_rfc3339(text: Column) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    """All numbers of a text in order; a thousands comma parts two."""
-    return F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda x: x.cast("double"))
+    """All numbers of a text in order; a thousands comma parts two, and so does a hyphen, which is no sign behind a number."""
+    read = F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1)), lambda x: F.regexp_replace(x, r"\.+$", "").try_cast("double"))
+    return F.array_compact(read)
 
 
 def checked_volume_key(key: Column) -> Column:
-    """The key if all its parts are a known letter and a number, else ``other``, so that it can't name anybody."""
-    return F.when(F.forall(F.split(key, "-"), lambda p: p.rlike("^(b|te|t|e|n)[0-9]+$")), key).otherwise("other")
+    """The key if all its parts are letters and a number, 64 characters together at most, else ``other``, so that it can't name anybody; null for null."""
+    whole = key.rlike(rf"\A{KEY_PART}(?:-{KEY_PART})*\z") & (F.length(key) <= 64)
+    return F.when(whole, key).when(key.isNotNull(), "other")
 
 
 def checked_person(name: Column) -> Column:
@@ -47,6 +52,17 @@ def checked_person(name: Column) -> Column:
     return F.when((bare != "") & (F.length(bare) <= 200) & ~bare.rlike(r"[\p{Cc}\p{Cf}]"), bare)
 
 
+def checked_hash(digest: Column) -> Column:
+    """A SHA-256 of 64 hex digits in lower case; null for anything else."""
+    return F.when(digest.rlike(r"\A[0-9a-fA-F]{64}\z"), F.lower(digest))
+
+
+def checked_code(code: Column) -> Column:
+    """A modality's code without outer blanks, if it is 1 to 16 ASCII letters and digits; null for anything else."""
+    bare = F.trim(code)
+    return F.when(bare.rlike(r"\A[0-9A-Za-z]{1,16}\z"), bare)
+
+
 def find_secrets(texts: DataFrame, secrets: DataFrame, seed: int = 12) -> DataFrame:
     """Every text with every secret it holds.
 

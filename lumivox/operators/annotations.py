@@ -56,6 +56,42 @@ def nearest(annotations: DataFrame, x: float, y: float, tolerance: float) -> Dat
     return reached.groupBy("workspace", "slice_index").agg(F.min(F.struct("mm", "id")).alias("m")).select("workspace", "slice_index", F.col("m.id").alias("id"), F.col("m.mm").alias("mm"))
 
 
+def voxel_points(slices: int = 12) -> Column:
+    """The points as ``(i, j, k)``: on axial slices as they are, on coronal and sagittal ones with k upwards (``slices`` of it), as the planes are shown."""
+    at = F.col("slice_index").cast("double")
+    up = lambda y: F.lit(slices - 1.0) - y
+    plane = F.lower("plane")
+    return F.transform("points", lambda p: F.when(plane == "axial", F.array(p["x"], p["y"], at)).when(plane == "coronal", F.array(p["x"], at, up(p["y"]))).otherwise(F.array(at, p["x"], up(p["y"]))))
+
+
+def in_space(measures: DataFrame) -> DataFrame:
+    """``id, value, unit, uncertainty_mm, reason`` of ``id, kind, voxels`` on grids (``origin``, ``axes``: the directions of i, j and k, ``spacing``), in patient millimetres.
+
+    A distance needs two points and is sure to one voxel along the largest spacing; an angle, at the second, three, with arms that have a length;
+    an area three or more: half the length of the corners' summed cross products, so that polygons in any plane have theirs. What is refused says why.
+    """
+    place = lambda p, n: F.get("origin", F.lit(n)) + sum((F.get(p, F.lit(a)) * F.get("spacing", F.lit(a)) * F.get(F.get("axes", F.lit(a)), F.lit(n)) for a in range(3)), F.lit(0.0))
+    mm = measures.withColumn("mm", F.transform("voxels", lambda p: F.array(*[place(p, n) for n in range(3)])))
+    less = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    norm = lambda a: F.sqrt(dot(a, a))
+    at = lambda n: F.get("mm", F.lit(n))
+    u, w = less(at(0), at(1)), less(at(2), at(1))
+    arms = norm(u) * norm(w)
+    bend = F.degrees(F.acos(F.least(F.greatest(dot(u, w) / F.nullif(arms, F.lit(0.0)), F.lit(-1.0)), F.lit(1.0))))
+    following = lambda i: F.get("mm", (i + 1) % F.size("mm"))
+    part = lambda a, b, n: F.get(a, F.lit((n + 1) % 3)) * F.get(b, F.lit((n + 2) % 3)) - F.get(a, F.lit((n + 2) % 3)) * F.get(b, F.lit((n + 1) % 3))
+    crosses = F.transform("mm", lambda a, i: F.array(*[part(a, following(i), n) for n in range(3)]))
+    area = norm(F.aggregate(crosses, F.array(*[F.lit(0.0)] * 3), lambda s, c: F.zip_with(s, c, lambda x, y: x + y))) / 2
+    size, kind = F.size("voxels"), F.col("kind")
+    reason = F.when((kind == "Distance") & (size != 2), F.concat(F.lit("a distance needs 2 points, got "), size)).when((kind == "Angle") & (size != 3), F.concat(F.lit("an angle needs 3 points, got "), size))
+    reason = reason.when((kind == "Area") & (size < 3), F.concat(F.lit("an area needs at least 3 points, got "), size)).when((kind == "Angle") & (arms == 0), "the arms of the angle must have length")
+    known = mm.withColumn("reason", reason)
+    value_ = F.when(F.col("reason").isNull(), F.when(kind == "Distance", norm(less(at(0), at(1)))).when(kind == "Angle", bend).when(kind == "Area", area))
+    sure = F.when((kind == "Distance") & F.col("reason").isNull(), F.round(F.array_max("spacing"), 3))
+    return known.select("id", value_.alias("value"), F.when(F.col("reason").isNull(), unit(kind)).alias("unit"), sure.alias("uncertainty_mm"), "reason")
+
+
 def changeable() -> Column:
     """An agent may change what an agent made and nobody confirmed."""
     return (F.col("author") == "agent") & (F.col("status") != "confirmed")
@@ -97,6 +133,11 @@ def asked_change(annotations: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def report(annotations: DataFrame) -> DataFrame:
-    """The report's rows as JSON, values to thousandths, with whether they are confirmed."""
-    row = F.struct("id", "kind", F.round(value(F.col("kind"), F.col("points")), 3).alias("value"), unit(F.col("kind")).alias("unit"), (F.col("status") == "confirmed").alias("confirmed"))
+    """The report's rows as JSON: values and points to thousandths, the ``spacing`` to millionths, the slice by index and number, and whether they are confirmed."""
+    rounded = lambda points: F.transform(points, lambda p: F.transform(p, lambda x: F.round(x, 3)))
+    row = F.struct(
+        "id", "name", "kind", F.lower("plane").alias("plane"), "slice_index", (F.col("slice_index") + 1).alias("slice_number"), F.round(value(F.col("kind"), F.col("points")), 3).alias("value"), unit(F.col("kind")).alias("unit"),
+        rounded(F.transform("points", lambda p: F.array(p["x"], p["y"]))).alias("points_mm"), rounded(voxel_points()).alias("points_voxel"),
+        F.transform("spacing", lambda x: F.round(x, 6)).alias("spacing_mm"), (F.col("status") == "confirmed").alias("confirmed"),
+    )
     return annotations.select("workspace", F.to_json(row).alias("row"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Value ranges of the tissue shares, half open: air, lung, fat, water, soft tissue, bone.
-RANGES = [(-1100.0, -900.0, "air"), (-900.0, -500.0, "lung"), (-190.0, -30.0, "fat"), (-30.0, 30.0, "water"), (30.0, 150.0, "soft"), (300.0, 3000.0, "bone")]
+#: Bounds of the half-open value ranges whose shares are given by default (fixed values).
+BOUNDS = [-1000.0, -500.0, -100.0, 0.0, 100.0, 300.0, 1000.0]
+RANGES = list(zip(BOUNDS, BOUNDS[1:]))
 
 
 def value_counts(values: DataFrame, group: list[str], value: str = "value") -> DataFrame:
@@ -80,16 +81,18 @@ def volume_curve(counts: DataFrame, group: list[str], points: int = 101) -> Data
     return joined.select(*group, F.col("point").cast("long").alias("point"), (above / F.col("total")).alias("fraction"))
 
 
-def range_shares(counts: DataFrame, group: list[str], ranges: list[tuple[float, float, str]] = RANGES) -> DataFrame:
-    """``group, name, share`` of half-open value ranges, and of what is in none; ranges that overlap are refused."""
+def range_shares(counts: DataFrame, group: list[str], ranges: list[tuple[float, float]] = RANGES) -> DataFrame:
+    """``group, low, high, voxels, share`` of every half-open value range, and of what is in none (``low`` and ``high`` null); ranges that overlap are refused."""
     ordered = sorted(ranges)
-    if any(low >= high for low, high, _ in ordered) or any(a[1] > b[0] for a, b in zip(ordered, ordered[1:])):
+    if any(low >= high for low, high in ordered) or any(a[1] > b[0] for a, b in zip(ordered, ordered[1:])):
         raise ValueError("value ranges are empty or overlap")
-    name: Column = F.lit("outside")
-    for low, high, label in ordered:
-        name = F.when((F.col("value") >= low) & (F.col("value") < high), F.lit(label)).otherwise(name)
-    shares = counts.groupBy(*group, name.alias("name")).agg(F.sum("n").alias("n"))
-    return shares.select(*group, "name", (F.col("n") / F.sum("n").over(Window.partitionBy(*group))).alias("share"))
+    held = [F.sum(F.when((F.col("value") >= low) & (F.col("value") < high), F.col("n")).otherwise(0)).alias(f"n{i}") for i, (low, high) in enumerate(ordered)]
+    sums = counts.groupBy(*group).agg(*held, F.sum("n").alias("total"))
+    inside = sum((F.col(f"n{i}") for i in range(len(ordered))), F.lit(0))
+    bound = lambda x, name: F.lit(x).cast("double").alias(name)
+    rows = [F.struct(bound(low, "low"), bound(high, "high"), F.col(f"n{i}").alias("voxels")) for i, (low, high) in enumerate(ordered)]
+    rows.append(F.struct(bound(None, "low"), bound(None, "high"), (F.col("total") - inside).alias("voxels")))
+    return sums.select(*group, "total", F.inline(F.array(*rows))).select(*group, "low", "high", "voxels", (F.col("voxels") / F.col("total")).alias("share"))
 
 
 def storage_histogram(stored: DataFrame, group: list[str], bins: int = 64) -> DataFrame:

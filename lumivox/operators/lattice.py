@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumivox.operators.masks import KEY, VOX
 from lumivox.plans.components import connected_components
+from lumivox.plans.groups import over_groups
 from lumivox.plans.scratch import written
 
 
@@ -30,57 +33,71 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _brick_runs(frame: pd.DataFrame, diagonal: bool) -> pd.DataFrame:
-    """The runs of voxels along i of one brick, in grid order, and the first run of the piece within the brick that each is in."""
-    i, j, k = (frame[a].to_numpy(np.int64) for a in VOX)
-    wide = int(i.max()) - (low := int(i.min())) + 4
-    tall = int(j.max()) - (first := int(j.min())) + 3
-    vox = np.unique(((k - (front := int(k.min()))) * tall + (j - first + 1)) * wide + (i - low + 1))
-    starts = np.flatnonzero(np.diff(vox, prepend=-5) != 1)
-    begin, end = vox[starts], vox[np.append(starts[1:], len(vox)) - 1]
-    reach = 1 if diagonal else 0
-    pairs = []
-    for dj, dk in [(dj, dk) for dk in (0, 1) for dj in (-1, 0, 1) if (dk, dj) > (0, 0)] if diagonal else [(1, 0), (0, 1)]:
-        off = (dk * tall + dj) * wide
-        x, y = np.searchsorted(end, begin + off - reach), np.searchsorted(begin, end + off + reach, "right")
-        many = np.maximum(y - x, 0)
-        mine = np.repeat(np.arange(len(begin)), many)
-        pairs.append((mine, np.repeat(x, many) + np.arange(len(mine)) - np.repeat(np.cumsum(many) - many, many)))
-    root = _roots(len(begin), *(np.concatenate(x) for x in zip(*pairs)))
-    at = lambda v: {"k": v // wide // tall + front, "j": v // wide % tall + first - 1, "i": v % wide + low - 1}
-    here, there = at(begin), at(begin[root])
-    return pd.DataFrame({"j": here["j"], "k": here["k"], "i0": here["i"], "i1": end % wide + low - 1, "rk": there["k"], "rj": there["j"], "ri": there["i"]}).astype("int32")
+def mask_runs(mask: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """``key, j, k, i0, i1``: the runs of voxels on each line along i; repeated voxels count once."""
+    line = Window.partitionBy(*key, "j", "k").orderBy("i")
+    stepped = mask.select(*key, *VOX, (F.col("i") - F.dense_rank().over(line)).alias("run"))
+    return stepped.groupBy(*key, "j", "k", "run").agg(F.min("i").cast("int").alias("i0"), F.max("i").cast("int").alias("i1")).select(*key, F.col("j").cast("int").alias("j"), F.col("k").cast("int").alias("k"), "i0", "i1")
 
 
-def label_components(mask: DataFrame, diagonal: bool = True, key: list[str] = KEY) -> DataFrame:
-    """Adds ``piece`` to the voxels: the first run, in grid order, of the 26- or 6-connected piece that a voxel is in.
+def run_voxels(runs: DataFrame, *kept: str, key: list[str] = KEY) -> DataFrame:
+    return runs.select(*key, F.explode(F.sequence("i0", "i1")).alias("i"), "j", "k", *kept)
+
+
+def _met(begin: np.ndarray, end: np.ndarray, off: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of runs, sorted by place, of which one lies within ``reach`` of the other moved by ``off``."""
+    x, y = np.searchsorted(end, begin + off - reach), np.searchsorted(begin, end + off + reach, "right")
+    many = np.maximum(y - x, 0)
+    mine = np.repeat(np.arange(len(begin)), many)
+    return mine, np.repeat(x, many) + np.arange(len(mine)) - np.repeat(np.cumsum(many) - many, many)
+
+
+def _steps(diagonal: bool) -> list[tuple[int, int]]:
+    """The lines beside a line that come after it, as steps along j and k."""
+    return [(dj, dk) for dk in (0, 1) for dj in (-1, 0, 1) if (dk, dj) > (0, 0)] if diagonal else [(1, 0), (0, 1)]
 
-    Bricks of ``BRICK`` x ``BRICK`` lines are labelled by themselves, a brick at a time; only runs on their sides are joined with those
+
+def label_runs(runs: DataFrame, diagonal: bool = True, key: list[str] = KEY) -> DataFrame:
+    """Adds ``piece`` to runs (``key, j, k, i0, i1``, parted and each once): the first run, in grid order, of the 26- or 6-connected piece that it is in.
+
+    Bricks of ``BRICK`` x ``BRICK`` lines are labelled by themselves, many bricks at a time; only runs on their sides are joined with those
     of the bricks beside them, and only the pieces that meet there are nodes of the graph whose components are sought. So the
     iterated joins follow the bricks' surfaces, not the voxels.
     """
-    kinds = ", ".join(f"{c} {mask.schema[c].dataType.simpleString()}" for c in key)
-
-    def label(of: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        runs = _brick_runs(frame, diagonal)
-        for place, (c, value) in enumerate(zip(key, of)):
-            runs.insert(place, c, value)
-        return runs
-
-    brick = [F.floor(F.col(a) / BRICK).cast("int").alias(f"b{a}") for a in ("j", "k")]
-    found = mask.select(*key, *VOX, *brick).groupBy(*key, "bj", "bk").applyInPandas(label, f"{kinds}, j int, k int, i0 int, i1 int, rk int, rj int, ri int")
-    runs = written(found.withColumn("node", F.struct(*key, F.col("rk").alias("k"), F.col("rj").alias("j"), F.col("ri").alias("i0"))).drop("rk", "rj", "ri"), "runs")
-    steps = [(dj, dk) for dk in (0, 1) for dj in (-1, 0, 1) if (dk, dj) > (0, 0)] if diagonal else [(1, 0), (0, 1)]
     reach = 1 if diagonal else 0
-    near = F.array(*[F.struct((F.col("j") + dj).alias("j"), (F.col("k") + dk).alias("k")) for dj, dk in steps])
+
+    def label(table: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        j, k, i0, i1 = (table.column(c).to_numpy().astype(np.int64) for c in ("j", "k", "i0", "i1"))
+        brick = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(j))))
+        low, front = (np.minimum.reduceat(x, first)[brick] for x in (i0, k))
+        wide, tall, deep = int((i1 - low).max()) + 4, BRICK + 2, BRICK + 1
+        place = ((brick * deep + k - front) * tall + np.mod(j, BRICK) + 1) * wide - low + 1  # bricks lie apart on one long line
+        begin, end = place + i0, place + i1
+        order = np.argsort(begin, kind="stable")
+        pairs = [_met(begin[order], end[order], (dk * tall + dj) * wide, reach) for dj, dk in _steps(diagonal)]
+        root = np.empty(len(order), np.int64)
+        root[order] = order[_roots(len(order), *(np.concatenate(x) for x in zip(*pairs)))]
+        named = [pa.array(x[root].astype(np.int32)) for x in (k, j, i0)]
+        yield pa.record_batch([*[table.column(c).combine_chunks() for c in (*key, "j", "k", "i0", "i1")], *named], names=[*key, "j", "k", "i0", "i1", "rk", "rj", "ri"])
+
+    kinds = ", ".join(f"{c} {runs.schema[c].dataType.simpleString()}" for c in key)
+    bricks = runs.select(*key, "j", "k", "i0", "i1", *[F.floor(F.col(a) / BRICK).cast("int").alias(f"b{a}") for a in ("j", "k")])
+    found = over_groups(bricks, [*key, "bj", "bk"], [], label, f"{kinds}, j int, k int, i0 int, i1 int, rk int, rj int, ri int")
+    held = written(found.withColumn("node", F.struct(*key, F.col("rk").alias("k"), F.col("rj").alias("j"), F.col("ri").alias("i0"))).drop("rk", "rj", "ri"), "runs")
+    near = F.array(*[F.struct((F.col("j") + dj).alias("j"), (F.col("k") + dk).alias("k")) for dj, dk in _steps(diagonal)])
     side = F.pmod(F.col("j"), F.lit(BRICK)).isin(0, BRICK - 1) | F.pmod(F.col("k"), F.lit(BRICK)).isin(0, BRICK - 1)
-    border = runs.where(side)
+    border = held.where(side)
     looks = border.select(*key, F.col("node").alias("src"), F.col("i0").alias("a0"), F.col("i1").alias("a1"), *[F.floor(F.col(a) / BRICK).alias(f"s{a}") for a in ("j", "k")], F.inline(near))
     looks = looks.where((F.col("sj") != F.floor(F.col("j") / BRICK)) | (F.col("sk") != F.floor(F.col("k") / BRICK)))
     edges = looks.join(border.select(*key, "j", "k", F.col("node").alias("dst"), F.col("i0").alias("b0"), F.col("i1").alias("b1")), [*key, "j", "k"])
     edges = edges.where((F.col("a0") <= F.col("b1") + reach) & (F.col("b0") <= F.col("a1") + reach)).select("src", "dst")
-    named = runs.join(connected_components(edges).withColumnRenamed("node", "met"), F.col("node") == F.col("met"), "left").select(*key, "j", "k", "i0", "i1", F.coalesce("component", "node").alias("piece"))
-    return named.select(*key, F.explode(F.sequence("i0", "i1")).alias("i"), "j", "k", "piece")
+    met = connected_components(edges).withColumnRenamed("node", "met")
+    return held.join(met, F.col("node") == F.col("met"), "left").select(*key, "j", "k", "i0", "i1", F.coalesce("component", "node").alias("piece"))
+
+
+def label_components(mask: DataFrame, diagonal: bool = True, key: list[str] = KEY) -> DataFrame:
+    """Adds ``piece`` to the voxels, as ``label_runs`` does to their runs."""
+    return run_voxels(label_runs(mask_runs(mask, key), diagonal, key), "piece", key=key)
 
 
 def components(mask: DataFrame, diagonal: bool = True) -> DataFrame:
@@ -111,19 +128,34 @@ def split_segments(mask: DataFrame, least: int, most: int = 255) -> DataFrame:
     return asked.join(numbered, ["series_id", "n"], "left").select(*KEY, "rank", "new_label")
 
 
+def gap_runs(runs: DataFrame, box: DataFrame) -> DataFrame:
+    """The runs of each key's ``box`` (inclusive ``i0 .. k1``) that ``runs`` leave: a row a line and gap, none for a voxel."""
+    ends = [f"{a}{e}" for a in VOX for e in (0, 1)]
+    lines = box.select(*KEY, *[F.col(c).alias(f"b{c}") for c in ends]).withColumn("j", F.explode(F.sequence("bj0", "bj1"))).withColumn("k", F.explode(F.sequence("bk0", "bk1")))
+    held = runs.groupBy(*KEY, "j", "k").agg(F.array_sort(F.collect_list(F.struct("i0", "i1"))).alias("held"))
+    met = lines.join(held, [*KEY, "j", "k"], "left").withColumn("held", F.coalesce("held", F.array().cast("array<struct<i0: int, i1: int>>")))
+    starts = F.concat(F.array(F.col("bi0").cast("int")), F.transform("held", lambda r: r["i1"] + 1))
+    stops = F.concat(F.transform("held", lambda r: r["i0"] - 1), F.array(F.col("bi1").cast("int")))
+    gaps = met.select(*KEY, "j", "k", F.explode(F.arrays_zip(starts.alias("i0"), stops.alias("i1"))).alias("g")).where("g.i0 <= g.i1")
+    return gaps.select(*KEY, "j", "k", "g.i0", "g.i1")
+
+
+def enclosed_runs(mask: DataFrame) -> DataFrame:
+    """Runs, with their ``piece``, of the voxels that a segment encloses: those of its box which no 6-connected way outside the segment leads out of."""
+    runs = written(mask_runs(mask), "runs")
+    box = written(runs.groupBy(*KEY).agg(*[e for c, lo, hi in (("i", "i0", "i1"), ("j", "j", "j"), ("k", "k", "k")) for e in (F.min(lo).alias(f"{c}0"), F.max(hi).alias(f"{c}1"))]), "boxes")
+    pieces = written(label_runs(gap_runs(runs, box), diagonal=False), "gaps")
+    ends = box.select(*KEY, *[F.col(f"{a}{e}").alias(f"b{a}{e}") for a in VOX for e in (0, 1)])
+    open_end = F.col("i0").eqNullSafe(F.col("bi0")) | (F.col("i1") == F.col("bi1"))
+    for a in ("j", "k"):
+        open_end = open_end | (F.col(a) == F.col(f"b{a}0")) | (F.col(a) == F.col(f"b{a}1"))
+    out = pieces.join(ends, KEY).where(open_end).select(*KEY, "piece").distinct()
+    return pieces.join(out, [*KEY, "piece"], "left_anti")
+
+
 def enclosed(mask: DataFrame) -> DataFrame:
-    """The voxels that a segment encloses: those of its box which no 6-connected way outside the segment leads out of."""
-    box = mask.groupBy(*KEY).agg(*[e for a in VOX for e in (F.min(a).alias(f"{a}0"), F.max(a).alias(f"{a}1"))])
-    cells = box
-    for a in VOX:
-        cells = cells.withColumn(a, F.explode(F.sequence(f"{a}0", f"{a}1")))
-    outside = cells.join(mask.select(*KEY, *VOX), [*KEY, *VOX], "left_anti")
-    edge = F.lit(False)
-    for a in VOX:
-        edge = edge | (F.col(a) == F.col(f"{a}0")) | (F.col(a) == F.col(f"{a}1"))
-    pieces = label_components(outside.select(*KEY, *VOX), diagonal=False)
-    open_pieces = pieces.join(box, KEY).where(edge).select(*KEY, "piece").distinct()
-    return pieces.join(open_pieces, [*KEY, "piece"], "left_anti")
+    """The voxels of ``enclosed_runs``."""
+    return run_voxels(enclosed_runs(mask), "piece")
 
 
 def fill_holes(mask: DataFrame) -> DataFrame:
@@ -132,7 +164,7 @@ def fill_holes(mask: DataFrame) -> DataFrame:
 
 def cavities(mask: DataFrame) -> DataFrame:
     """Number and voxels of the enclosed holes; segments without any are left out."""
-    return enclosed(mask).groupBy(*KEY).agg(F.count_distinct("piece").alias("cavities"), F.count("*").alias("voxels"))
+    return enclosed_runs(mask).groupBy(*KEY).agg(F.count_distinct("piece").alias("cavities"), F.sum(F.col("i1") - F.col("i0") + 1).alias("voxels"))
 
 
 def grow(voxels: DataFrame, seeds: DataFrame, low: float, high: float, most: int) -> DataFrame:
@@ -148,72 +180,169 @@ def grow(voxels: DataFrame, seeds: DataFrame, low: float, high: float, most: int
     return sized.select("series_id", F.when(F.col("voxels") <= most, F.col("i")).alias("i"), F.when(F.col("voxels") <= most, F.col("j")).alias("j"), F.when(F.col("voxels") <= most, F.col("k")).alias("k"), (F.col("voxels") > most).alias("refused")).distinct()
 
 
-def _nearer(f: np.ndarray, step: float) -> np.ndarray:
-    """Along the rows of ``f`` the least of f plus the squared distance to where it is; steps grow until none can be nearer any more."""
-    out = f.copy()
-    some = np.isfinite(f).any(axis=1)
-    held, best = f[some], out[some]
-    for d in range(1, f.shape[1]):
-        cost = (d * step) ** 2
-        if not (best > cost).any():
-            break
-        np.minimum(best[:, d:], held[:, :-d] + cost, out=best[:, d:])
-        np.minimum(best[:, :-d], held[:, d:] + cost, out=best[:, :-d])
-    out[some] = best
+def _envelope(f: np.ndarray, step: float) -> np.ndarray:
+    """Along the rows of ``f`` the least of f plus the squared distance to where it is: the lower envelope of parabolas, all rows together.
+
+    A place's parabola takes away those before it that it is below of from where they began to be lowest, so each enters and
+    leaves once: time in proportion to the length of the lines.
+    """
+    lines, n = f.shape
+    w = step * step
+    held = np.zeros((lines, n), np.int32)  # the parabolas of the envelope so far, and from where each is lowest
+    since = np.full((lines, n + 1), np.inf)
+    last = np.full(lines, -1)
+    for q in range(n):
+        live = np.flatnonzero(np.isfinite(f[:, q]))
+        from_here = np.full(len(live), -np.inf)
+        own = f[live, q] + w * q * q
+        waiting = np.flatnonzero(last[live] >= 0)
+        while len(waiting):
+            at = live[waiting]
+            top = last[at]
+            r = held[at, top]
+            cross = (own[waiting] - (f[at, r] + w * r * r)) / (2 * w * (q - r))
+            above = cross <= since[at, top]
+            from_here[waiting[~above]] = cross[~above]
+            last[at[above]] -= 1
+            waiting = waiting[above]
+            waiting = waiting[last[live[waiting]] >= 0]
+        last[live] += 1
+        held[live, last[live]] = q
+        since[live, last[live]] = from_here
+        since[live, last[live] + 1] = np.inf
+    out = np.full(f.shape, np.inf)
+    some = np.flatnonzero(last >= 0)
+    turn = np.zeros(len(some), np.int64)
+    for p in range(n):
+        while True:
+            on = since[some, turn + 1] < p
+            if not on.any():
+                break
+            turn[on] += 1
+        r = held[some, turn]
+        out[some, p] = f[some, r] + w * (p - r) ** 2
     return out
 
 
-def squared_distances(cells: DataFrame, spacing: tuple[float, float, float], key: list[str] = KEY) -> DataFrame:
-    """``d2``: each cell's squared distance in mm to the nearest cell with ``inside``, exact, from two passes: axial slices, then coronal ones.
+def _along(grids: np.ndarray, axis: int, step: float) -> np.ndarray:
+    """``_envelope`` along an axis of a stack of grids."""
+    moved = np.moveaxis(grids, axis, -1)
+    return np.moveaxis(_envelope(np.ascontiguousarray(moved).reshape(-1, moved.shape[-1]), step).reshape(moved.shape), -1, axis)
 
-    ``cells`` are whole boxes (``key, i, j, k, inside``). A slice of a box is the largest group; its lines are worked on
-    together along two axes, then along the third. Infinity where a box has no inside cell.
-    """
-    kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in key)
 
-    def pass_over(a: str, b: str, steps: tuple[float | None, float]):
-        other = next(x for x in VOX if x not in (a, b))
+def _alike(shapes: list[tuple[int, int]]) -> Iterator[tuple[tuple[int, int], list[int]]]:
+    """The numbers of grids by their shape."""
+    by: dict[tuple[int, int], list[int]] = {}
+    for n, shape in enumerate(shapes):
+        by.setdefault(shape, []).append(n)
+    yield from by.items()
 
-        def one(of: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            x, y = (frame[c].to_numpy(np.int64) - int(frame[c].min()) for c in (a, b))
-            grid = np.full((int(x.max()) + 1, int(y.max()) + 1), np.inf)
-            grid[x, y] = frame["d2"]
-            grid = _nearer(grid, steps[1])  # along b
-            if steps[0] is not None:
-                grid = _nearer(np.ascontiguousarray(grid.T), steps[0]).T
-            return frame.assign(d2=grid[x, y])[[*key, *VOX, "d2"]]
 
-        return lambda state: state.groupBy(*key, other).applyInPandas(one, f"{kinds}, i int, j int, k int, d2 double")
+def squared_distances(cells: DataFrame, spacing: tuple[float, float, float], key: list[str] = KEY) -> DataFrame:
+    """``d2``: each cell's squared distance in mm to the nearest cell with ``inside``, exact.
+
+    ``cells`` are whole boxes (``key, i, j, k, inside``). A row is an axial slice as one array while two axes are worked on, and then
+    a coronal one for the third, in time in proportion to the cells; slices of a shape are worked on together, many a batch. A
+    slice is the largest row, and lines are what is exchanged between the passes. Infinity where a box has no inside cell.
+    """
+    kinds = "".join(f"{c} {cells.schema[c].dataType.simpleString()}, " for c in key)
+
+    def work(other: str, rows: str, steps: tuple[float | None, float]):
+        """Squared distances within slices whose lines lie along i, one after another along ``rows``."""
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values = batch.column("d2")
+                tall, wide = batch.column("tall").to_pylist(), batch.column("wide").to_pylist()
+                out: list[np.ndarray] = [np.empty(0)] * batch.num_rows
+                for shape, some in _alike(list(zip(tall, wide))):
+                    grids = np.stack([values[n].values.to_numpy().reshape(shape) for n in some])
+                    if steps[0] is not None:
+                        grids = _along(grids, 2, steps[0])
+                    grids = _along(grids, 1, steps[1])
+                    for n, grid in zip(some, grids):
+                        out[n] = grid.ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate(out)))
+                yield pa.record_batch([*[lists if c == "d2" else batch.column(c) for c in batch.schema.names]], names=batch.schema.names)
+
+        return lambda slices: slices.mapInArrow(scan, f"{kinds}{other} int, first int, low int, tall int, wide int, d2 array<double>")
+
+    flat = cells.select(*key, *[F.col(a).cast("int").alias(a) for a in VOX], F.when(F.col("inside"), 0.0).otherwise(float("inf")).alias("d2"))
+    axial = flat.groupBy(*key, "k").agg(F.min("j").alias("first"), F.min("i").alias("low"), F.max("j").alias("j1"), F.max("i").alias("i1"), F.array_sort(F.collect_list(F.struct("j", "i", "d2"))).alias("cells"))
+    axial = axial.select(*key, "k", "first", "low", (F.col("j1") - F.col("first") + 1).alias("tall"), (F.col("i1") - F.col("low") + 1).alias("wide"), F.transform("cells", lambda c: c["d2"]).alias("d2"))
+    axial = work("k", "j", (spacing[0], spacing[1]))(axial)
+    line = F.transform(F.sequence(F.lit(0), F.col("tall") - 1), lambda j: F.struct((F.col("first") + j).alias("j"), F.slice("d2", j * F.col("wide") + 1, F.col("wide")).alias("line")))
+    lines = axial.select(*key, "k", "low", "wide", F.inline(line))
+    coronal = lines.groupBy(*key, "j").agg(F.min("k").alias("first"), F.min("low").alias("low"), F.count("*").cast("int").alias("tall"), F.min("wide").alias("wide"), F.array_sort(F.collect_list(F.struct("k", "line"))).alias("lines"))
+    coronal = coronal.select(*key, "j", "first", "low", "tall", "wide", F.flatten(F.transform("lines", lambda x: x["line"])).alias("d2"))
+    done = work("j", "k", (None, spacing[2]))(coronal).select(*key, "j", "first", "low", "wide", F.posexplode("d2").alias("at", "d2"))
+    return done.select(*key, (F.col("low") + F.col("at") % F.col("wide")).alias("i"), "j", (F.col("first") + F.floor(F.col("at") / F.col("wide"))).cast("int").alias("k"), "d2")
+
+
+def _ball(runs: DataFrame, target: DataFrame | None, spacing: tuple[float, float, float], radius: float) -> DataFrame:
+    """The runs of the voxels of ``runs`` that are farther than ``radius``, or as far, from all that isn't in them; with a ``target``, of those within ``radius`` of it.
+
+    Both tables of runs are dealt into bricks of ``BRICK`` x ``BRICK`` lines, each with the lines around it that the radius reaches, so a brick
+    is worked on by itself and no row is made for a voxel outside.
+    """
+    pad = [int(radius // s) + 1 for s in spacing]
 
-    state = cells.select(*key, *[F.col(a).cast("int").alias(a) for a in VOX], F.when(F.col("inside"), 0.0).otherwise(float("inf")).alias("d2"))
-    state = pass_over("j", "i", (spacing[1], spacing[0]))(state)
-    return pass_over("i", "k", (None, spacing[2]))(state)
+    def dealt(some: DataFrame, what: int) -> DataFrame:
+        bricks = lambda a, p: F.array_distinct(F.transform(F.array(F.lit(-p), F.lit(0), F.lit(p)), lambda d: F.floor((F.col(a) + d) / BRICK).cast("int")))
+        return some.select(*KEY, "j", "k", "i0", "i1", F.lit(what).alias("what")).withColumn("bj", F.explode(bricks("j", pad[1]))).withColumn("bk", F.explode(bricks("k", pad[2])))
+
+    if max(pad[1:]) > BRICK:
+        raise ValueError("the radius reaches over a whole brick")
+    rows, to_target = dealt(runs, 0), target is not None
+    if target is not None:
+        rows = rows.unionByName(dealt(target, 1))
+
+    def work(table: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        j, k, i0, i1, what, bj, bk = (table.column(c).to_numpy().astype(np.int64) for c in ("j", "k", "i0", "i1", "what", "bj", "bk"))
+        rows, out = [], []
+        for a, b in zip(first, np.append(first[1:], len(j))):
+            at = slice(a, b)
+            corner = (bk[a] * BRICK - pad[2], bj[a] * BRICK - pad[1], i0[at].min() - pad[0])
+            far = (min(k[at].max(), bk[a] * BRICK + BRICK - 1) + pad[2], min(j[at].max(), bj[a] * BRICK + BRICK - 1) + pad[1], i1[at].max() + pad[0])
+            edge = np.zeros((2, far[0] - corner[0] + 1, far[1] - corner[1] + 1, far[2] - corner[2] + 2), np.int8)
+            seen = (k[at] <= far[0]) & (j[at] <= far[1])
+            z, y = k[at][seen] - corner[0], j[at][seen] - corner[1]
+            np.add.at(edge, (what[at][seen], z, y, i0[at][seen] - corner[2]), 1)
+            np.add.at(edge, (what[at][seen], z, y, i1[at][seen] - corner[2] + 1), -1)
+            own, other = np.cumsum(edge, axis=3, dtype=np.int8)[..., :-1] > 0
+            d2 = np.where(other if to_target else ~own, 0.0, np.inf)
+            for axis, step in ((2, spacing[0]), (1, spacing[1]), (0, spacing[2])):
+                d2 = _along(d2, axis, step)
+            kept = own & ((d2 <= radius * radius) if to_target else (d2 >= radius * radius))
+            kept = kept[pad[2] : pad[2] + BRICK, pad[1] : pad[1] + BRICK]
+            turns = np.diff(kept.astype(np.int8), axis=2, prepend=0, append=0)
+            (z, y, x), (_, _, e) = np.nonzero(turns == 1), np.nonzero(turns == -1)
+            rows += [int(a)] * len(x)
+            out.append(np.stack([y + corner[1] + pad[1], z + corner[0] + pad[2], x + corner[2], e + corner[2] - 1]))
+        if rows:
+            columns = [pa.array(c.astype(np.int32)) for c in np.concatenate(out, axis=1)]
+            yield pa.record_batch([*[table.column(c).combine_chunks().take(pa.array(rows)) for c in KEY], *columns], names=[*KEY, "j", "k", "i0", "i1"])
+
+    kinds = ", ".join(f"{c} {runs.schema[c].dataType.simpleString()}" for c in KEY)
+    return over_groups(rows, [*KEY, "bj", "bk"], [], work, f"{kinds}, j int, k int, i0 int, i1 int", least=20_000)
 
 
 def opening(mask: DataFrame, spacing: tuple[float, float, float], radius: float, seeds: DataFrame | None = None) -> DataFrame:
     """A segment without what is narrower than twice ``radius``: its voxels within the radius of the core, which is as far from the outside.
 
-    With ``seeds`` (``KEY, i, j, k``, one a segment) only the core's piece that is nearest to the seed counts, of equals the first in grid order.
-    A segment without a core stays as it is.
+    With ``seeds`` (``KEY, i, j, k``, one a segment) only the core's piece that is nearest to the seed counts, of equals the larger,
+    and of equally large ones the first in grid order. A segment without a core stays as it is. All is done on runs, brick by brick.
     """
-    pad = [int(radius // s) + 1 for s in spacing]
-    box = mask.groupBy(*KEY).agg(*[e for a, p in zip(VOX, pad) for e in ((F.min(a) - p).alias(f"{a}0"), (F.max(a) + p).alias(f"{a}1"))])
-    cells = box
-    for a in VOX:
-        cells = cells.withColumn(a, F.explode(F.sequence(f"{a}0", f"{a}1")))
-    own = mask.select(*KEY, *VOX, F.lit(True).alias("own"))
-    flagged = cells.select(*KEY, *VOX).join(own, [*KEY, *VOX], "left").withColumn("own", F.coalesce("own", F.lit(False)))
-    flagged = written(flagged, "cells")
-    out = squared_distances(flagged.withColumn("inside", ~F.col("own")), spacing)
-    core = flagged.join(out, [*KEY, *VOX]).withColumn("inside", F.col("own") & (F.col("d2") >= radius * radius)).select(*KEY, *VOX, "own", "inside")
-    core = written(core, "core")
+    runs = written(mask_runs(mask), "runs")
+    core = written(_ball(runs, None, spacing, radius), "core")
     if seeds is not None:
-        pieces = label_components(core.where("inside").select(*KEY, *VOX))
-        d2 = sum((F.pow((F.col(a) - F.col(f"s{a}")) * m, F.lit(2)) for a, m in zip(VOX, spacing)), F.lit(0.0))
-        near = pieces.join(seeds.select(*KEY, *[F.col(a).alias(f"s{a}") for a in VOX]), KEY)
-        chosen = near.groupBy(*KEY).agg(F.min_by("piece", F.struct(d2.alias("d2"), "k", "j", "i")).alias("piece"))
-        kept = pieces.join(chosen, [*KEY, "piece"], "left_semi").select(*KEY, *VOX, F.lit(True).alias("kept"))
-        core = written(core.join(kept, [*KEY, *VOX], "left").withColumn("inside", F.coalesce("kept", F.lit(False))).drop("kept"), "core")
-    near = squared_distances(core, spacing)
-    has = core.groupBy(*KEY).agg(F.bool_or("inside").alias("has"))
-    return core.where("own").join(near, [*KEY, *VOX]).join(has, KEY).where((F.col("d2") <= radius * radius) | ~F.col("has")).select(*KEY, *VOX)
+        pieces = written(label_runs(core), "pieces")
+        spots = seeds.select(*KEY, *[F.col(a).alias(f"s{a}") for a in VOX])
+        x = F.greatest(F.lit(0), F.col("i0") - F.col("si"), F.col("si") - F.col("i1"))  # a run's nearest voxel on its line
+        d2 = F.pow(x * spacing[0], F.lit(2)) + F.pow((F.col("j") - F.col("sj")) * spacing[1], F.lit(2)) + F.pow((F.col("k") - F.col("sk")) * spacing[2], F.lit(2))
+        sized = pieces.join(spots, KEY).groupBy(*KEY, "piece").agg(F.min(d2).alias("d2"), (-F.sum(F.col("i1") - F.col("i0") + 1)).alias("less"))
+        chosen = sized.groupBy(*KEY).agg(F.min(F.struct("d2", "less", "piece")).alias("best")).select(*KEY, "best.piece")
+        core = written(pieces.join(chosen, [*KEY, "piece"], "left_semi").drop("piece"), "core")
+    kept = _ball(runs, core, spacing, radius)
+    whole = runs.join(core.select(*KEY).distinct(), KEY, "left_anti").select(*kept.columns)
+    return run_voxels(kept.unionByName(whole))

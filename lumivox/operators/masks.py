@@ -173,12 +173,12 @@ def within_box(rows: DataFrame, a: tuple[int, int, int], b: tuple[int, int, int]
     return rows.where(F.lit(True) & F.col("i").between(min(a[0], b[0]), max(a[0], b[0])) & F.col("j").between(min(a[1], b[1]), max(a[1], b[1])) & F.col("k").between(min(a[2], b[2]), max(a[2], b[2])))
 
 
-def cylinder(rows: DataFrame, centre: list[Column], direction: list[Column], spacing: tuple[float, float, float], radius: float, depth: float, back: float = 0.5) -> DataFrame:
-    """Rows within ``radius`` mm of a line that runs ``depth`` mm from ``centre`` along a unit ``direction``, and ``back`` mm behind it."""
+def cylinder(rows: DataFrame, centre: list[Column], direction: list[Column], spacing: tuple[float, float, float], radius: float, depth: float) -> DataFrame:
+    """Rows within ``radius`` mm of a line that runs ``depth`` mm from ``centre`` along a unit ``direction``, and the largest spacing behind it."""
     off = [(F.col(a) - c) * s for a, c, s in zip(VOX, centre, spacing)]
     along = F.round(sum((o * d for o, d in zip(off, direction)), F.lit(0.0)), 9)
     across = sum((o * o for o in off), F.lit(0.0)) - along * along
-    return rows.where(along.between(-back, depth) & (across <= radius * radius + 1e-9))
+    return rows.where(along.between(-max(spacing), depth) & (across <= radius * radius + 1e-9))
 
 
 def oblique_plane(azimuth: float, elevation: float, offset: float) -> tuple[float, float, float, float]:

@@ -27,10 +27,11 @@ def stack_fields() -> dict[str, Column]:
 
 
 def with_fallbacks(headers: DataFrame) -> DataFrame:
-    """Pixel spacing else imager spacing else that of the functional group else one; a window width that isn't above zero is none; how values read as grey."""
+    """Pixel spacing else imager spacing else that of the functional group else one; a window needs a centre and a width above zero; how values read as grey, which is where nothing is said, too."""
     spacing = F.coalesce("pixel_spacing", "imager_spacing", "group_spacing", F.lit(1.0))
-    kind = F.when(F.col("photometric") == "MONOCHROME1", "inverted").when(F.col("photometric") == "MONOCHROME2", "grey").otherwise("colour")
-    return headers.select(*UID, "path", spacing.alias("spacing"), F.when(F.col("window_width") > 0, F.col("window_width")).alias("width"), kind.alias("reading"))
+    kind = F.when(F.col("photometric") == "MONOCHROME1", "inverted").when(F.coalesce("photometric", F.lit("MONOCHROME2")) == "MONOCHROME2", "grey").otherwise("colour")
+    window = (F.col("window_width") > 0) & F.col("window_center").isNotNull()
+    return headers.select(*UID, "path", spacing.alias("spacing"), F.when(window, F.col("window_center")).alias("center"), F.when(window, F.col("window_width")).alias("width"), kind.alias("reading"))
 
 
 def series_keys(headers: DataFrame) -> DataFrame:

@@ -86,11 +86,12 @@ _FIELDS = {
     "frame_reference_time": "CASE WHEN l_orderkey % 6 = 5 THEN CAST(l_linenumber * 1000 AS DOUBLE) END",
     "isotropic": "CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END",
     "component": "CASE WHEN l_orderkey % 8 = 3 THEN CASE l_suppkey % 3 WHEN 0 THEN 'PHASE' WHEN 1 THEN 'magnitude' ELSE 'OTHER' END END",
-    "photometric": "CASE WHEN l_returnflag = 'A' THEN 'MONOCHROME1' WHEN l_returnflag = 'N' THEN 'MONOCHROME2' ELSE 'RGB' END",
+    "photometric": "CASE WHEN l_linenumber % 5 = 4 THEN NULL WHEN l_returnflag = 'A' THEN 'MONOCHROME1' WHEN l_returnflag = 'N' THEN 'MONOCHROME2' ELSE 'RGB' END",
     "pixel_spacing": "CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE CAST(0.5 AS DOUBLE) + l_partkey % 3 END",
     "imager_spacing": "CASE WHEN l_partkey % 8 = 0 THEN NULL ELSE CAST(0.7 AS DOUBLE) END",
     "group_spacing": "CASE WHEN l_partkey % 16 = 0 THEN NULL ELSE CAST(0.9 AS DOUBLE) END",
     "window_width": "CAST(l_quantity - 10 AS DOUBLE)",
+    "window_center": "CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE CAST(l_partkey % 400 AS DOUBLE) END",
     "matrix": "CAST(256 + 256 * (l_orderkey % 2) AS BIGINT)",
     "tilt": "l_orderkey % 3 * CAST(0.0004 AS DOUBLE)",
 }
@@ -122,14 +123,16 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An annotation an order: a kind, a plane, and a quadrilateral's corners in mm."""
     return table(spark, sf_dir, "orders").selectExpr(
         "CAST(o_orderkey AS BIGINT) AS id", "CAST(o_custkey % 50 AS BIGINT) AS workspace", "element_at(array('Distance','Angle','Area','Rectangle','Text'), CAST(o_orderkey % 5 + 1 AS INT)) AS kind",
-        "CAST(o_orderkey % 12 AS BIGINT) AS slice_index",
+        "CAST(o_orderkey % 12 AS BIGINT) AS slice_index", "element_at(array('axial','coronal','sagittal'), CAST(o_orderkey % 3 + 1 AS INT)) AS plane",
+        "element_at(array('Distance','Angle','Area','Rectangle','Text'), CAST(o_orderkey % 5 + 1 AS INT)) || ' ' || o_orderkey AS name", "IF(o_orderkey % 5 = 4, o_orderpriority, '') AS text",
         "array(named_struct('x', CAST(o_custkey % 97 AS DOUBLE), 'y', CAST(o_orderkey % 31 AS DOUBLE)), named_struct('x', CAST(o_custkey % 89 + 3 AS DOUBLE), 'y', CAST(o_orderkey % 37 + 5 AS DOUBLE)), named_struct('x', CAST(o_custkey % 83 + 11 AS DOUBLE), 'y', CAST(o_orderkey % 41 + 20 AS DOUBLE)), named_struct('x', CAST(o_custkey % 79 AS DOUBLE), 'y', CAST(o_orderkey % 43 + 40 AS DOUBLE))) AS points",
         "CASE o_orderstatus WHEN 'O' THEN 'proposed' WHEN 'F' THEN 'confirmed' ELSE 'rejected' END AS status", "IF(o_orderkey % 2 = 0, 'agent', 'human') AS author",
     )
 
 
 ANNOTATIONS_SQL = """annotations AS (SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_custkey % 50 AS BIGINT) AS workspace,
-    ['Distance','Angle','Area','Rectangle','Text'][o_orderkey % 5 + 1] AS kind, CAST(o_orderkey % 12 AS BIGINT) AS slice_index,
+    ['Distance','Angle','Area','Rectangle','Text'][o_orderkey % 5 + 1] AS kind, CAST(o_orderkey % 12 AS BIGINT) AS slice_index, ['axial','coronal','sagittal'][o_orderkey % 3 + 1] AS plane,
+    ['Distance','Angle','Area','Rectangle','Text'][o_orderkey % 5 + 1] || ' ' || o_orderkey AS name, CASE WHEN o_orderkey % 5 = 4 THEN o_orderpriority ELSE '' END AS text,
     CAST(o_custkey % 97 AS DOUBLE) AS x1, CAST(o_orderkey % 31 AS DOUBLE) AS y1, CAST(o_custkey % 89 + 3 AS DOUBLE) AS x2, CAST(o_orderkey % 37 + 5 AS DOUBLE) AS y2,
     CAST(o_custkey % 83 + 11 AS DOUBLE) AS x3, CAST(o_orderkey % 41 + 20 AS DOUBLE) AS y3, CAST(o_custkey % 79 AS DOUBLE) AS x4, CAST(o_orderkey % 43 + 40 AS DOUBLE) AS y4,
     CASE o_orderstatus WHEN 'O' THEN 'proposed' WHEN 'F' THEN 'confirmed' ELSE 'rejected' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'agent' ELSE 'human' END AS author FROM orders)"""
