@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumivox.catalog.intensity import _rounded
@@ -46,24 +47,55 @@ def _bricks(s, d):
     return _long(bricks.select("series_id", "bi", "bj", "bk", F.size("data").alias("n"), total.alias("total"), F.array_min("data").alias("low"), F.get("data", 0).alias("first")))
 
 
-def _audit_stream(s, d):
-    """The audit entries in three batches by time order; a sixth of the edits are deletions."""
+def _entries(s, d):
+    """The audit entries; a sixth of the edits are deletions."""
     delete = (F.col("event_id") % 6 == 0) & F.col("command").isin("segment edit", "annotate add")
-    entries = C.audit(s, d).withColumn("command", F.when(delete, "item delete").otherwise(F.col("command"))).withColumn("stale", F.when(F.col("event_id") % 4 == 0, 1).otherwise(0))
-    return feeds.spread(entries.withColumn("second", F.unix_seconds("time")), "second", 3, "entries")
+    return C.audit(s, d).withColumn("command", F.when(delete, "item delete").otherwise(F.col("command"))).withColumn("second", F.unix_seconds("time"))
+
+
+def _feed(s, d):
+    return feeds.replay(feeds.ranges(_entries(s, d), "second", 3), feeds.change_feed, "feed")
+
+
+def _snapshots(s, d, times: int = 4):
+    """The items of each workspace at even times: there if the last edit or deletion was an edit, their content by how many edits, their status by the last decision that went through."""
+    e = _entries(s, d)
+    low, high = e.agg(F.min("second"), F.max("second")).first()
+    wide = (high - low) // times + 1
+    edit = F.col("command").isin("segment edit", "annotate add")
+    told = e.withColumn("snapshot", F.explode(F.sequence(F.floor((F.col("second") - low) / wide), F.lit(times - 1).cast("long"))))
+    last = F.max_by(edit, F.when(edit | (F.col("command") == "item delete"), F.struct("time", "event_id")))
+    review = F.max_by("command", F.when(F.col("ok") & F.col("command").startswith("review "), F.struct("time", "event_id")))
+    states = told.groupBy("workspace", "snapshot", "item").agg(last.alias("there"), F.count(F.when(edit, 1)).alias("edits"), review.alias("review")).where("there")
+    content = F.sha2(F.concat_ws("/", "workspace", "item", "edits"), 256)
+    status = F.when(F.col("review").isNull(), "proposed").when(F.col("review") == "review confirm", "confirmed").otherwise("rejected")
+    items = states.select("workspace", "snapshot", "item", content.alias("content"), status.alias("status"))
+    none = F.lit(None).cast("string")
+    marks = e.select("workspace").distinct().select("workspace", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))).alias("snapshot"), F.lit(None).cast("long").alias("item"), none.alias("content"), none.alias("status"))
+    return items.unionByName(marks)
+
+
+def _snapshot_feed(s, d):
+    told = written(_snapshots(s, d), "snapshots")
+    return feeds.replay([told.where(F.col("snapshot") == n) for n in range(4)], feeds.snapshot_feed, "snapshot_feed")
+
+
+def _decision_stream(s, d):
+    """Edits bring an item's revision; every fourth reviewer has seen the one before."""
+    e = C.audit(s, d)
+    by = Window.partitionBy("workspace", "item").orderBy("time", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    edits = F.count(F.when(F.col("command").isin("segment edit", "annotate add"), 1)).over(by)
+    seen = F.when(F.col("command").startswith("review ") & (F.col("event_id") % 4 == 0), F.greatest(F.lit(0), edits - 1)).otherwise(edits)
+    entries = e.withColumn("revision", F.sha2(F.concat_ws("/", "workspace", "item", seen), 256)).withColumn("second", F.unix_seconds("time"))
+    return feeds.replay(feeds.ranges(entries, "second", 3), feeds.decisions, "decisions")
 
 
 def _streamed_counts(s, d):
     """Counts of the windows that the watermark has closed. A last batch that is a year on closes all; late entries come with it and are left out."""
     entries = C.audit(s, d).withColumn("second", F.unix_seconds("time"))
-    folder = scratch_path(s, "entries")
-    entries.coalesce(1).write.parquet(folder)
     end = s.sql("SELECT 0L AS event_id, TIMESTAMP '2030-01-01' AS time, 0L AS workspace, 0L AS item, 'end' AS command, true AS ok, 0L AS second")
     late = entries.limit(50).withColumn("command", F.lit("late"))
-    end.coalesce(1).write.mode("append").parquet(folder)
-    late.coalesce(1).write.mode("append").parquet(folder)
-    stream = s.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return feeds.run_to_end(feeds.command_counts(stream), "append", "counts")
+    return feeds.replay([entries, end, late], feeds.command_counts, "counts")
 
 
 def _deferred(s, d):
@@ -71,12 +103,17 @@ def _deferred(s, d):
     o = C.table(s, d, "orders")
     n = F.col("o_orderkey")
     polls = o.select((F.col("o_custkey") % 100).alias("workspace"), n.alias("poll"), F.floor((n + 1) / 3).cast("long").alias("labels"), F.floor(n / 9).cast("long").alias("metadata"))
-    return feeds.run_to_end(feeds.deferred_changes(feeds.spread(polls, "poll", 2, "polls")), "append", "deferred")
+    return feeds.replay(feeds.ranges(polls, "poll", 2), feeds.deferred_changes, "deferred")
 
 
 def _arrivals(s, d):
-    lines = C.table(s, d, "lineitem").selectExpr("CAST(l_orderkey AS BIGINT) AS series_uid", "CAST(l_linenumber AS BIGINT) AS position", "CAST(l_partkey AS BIGINT) AS part")
-    return feeds.completeness(feeds.run_to_end(feeds.arrivals(feeds.spread(lines, "part", 2, "lines")), "complete", "arrivals"))
+    """A slice a line item. Every eleventh part comes a month after the others, when the series that have others are closed."""
+    lines = C.table(s, d, "lineitem").selectExpr("CAST(l_orderkey AS BIGINT) AS series_uid", "CAST(l_linenumber AS BIGINT) AS position", "l_partkey % 11 = 0 AS later", "CAST(l_linenumber AS INT) AS second")
+    at = lambda later, day: lines.where(F.col("later") == later).select("series_uid", "position", (F.lit(day).cast("timestamp") + F.make_dt_interval(secs=F.col("second"))).alias("arrived"))
+    end = lambda day: s.sql(f"SELECT -1L AS series_uid, 0L AS position, TIMESTAMP '{day}' AS arrived")
+    batches = [at(False, "2024-01-01"), end("2024-02-01"), at(True, "2024-02-01 00:30:00"), end("2024-03-15")]
+    told = feeds.replay(batches, feeds.arrivals, "arrivals").where("series_uid >= 0")
+    return told.groupBy("series_uid").agg(*[F.max(c).alias(c) for c in ("images", "positions", "most", "complete")], F.sum("late").alias("late"))
 
 
 def _audit_log(s, d):
@@ -288,9 +325,10 @@ QUERIES = {
     "src09_annotation_documents": _annotation_documents,
     "src10_snk03_pip03_segment_list": _segment_list,
     "snk04_file_hashes": lambda s, d: V.hashes(_files(s, d, "value")[0]).select(_id(), "sha256"),
-    "str01_change_feed": lambda s, d: feeds.run_to_end(feeds.change_feed(_audit_stream(s, d)), "append", "feed"),
+    "str01_change_feed": _feed,
+    "str01_snapshot_feed": _snapshot_feed,
     "str02_deferred_changes": _deferred,
-    "str03_decision_stream": lambda s, d: feeds.run_to_end(feeds.decisions(_audit_stream(s, d)), "append", "decisions"),
+    "str03_decision_stream": _decision_stream,
     "str04_streamed_counts": _streamed_counts,
     "str05_arrivals": _arrivals,
     "pip04_shape_card": _shape_card,
@@ -357,11 +395,21 @@ ORACLE_SQL = {
         n AS (SELECT *, coalesce(sum(CAST(edit AS INT)) OVER w, 0) AS edits, last_value(CASE WHEN review THEN c END IGNORE NULLS) OVER w AS before FROM l WINDOW w AS (PARTITION BY workspace, item, life ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         x AS (SELECT *, last_value(CASE WHEN review THEN c WHEN c = 'delete' AND edits > 0 THEN '' END IGNORE NULLS) OVER (PARTITION BY workspace, item ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM n)
         SELECT event_id, workspace, item, CASE WHEN edit THEN CASE WHEN edits = 0 THEN 'added' ELSE 'revised' END WHEN c = 'delete' THEN 'removed' ELSE 'reviewed' END AS change FROM x WHERE edit OR (c = 'delete' AND edits > 0) OR (review AND coalesce(held, '') <> c)""",
-    "str03_decision_stream": f"""{_A}, n AS (SELECT *, coalesce(count(*) FILTER (WHERE command IN ('segment edit', 'annotate add') AND event_id % 6 > 0) OVER (PARTITION BY workspace, item ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS now FROM audit),
-        d AS (SELECT *, event_id % 4 = 0 AND now > 0 AS stale FROM n WHERE starts_with(command, 'review ')), v AS (SELECT *, coalesce(max(CAST(ok AND NOT stale AS INT)) OVER (PARTITION BY workspace, item ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS decided FROM d)
-        SELECT event_id, workspace, item, CASE WHEN decided THEN 'decided' WHEN stale THEN 'stale' WHEN ok THEN 'accepted' ELSE 'failed' END AS verdict FROM v""",
+    "str01_snapshot_feed": f"""{_A}, e AS (SELECT *, epoch(time)::BIGINT AS second, command IN ('segment edit', 'annotate add') AND event_id % 6 > 0 AS edit, command IN ('segment edit', 'annotate add') AND event_id % 6 = 0 AS gone FROM audit),
+        r AS (SELECT min(second) AS low, (max(second) - min(second)) // 4 + 1 AS wide FROM e), n AS (SELECT workspace, item, s.n AS snapshot, arg_max(edit, [epoch_us(time), event_id]) FILTER (WHERE edit OR gone) AS there, count(*) FILTER (WHERE edit) AS edits,
+            coalesce(arg_max(CASE command WHEN 'review confirm' THEN 'confirmed' ELSE 'rejected' END, [epoch_us(time), event_id]) FILTER (WHERE ok AND starts_with(command, 'review ')), 'proposed') AS status FROM e, r, range(4) AS s(n) WHERE (second - low) // wide <= s.n GROUP BY ALL),
+        h AS (SELECT * FROM n WHERE there), u AS (SELECT coalesce(a.workspace, b.workspace) AS workspace, coalesce(b.snapshot, a.snapshot + 1) AS snapshot, coalesce(a.item, b.item) AS item, a.edits AS ea, b.edits AS eb, a.status AS sa, b.status AS sb
+            FROM h a FULL JOIN h b ON a.workspace = b.workspace AND a.item = b.item AND b.snapshot = a.snapshot + 1)
+        SELECT workspace, snapshot, item, 'added' AS change, sb AS status FROM u WHERE ea IS NULL AND snapshot > 0 UNION ALL SELECT workspace, snapshot, item, 'removed', sa FROM u WHERE eb IS NULL AND snapshot < 4
+        UNION ALL SELECT workspace, snapshot, item, 'revised', sb FROM u WHERE ea <> eb UNION ALL SELECT workspace, snapshot, item, 'reviewed', sb FROM u WHERE sa <> sb""",
+    "str03_decision_stream": f"""{_A}, n AS (SELECT *, count(*) FILTER (WHERE command IN ('segment edit', 'annotate add')) OVER (PARTITION BY workspace, item ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS now FROM audit),
+        d AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN greatest(0, now - 1) ELSE now END AS seen FROM n WHERE starts_with(command, 'review ')), v AS (SELECT *, coalesce(max(CAST(ok AND seen = now AND now > 0 AS INT)) OVER (PARTITION BY workspace, item ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS decided FROM d)
+        SELECT event_id, workspace, item, CASE WHEN now = 0 THEN 'unknown' WHEN seen <> now THEN 'stale' WHEN decided THEN 'decided' WHEN ok THEN 'accepted' ELSE 'failed' END AS verdict, sha256(workspace || '/' || item || '/' || seen) AS seen_revision,
+        CASE WHEN now > 0 THEN sha256(workspace || '/' || item || '/' || now) END AS now_revision FROM v""",
     "str04_streamed_counts": f"{_A} SELECT time_bucket(INTERVAL 1 DAY, time) AS start, command, count(*) AS n, count(*) FILTER (WHERE NOT ok) AS failed FROM audit GROUP BY ALL",
-    "str05_arrivals": "WITH p AS (SELECT CAST(l_orderkey AS BIGINT) AS series_uid, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL) SELECT series_uid, CAST(sum(n) AS BIGINT) AS images, count(*) AS positions, max(n) AS most, max(n) = min(n) AS complete FROM p GROUP BY 1",
+    "str05_arrivals": """WITH l AS (SELECT CAST(l_orderkey AS BIGINT) AS series_uid, l_linenumber AS position, l_partkey % 11 = 0 AS later FROM lineitem), o AS (SELECT *, bool_and(later) OVER (PARTITION BY series_uid) AS alone FROM l),
+        p AS (SELECT series_uid, position, count(*) AS n FROM o WHERE alone OR NOT later GROUP BY ALL)
+        SELECT series_uid, CAST(sum(n) AS BIGINT) AS images, count(*) AS positions, max(n) AS most, max(n) = min(n) AS complete, (SELECT count(*) FROM o WHERE o.series_uid = p.series_uid AND later AND NOT alone) AS late FROM p GROUP BY series_uid""",
     "pip04_shape_card": f"""{_R}, p AS (SELECT series_id, label, count(*) AS pieces FROM comp GROUP BY ALL), {_axes_sql('x', 'mask')}, sm AS (SELECT * FROM mask WHERE value >= 110), {_axes_sql('y', 'sm')}, sn AS (SELECT series_id, label, count(*) AS n FROM sm GROUP BY ALL),
         m AS (SELECT series_id, label, count(*) AS voxels, round(CAST(count(*) * 2.0 / 1000 AS DOUBLE), 4) AS ml, {', '.join(f'CAST({w} * (max({a})-min({a})+1) AS DOUBLE) AS {a}_mm, CAST(min({a})+1 AS BIGINT) AS {a}_from, CAST(max({a})+1 AS BIGINT) AS {a}_to' for a, w in zip('ijk', (1, 1, 2)))}, CAST(max(CAST(i=0 AS INT)) + max(CAST(i=15 AS INT)) + max(CAST(j=0 AS INT)) + max(CAST(j=15 AS INT)) + max(CAST(k=0 AS INT)) + max(CAST(k=11 AS INT)) AS BIGINT) AS sides, {_BORDER} AS touches, avg(i) - 8 AS x FROM mask GROUP BY ALL),
         l AS (SELECT m.series_id, CASE WHEN round(m.x, 5) > round(CASE WHEN m.series_id % 3 = 0 THEN o.x ELSE -0.5 END, 5) THEN 'left' ELSE 'right' END AS observed FROM m LEFT JOIN m o ON o.series_id = m.series_id AND o.label = 2 WHERE m.label = 1)

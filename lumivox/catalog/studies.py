@@ -90,7 +90,7 @@ def _rejects(s, d):
     """Versions of sources as they come in two batches, every third unreadable: what is read, and one row for the first of unreadable ones on end, with the last good value."""
     rows = C.table(s, d, "events").select((F.col("event_id") % 40).cast("long").alias("source"), F.col("event_id").cast("long").alias("version"), F.when(F.floor(F.col("event_id") / 40) % 3 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")).alias("props"))
     parsed = U.parsed(rows, "props", "k long").select("source", "version", F.col("k").alias("value"))
-    return feeds.run_to_end(feeds.readable_states(feeds.spread(parsed, "version", 2, "versions")), "append", "states").withColumn("value", F.coalesce("value", F.lit(-1)))
+    return feeds.replay(feeds.ranges(parsed, "version", 2), feeds.readable_states, "states").withColumn("value", F.coalesce("value", F.lit(-1)))
 
 
 def _bundle(s, d):

@@ -233,7 +233,7 @@ ORACLE_SQL = {
     "str03_pip11_decisions": f"""{_A}, n AS (SELECT *, coalesce(count(*) FILTER (WHERE command IN ('segment edit', 'annotate add')) OVER (PARTITION BY workspace, item ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS now FROM audit),
         d AS (SELECT *, greatest(0, now - CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END) AS seen FROM n WHERE starts_with(command, 'review ')),
         v AS (SELECT *, coalesce(max(CAST(ok AND seen = now AS INT)) OVER (PARTITION BY workspace, item ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS decided FROM d)
-        SELECT event_id, workspace, item, command, CASE WHEN decided THEN 'decided' WHEN seen <> now THEN 'stale' WHEN ok THEN 'accepted' ELSE 'failed' END AS verdict, sha256(workspace || '/' || item || '/' || seen) AS seen_revision, sha256(workspace || '/' || item || '/' || now) AS now_revision FROM v""",
+        SELECT event_id, workspace, item, command, CASE WHEN seen <> now THEN 'stale' WHEN decided THEN 'decided' WHEN ok THEN 'accepted' ELSE 'failed' END AS verdict, sha256(workspace || '/' || item || '/' || seen) AS seen_revision, sha256(workspace || '/' || item || '/' || now) AS now_revision FROM v""",
     "str04_command_counts": f"{_A} SELECT time_bucket(INTERVAL 1 DAY, time) AS start, command, count(*) AS n, count(*) FILTER (WHERE NOT ok) AS failed FROM audit GROUP BY ALL",
     "set05_changes": f"{_A}, {_SNAP('a', '2024-01-15')}, {_SNAP('b', '2025-01-01')}, u AS (SELECT coalesce(a.workspace, b.workspace) AS workspace, coalesce(a.item, b.item) AS item, a.edits AS ea, b.edits AS eb, a.review AS ra, b.review AS rb FROM a FULL JOIN b ON a.workspace = b.workspace AND a.item = b.item) SELECT workspace, item, 'added' AS change FROM u WHERE ea IS NULL UNION ALL SELECT workspace, item, 'removed' FROM u WHERE eb IS NULL UNION ALL SELECT workspace, item, 'revised' FROM u WHERE ea <> eb UNION ALL SELECT workspace, item, 'reviewed' FROM u WHERE ea IS NOT NULL AND eb IS NOT NULL AND ra IS DISTINCT FROM rb",
     "top08_last_entries": f"{_A} SELECT workspace, event_id, command, greatest(0, count(*) OVER (PARTITION BY workspace) - 5) AS dropped FROM audit WHERE event_id > 100 QUALIFY row_number() OVER (PARTITION BY workspace ORDER BY event_id DESC) <= 5",

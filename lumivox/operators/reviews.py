@@ -29,14 +29,14 @@ def first_valid_decisions(entries: DataFrame) -> DataFrame:
     """Every decision with its verdict and two hashes: what the reviewer saw of the item, and what it was then.
 
     ``entries`` are audit entries with ``stale``, by how many edits the reviewer's view of the item was behind. The first decision that goes through
-    is accepted; later ones are refused as decided, those on another revision as stale, the others as failed.
+    is accepted; those on another revision are refused as stale, later ones as decided, and the others have failed.
     """
     by = Window.partitionBy(*ITEM).orderBy("time", "event_id")
     edits = F.coalesce(F.sum(F.col("command").isin(*EDITS).cast("long")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     told = entries.withColumn("now", edits).withColumn("seen", F.greatest(F.lit(0), F.col("now") - F.col("stale"))).where(F.col("command").startswith("review "))
     goes = F.col("ok") & (F.col("seen") == F.col("now"))
     before = F.coalesce(F.max(goes.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
-    verdict = F.when(before, "decided").when(F.col("seen") != F.col("now"), "stale").when(F.col("ok"), "accepted").otherwise("failed")
+    verdict = F.when(F.col("seen") != F.col("now"), "stale").when(before, "decided").when(F.col("ok"), "accepted").otherwise("failed")
     hashed = lambda c: F.sha2(F.concat_ws("/", *ITEM, c), 256).alias(f"{c}_revision")
     return told.select("event_id", *ITEM, "command", verdict.alias("verdict"), hashed("seen"), hashed("now"))
 

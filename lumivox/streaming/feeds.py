@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -57,29 +58,69 @@ def change_feed(audit: DataFrame) -> DataFrame:
     return audit.groupBy("workspace", "item").applyInPandasWithState(step, "event_id long, workspace long, item long, change string", "edits long, review string", "append", GroupStateTimeout.NoTimeout)
 
 
+def snapshot_feed(snapshots: DataFrame, parts: int = 4) -> DataFrame:
+    """``workspace, snapshot, item, change, status``: what each new snapshot of a workspace has that the one before hadn't, or lacks.
+
+    ``snapshots`` are ``workspace, snapshot, item, content, status``: all the items of a workspace with a hash of their content and their review
+    status, and a row without an item for each snapshot, which tells of those that are empty. An item is ``added``; or ``removed``, where a snapshot is without it;
+    or ``revised``, where its content is another; and ``reviewed``, also besides, where its status is. The first snapshot of a workspace is what its watch begins
+    with and tells nothing. State is the last snapshot, by ``parts`` of each workspace's items, so a large one is spread; a removed item's state goes.
+    """
+    columns = {"workspace": "int64", "snapshot": "int64", "item": "int64", "change": "object", "status": "object"}
+    marks = snapshots.where("item IS NULL").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    items = snapshots.where("item IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int"))
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else None
+        out = []
+        rows = pd.concat(list(frames))
+        for number, some in rows.groupby("snapshot", sort=True):
+            known = some[some["item"].notna()]
+            now = {str(int(i)): [c, s] for i, c, s in zip(known["item"], known["content"], known["status"])}
+            for item in sorted({*now, *held}, key=int) if held is not None else ():
+                was, then = held.get(item), now.get(item)
+                told = (int(key[0]), int(number), int(item))
+                if then is None:
+                    out.append((*told, "removed", was[1]))
+                elif was is None:
+                    out.append((*told, "added", then[1]))
+                else:
+                    out += [(*told, "revised", then[1])] * (was[0] != then[0]) + [(*told, "reviewed", then[1])] * (then[1] is not None and was[1] != then[1])
+            held = now
+        state.update((json.dumps(held),))
+        yield _frame(out, columns)
+
+    rows = items.unionByName(marks).groupBy("workspace", "part")
+    return rows.applyInPandasWithState(step, "workspace long, snapshot long, item long, change string, status string", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
 def decisions(entries: DataFrame) -> DataFrame:
-    """``event_id, workspace, item, verdict`` of every review decision as it comes: accepted, failed, or refused as decided or as of a stale revision.
+    """``event_id, workspace, item, verdict, seen_revision, now_revision`` of every review decision as it comes.
 
-    ``entries`` have ``stale``, by how many edits the reviewer's view was behind. State is an item's edits and whether it is decided.
+    ``entries`` have a ``revision``: the hash of what an edit makes of its item, and of what a reviewer saw of it. State is an item's revision, which its
+    edits bring, and whether it is decided. A decision on an item that nothing was made of is ``unknown``, on another revision than the present one
+    ``stale``, on what has been decided ``decided``; of the others those that went through are ``accepted``, and the rest ``failed``. None but the
+    accepted one changes anything.
     """
-    columns = {"event_id": "int64", "workspace": "int64", "item": "int64", "verdict": "object"}
+    columns = {"event_id": "int64", "workspace": "int64", "item": "int64", "verdict": "object", "seen_revision": "object", "now_revision": "object"}
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        edits, decided = state.get if state.exists else (0, False)
+        now, decided = state.get if state.exists else (None, False)
         out = []
         rows = pd.concat(list(frames)).sort_values(["time", "event_id"])
-        for event, command, ok, stale in zip(rows["event_id"], rows["command"], rows["ok"], rows["stale"]):
+        for event, command, ok, revision in zip(rows["event_id"], rows["command"], rows["ok"], rows["revision"]):
             if command in ("segment edit", "annotate add"):
-                edits += 1
+                now = revision
             elif command.startswith("review "):
-                behind = stale > 0 and edits > 0
-                verdict = "decided" if decided else "stale" if behind else "accepted" if ok else "failed"
-                out.append((event, *key, verdict))
+                verdict = "unknown" if now is None else "stale" if revision != now else "decided" if decided else "accepted" if ok else "failed"
+                out.append((event, *key, verdict, revision, now))
                 decided = decided or verdict == "accepted"
-        state.update((edits, decided))
+        if now is not None:
+            state.update((now, decided))
         yield _frame(out, columns)
 
-    return entries.groupBy("workspace", "item").applyInPandasWithState(step, "event_id long, workspace long, item long, verdict string", "edits long, decided boolean", "append", GroupStateTimeout.NoTimeout)
+    told = "event_id long, workspace long, item long, verdict string, seen_revision string, now_revision string"
+    return entries.groupBy("workspace", "item").applyInPandasWithState(step, told, "now string, decided boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def deferred_changes(polls: DataFrame) -> DataFrame:
@@ -141,38 +182,73 @@ def readable_states(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source").applyInPandasWithState(step, "source long, version long, value long, state string", "good long, bad boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def arrivals(headers: DataFrame) -> DataFrame:
-    """Images of each position of a series so far, by position, so that the state of a series is spread; ``completeness`` sums them up."""
-    return headers.groupBy("series_uid", "position").agg(F.count("*").alias("images"))
-
+def arrivals(slices: DataFrame, quiet: str = "1 day", kept: str = "60 days", late: str = "1 hour") -> DataFrame:
+    """``series_uid, images, positions, most, complete, late``: a row for each series when no slice of it has come for ``quiet``, and one for slices that come after that.
 
-def completeness(at: DataFrame) -> DataFrame:
-    """The series of ``arrivals``' last state: images, positions, most images at one, and whether all positions have as many."""
-    found = at.groupBy("series_uid").agg(F.sum("images").alias("images"), F.count("*").alias("positions"), F.max("images").alias("most"), F.min("images").alias("fewest"))
-    return found.select("series_uid", "images", "positions", "most", (F.col("most") == F.col("fewest")).alias("complete"))
+    ``slices`` are ``series_uid, position, arrived``. A series is complete if all its positions have as many images. State is the counts of the positions of
+    series that still come in, by timers of event time, and then, for ``kept`` more, only that a series is closed, so that what comes late is told
+    (``late``, the other columns null) instead of opening it again; after that nothing is left of it. So state follows what has come within the
+    two spans, not all that ever came.
+    """
+    seconds = lambda text: int(pd.Timedelta(text).total_seconds() * 1000)
+    wait, keep = seconds(quiet), seconds(kept)
+    columns = {"series_uid": "int64", "images": "Int64", "positions": "Int64", "most": "Int64", "complete": "boolean", "late": "int64"}
 
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        closed, counts, last = state.get if state.exists else (False, "{}", 0)
+        out = []
+        if state.hasTimedOut:
+            if closed:
+                state.remove()
+            else:
+                n = list(json.loads(counts).values())
+                out.append((*key, sum(n), len(n), max(n), max(n) == min(n), 0))
+                state.update((True, "{}", last))
+                state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs()) + keep)
+        else:
+            rows = pd.concat(list(frames))
+            last = max(last, int(rows["arrived"].max().timestamp() * 1000))
+            if closed:
+                out.append((*key, None, None, None, None, len(rows)))
+                state.update((True, "{}", last))
+                state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + keep)
+            else:
+                held = json.loads(counts)
+                for position, n in rows["position"].value_counts().items():
+                    held[str(position)] = held.get(str(position), 0) + int(n)
+                state.update((False, json.dumps(held), last))
+                state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + wait)
+        yield _frame(out, columns)
 
-def spread(table: DataFrame, order: str, batches: int, name: str) -> DataFrame:
-    """A table as a stream that brings it in ``batches`` files, one a batch, by even ranges of ``order``."""
-    spark, folder = table.sparkSession, scratch_path(table.sparkSession, name)
-    low, high = table.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        low = high = 0
-    wide = (high - low) // batches + 1
-    number = F.floor((F.col(order) - F.lit(low)) / wide)
-    for n in range(batches):
-        table.where(number == n).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    told = "series_uid long, images long, positions long, most long, complete boolean, late long"
+    watched = slices.withWatermark("arrived", late).groupBy("series_uid")
+    return watched.applyInPandasWithState(step, told, "closed boolean, counts string, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs a stream over all that has arrived and gives what it wrote: all batches appended, or the last complete one."""
-    spark: SparkSession = stream.sparkSession
-    folder = scratch_path(spark, name)
+def run_once(stream: DataFrame, folder: str, state: str) -> None:
+    """Runs a stream over what has arrived since its last run, and appends what it tells to ``folder``, a table a batch."""
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={number if mode == 'append' else 0}")
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    stream.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
-    query.awaitTermination()
+
+def replay(batches: list[DataFrame], step: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What a stream tells of batches that arrive one after another, each of as many files as it has partitions; the stream is run again for each and goes on from its state."""
+    spark: SparkSession = batches[0].sparkSession
+    source, folder = scratch_path(spark, f"{name}-source"), scratch_path(spark, name)
+    for batch in batches:
+        batch.write.mode("append").parquet(source)
+        stream = step(spark.readStream.schema(batches[0].schema).parquet(source))
+        run_once(stream, folder, f"{folder}-state")
     return spark.read.schema(stream.schema).parquet(folder).select(*stream.columns)
+
+
+def ranges(table: DataFrame, order: str, number: int) -> list[DataFrame]:
+    """A table in ``number`` parts by even ranges of ``order``."""
+    low, high = table.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        low = high = 0
+    place = F.floor((F.col(order) - F.lit(low)) / ((high - low) // number + 1))
+    return [table.where(place == n) for n in range(number)]

@@ -236,13 +236,7 @@ def test_metrics_give_reasons(spark):
 
 def streamed(spark, batches, schema, step):
     """What a stream tells of batches that come one after another."""
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="spark-")
-    for rows in batches:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return sorted(map(tuple, feeds.run_to_end(step(stream), "append", "told").collect()))
+    return sorted(map(tuple, feeds.replay([spark.createDataFrame(rows, schema) for rows in batches], step, "told").collect()), key=str)
 
 
 def test_late_entries_are_left_out(spark):
@@ -262,10 +256,48 @@ def test_change_feed_over_batches(spark):
 
 
 def test_decisions_over_batches(spark):
-    schema = "event_id long, time long, workspace long, item long, command string, ok boolean, stale int"
-    row = lambda n, command, ok=True, stale=0: (n, n, 1, 7, command, ok, stale)
-    batches = [[row(1, "segment edit")], [row(2, "review confirm", True, 1), row(3, "review reject", False)], [row(4, "review confirm")], [row(5, "review reject")]]
-    assert [r[3] for r in streamed(spark, batches, schema, feeds.decisions)] == ["stale", "failed", "accepted", "decided"]
+    schema = "event_id long, time long, workspace long, item long, command string, ok boolean, revision string"
+    row = lambda n, command, revision, ok=True: (n, n, 1, 7, command, ok, revision)
+    batches = [[row(0, "review confirm", "a"), row(1, "segment edit", "a")], [row(2, "segment edit", "b"), row(3, "review confirm", "a"), row(4, "review reject", "b", False)], [row(5, "review confirm", "b")], [row(6, "review reject", "b"), row(7, "review reject", "a")]]
+    got = streamed(spark, batches, schema, feeds.decisions)
+    assert [r[3:] for r in got] == [("unknown", "a", None), ("stale", "a", "b"), ("failed", "b", "b"), ("accepted", "b", "b"), ("decided", "b", "b"), ("stale", "a", "b")]
+
+
+def test_snapshots_tell_what_they_lack(spark):
+    schema = "workspace long, snapshot long, item long, content string, status string"
+    mark = lambda n, w=1: (w, n, None, None, None)
+    batches = [
+        [mark(0), (1, 0, 5, "a", "proposed"), (1, 0, 6, "b", "proposed"), mark(0, 2), (2, 0, 5, "z", None)],
+        [mark(1), (1, 1, 5, "a", "confirmed"), (1, 1, 7, "c", "proposed"), mark(1, 2), (2, 1, 5, "z", None)],
+        [mark(2), (1, 2, 5, "d", "rejected"), (1, 2, 6, "b", "proposed"), (1, 2, 7, "c", "proposed"), mark(3), mark(2, 2)],  # two snapshots of a workspace in one batch
+    ]
+    got = streamed(spark, batches, schema, feeds.snapshot_feed)
+    assert got == sorted([
+        (1, 1, 5, "reviewed", "confirmed"), (1, 1, 6, "removed", "proposed"), (1, 1, 7, "added", "proposed"),
+        (1, 2, 5, "revised", "rejected"), (1, 2, 5, "reviewed", "rejected"), (1, 2, 6, "added", "proposed"),
+        (1, 3, 5, "removed", "rejected"), (1, 3, 6, "removed", "proposed"), (1, 3, 7, "removed", "proposed"), (2, 2, 5, "removed", None),
+    ], key=str)
+
+
+def test_series_close_and_leave_no_state(spark):
+    schema = "series_uid long, position long, arrived timestamp"
+    at = lambda month, day: __import__("datetime").datetime(2024, month, day)
+    batches = [[(1, 0, at(1, 1)), (1, 1, at(1, 1)), (2, 0, at(1, 1)), (2, 0, at(1, 1)), (2, 1, at(1, 1))], [(1, 0, at(1, 1)), (1, 1, at(1, 1))], [(9, 0, at(1, 20))], [(2, 1, at(1, 20)), (3, 0, at(1, 20))], [(9, 0, at(12, 1))]]
+    frames = [spark.createDataFrame(rows, schema) for rows in batches]
+    from lumivox.plans.scratch import scratch_path
+
+    source, folder = scratch_path(spark, "source"), scratch_path(spark, "told")
+    sizes = []
+    for frame in frames:
+        frame.write.mode("append").parquet(source)
+        stream = feeds.arrivals(spark.readStream.schema(schema).parquet(source))
+        query = stream.writeStream.outputMode("append").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/batch={n}")).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        sizes.append(query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+    got = sorted(map(tuple, spark.read.schema(stream.schema).parquet(folder).select(*stream.columns).collect()), key=str)
+    # the last series is open still
+    assert got == sorted([(1, 4, 2, 2, True, 0), (2, 3, 2, 2, False, 0), (2, None, None, None, None, 1), (3, 1, 1, 1, True, 0)], key=str)
+    assert sizes[-1] < max(sizes)  # series that were closed long ago are gone
 
 
 def test_a_label_map_waits_one_poll_for_its_metadata(spark):
