@@ -6,7 +6,7 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumivox.llm.storage import slices
+from lumivox.plans.scratch import written
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -48,6 +49,7 @@ class _Element:
     """An open element; what its ancestors say is carried, so no block walks up its path.
 
     ``mark`` is 1 within an article, -1 within boilerplate, 0 where nothing says either; ``sure`` marks hold for all that is inside.
+    ``sign`` is what gives the mark (a number of ``SIGNS``), ``by`` the number of the element that does.
     ``own`` is the number of the nearest element that makes a container, ``holder`` of the container around that.
     """
 
@@ -56,14 +58,18 @@ class _Element:
     sure: bool
     own: int
     holder: int
+    sign: int = 0
+    by: int = 0
 
 
+#: What a mark is given by: an element for articles, one for what is never content, a header, a role, words of a class or id, words for comments, or being hidden.
+SIGNS = ("article", "element", "header", "role", "words", "comments", "hidden")
 _ROOT = _Element("", 0, False, 0, 0)
 
 
 @dataclass(frozen=True)
 class Block:
-    """A run of text that no block boundary parts: its text, the characters of it in links, its element, mark, and containers."""
+    """A run of text that no block boundary parts: its text, the characters of it in links, its element, mark, containers, and what gives the mark."""
 
     text: str
     linked: int
@@ -71,6 +77,8 @@ class Block:
     mark: int
     own: int
     holder: int
+    sign: int = 0
+    by: int = 0
 
 
 def _opened(parent: _Element, name: str, attributes: dict[str, str], number: int) -> _Element:
@@ -78,23 +86,22 @@ def _opened(parent: _Element, name: str, attributes: dict[str, str], number: int
     words = frozenset(_WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
     role = attributes.get("role", "").lower()
     hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-    if parent.sure:
-        mark, sure = -1, True
-    elif name in _NEVER or hidden or role in _ROLES or words & _COMMENTS:
-        mark, sure = -1, True
-    elif name in ("html", "body"):
-        mark, sure = parent.mark, False
-    elif words & _BOILERPLATE or (name == "header" and parent.mark < 1):
-        mark, sure = -1, False
-    elif name in ("article", "main") or role in ("article", "main"):
-        mark, sure = 1, False
-    else:
-        mark, sure = parent.mark, False
+    signs = {"element": name in _NEVER, "hidden": hidden, "role": role in _ROLES, "comments": bool(words & _COMMENTS)}
+    mark, sure, sign, by = parent.mark, parent.sure, parent.sign, parent.by
+    if not sure:
+        if any(signs.values()):
+            mark, sure, sign, by = -1, True, SIGNS.index(next(k for k, v in signs.items() if v)), number
+        elif name in ("html", "body"):
+            pass
+        elif words & _BOILERPLATE or (name == "header" and parent.mark < 1):
+            mark, sign, by = -1, SIGNS.index("words" if words & _BOILERPLATE else "header"), number
+        elif name in ("article", "main") or role in ("article", "main"):
+            mark, sign, by = 1, SIGNS.index("article"), number
     if name in ("html", "body"):
-        return _Element(name, mark, sure, 0, 0)
+        return _Element(name, mark, sure, 0, 0, sign, by)
     if name in _BLOCK or words or role:
-        return _Element(name, mark, sure, number, parent.own)
-    return _Element(name, mark, sure, parent.own, parent.holder)
+        return _Element(name, mark, sure, number, parent.own, sign, by)
+    return _Element(name, mark, sure, parent.own, parent.holder, sign, by)
 
 
 def blocks(page: str) -> list[Block]:
@@ -112,7 +119,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(t for t, _ in parts).split())
             if text:
                 e = stack[-1]
-                out.append(Block(text, sum(len(t.strip()) for t, link in parts if link), holds[-1] if holds else "", e.mark, e.own, e.holder))
+                out.append(Block(text, sum(len(t.strip()) for t, link in parts if link), holds[-1] if holds else "", e.mark, e.own, e.holder, e.sign, e.by))
             parts.clear()
 
     def close(upto: int) -> None:
@@ -192,32 +199,33 @@ PRIOR = np.array([-2.0, 1.0, -4.0, 1.5, -0.5, 0.5, 0.5, 0.2, -1.0, -0.5])
 KINDS = slice(3, 6)
 
 
+#: How often a sign is taken to be right and wrong before any page has been seen, and its worth by that.
+SEEN = (20.0, 0.4)
+SIGN = float(np.log(SEEN[0] / SEEN[1]))
+
+
 @dataclass(frozen=True)
 class Costs:
     """The fitted prices of a cut, all in log-odds.
 
-    ``weights`` of the features; what a block's ``mark`` is worth, more than the features can say against it; ``most``,
-    the most that features say; and what it costs to part two blocks that are neighbours in a container, neighbours
-    of unlike containers, and one after the other in a container with others between.
+    ``weights`` of the features and ``most``, the most that they say; what the mark of each of ``SIGNS`` is worth; and what it costs to part two
+    blocks that are neighbours in a container, neighbours of unlike containers, and one after the other in a container with others between.
     """
 
     weights: np.ndarray = field(default_factory=lambda: PRIOR)
     edges: tuple[float, float, float] = (1.0, 0.25, 0.75)
-    mark: float = 8.0
+    signs: tuple[float, ...] = (SIGN,) * len(SIGNS)
     most: float = 4.0
 
 
-def evidence(found: list[Block], costs: Costs) -> np.ndarray:
-    """The log-odds of each block for being content, by itself: its terminal capacities."""
+def evidence(found: list[Block], costs: Costs, but: int | None = None) -> np.ndarray:
+    """The log-odds of each block for being content, by itself: its terminal capacities. Marks that the element ``but`` gives are left out."""
     own = np.clip(features(found) @ costs.weights, -costs.most, costs.most)
-    return own + costs.mark * np.array([b.mark for b in found])
+    return own + np.array([b.mark * costs.signs[b.sign] if b.by != but else 0.0 for b in found])
 
 
 def edges(found: list[Block]) -> list[tuple[int, int, int]]:
-    """The pairs of blocks that a cut pays for parting, and their kind: neighbours in one container or in two, and a container's block before.
-
-    Blocks with opposite marks are no pair, as the page itself parts them.
-    """
+    """The pairs of blocks that a cut pays for parting, and their kind: neighbours in one container or in two, and a container's block before."""
     out: list[tuple[int, int, int]] = []
     last: dict[int, int] = {}
     for i, block in enumerate(found):
@@ -226,7 +234,7 @@ def edges(found: list[Block]) -> list[tuple[int, int, int]]:
         if last.get(block.holder, i - 1) < i - 1:
             out.append((last[block.holder], i, 2))
         last[block.holder] = i
-    return [e for e in out if found[e[0]].mark * found[e[1]].mark >= 0]
+    return out
 
 
 def cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -291,11 +299,11 @@ def main_text(page: str | None, costs: Costs = Costs()) -> str:
     return "\n".join(b.text for b, keep in zip(found, content(found, costs)) if keep)
 
 
-def content(found: list[Block], costs: Costs = Costs()) -> list[bool]:
-    """Which blocks are content: those on the source's side of the minimum cut."""
+def content(found: list[Block], costs: Costs = Costs(), but: int | None = None) -> list[bool]:
+    """Which blocks are content: those on the source's side of the minimum cut. Marks that the element ``but`` gives are left out."""
     if not found:
         return []
-    own = evidence(found, costs)
+    own = evidence(found, costs, but)
     return cut(np.maximum(own, 0).tolist(), np.maximum(-own, 0).tolist(), [(a, b, costs.edges[kind]) for a, b, kind in edges(found) if costs.edges[kind] > 0])
 
 
@@ -311,17 +319,34 @@ def _fitted(x: np.ndarray, y: np.ndarray, lean: float) -> np.ndarray:
     return w
 
 
+def _borne_out(found: list[Block], costs: Costs, each: int = 12) -> np.ndarray:
+    """How many blocks' marks the rest of the page bears out, and how many it doesn't, by sign: an element's marks are left out, and the cut is asked for its blocks.
+
+    At most ``each`` elements a page are asked about, at even strides.
+    """
+    counts = np.zeros((len(SIGNS), 2), np.int64)
+    by = sorted({b.by for b in found if b.mark})
+    for element in by[:: max(1, -(-len(by) // each))]:
+        for block, kept in zip(found, content(found, costs, element)):
+            if block.mark and block.by == element:
+                counts[block.sign, int((block.mark > 0) != kept)] += 1
+    return counts
+
+
 def fit_costs(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = 1000, each: int = 40, lean: float = 10.0, smooth: float = 2.0) -> Costs:
-    """Prices learned from the blocks that pages themselves mark (by element, role or class), on about ``most`` pages.
+    """Prices learned from the blocks that pages themselves mark (by element, role or class), on at most ``most`` pages.
 
     The weights are those of a logistic model of the marks by the features, which have no mark in them, so that they
     also price the blocks of pages that mark nothing. An edge costs the log-odds with which two such blocks have the same
-    mark, ``smooth`` at most. The sample (pages by hash of their ids, ``each`` blocks a page at even strides) is a
-    documented bound of what the driver gathers; a row a page reaches it. Without marked blocks the prior's prices hold.
+    mark, ``smooth`` at most. A sign is worth the log-odds of its being borne out: of the blocks of an element that marks them, how many come out of
+    the cut as it says where its own marks are left out, against how many don't. The sample (pages with the lowest hashes of their ids, ``each`` blocks a page at
+    even strides) is a documented bound of what the driver gathers; a row a page reaches it. Without marked blocks the prior's prices hold.
     """
-    rows = pages.where(F.col(html_col).isNotNull())
+    draw = F.pmod(F.xxhash64(id_col, F.col(html_col), F.lit(17)), F.lit(1 << 30))
+    rows = pages.where(F.col(html_col).isNotNull()).select(F.col(html_col).alias("html"), draw.alias("draw"))
     share = most / max(1, rows.count())
-    chosen = rows.where(F.pmod(F.xxhash64(id_col, F.lit(17)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
+    chosen = rows.where(F.col("draw") < int(min(1.0, 1.2 * share) * (1 << 30)))
+    chosen = written(chosen.orderBy("draw", "html").limit(most).select("html").repartition(16), "pages")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html", 4 << 20):
@@ -342,7 +367,7 @@ def fit_costs(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
                 out.append({"x": features(found)[taken].ravel().tolist() if taken else [], "y": [found[i].mark > 0 for i in taken], "pairs": pairs})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("x", pa.list_(pa.float64())), ("y", pa.list_(pa.bool_())), ("pairs", pa.list_(pa.int64()))]))
 
-    found = chosen.select(F.col(html_col).alias("html")).mapInArrow(scan, "x array<double>, y array<boolean>, pairs array<long>").limit(2 * most).toArrow().combine_chunks()
+    found = chosen.mapInArrow(scan, "x array<double>, y array<boolean>, pairs array<long>").toArrow().combine_chunks()
     if not found.num_rows:
         return Costs()
     x = found.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(PRIOR))
@@ -352,7 +377,15 @@ def fit_costs(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     agreed = [float(np.clip(np.log((pairs[2 * k] + a) / (pairs[2 * k + 1] + b)), 0.0, smooth)) for k, (a, b) in enumerate(priors)]
     plain = x.copy()
     plain[:, KINDS] = 0
-    return Costs(_fitted(np.concatenate([x, plain]), np.concatenate([y, y]), lean), (agreed[0], agreed[1], agreed[2]))
+    costs = Costs(_fitted(np.concatenate([x, plain]), np.concatenate([y, y]), lean), (agreed[0], agreed[1], agreed[2]))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sum((_borne_out(blocks(page), costs) for batch in slices(batches, "html", 4 << 20) for page in batch.column("html").to_pylist()), np.zeros((len(SIGNS), 2), np.int64))
+        yield pa.record_batch([pa.array(np.arange(len(SIGNS))), pa.array(held[:, 0]), pa.array(held[:, 1])], names=["sign", "right", "wrong"])
+
+    seen = chosen.mapInArrow(count, "sign long, right long, wrong long").groupBy("sign").agg(F.sum("right"), F.sum("wrong")).collect()
+    worth = {sign: float(np.log((right + SEEN[0]) / (wrong + SEEN[1]))) for sign, right, wrong in seen}
+    return replace(costs, signs=tuple(max(0.0, worth.get(i, SIGN)) for i in range(len(SIGNS))))
 
 
 def extract(pages: DataFrame, costs: Costs = Costs(), html_col: str = "html") -> DataFrame:

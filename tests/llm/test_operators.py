@@ -585,6 +585,20 @@ def test_cut_is_nearer_the_article_than_costs(spark):
     assert wrong[1] < wrong[0] / 2, wrong
 
 
+def test_the_cut_sets_misleading_classes_right(spark):
+    """A paragraph of the article with a class that looks like boilerplate: its neighbours and its text outweigh the sign, whose worth is fitted."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    costs = html.fit_costs(pages)
+    words, article = costs.signs[html.SIGNS.index("words")], costs.signs[html.SIGNS.index("article")]
+    assert html.SIGN < words < article
+    texts = [r["html"] for r in pages.collect()]
+    for name, least in (("share-price", 0.9), ("related", 0.9), ("comment", 0.95)):
+        mended = [re.sub("(<article>.*?)<p>", rf'\1<p class="{name}">', page, count=1, flags=re.S) for page in texts]
+        listed = sum(any(b.mark < 0 and b.text in set(article_blocks(p)) for b in html.blocks(m)) for p, m in zip(texts, mended))
+        right = sum(html.main_text(m, costs) == "\n".join(article_blocks(p)) for p, m in zip(texts, mended))
+        assert listed == len(texts) and right >= least * len(texts), (name, right)
+
+
 def test_costs_without_marked_blocks(spark):
     pages = spark.createDataFrame([(1, "<p>no mark at all</p>"), (2, None), (None, "")], "page_id long, html string")
     assert (html.fit_costs(pages).weights == html.PRIOR).all() and html.fit_costs(pages.limit(0)) is not None
