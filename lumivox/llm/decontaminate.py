@@ -56,14 +56,30 @@ def window_size(words: Column, similarity: float) -> Column:
     return F.floor(words / (F.floor(words * F.lit(1 - similarity) + F.lit(1e-9)) + 1)).cast("int")
 
 
+#: Words of the windows that are looked up, where an item's own windows aren't shorter.
+SHORT = 3
+
+
+def windows_kept(words: Column, size: Column, similarity: float) -> Column:
+    """How many of an item's windows of ``SHORT`` words a leak has at least, of ``words`` and with ``window_size`` ``size``.
+
+    A word that isn't in place takes ``SHORT`` windows away, and so each border between two parts takes two; but each part has a window of ``size``
+    words, and thus ``size - 2`` short ones. The number of parts that leaves the fewest is where both bounds meet.
+    """
+    changed = F.floor(words * F.lit(1 - similarity) + F.lit(1e-9))
+    return F.when(size >= SHORT, F.greatest(F.lit(1), F.ceil((words - SHORT * changed) * (size - SHORT + 1) / size - F.lit(1e-9)))).otherwise(1).cast("int")
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     similarity: float = 0.8, consistency: float = 0.8,
 ) -> DataFrame:
     """``(doc_id, item_id, start_word, item_words, matched_words, similarity, slots, changed_slots, consistency)`` of every leak.
 
-    Every window of template words of every whole document is looked up among all windows of the items. How long
-    an item's windows are follows from its length (three or four words at 0.8, or the whole of the shortest items), so that
+    Every window of three template words (fewer for the shortest items) of every whole document is looked up among all windows of the items, and
+    what is met is counted by item and place before anything else of it is looked at: a place with fewer windows than a leak must have
+    (``windows_kept``) is left, so that stock phrases make counts and no alignments. How long
+    an item's own windows are follows from its length (three or four words at 0.8, or the whole of the shortest items), so that
     every place which has ``similarity`` of the item's words where the item has them shares a window with it: no
     such leak is missed. Where words are put in or left out, the parts between that have a window's words are found,
     and count together if they lie within a quarter of the item. Item and document are aligned as the windows
@@ -80,8 +96,8 @@ def find_leaks(
     items = items.distinct().select("item_id", _template(F.col("parted")).alias("item_template"), _values(F.col("parted")).alias("item_values")).where(F.size("item_template") > 0)
     items = written(items.withColumn("item", F.monotonically_increasing_id()), "items")  # an id's texts are items of their own up to the last step
     hashed = items.select("item", F.size("item_template").alias("item_words"), _hashed(F.col("item_template")).alias("h"))
-    hashed = hashed.withColumn("size", window_size(F.col("item_words"), similarity))
-    sizes = sorted(r[0] for r in hashed.select("size").distinct().collect())  # a handful: they depend on the similarity alone
+    hashed = hashed.withColumn("size", F.least(F.lit(SHORT), window_size(F.col("item_words"), similarity)))
+    sizes = sorted(r[0] for r in hashed.select("size").distinct().collect())  # three at most
     sought = None
     for size in sizes:
         part = hashed.where(F.col("size") == size).select("item", "item_words", F.explode(_windows(F.col("h"), size)).alias("w"))
@@ -97,8 +113,16 @@ def find_leaks(
     seen = ranked.select("doc_id", F.inline(F.concat(*[_windows(F.col("h"), size) for size in sizes])))
     if keys.count() <= _BROADCAST_KEYS:
         seen = seen.join(F.broadcast(keys), "key", "left_semi")
-    met = seen.join(sought, "key").select("doc_id", "item", "item_words", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    met = written(met, "met")
+    # Alignments of one occurrence lie within a quarter of the item; they are dealt into two rows of places, half of each apart, so some place has them all.
+    half = F.ceil(F.col("item_words") / 4).cast("int")
+    hits = seen.join(sought, "key").select("doc_id", "item", "item_words", (F.col("at") - F.col("item_at")).alias("shift"))
+    placed = hits.withColumn("half", half).withColumn("row", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("occurrence", F.floor((F.col("shift") + F.col("row") * F.col("half")) / (2 * F.col("half"))).cast("int"))
+    bit = lambda shift: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(shift, F.lit(64)))
+    counted = placed.groupBy("doc_id", "item", "item_words", "row", "occurrence").agg(F.count("*").alias("n"), F.bit_or(bit(F.col("shift"))).alias("shifts"))
+    counted = counted.where(F.col("n") >= windows_kept(F.col("item_words"), window_size(F.col("item_words"), similarity), similarity))
+    begin = 2 * half * F.col("occurrence") - half * F.col("row")
+    near = F.filter(F.sequence(begin, begin + 2 * half - 1), lambda x: F.col("shifts").bitwiseAND(bit(x)) != 0)
+    met = written(counted.select("doc_id", "item", "item_words", F.explode(near).alias("shift")).distinct(), "met")
 
     leaking = rows.join(met.select("doc_id").distinct(), "doc_id", "left_semi").distinct().withColumn("parted", _parted(F.col("text")))
     templates = written(leaking.select("doc_id", _template(F.col("parted")).alias("doc_template"), _values(F.col("parted")).alias("doc_values")), "templates")
@@ -112,8 +136,8 @@ def find_leaks(
         lambda i: F.struct(i.alias("i"), F.get("item_values", i).alias("was"), F.get("doc_values", F.col("lead") + i).alias("now")),
     )
     aligned = aligned.withColumn("there", there).select("doc_id", "item", "item_id", "item_words", "shift", "there", slots.alias("slots"))
-    # Alignments of one occurrence lie within a quarter of the item; they are dealt into two rows of places, half of each apart, so some place has them all.
-    half = F.ceil(F.col("item_words") / 4).cast("int")
+    size = window_size(F.col("item_words"), similarity)
+    aligned = aligned.where(F.exists("there", lambda i: F.forall(F.sequence(F.lit(0), size - 1), lambda n: F.array_contains("there", i + n))))
     dealt = aligned.withColumn("half", half).withColumn("row", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("occurrence", F.floor((F.col("shift") + F.col("row") * F.col("half")) / (2 * F.col("half"))))
     part = F.struct((-F.size("there")).alias("less"), "shift", "there", "slots")
     grouped = dealt.groupBy("doc_id", "item", "item_id", "row", "occurrence").agg(F.first("item_words").alias("item_words"), F.array_sort(F.collect_set(part)).alias("parts"))

@@ -20,7 +20,7 @@ import corpus_pipeline
 from lumivox.llm import classifier, decontaminate, html, language, packing, passages, queries, rules, simhash, token_files, tokens, warc
 from lumivox.llm.labelled import label_sample
 from lumivox.llm.words import Words
-from lumivox.plans.scratch import scratch_path
+from lumivox.plans.scratch import scratch_path, written
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -520,6 +520,38 @@ def test_leaks_in_long_texts_and_ties(spark):
     assert got == [(1, 1, 100_000, 20), (1, 2, 100_000, 20), (2, 1, 0, 20), (2, 2, 0, 20), (3, 3, 0, 6)]
 
 
+def test_an_item_id_with_several_texts(spark):
+    one, two = "which river flows through the old town before it meets the sea", "how many bridges were built over the wide canal in that year"
+    items = spark.createDataFrame([(7, one), (7, two), (7, one), (8, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so {one} then"), (2, two), (3, "none of both"), (4, f"{one} {two}")], "doc_id long, text string")
+    got = sorted(map(tuple, decontaminate.find_leaks(docs, items).select("doc_id", "item_id", "matched_words").collect()))
+    assert got == [(1, 7, 12), (2, 7, 12), (4, 7, 12)]
+
+
+@given(st.integers(1, 120), st.data())
+@settings(max_examples=200, deadline=None)
+def test_leaks_keep_as_many_windows_as_they_must(words, data):
+    """Words changed at any places, of which a fifth at most: the short windows that are left are at least as many as are asked for."""
+    changed = int(words * 0.2 + 1e-9)
+    size = words // (changed + 1)
+    gone = data.draw(st.sets(st.integers(0, words - 1), max_size=changed))
+    left = sum(not gone & set(range(i, i + 3)) for i in range(words - 2))
+    least = max(1, int(np.ceil((words - 3 * changed) * (size - 2) / size - 1e-9))) if size >= 3 else 1
+    if size >= 3:
+        assert left >= least
+
+
+def test_stock_phrases_make_no_alignments(spark, monkeypatch):
+    """Documents that share phrases of three words with an item are counted and left; the leak among them is found."""
+    item = "in one of the towns near the coast of that land how many of the people who live there work at the harbour in the summer"
+    phrases = ["one of the", "near the coast", "of the people", "how many of", "in the summer", "at the harbour"]
+    docs = [(i, " ".join(f"{phrases[(i + j) % 6]} w{i}x{j} y{j}" for j in range(40))) for i in range(60)] + [(99, f"well {item} indeed")]
+    tables = {}
+    monkeypatch.setattr(decontaminate, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [r["doc_id"] for r in got] == [99] and {r["doc_id"] for r in tables["met"].collect()} == {99}
+
+
 def test_leaks_equal_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     plain = lambda t: " ".join(re.sub(r"[^\w\s]", "", t.lower()).split())
