@@ -30,7 +30,7 @@ def _id():
 def _files(s, d, value: str, packed: bool = False):
     folder = scratch_path(s, "nifti")
     written(V.write_volumes(C.voxels(s, d), folder, value, C.SPACING, packed=packed), "names")
-    return s.read.format("binaryFile").load(folder), folder
+    return V.listed(s, folder), folder
 
 
 def _headers(s, d):

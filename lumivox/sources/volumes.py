@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +25,17 @@ HEADER = (
 )
 
 
+#: The same with what reading the voxels takes, or why a header doesn't read.
+INNER = HEADER + ", order string, offset long, packed boolean, reason string"
+
+
 def inventory(spark: SparkSession, folder: str, most: int = 100_000, depth: int = 8) -> DataFrame:
-    """``path, length, format`` of the files below a folder; no content is read but of files whose name says no format.
+    """``path, length, format`` of the files below a folder; no content is read but the first bytes of files whose name says no format.
 
     What is hidden, or in a hidden folder, is left out. More than ``most`` files, or files more than ``depth`` folders down, are refused,
     never cut. Names tell NIfTI (``.nii``, ``.nii.gz``, ``.hdr``) and DICOM (``.dcm``); of others the first bytes do: ``DICM`` behind 128, or a NIfTI-1 magic.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    files = listed(spark, folder)
     below = F.regexp_replace("path", rf"^.*?{re.escape(folder.rstrip('/').rsplit('/', 1)[-1])}/", "")
     parts = F.split(below, "/")
     seen = files.where(~F.exists(parts, lambda p: p.startswith(".")))
@@ -40,13 +46,37 @@ def inventory(spark: SparkSession, folder: str, most: int = 100_000, depth: int
         raise ValueError(f"{folder} has files more than {depth} folders down")
     name = F.lower("path")
     told = F.when(name.rlike(r"\.(nii(\.gz)?|hdr)$"), "nifti").when(name.endswith(".dcm"), "dicom")
-    byte = F.when(F.substring("content", 129, 4) == F.lit(b"DICM"), "dicom").when(F.substring("content", 345, 3).isin(F.lit(b"n+1"), F.lit(b"ni1")), "nifti").otherwise("unknown")
-    return seen.where(told.isNotNull()).select("path", "length", told.alias("format")).unionByName(seen.where(told.isNull()).select("path", "length", byte.alias("format")))
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            formats = []
+            for path in batch["path"]:
+                store, at = file_system(path)
+                with store.open_input_stream(at, compression=None, buffer_size=0) as f:
+                    head = f.read(352)
+                formats.append("dicom" if head[128:132] == b"DICM" else "nifti" if head[344:347] in (b"n+1", b"ni1") else "unknown")
+            yield batch.assign(format=formats)
+
+    unnamed = seen.where(told.isNull()).select("path", "length").mapInPandas(look, "path string, length long, format string")
+    return seen.where(told.isNotNull()).select("path", "length", told.alias("format")).unionByName(unnamed)
 
 
 def hashes(files: DataFrame) -> DataFrame:
-    """``path, length, sha256`` of whole files."""
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """``path, length, sha256`` of whole files, read piece by piece, so that their size doesn't matter."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for path in batch["path"]:
+                store, at = file_system(path)
+                digest = hashlib.sha256()
+                with store.open_input_stream(at, compression=None) as f:
+                    while piece := f.read(1 << 20):
+                        digest.update(piece)
+                found.append(digest.hexdigest())
+            yield batch.assign(sha256=found)
+
+    return files.select("path", "length").mapInPandas(work, "path string, length long, sha256 string")
 
 
 def _unpacked(content: bytes) -> bytes:
@@ -121,67 +151,141 @@ def parse_header(content: bytes) -> dict:
     }
 
 
-def read_headers(files: DataFrame) -> DataFrame:
-    """The header rows of ``path, content`` (gzipped or not); files that can't be read are left to ``rejected``."""
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, length`` of all files in a folder; no content is read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in HEADER.split(", ")]
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    rows.append({"path": path, **parse_header(_unpacked(content))})
-                except (ValueError, OSError, EOFError):
-                    continue
-            yield pd.DataFrame(rows, columns=names)
 
-    return files.select("path", "content").mapInPandas(parse, HEADER)
+def _unzipped(stream, size: int = 1 << 18) -> Iterator[bytes]:
+    """The content of a gzip stream piece by piece, of all its members."""
+    one = zlib.decompressobj(31)
+    rest = b""
+    while data := rest or stream.read(size):
+        yield one.decompress(data)
+        rest = one.unused_data
+        if one.eof:
+            one = zlib.decompressobj(31)
 
 
-def rejected(files: DataFrame) -> DataFrame:
-    """``path, reason`` of the files that ``read_headers`` leaves out."""
+def _first_bytes(path: str, most: int = 352) -> tuple[bytes, bool]:
+    """The first bytes of a file's content, and whether it is gzipped: no more of it is fetched than they need."""
+    store, at = file_system(path)
+    with store.open_input_stream(at, compression=None, buffer_size=0) as f:
+        head = f.read(most)
+        if head[:2] != b"\x1f\x8b":
+            return head, False
+    with store.open_input_stream(at, compression=None, buffer_size=0) as f:
+        out = b""
+        for piece in _unzipped(f, 512):
+            out += piece
+            if len(out) >= most:
+                break
+        return out[:most], True
+
+
+def _parsed_headers(files: DataFrame, strict: bool) -> DataFrame:
+    """The headers of ``files`` with what reading their voxels takes; those that don't read fail the job if ``strict``, else ``reason`` says why."""
+    held = "content" in files.columns
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in INNER.split(", ")]
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"]):
+            for n, path in enumerate(batch["path"]):
                 try:
-                    parse_header(_unpacked(content))
-                except (ValueError, OSError, EOFError) as error:
-                    rows.append({"path": path, "reason": str(error)})
-            yield pd.DataFrame(rows, columns=["path", "reason"])
+                    head, packed = (_unpacked(batch["content"][n])[:352], False) if held else _first_bytes(path)
+                    rows.append({"path": path, **parse_header(head), "packed": packed, "reason": None})
+                except (ValueError, OSError, EOFError, zlib.error) as error:
+                    if strict:
+                        raise ValueError(f"{error}: {path}") from error
+                    rows.append({**dict.fromkeys(names), "path": path, "reason": str(error)})
+            yield pd.DataFrame(rows, columns=names).astype({k: "Int64" for k in ("nx", "ny", "nz", "volumes", "datatype", "offset")} | {"packed": "boolean"})
 
-    return files.select("path", "content").mapInPandas(parse, "path string, reason string")
+    return files.select("path", *["content"] * held).mapInPandas(parse, INNER)
 
 
-def read_volume(files: DataFrame, volume: int = 0, canonical: bool = True) -> DataFrame:
+def read_headers(files: DataFrame) -> DataFrame:
+    """The header rows of ``files`` (gzipped or not); those that can't be read are left to ``rejected``.
+
+    Of files that are listed (``path`` alone) the header's bytes are fetched and nothing else, whatever their size, and of gzipped ones as
+    much as these unpack from; files with their ``content`` are read from that.
+    """
+    return _parsed_headers(files, False).where("reason IS NULL").select(*[c.split()[0] for c in HEADER.split(", ")])
+
+
+def rejected(files: DataFrame) -> DataFrame:
+    """``path, reason`` of the files that ``read_headers`` leaves out."""
+    return _parsed_headers(files, False).where("reason IS NOT NULL").select("path", "reason")
+
+
+def _slices(path: str, content: bytes | None, begin: int, size: int, count: int) -> Iterator[bytes]:
+    """``count`` slices of ``size`` bytes each from byte ``begin`` of a file on, by ranged reads, or of a gzipped one as it unpacks."""
+    if content is not None:
+        yield from (content[begin + n * size : begin + (n + 1) * size] for n in range(count))
+        return
+    store, at = file_system(path)
+    with store.open_input_file(at) as f:
+        if f.read(2) != b"\x1f\x8b":
+            f.seek(begin)
+            for _ in range(count):
+                yield f.read(size)
+            return
+        f.seek(0)
+        held, gone = bytearray(), 0
+        for piece in _unzipped(f):
+            held += piece
+            if gone < begin:  # nothing before the voxels is kept
+                cut = min(len(held), begin - gone)
+                del held[:cut]
+                gone += cut
+            while gone >= begin and len(held) >= size and count:
+                yield bytes(held[:size])
+                del held[:size]
+                count -= 1
+            if not count:
+                return
+        if count:
+            yield bytes(held)
+
+
+def read_volume(files: DataFrame, volume: int = 0, canonical: bool = True, slab: int = 16 << 20) -> DataFrame:
     """``path, i, j, k, value`` of one volume of each file, scaled as its header says, on the grid that runs left, back and up.
 
-    A slice goes out at a time. A volume that the file hasn't, or whose voxels are cut off, fails the job; with ``canonical`` unset voxels stay as stored.
+    Files that are listed (``path`` alone) are read in slabs of about ``slab`` bytes of whole slices, a row of the plan each, so that many tasks read one large
+    file, each by its own range of bytes; a gzipped file is one task, which unpacks it as a stream. A slice goes out at a time, so no task holds more. Files with
+    their ``content`` are read from that. A volume that the file hasn't, or whose voxels are cut off, fails the job; with ``canonical`` unset voxels stay as stored.
     """
+    held = "content" in files.columns
+    heads = _parsed_headers(files, True)
+    width = F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (k, np.dtype(v).itemsize)])[F.col("datatype")]
+    step = F.when(F.col("packed") | F.lit(held), F.col("nz")).otherwise(F.greatest(F.lit(1), F.floor(F.lit(slab) / (F.col("nx").cast("long") * F.col("ny") * width)).cast("int")))
+    parts = heads.withColumn("step", step).withColumn("first", F.explode(F.sequence(F.lit(0), F.col("nz") - 1, F.col("step")))).withColumn("last", F.least(F.col("first") + F.col("step"), F.col("nz")))
+    parts = parts.join(files.select("path", "content"), "path") if held else parts.repartition("path", "first")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, packed in zip(batch["path"], batch["content"]):
-                content = _unpacked(packed)
-                h = parse_header(content)
-                size = [h["nx"], h["ny"], h["nz"]]
-                n, kind = size[0] * size[1] * size[2], np.dtype(h["order"] + KINDS[h["datatype"]])
-                if volume >= h["volumes"]:
-                    raise ValueError(f"no volume {volume + 1} in a file of {h['volumes']}: {path}")
-                if len(content) < h["offset"] + (volume + 1) * n * kind.itemsize:
-                    raise ValueError(f"voxels are cut off: {path}")
-                data = np.frombuffer(content, kind, n, h["offset"] + volume * n * kind.itemsize)
-                at = np.arange(size[0] * size[1])
-                for k in range(size[2]):
-                    stored = [at % size[0], at // size[0], np.full(len(at), k)]
+            for row in batch.to_dict("records"):
+                path, size = row["path"], [row["nx"], row["ny"], row["nz"]]
+                plane, kind = size[0] * size[1], np.dtype(row["order"] + KINDS[row["datatype"]])
+                if volume >= row["volumes"]:
+                    raise ValueError(f"no volume {volume + 1} in a file of {row['volumes']}: {path}")
+                begin = row["offset"] + (volume * size[2] + row["first"]) * plane * kind.itemsize
+                at = np.arange(plane)
+                k = row["first"]
+                for raw in _slices(path, _unpacked(row["content"]) if held else None, begin, plane * kind.itemsize, row["last"] - row["first"]):
+                    if len(raw) < plane * kind.itemsize:
+                        raise ValueError(f"voxels are cut off: {path}")
+                    stored = [at % size[0], at // size[0], np.full(plane, k)]
                     out = {}
                     for a in range(3):
-                        turned = canonical and h["flip"][a]
-                        out["ijk"[h["target"][a] if canonical else a]] = (size[a] - 1 - stored[a] if turned else stored[a]).astype("int32")
-                    yield pd.DataFrame({"path": path, **{a: out[a] for a in "ijk"}, "value": data[k * len(at) : (k + 1) * len(at)] * h["slope"] + h["intercept"]})
+                        turned = canonical and row["flip"][a]
+                        out["ijk"[row["target"][a] if canonical else a]] = (size[a] - 1 - stored[a] if turned else stored[a]).astype("int32")
+                    yield pd.DataFrame({"path": path, **{a: out[a] for a in "ijk"}, "value": np.frombuffer(raw, kind) * row["slope"] + row["intercept"]})
+                    k += 1
+                if k < row["last"]:
+                    raise ValueError(f"voxels are cut off: {path}")
 
-    return files.select("path", "content").mapInPandas(decode, "path string, i int, j int, k int, value double")
+    return parts.mapInPandas(decode, "path string, i int, j int, k int, value double")
 
 
 def read_labels(files: DataFrame, grid: tuple[int, int, int] | None = None) -> DataFrame:

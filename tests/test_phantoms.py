@@ -200,7 +200,9 @@ def test_files_of_every_layout_read_alike(spark):
     for packed in (False, True):
         folder = scratch_path(spark, "files")
         V.write_volumes(df, folder, "value", (1.0, 2.0, 3.0), packed=packed).collect()
-        files = spark.read.format("binaryFile").load(folder)
+        whole = spark.read.format("binaryFile").load(folder)
+        files = V.listed(spark, folder)
+        assert sorted(V.read_headers(whole).collect(), key=str) == sorted(V.read_headers(files).collect(), key=str) and V.read_volume(whole).count() == df.count()
         got = V.read_volume(files).selectExpr("CAST(regexp_extract(path, '([0-9]+).nii', 1) AS BIGINT) AS series_id", "i", "j", "k", "CAST(value AS INT) AS value")
         assert sorted(map(tuple, got.collect())) == sorted(cells)
         assert V.rejected(files).count() == 0
@@ -234,6 +236,38 @@ def test_metrics_give_reasons(spark):
         P.metrics(m, series, (8, 8, 8), (1.0, 1.0, 1.0), "nope")
 
 
+def test_large_files_are_read_in_part(spark, tmp_path, monkeypatch):
+    """A sparse file of 3 GB: its header, a plan with many slabs, and the slices of one of them; it is more than an array of bytes can hold."""
+    import struct
+
+    size = [1024, 1024, 1536]
+    header = bytearray(V.header_bytes(size, (1.0, 1.0, 1.0), V.LAYOUTS[3]))
+    path = tmp_path / "large.nii"
+    with open(path, "wb") as f:
+        f.write(header)
+        f.truncate(352 + 2 * size[0] * size[1] * size[2])
+        f.seek(352 + 2 * (size[0] * size[1] * 1500 + 7))
+        f.write(struct.pack("<h", 55))
+    files = V.listed(spark, str(tmp_path))
+    assert [(r["nx"], r["nz"], r["volumes"]) for r in V.read_headers(files).collect()] == [(1024, 1536, 1)]
+    reads = []
+    monkeypatch.setattr(V, "file_system", lambda uri, held=V.file_system: (reads.append(uri), held(uri))[1])
+    assert len(V._first_bytes(str(path))[0]) == 352 and len(reads) == 1
+    slices = list(V._slices(str(path), None, 352 + 2 * size[0] * size[1] * 1500, 2 * size[0] * size[1], 2))
+    assert [len(x) for x in slices] == [2 << 20] * 2 and np.frombuffer(slices[0], "<i2")[7] == 55 and not any(slices[1])
+
+
+def test_gzipped_files_are_unpacked_as_streams(tmp_path):
+    import gzip
+
+    data = bytes(range(256)) * 5000
+    path = tmp_path / "x.gz"
+    path.write_bytes(gzip.compress(data[:700_000]) + gzip.compress(data[700_000:]))  # of two members
+    assert b"".join(V._slices(str(path), None, 1000, 4096, 200)) == data[1000 : 1000 + 4096 * 200]
+    assert V._first_bytes(str(path)) == (data[:352], True)
+    assert [len(x) for x in V._slices(str(path), None, len(data) - 5000, 4096, 3)] == [4096, 904]  # cut off
+
+
 def streamed(spark, batches, schema, step):
     """What a stream tells of batches that come one after another."""
     return sorted(map(tuple, feeds.replay([spark.createDataFrame(rows, schema) for rows in batches], step, "told").collect()), key=str)
