@@ -15,7 +15,7 @@ UNITS = (
     "percent dollar dollars euro euros cent cents usd eur gbp degree degrees celsius fahrenheit kelvin watt watts volt volts joule joules newton newtons hz kb mb gb tb"
 ).split()
 
-#: So many distinct windows of a benchmark, of eight bytes each, are broadcast; more are shuffled.
+#: So many distinct windows of a benchmark, of eight bytes each, or ids of documents that may leak, are broadcast; more are shuffled.
 _BROADCAST_KEYS = 2_000_000
 
 
@@ -42,9 +42,9 @@ def _tokens(text: Column) -> Column:
 
 
 def _windows(hashes: Column, size: int) -> Column:
-    """Array of (first word, key) of every window of ``size`` words."""
+    """Array of (first word, key, hash of the word behind it) of every window of ``size`` words."""
     starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(0), F.size(hashes) - size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(size), *[F.get(hashes, i + n) for n in range(size)]).alias("key")))
+    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(size), *[F.get(hashes, i + n) for n in range(size)]).alias("key"), F.get(hashes, i + size).alias("next")))
 
 
 def _hashed(template: Column) -> Column:
@@ -96,17 +96,18 @@ def find_leaks(
     items = items.distinct().select("item_id", _template(F.col("parted")).alias("item_template"), _values(F.col("parted")).alias("item_values")).where(F.size("item_template") > 0)
     items = written(items.withColumn("item", F.monotonically_increasing_id()), "items")  # an id's texts are items of their own up to the last step
     hashed = items.select("item", F.size("item_template").alias("item_words"), _hashed(F.col("item_template")).alias("h"))
-    hashed = hashed.withColumn("size", F.least(F.lit(SHORT), window_size(F.col("item_words"), similarity)))
+    hashed = hashed.withColumn("whole", window_size(F.col("item_words"), similarity)).withColumn("size", F.least(F.lit(SHORT), "whole"))
     sizes = sorted(r[0] for r in hashed.select("size").distinct().collect())  # three at most
     sought = None
     for size in sizes:
-        part = hashed.where(F.col("size") == size).select("item", "item_words", F.explode(_windows(F.col("h"), size)).alias("w"))
+        part = hashed.where(F.col("size") == size).select("item", "item_words", "whole", F.explode(_windows(F.col("h"), size)).alias("w"))
         sought = part if sought is None else sought.unionByName(part)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     if sought is None:
         return rows.select("doc_id", F.lit(0).alias("start_word")).limit(0).crossJoin(items.limit(0)).selectExpr(
             "doc_id", "item_id", "start_word", "0 AS item_words", "0 AS matched_words", "0D AS similarity", "0 AS slots", "0 AS changed_slots", "0D AS consistency")
-    sought = written(sought.select("item", "item_words", F.col("w.at").alias("item_at"), F.col("w.key").alias("key")), "windows")
+    asked = F.when(F.col("whole") > SHORT, F.coalesce("w.next", F.lit(0)))  # of an item with longer windows the next word must be the same, too, where an alignment is to be
+    sought = written(sought.select("item", "item_words", F.col("w.at").alias("item_at"), F.col("w.key").alias("key"), asked.alias("asked")), "windows")
     keys = written(sought.select("key").distinct(), "keys")
 
     ranked = rows.select("doc_id", _hashed(_template(_parted(F.col("text")))).alias("h"))
@@ -115,16 +116,18 @@ def find_leaks(
         seen = seen.join(F.broadcast(keys), "key", "left_semi")
     # Alignments of one occurrence lie within a quarter of the item; they are dealt into two rows of places, half of each apart, so some place has them all.
     half = F.ceil(F.col("item_words") / 4).cast("int")
-    hits = seen.join(sought, "key").select("doc_id", "item", "item_words", (F.col("at") - F.col("item_at")).alias("shift"))
+    whole = F.col("asked").isNull() | F.col("asked").eqNullSafe(F.col("next"))
+    hits = seen.join(sought, "key").select("doc_id", "item", "item_words", (F.col("at") - F.col("item_at")).alias("shift"), whole.alias("whole"))
     placed = hits.withColumn("half", half).withColumn("row", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("occurrence", F.floor((F.col("shift") + F.col("row") * F.col("half")) / (2 * F.col("half"))).cast("int"))
     bit = lambda shift: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(shift, F.lit(64)))
-    counted = placed.groupBy("doc_id", "item", "item_words", "row", "occurrence").agg(F.count("*").alias("n"), F.bit_or(bit(F.col("shift"))).alias("shifts"))
+    counted = placed.groupBy("doc_id", "item", "item_words", "row", "occurrence").agg(F.count("*").alias("n"), F.bit_or(F.when(F.col("whole"), bit(F.col("shift"))).otherwise(F.lit(0).cast("long"))).alias("shifts"))
     counted = counted.where(F.col("n") >= windows_kept(F.col("item_words"), window_size(F.col("item_words"), similarity), similarity))
     begin = 2 * half * F.col("occurrence") - half * F.col("row")
     near = F.filter(F.sequence(begin, begin + 2 * half - 1), lambda x: F.col("shifts").bitwiseAND(bit(x)) != 0)
     met = written(counted.select("doc_id", "item", "item_words", F.explode(near).alias("shift")).distinct(), "met")
 
-    leaking = rows.join(met.select("doc_id").distinct(), "doc_id", "left_semi").distinct().withColumn("parted", _parted(F.col("text")))
+    named = written(met.select("doc_id").distinct(), "named")
+    leaking = rows.join(F.broadcast(named) if named.count() <= _BROADCAST_KEYS else named, "doc_id", "left_semi").distinct().withColumn("parted", _parted(F.col("text")))
     templates = written(leaking.select("doc_id", _template(F.col("parted")).alias("doc_template"), _values(F.col("parted")).alias("doc_values")), "templates")
     begin = F.greatest(F.lit(0), "shift")
     place = lambda c: F.slice(c, begin + 1, F.greatest(F.lit(0), F.col("shift") + F.col("item_words") - begin)).alias(c)
