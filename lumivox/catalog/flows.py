@@ -333,6 +333,9 @@ QUERIES = {
     "str05_arrivals": _arrivals,
     "pip04_shape_card": _shape_card,
     "pip05_metrics": _metrics,
+    "pip05_warnings": lambda s, d: _long(P.warnings(P.topology(C.mask(s, d), GRID, 2.0))),
+    "pip05_curves": lambda s, d: _long(_rounded(P.curves(C.mask(s, d), C.series(s, d))[0])),
+    "pip05_ranges": lambda s, d: _long(_rounded(P.curves(C.mask(s, d), C.series(s, d))[1])),
     "pip05_clinical": lambda s, d: _metrics(s, d, "clinical"),
     "pip06_compare": _compare,
     "pip07_edit": _edit,
@@ -348,7 +351,7 @@ QUERIES = {
     "prj12_reorientation": _reorient,
     "prj14_uids": _uids,
     "prj21_json_numbers": _json_numbers,
-    "agg36_mask_hash": lambda s, d: M.mask_hash(C.mask(s, d), GRID).select("series_id", F.col("label").cast("long").alias("label"), "hash"),
+    "agg36_mask_hash": lambda s, d: N.content_hash(C.mask(s, d)).select("series_id", F.col("label").cast("long").alias("label"), "hash"),
 }
 
 from lumivox.catalog import lattice as _lattice  # noqa: E402
@@ -427,6 +430,18 @@ ORACLE_SQL = {
             FROM g JOIN q ON q.series_id = g.series_id AND q.label = g.label JOIN b ON b.series_id = g.series_id AND b.label = g.label JOIN x ON x.series_id = g.series_id AND x.label = g.label),
         u AS (UNPIVOT f ON COLUMNS(* EXCLUDE (series_id, label, modality)) INTO NAME feature VALUE value)
         SELECT series_id, CAST(label AS BIGINT) AS label, feature, CASE WHEN modality = 'CT' OR starts_with(feature, 'size.') THEN round(value, 3) END AS value, CASE WHEN modality <> 'CT' AND starts_with(feature, 'intensity.') THEN 'the unit of the values is unknown' END AS reason FROM u""",
+    "pip05_warnings": f"""{_R}, {_lattice._HOLES}, p AS (SELECT series_id, label, count(*) AS pieces, CAST(max(voxels) / sum(voxels) AS DOUBLE) AS share FROM comp GROUP BY ALL), h AS (SELECT series_id, label, i, j, k, i + 16*(j + 16*k) AS vox FROM hole),
+        hl AS (SELECT a.series_id, a.label, a.vox AS a, b.vox AS b FROM h a JOIN h b ON b.series_id = a.series_id AND b.label = a.label AND abs(a.i-b.i)+abs(a.j-b.j)+abs(a.k-b.k) <= 1), hr AS (SELECT * FROM hl UNION SELECT r.series_id, r.label, r.a, l.b FROM hr r JOIN hl l ON l.series_id = r.series_id AND l.label = r.label AND l.a = r.b),
+        hc AS (SELECT series_id, label, count(DISTINCT root) AS holes, count(*) AS voxels FROM (SELECT series_id, label, a, min(b) AS root FROM hr GROUP BY ALL) GROUP BY ALL),
+        s AS (SELECT series_id, label, max(CAST(i=0 AS INT)) + max(CAST(i=15 AS INT)) + max(CAST(j=0 AS INT)) + max(CAST(j=15 AS INT)) + max(CAST(k=0 AS INT)) + max(CAST(k=11 AS INT)) AS sides FROM mask GROUP BY ALL)
+        SELECT series_id, CAST(label AS BIGINT) AS label, 'fragmented' AS warning, printf('fragmented: %d pieces, the largest holds %.1f %% of the voxels (warns below 95 %%)', pieces, 100 * share) AS message FROM p WHERE share < 0.95
+        UNION ALL SELECT series_id, CAST(label AS BIGINT), 'has_holes', 'has_holes: ' || holes || ' cavities of ' || voxels || ' voxels enclosed by the segment' FROM hc
+        UNION ALL SELECT series_id, CAST(label AS BIGINT), 'touches_border', 'touches_border: the segment reaches ' || sides || ' side(s) of the image and may be cut off' FROM s WHERE sides > 0""",
+    "pip05_curves": f"""{W}, v AS (SELECT m.series_id, m.label, value FROM mask m JOIN series s ON s.series_id = m.series_id AND modality = 'CT'), e AS (SELECT series_id, label, min(value) AS lo, max(value) AS hi, count(*) AS total FROM v GROUP BY ALL)
+        SELECT e.series_id, CAST(e.label AS BIGINT) AS label, CAST(p.point AS BIGINT) AS point, round(count(*) FILTER (WHERE CASE WHEN hi > lo THEN floor((value - lo) * 100 / (hi - lo)) ELSE 100 END >= p.point) / any_value(total), 6) AS fraction FROM e JOIN v ON v.series_id = e.series_id AND v.label = e.label CROSS JOIN range(101) AS p(point) GROUP BY e.series_id, e.label, p.point""",
+    "pip05_ranges": f"""{W}, v AS (SELECT m.series_id, m.label, value FROM mask m JOIN series s ON s.series_id = m.series_id AND modality = 'CT'), t AS (SELECT series_id, label, count(*) AS total FROM v GROUP BY ALL), r(low, high) AS (VALUES (-1000, -500), (-500, -100), (-100, 0), (0, 100), (100, 300), (300, 1000), (NULL, NULL))
+        SELECT t.series_id, CAST(t.label AS BIGINT) AS label, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, count(v.value) AS voxels, round(count(v.value) / any_value(total), 6) AS share FROM t CROSS JOIN r
+        LEFT JOIN v ON v.series_id = t.series_id AND v.label = t.label AND CASE WHEN low IS NULL THEN v.value < -1000 OR v.value >= 1000 ELSE v.value >= low AND v.value < high END GROUP BY ALL""",
     "pip06_compare": f"""WITH sm AS ({{same}}), {C.VOXELS_SQL}, a AS (SELECT m.series_id, label, i, j, k FROM mask m JOIN sm ON sm.series = m.series_id), b AS (SELECT series_id, label, i + 1 AS i, j, k FROM a WHERE NOT (label = 1 AND series_id % 4 = 0)), {_SURFACE('sa', 'a')}, {_SURFACE('sb', 'b')},
         d AS (SELECT a.series_id, a.label, a.i AS ai, a.j AS aj, a.k AS ak, b.i AS bi, b.j AS bj, b.k AS bk, sqrt((a.i-b.i)*(a.i-b.i) + (a.j-b.j)*(a.j-b.j) + 4*(a.k-b.k)*(a.k-b.k)) AS mm FROM sa a JOIN sb b ON a.series_id = b.series_id AND a.label = b.label),
         u AS (SELECT series_id, label, 1 AS way, min(mm) AS mm FROM d GROUP BY series_id, label, ai, aj, ak UNION ALL SELECT series_id, label, 2, min(mm) FROM d GROUP BY series_id, label, bi, bj, bk),
@@ -465,5 +480,5 @@ ORACLE_SQL = {
     "prj14_uids": """WITH h AS (SELECT c_custkey, substr(sha256(c_name || chr(0)), 1, 32) AS h FROM customer), n AS (SELECT c_custkey, list_reduce(list_transform(range(1, 33), lambda x: CAST(strpos('0123456789abcdef', h[x]) - 1 AS UHUGEINT)), lambda a, x: a * 16 + x) AS n FROM h)
         SELECT c_custkey, '2.25.' || CAST(n AS VARCHAR) AS uid FROM n""",
     "prj21_json_numbers": "WITH e AS (SELECT event_id, unnest(regexp_extract_all(regexp_replace(coalesce(props, 'null'), '\"[^\"]*\"', '', 'g'), '-?[0-9]+(?:\\.[0-9]+)?')) AS n FROM events) SELECT event_id, CAST(n AS DOUBLE) AS number FROM e UNION ALL SELECT event_id, -3.5 FROM events UNION ALL SELECT event_id, CAST(event_id AS DOUBLE) FROM events",
-    "agg36_mask_hash": f"{W}, h AS (SELECT series_id, label, k, sha256(string_agg(CAST(i + 16*j AS VARCHAR), ',' ORDER BY i + 16*j)) AS h FROM mask GROUP BY ALL) SELECT {L}, sha256(string_agg(k || ':' || h, ',' ORDER BY k)) AS hash FROM h GROUP BY ALL",
+    "agg36_mask_hash": f"{W}, {C.HASHED_SQL} SELECT {L}, hash FROM hashed",
 }

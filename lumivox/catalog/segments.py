@@ -177,12 +177,14 @@ def _stored(s, d):
 
 
 def _montage(s, d):
-    """Every n-th slice from the third on, the step the least that gives 16 tiles or fewer; more tiles are refused."""
-    first, last, most = 2, C.NZ - 1, 16
-    step = max(1, -(-(last - first + 1) // most))
-    if len(range(first, last + 1, step)) > most:
-        raise ValueError("more tiles than a montage holds")
-    return C.voxels(s, d).where((F.col("k") >= first) & ((F.col("k") - first) % step == 0)).groupBy("series_id", F.col("k").cast("long").alias("k")).agg(F.sum("value").alias("total"))
+    """Montages of stacks of 36 slices: from and to, and for some series the step, as asked; refused where the slices aren't there or the tiles are too many. Tiles have the slice's total."""
+    n = F.col("series_id")
+    first, last = F.when(n % 9 == 8, 0).otherwise(n % 5 + 1), F.when(n % 9 == 7, 40).otherwise(36 - n % 4)
+    asked = C.series(s, d).select("series_id", first.alias("first"), last.alias("last"), F.when(n % 3 == 0, n % 4).alias("step"), F.lit(3 * C.NZ).alias("slices"), F.when(n % 2 == 0, 64).otherwise(12).alias("most"))
+    tiles = M.montage(asked)
+    stack = C.voxels(s, d).select("series_id", "k", "value", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("n")).select("series_id", (F.col("k") + C.NZ * F.col("n") + 1).alias("slice"), (F.col("value") + F.col("n")).alias("value"))
+    totals = stack.join(tiles.where("reason = ''").select("series_id", "slice"), ["series_id", "slice"], "left_semi").groupBy("series_id", "slice").agg(F.sum("value").alias("total"))
+    return _long(tiles.join(totals, ["series_id", "slice"], "left").select("series_id", "slice", "tile", F.coalesce("total", F.lit(0.0)).alias("total"), "reason"))
 
 
 def _projections(s, d):
@@ -341,7 +343,10 @@ ORACLE_SQL = {
         w AS (SELECT p.series_id, p.label, p.k, long_mm, max(((m.j-j0)*dx - (m.i-i0)*dy) / CASE WHEN long_mm > 0 THEN long_mm ELSE 1 END) - min(((m.j-j0)*dx - (m.i-i0)*dy) / CASE WHEN long_mm > 0 THEN long_mm ELSE 1 END) AS wide FROM p JOIN m ON m.series_id = p.series_id AND m.label = p.label GROUP BY p.series_id, p.label, p.k, long_mm, round(((m.i-i0)*dx + (m.j-j0)*dy) / CASE WHEN long_mm > 0 THEN long_mm ELSE 1 END))
         SELECT {L}, CAST(k AS BIGINT) AS k, round(long_mm, 4) AS long_mm, round(max(wide), 4) AS short_mm FROM w GROUP BY ALL""",
     "top05_max_diameter": f"{W} SELECT a.series_id, CAST(a.label AS BIGINT) AS label, round(sqrt(max({_D2})), 6) AS diameter_mm FROM mask a JOIN mask b ON a.series_id = b.series_id AND a.label = b.label GROUP BY ALL",
-    "top06_montage": f"{W} SELECT series_id, CAST(k AS BIGINT) AS k, sum(value) AS total FROM voxels WHERE k >= 2 GROUP BY ALL",
+    "top06_montage": f"""{W}, q AS (SELECT series_id, CASE WHEN series_id % 9 = 8 THEN 0 ELSE series_id % 5 + 1 END AS a, CASE WHEN series_id % 9 = 7 THEN 40 ELSE 36 - series_id % 4 END AS b, CASE WHEN series_id % 3 = 0 THEN series_id % 4 END AS asked, CASE WHEN series_id % 2 = 0 THEN 64 ELSE 12 END AS most FROM series),
+        p AS (SELECT *, greatest(1, coalesce(asked, (b - a + 16) // 16)) AS step FROM q), r AS (SELECT *, CASE WHEN a = 0 OR a > b OR b > 36 THEN 'slices ' || a || '..' || b || ' of 36' WHEN len(range(a, b + 1, step)) > most THEN len(range(a, b + 1, step)) || ' tiles; at most ' || most ELSE '' END AS reason FROM p),
+        t AS (SELECT series_id, unnest(range(a, b + 1, step)) AS slice, unnest(range(1, len(range(a, b + 1, step)) + 1)) AS tile FROM r WHERE reason = '')
+        SELECT t.series_id, slice, tile, sum(value + (slice - 1) // 12) AS total, '' AS reason FROM t JOIN voxels v ON v.series_id = t.series_id AND v.k = (slice - 1) % 12 GROUP BY ALL UNION ALL SELECT series_id, 0, 0, 0, reason FROM r WHERE reason <> ''""",
     "top07_slices": f"{W}, p AS (SELECT series_id, 'axial' AS plane, i AS px, j AS py, value FROM voxels WHERE k = 6 UNION ALL SELECT series_id, 'coronal', i, 11 - k, value FROM voxels WHERE j = 8 UNION ALL SELECT series_id, 'sagittal', j, 11 - k, value FROM voxels WHERE i = 8) SELECT series_id, plane, CAST(px AS BIGINT) AS px, CAST(py AS BIGINT) AS py, value, CAST(round(least(greatest((value + 150) / 400, 0), 1) * 255) AS BIGINT) AS grey FROM p",
     "win07_box_mean": f"{W} SELECT a.series_id, CAST(a.i AS BIGINT) AS i, CAST(a.j AS BIGINT) AS j, CAST(a.k AS BIGINT) AS k, round(avg(b.value), 6) AS mean FROM voxels a JOIN voxels b ON b.series_id = a.series_id AND b.i BETWEEN a.i-2 AND a.i+2 AND b.j BETWEEN a.j-2 AND a.j+2 AND b.k BETWEEN a.k-2 AND a.k+2 GROUP BY ALL",
     "win12_runs": f"{W}, v AS (SELECT series_id, label, CAST(i + 16*(j + 16*k) AS BIGINT) AS vox FROM mask), r AS (SELECT *, vox - row_number() OVER (PARTITION BY series_id, label ORDER BY vox) AS island FROM v) SELECT {L}, min(vox) AS start, count(*) AS length FROM r GROUP BY series_id, label, island",

@@ -9,10 +9,14 @@ from lumivox.catalog.intensity import _rounded
 from lumivox.catalog.segments import _long
 from lumivox.operators import annotations as A
 from lumivox.operators import filters as X
+from lumivox.operators import lattice as N
+from lumivox.operators import masks as M
+from lumivox.operators import profiles as P
 from lumivox.operators import series as S
 from lumivox.operators import studies as U
-from lumivox.plans.scratch import scratch_path
+from lumivox.plans.scratch import scratch_path, written
 from lumivox.sources import cohort as C
+from lumivox.sources import volumes as V
 from lumivox.streaming import feeds
 
 
@@ -69,16 +73,26 @@ def _strokes(s, d):
 
 
 def _auto(s, d):
-    """Adopts bands of the value as proposed segments of an engine: the lowest free labels, voxels that were free and those of others that stay, and failed checks."""
+    """Adopts bands of the value as proposed segments of an engine: the lowest free labels, voxels that were free and those of others that stay, and failed checks.
+
+    All the checks that an automatic engine's segments can fail: no region is sent to it and nothing is there before, so that no region cuts them and no revision is unlike.
+    """
     found = C.voxels(s, d).withColumn("found", F.when(F.col("value") > 820, 2).when(F.col("value") > 110, 1)).where("found IS NOT NULL")
-    n = found.groupBy("series_id", "found").agg(F.count("*").alias("voxels"), F.count(F.when(F.col("label") > 0, 1)).alias("overlap"), F.bool_or(F.col("i").isin(0, C.NX - 1) | F.col("j").isin(0, C.NY - 1) | F.col("k").isin(0, C.NZ - 1)).alias("touches"))
+    n = found.groupBy("series_id", "found").agg(F.count("*").alias("voxels"), F.count(F.when(F.col("label") > 0, 1)).alias("overlap"))
     free = C.mask(s, d).select("series_id", "label").distinct().groupBy("series_id").agg(F.collect_set("label").alias("used"))  # 255 at most
     rank = F.row_number().over(Window.partitionBy("series_id").orderBy("found"))
     label = F.get(F.array_except(F.sequence(F.lit(1), F.lit(255)), "used"), F.col("rank") - 1)
-    adopted = F.col("voxels") - F.col("overlap")
-    failed = F.when(adopted == 0, F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(F.when(F.col("touches"), "border"), F.when(F.col("overlap") > 0.01 * adopted, "overlap"))))
-    ranked = n.withColumn("rank", rank).join(free, "series_id")
-    return _long(ranked.select("series_id", "found", label.alias("new_label"), adopted.alias("voxels"), "overlap", F.array_join(failed, ",").alias("failed"), F.lit("proposed").alias("status"), F.lit("engine").alias("author")))
+    new = written(n.withColumn("rank", rank).join(free, "series_id").select("series_id", "found", label.alias("label"), (F.col("voxels") - F.col("overlap")).alias("voxels"), "overlap"), "adopted")
+    taken = written(found.where("label = 0").drop("label").join(new.select("series_id", "found", "label"), ["series_id", "found"]).select(*M.KEY, *M.VOX), "taken")
+    told = P.topology(taken, (C.NX, C.NY, C.NZ), 2.0).select(*M.KEY, F.col("largest_component_share").alias("share"), F.col("border_sides").alias("sides"))
+    centre = M.centroid(taken).select(*M.KEY, F.when(F.round(F.col("ci"), 6) > (C.NX - 1) / 2, "left").otherwise("right").alias("observed"))
+    side = F.when(F.col("found") == 1, "left").otherwise("right")  # what the engine's names say
+    all_ = new.join(told, M.KEY, "left").join(centre, M.KEY, "left")
+    ml = F.col("voxels") * 0.002
+    failed = F.when(F.col("voxels") == 0, F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(
+        F.when(F.col("share") < 0.9, "components"), F.when(F.col("sides") > 0, "border"), F.when((ml < 0.2) | (ml > 5.0), "size"), F.when(F.col("overlap") > 0.01 * F.col("voxels"), "overlap"), F.when(F.col("observed") != side, "laterality"),
+    )))
+    return _long(all_.select("series_id", "found", F.col("label").alias("new_label"), "voxels", "overlap", F.array_join(failed, ",").alias("failed"), F.lit("proposed").alias("status"), F.lit("engine").alias("author")))
 
 
 def _flat(s, d):
@@ -94,14 +108,16 @@ def _rejects(s, d):
 
 
 def _bundle(s, d):
-    """The export of each workspace: its items with whether they are confirmed, counts, a disclaimer where some aren't, and the files by name and hash."""
+    """The export of each workspace: its items with whether they are confirmed, counts, a disclaimer where some aren't, and the file by name and by the hash of what is in it."""
     a = C.annotations(s, d).select("workspace", F.lit("annotation").alias("kind"), F.col("id").cast("string").alias("item"), (F.col("status") == "confirmed").alias("confirmed"))
     g = C.mask(s, d).select("series_id", "label").distinct().select((F.col("series_id") % 50).alias("workspace"), F.lit("segment").alias("kind"), F.concat_ws("/", "series_id", "label").alias("item"), (F.col("label") == 1).alias("confirmed"))
+    items = a.unionByName(g)
     folder = scratch_path(s, "bundle")
-    a.unionByName(g).write.partitionBy("workspace").parquet(folder)
-    files = C.series(s, d).select((F.col("series_id") % 50).alias("workspace"), F.concat(F.lit("file"), "series_id").alias("name")).groupBy("workspace").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "name", F.sha2("name", 256)))), ",").alias("files"))
-    counted = s.read.parquet(folder).groupBy(F.col("workspace").cast("long").alias("workspace"), "kind").agg(F.count("*").alias("items"), F.count(F.when(~F.col("confirmed"), 1)).alias("unconfirmed"))
-    return counted.join(files, "workspace", "left").select("workspace", "kind", "items", "unconfirmed", F.when(F.col("unconfirmed") > 0, F.concat_ws(" ", "unconfirmed", F.lit("of these were not reviewed by a person"))).otherwise("").alias("disclaimer"), F.coalesce("files", F.lit("")).alias("files"))
+    names = written(V.write_documents(items, folder, "workspace", ["kind", "item", "confirmed"]), "names")
+    hashed = V.hashes(V.listed(s, folder)).select(F.element_at(F.split("path", "/"), -1).alias("file"), "sha256")
+    counted = items.groupBy("workspace", "kind").agg(F.count("*").alias("items"), F.count(F.when(~F.col("confirmed"), 1)).alias("unconfirmed"))
+    files = names.join(hashed, "file")
+    return counted.join(files, "workspace", "left").select("workspace", "kind", "items", "unconfirmed", F.when(F.col("unconfirmed") > 0, F.concat_ws(" ", "unconfirmed", F.lit("of these were not reviewed by a person"))).otherwise("").alias("disclaimer"), "file", "sha256")
 
 
 def _segment_changes(s, d):
@@ -118,12 +134,20 @@ def _segment_changes(s, d):
 
 
 def _revisions(s, d):
-    """What a reviewer saw of an annotation, as one hash: its kind, slice, value to thousandths, and corners."""
+    """What a reviewer saw of an item, as one hash: of an annotation its fields, value and points to thousandths; of a segment its name, box and content."""
+    source = lambda c: F.sha2(F.concat(F.lit("series "), c), 256)
+    three = lambda x: F.format_string("%.3f", x)
     a = C.annotations(s, d)
-    value = F.round(A.value(F.col("kind"), F.col("points")) * 1000).cast("long")
-    corners = F.array_join(F.flatten(F.transform("points", lambda p: F.array(p["x"].cast("long").cast("string"), p["y"].cast("long").cast("string")))), ",")
-    told = a.select("id", F.lit("annotation").alias("what"), "kind", "slice_index", value.alias("value"), corners.alias("corners"))
-    return told.select("id", U.revision(["what", "id", "kind", "slice_index", "value", "corners"]).alias("revision"))
+    number = A.value(F.col("kind"), F.col("points"))
+    value = F.when(number.isNotNull(), three(number)).otherwise("")
+    points = F.array_join(F.transform(A.voxel_points(), lambda p: F.array_join(F.transform(p, three), ",")), ";")
+    told = [F.lit("review-revision/1"), source(F.col("workspace")), F.lit(""), F.lit("annotation"), F.col("id"), F.col("kind"), F.col("plane"), F.col("name"), F.col("text"), F.coalesce(A.unit(F.col("kind")), F.lit("")), F.col("slice_index"), value, F.size("points"), points]
+    marks = a.select(F.lit("annotation").alias("what"), F.col("id").cast("string").alias("item"), U.revision(told).alias("revision"))
+    ends = [F.col(f"{x}{e}") for e in (0, 1) for x in "ijk"]
+    g = C.series(s, d).select("series_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("label")).join(N.content_hash(C.mask(s, d)), M.KEY, "left")
+    held = F.when(F.col("hash").isNull(), "empty").otherwise(F.concat_ws(",", *ends, "hash"))
+    told = [F.lit("review-revision/1"), source(F.col("series_id")), F.lit(""), F.lit("segment"), F.col("label"), F.concat_ws(" ", F.lit("Segment"), "label"), held]
+    return marks.unionByName(g.select(F.lit("segment").alias("what"), F.concat_ws("/", "series_id", "label").alias("item"), U.revision(told).alias("revision")))
 
 
 QUERIES = {
@@ -142,7 +166,7 @@ QUERIES = {
     "agg37_revisions": lambda s, d: _revisions(s, d),
 }
 
-from lumivox.catalog.workspaces import _O, _VALUE  # noqa: E402
+from lumivox.catalog.workspaces import _O, _UNIT, _VALUE, _VOXEL_POINTS  # noqa: E402
 
 W = f"WITH {C.VOXELS_SQL}"
 L = "series_id, CAST(label AS BIGINT) AS label"
@@ -173,8 +197,12 @@ ORACLE_SQL = {
         l AS (SELECT id, px.v AS x, py.v AS y FROM e, range(40) AS px(v), range(40) AS py(v) WHERE (ay > py.v) <> (bz > py.v) AND px.v < (bx - ax) * (py.v - ay) / (bz - ay) + ax GROUP BY ALL HAVING count(*) % 2 = 1),
         u AS (SELECT id, x, y FROM p WHERE (x-(x0+t*(x1-x0)))**2 + (y-(y0+t*(y1-y0)))**2 <= r*r UNION ALL SELECT id, x, y FROM l)
         SELECT id, count(*) AS pixels, CAST(sum(x + 40*y) AS BIGINT) AS places FROM u GROUP BY id""",
-    "pip09_adopted_labels": f"""{W}, f AS (SELECT series_id, CASE WHEN value > 820 THEN 2 ELSE 1 END AS found, count(*) AS n, count(*) FILTER (WHERE label > 0) AS overlap, bool_or(i IN (0, 15) OR j IN (0, 15) OR k IN (0, 11)) AS touches FROM voxels WHERE value > 110 GROUP BY ALL)
-        SELECT series_id, CAST(found AS BIGINT) AS found, 2 + row_number() OVER (PARTITION BY series_id ORDER BY found) AS new_label, n - overlap AS voxels, overlap, CASE WHEN n = overlap THEN 'empty' ELSE concat_ws(',', CASE WHEN touches THEN 'border' END, CASE WHEN overlap > 0.01 * (n - overlap) THEN 'overlap' END) END AS failed, 'proposed' AS status, 'engine' AS author FROM f""",
+    "pip09_adopted_labels": f"""WITH RECURSIVE {C.VOXELS_SQL}, b AS (SELECT series_id, CASE WHEN value > 820 THEN 2 ELSE 1 END AS found, label, i, j, k FROM voxels WHERE value > 110), f0 AS (SELECT series_id, found, count(*) AS n, count(*) FILTER (WHERE label > 0) AS overlap FROM b GROUP BY ALL), f AS (SELECT *, 2 + row_number() OVER (PARTITION BY series_id ORDER BY found) AS new_label FROM f0),
+        t AS (SELECT series_id, found, i, j, k, i + 16*(j + 16*k) AS vox FROM b WHERE label = 0), lk AS (SELECT x.series_id, x.found, x.vox AS a, y.vox AS b FROM t x JOIN t y ON y.series_id = x.series_id AND y.found = x.found AND abs(x.i-y.i) <= 1 AND abs(x.j-y.j) <= 1 AND abs(x.k-y.k) <= 1),
+        rc AS (SELECT * FROM lk UNION SELECT r.series_id, r.found, r.a, l.b FROM rc r JOIN lk l ON l.series_id = r.series_id AND l.found = r.found AND l.a = r.b), pc AS (SELECT series_id, found, a, min(b) AS root FROM rc GROUP BY ALL), ps AS (SELECT series_id, found, max(m) / sum(m) AS share FROM (SELECT series_id, found, root, count(*) AS m FROM pc GROUP BY ALL) GROUP BY ALL),
+        s AS (SELECT series_id, found, bool_or(i IN (0, 15) OR j IN (0, 15) OR k IN (0, 11)) AS touches, CASE WHEN round(avg(i), 6) > 7.5 THEN 1 ELSE 2 END AS seen FROM t GROUP BY ALL)
+        SELECT f.series_id, CAST(f.found AS BIGINT) AS found, new_label, n - overlap AS voxels, overlap, CASE WHEN n = overlap THEN 'empty' ELSE concat_ws(',', CASE WHEN share < 0.9 THEN 'components' END, CASE WHEN touches THEN 'border' END, CASE WHEN (n - overlap) * 0.002 < 0.2 OR (n - overlap) * 0.002 > 5 THEN 'size' END,
+            CASE WHEN overlap > 0.01 * (n - overlap) THEN 'overlap' END, CASE WHEN seen <> f.found THEN 'laterality' END) END AS failed, 'proposed' AS status, 'engine' AS author FROM f LEFT JOIN ps ON ps.series_id = f.series_id AND ps.found = f.found LEFT JOIN s ON s.series_id = f.series_id AND s.found = f.found""",
     "pip13_segment_changes": f"""{W}, g AS (SELECT series_id, label, count(*) AS voxels, CASE WHEN label = 1 THEN ['rename', 'colour', 'hide', 'opacity'][series_id % 4 + 1] ELSE 'delete' END AS asked, CASE WHEN series_id % 3 = 0 THEN 'made by a person' WHEN series_id % 5 = 0 THEN 'confirmed' END AS r FROM mask GROUP BY ALL), t AS (SELECT *, CASE WHEN asked IN ('rename', 'delete') THEN r END AS reason FROM g)
         SELECT {L}, voxels, CASE WHEN asked = 'rename' AND reason IS NULL THEN 'renamed' ELSE 'Segment ' || label END AS name, CASE WHEN asked = 'colour' THEN '#00ff00' ELSE '#ff0000' END AS colour, asked <> 'hide' AS visible, CASE WHEN asked = 'opacity' THEN least(1.0::DOUBLE, series_id * 0.3::DOUBLE) ELSE 0.5::DOUBLE END AS opacity, reason FROM t WHERE NOT (asked = 'delete' AND reason IS NULL)""",
     "win09_sobel": f"""{W}, o AS (SELECT a.series_id, a.i, a.j, a.k, x.o AS x, y.o AS y, z.o AS z, b.value FROM voxels a, range(-1, 2) AS x(o), range(-1, 2) AS y(o), range(-1, 2) AS z(o) JOIN voxels b ON b.series_id = a.series_id AND b.i = least(greatest(a.i + x.o, 0), 15) AND b.j = least(greatest(a.j + y.o, 0), 15) AND b.k = least(greatest(a.k + z.o, 0), 11)),
@@ -184,10 +212,12 @@ ORACLE_SQL = {
     "str06_rejects": """WITH e AS (SELECT CAST(event_id % 40 AS BIGINT) AS source, CAST(event_id AS BIGINT) AS version, CASE WHEN (event_id // 40) % 3 > 0 THEN CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) END AS value FROM events),
         l AS (SELECT *, lag(value) OVER w AS before, row_number() OVER w AS n, last_value(value IGNORE NULLS) OVER (PARTITION BY source ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS good FROM e WINDOW w AS (PARTITION BY source ORDER BY version))
         SELECT source, version, coalesce(value, good, -1) AS value, CASE WHEN value IS NULL THEN 'rejected' ELSE 'read' END AS state FROM l WHERE value IS NOT NULL OR n = 1 OR before IS NOT NULL""",
-    "snk05_bundle": f"""WITH {C.VOXELS_SQL}, {C.ANNOTATIONS_SQL}, u AS (SELECT workspace, 'annotation' AS kind, status = 'confirmed' AS c FROM annotations UNION ALL SELECT DISTINCT ON (series_id, label) series_id % 50, 'segment', label = 1 FROM mask),
-        f AS (SELECT series_id % 50 AS workspace, string_agg('file' || series_id || ':' || sha256('file' || series_id), ',' ORDER BY 'file' || series_id || ':') AS files FROM series GROUP BY 1), n AS (SELECT workspace, kind, count(*) AS items, count(*) FILTER (WHERE NOT c) AS unconfirmed FROM u GROUP BY ALL)
-        SELECT n.workspace, kind, items, unconfirmed, CASE WHEN unconfirmed > 0 THEN unconfirmed || ' of these were not reviewed by a person' ELSE '' END AS disclaimer, coalesce(files, '') AS files FROM n LEFT JOIN f ON f.workspace = n.workspace""",
-    "agg37_revisions": f"""WITH {C.ANNOTATIONS_SQL}, v AS (SELECT id, kind, slice_index, CAST(round(1000 * {_VALUE}) AS BIGINT) AS v, [x1, y1, x2, y2, x3, y3, x4, y4] AS p FROM annotations),
-        t AS (SELECT id, ['annotation', CAST(id AS VARCHAR), kind, CAST(slice_index AS VARCHAR), coalesce(CAST(v AS VARCHAR), ''), array_to_string(list_transform(p, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')] AS f FROM v)
-        SELECT id, sha256(array_to_string(list_transform(f, lambda x: strlen(x) || ':' || x), '')) AS revision FROM t""",
+    "snk05_bundle": f"""WITH {C.VOXELS_SQL}, {C.ANNOTATIONS_SQL}, u AS (SELECT workspace, 'annotation' AS kind, CAST(id AS VARCHAR) AS item, status = 'confirmed' AS c FROM annotations UNION ALL SELECT DISTINCT series_id % 50, 'segment', series_id || '/' || label, label = 1 FROM mask),
+        f AS (SELECT workspace, 'bundle-' || workspace || '.jsonl' AS file, sha256(string_agg('{{"kind":"' || kind || '","item":"' || item || '","confirmed":' || c || '}}' || chr(10), '' ORDER BY kind, item)) AS sha256 FROM u GROUP BY 1), n AS (SELECT workspace, kind, count(*) AS items, count(*) FILTER (WHERE NOT c) AS unconfirmed FROM u GROUP BY ALL)
+        SELECT n.workspace, kind, items, unconfirmed, CASE WHEN unconfirmed > 0 THEN unconfirmed || ' of these were not reviewed by a person' ELSE '' END AS disclaimer, file, sha256 FROM n LEFT JOIN f ON f.workspace = n.workspace""",
+    "agg37_revisions": f"""WITH {C.VOXELS_SQL}, {C.ANNOTATIONS_SQL}, {C.HASHED_SQL}, p AS (SELECT *, {_VALUE} AS v, {_UNIT} AS u, {_VOXEL_POINTS} AS p FROM annotations),
+        f AS (SELECT 'annotation' AS what, CAST(id AS VARCHAR) AS item, ['review-revision/1', sha256('series ' || workspace), '', 'annotation', CAST(id AS VARCHAR), kind, plane, name, text, coalesce(u, ''), CAST(slice_index AS VARCHAR), coalesce(printf('%.3f', CAST(v AS DOUBLE)), ''), '4',
+            array_to_string(list_transform(p, lambda q: printf('%.3f,%.3f,%.3f', q[1], q[2], q[3])), ';')] AS f FROM p
+        UNION ALL SELECT 'segment', s.series_id || '/' || l, ['review-revision/1', sha256('series ' || s.series_id), '', 'segment', CAST(l AS VARCHAR), 'Segment ' || l, coalesce(concat_ws(',', i0, j0, k0, i1, j1, k1) || ',' || hash, 'empty')] FROM series s CROSS JOIN (VALUES (1), (2), (3)) AS t(l) LEFT JOIN hashed h ON h.series_id = s.series_id AND h.label = l)
+        SELECT what, item, sha256(array_to_string(list_transform(f, lambda x: strlen(x) || ':' || x), '')) AS revision FROM f""",
 }

@@ -26,6 +26,14 @@ def _robust(s, d):
     return _long(X.grow_robust(C.voxels(s, d), seeds, 1, 12.0))
 
 
+def _regions(s, d):
+    """The whole chain with what is used in practice (1.5 mm, 5 mm, holes filled), and the seeds that are refused: outside the grid, with a label, and too large a region."""
+    n = F.col("series_id")
+    seeds = C.series(s, d).select("series_id", F.when(n % 7 == 0, 12).when(n % 7 == 1, 40).otherwise(2).alias("i"), F.when(n % 7 == 0, 12).otherwise(13).alias("j"), F.when(n % 7 == 0, 6).otherwise(5).alias("k"))
+    grown, refused = X.grow_region(C.voxels(s, d), seeds, S, 12.0, 2500)
+    return M.size(grown.withColumn("label", F.lit(1)), 2.0).select("series_id", "voxels", F.lit("").alias("refused")).unionByName(refused.select("series_id", F.lit(0).cast("long").alias("voxels"), F.col("reason").alias("refused")))
+
+
 def _field_defaults(s, d):
     """Growth with what follows it in practice: opened at the seed by 2 mm, and what slices enclose filled."""
     seeds = C.series(s, d).selectExpr("series_id", "1 AS label", "2 AS i", "13 AS j", "5 AS k")
@@ -51,6 +59,7 @@ QUERIES = {
     "agg22_agg23_mesh": lambda s, d: _rounded(X.mesh(C.mask(s, d), S), 5),
     "gra08_robust_growing": _robust,
     "gra08_opened_and_filled": _field_defaults,
+    "gra08_regions": _regions,
     "pip02_study_information": _information,
 }
 
@@ -73,8 +82,8 @@ ORACLE_SQL = {
         SELECT series_id, CAST(label AS BIGINT) AS label, round(a, 5) AS area_mm2, round(v, 5) AS volume_mm3, round(a / v, 5) AS surface_by_volume, round(s, 5) AS sphericity, round(s**3, 5) AS compactness_2, round(v / sqrt(pi() * a**3), 5) AS compactness_1, round(1 / s, 5) AS disproportion FROM s""",
     "gra08_robust_growing": f"""WITH RECURSIVE {C.VOXELS_SQL}, s1 AS (SELECT *, {_SMOOTH.format(v='value', x='i', a='j', b='k')} AS m1 FROM voxels), s2 AS (SELECT *, {_SMOOTH.format(v='m1', x='j', a='i', b='k')} AS m2 FROM s1), s3 AS (SELECT *, {_SMOOTH.format(v='m2', x='k', a='i', b='j')} AS m3 FROM s2),
         l AS (SELECT series_id, list_sort(list(m3)) AS v FROM s3 WHERE i BETWEEN 1 AND 3 AND j BETWEEN 12 AND 14 AND k BETWEEN 4 AND 6 GROUP BY 1), f AS (SELECT s3.*, v[len(v) // 2 + 1] AS level FROM s3 JOIN l ON l.series_id = s3.series_id WHERE label = 0),
-        band AS (SELECT series_id, i, j, k FROM f WHERE abs(m3 - level) <= 12), core AS (SELECT * FROM band WHERE i = 2 AND j = 13 AND k = 5 UNION SELECT b.series_id, b.i, b.j, b.k FROM core c JOIN band b ON b.series_id = c.series_id AND abs(b.i-c.i)+abs(b.j-c.j)+abs(b.k-c.k) = 1),
-        e AS (SELECT DISTINCT f.series_id, f.i, f.j, f.k FROM f JOIN core c ON c.series_id = f.series_id AND f.i BETWEEN c.i-1 AND c.i+1 AND f.j BETWEEN c.j-1 AND c.j+1 AND f.k BETWEEN c.k-1 AND c.k+1 WHERE abs(f.value - level) <= 12)
+        band AS (SELECT series_id, i, j, k FROM f WHERE abs(m3 - level) <= 12), core AS (SELECT series_id, i, j, k FROM f WHERE i = 2 AND j = 13 AND k = 5 UNION SELECT b.series_id, b.i, b.j, b.k FROM core c JOIN band b ON b.series_id = c.series_id AND abs(b.i-c.i)+abs(b.j-c.j)+abs(b.k-c.k) = 1),
+        e AS (SELECT DISTINCT f.series_id, f.i, f.j, f.k FROM f JOIN core c ON c.series_id = f.series_id AND f.i BETWEEN c.i-1 AND c.i+1 AND f.j BETWEEN c.j-1 AND c.j+1 AND f.k BETWEEN c.k-1 AND c.k+1 WHERE abs(f.value - level) <= 12 AND NOT abs(m3 - level) <= 12)
         SELECT series_id, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(k AS BIGINT) AS k, true AS core FROM core UNION ALL SELECT e.series_id, CAST(e.i AS BIGINT), CAST(e.j AS BIGINT), CAST(e.k AS BIGINT), false FROM e ANTI JOIN core c ON c.series_id = e.series_id AND c.i = e.i AND c.j = e.j AND c.k = e.k""",
     "pip02_study_information": f"""{_O}, {_GAPS}, {_VOL}, {C.VOXELS_SQL}, ev AS (SELECT series_id, min(value) AS low, max(value) AS high, count(*) AS voxels FROM voxels GROUP BY 1), nv AS (SELECT series_uid, count(*) AS volumes, bool_and(complete) AS complete FROM vol GROUP BY 1)
         SELECT s.series_id, CAST(16 AS BIGINT) AS ni, CAST(16 AS BIGINT) AS nj, CAST(12 AS BIGINT) AS nk, sx, sy, sz, low, high, voxels, CASE WHEN modality = 'CT' THEN 'HU' ELSE 'unknown' END AS unit, coalesce(volumes, 0) AS volumes,

@@ -10,6 +10,7 @@ from lumivox.functions import text as T
 from lumivox.operators import annotations as A
 from lumivox.operators import reviews as R
 from lumivox.operators import series as S
+from lumivox.plans.scratch import scratch_path
 from lumivox.sources import cohort as C
 
 
@@ -142,6 +143,21 @@ def _privacy(s, d):
     return T.find_secrets(C.table(s, d, "documents").select("doc_id", "text"), secrets).select("doc_id", "secret_id")
 
 
+def _scanned_outputs(s, d):
+    """Tables, an export as JSON lines and a log that is read as text, each with rows that some name or benchmark text has got into."""
+    names = C.table(s, d, "customer").orderBy("c_custkey").limit(20)  # the names to look for are a given list
+    snippets = C.table(s, d, "benchmark").where("length(text) >= 12").select((F.col("item_id") + 1_000_000).cast("long").alias("secret_id"), F.col("text").alias("secret"))
+    secrets = names.select(F.col("c_custkey").cast("long").alias("secret_id"), F.col("c_name").alias("secret")).unionByName(snippets)
+    c = C.table(s, d, "customer").select("c_custkey", "c_name", T.pseudonym("pepper", F.col("c_name")).alias("pseudonym"))
+    k = F.col("c_custkey")
+    export, log = scratch_path(s, "export"), scratch_path(s, "log")
+    c.select("c_custkey", F.struct(F.when(k % 5 == 0, F.col("c_name")).otherwise(F.col("pseudonym")).alias("by"), F.array(F.lit('a "quoted" one'), F.when(k % 7 == 0, F.concat(F.lit("seen by "), "c_name"))).alias("notes")).alias("provenance")).write.json(export)
+    c.select(F.concat(F.lit("entry "), k, F.lit(" of "), F.when(k % 3 == 0, F.col("c_name")).otherwise(F.col("pseudonym")))).write.text(log)
+    shape = "c_custkey long, provenance struct<by: string, notes: array<string>>"
+    outputs = {"pseudonyms": c.select("c_custkey", "pseudonym"), "export": s.read.schema(shape).json(export), "log": s.read.text(log), "documents": C.table(s, d, "documents").select("doc_id", "text", "source"), "pages": C.table(s, d, "pages").select("url", "html")}
+    return T.scan(outputs, secrets)
+
+
 QUERIES = {
     "src06_header_fallbacks": lambda s, d: S.with_fallbacks(C.headers(s, d)),
     "set06_distinct_series": lambda s, d: S.series_keys(C.headers(s, d)),
@@ -173,6 +189,7 @@ QUERIES = {
     "prj22_volume_keys": _keys,
     "prj23_people": _people,
     "pip14_privacy_scan": _privacy,
+    "pip14_outputs": _scanned_outputs,
     "pip15_transcript_grades": _grade,
 }
 
@@ -262,6 +279,10 @@ ORACLE_SQL = {
         d AS (SELECT k, len(k) BETWEEN 1 AND 64 AND len(list_filter(p, lambda x: NOT (regexp_full_match(x, '[a-z][a-z]?[a-z]?x') OR (len(regexp_extract(x, '^[a-z]*')) BETWEEN 1 AND 3 AND CASE WHEN contains(x, '.') THEN len(string_split(x, '.')) = 2 AND regexp_full_match(string_split(x, '.')[1], '[a-z]*[0-9]{{1,12}}') AND regexp_full_match(string_split(x, '.')[2], '[0-9]{{1,6}}') ELSE regexp_full_match(x, '[a-z]*[0-9]{{1,12}}') END)))) = 0 AS ok FROM p)
         SELECT CASE WHEN k.k IS NULL THEN NULL WHEN ok THEN k.k ELSE 'other' END AS key, count(*) AS n FROM k LEFT JOIN d ON d.k = k.k GROUP BY 1""",
     "prj23_people": "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_name WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN NULL ELSE c_name END AS person, CASE WHEN c_custkey % 5 > 2 THEN sha256(c_name) END AS shown_sha256 FROM customer",
+    "pip14_outputs": """WITH z AS (SELECT CAST(c_custkey AS BIGINT) AS secret_id, c_name AS secret FROM customer ORDER BY c_custkey LIMIT 20), z2 AS (SELECT * FROM z UNION ALL SELECT CAST(item_id + 1000000 AS BIGINT), text FROM benchmark WHERE length(text) >= 12),
+        o AS (SELECT 'export' AS source, 'provenance' AS "column", concat_ws(' ', CASE WHEN c_custkey % 5 = 0 THEN c_name END, CASE WHEN c_custkey % 7 = 0 THEN c_name END) AS text FROM customer UNION ALL SELECT 'log', 'value', CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE '' END FROM customer
+            UNION ALL SELECT 'documents', 'text', text FROM documents UNION ALL SELECT 'pages', 'html', html FROM pages)
+        SELECT source, "column", secret_id, count(*) AS rows FROM o JOIN z2 ON contains(o.text, z2.secret) GROUP BY ALL""",
     "pip14_privacy_scan": "SELECT doc_id, CAST(item_id AS BIGINT) AS secret_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND length(b.text) >= 12",
     "pip12_asked_changes": f"""{_N}, q AS (SELECT id + CASE WHEN id % 3 = 0 THEN 10000000 ELSE 0 END AS id, CASE WHEN id % 3 < 2 THEN 'add' WHEN id % 2 = 0 THEN 'rename' ELSE 'delete' END AS asked, ['Distance', 'Angle', 'Area', 'Rectangle', 'Text', 'Circle'][id % 6 + 1] AS kind, id % 4 + 1 AS points, id % 7 = 0 AS apart, 'new ' || id AS new_name FROM annotations),
         j AS (SELECT q.*, a.id IS NOT NULL AS there, a.kind AS old_kind, a.kind || ' ' || a.id AS old_name, author, status FROM q LEFT JOIN annotations a ON a.id = q.id),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumivox.plans.scratch import written
+
 #: A number that is being read: a minus sign begins one, and ends one that has begun without being part of the next; it has one point at most.
 NUMBER = r"((?:-[0-9]*|[0-9]+)(?:\.[0-9]*)?)-?"
 #: A part of a volume's key: one to three letters, and a number or an x.
@@ -82,6 +84,28 @@ def find_secrets(texts: DataFrame, secrets: DataFrame, seed: int = 12) -> DataFr
     return texts.join(met, "doc_id").where(F.contains("text", "secret")).select("doc_id", "secret_id").distinct()
 
 
+def scan(outputs: dict[str, DataFrame], secrets: DataFrame) -> DataFrame:
+    """``source, column, secret_id, rows``: which secrets (``secret_id, secret``) which columns of the outputs hold, and in how many rows.
+
+    All columns that have text are looked at: strings as they are, arrays, structs and maps value by value as JSON without its escapes. Columns of other kinds hold no text.
+    The texts of all outputs are looked up together, by one table of the secrets' windows.
+    """
+    held = None
+    for source, table in outputs.items():
+        for f in table.schema.fields:
+            kind = f.dataType.simpleString()
+            if "string" not in kind:
+                continue
+            text = F.col(f"`{f.name}`") if kind == "string" else F.regexp_replace(F.to_json(F.struct(F.col(f"`{f.name}`"))), r"\\\\([\"\\\\/])", "$1")
+            part = table.select(F.lit(source).alias("source"), F.lit(f.name).alias("column"), text.alias("text"))
+            held = part if held is None else held.unionByName(part)
+    if held is None:
+        return secrets.select(F.lit("").alias("source"), F.lit("").alias("column"), "secret_id", F.lit(0).cast("long").alias("rows")).limit(0)
+    texts = written(held.where("text IS NOT NULL").withColumn("doc_id", F.monotonically_increasing_id()), "texts")
+    met = find_secrets(texts.select("doc_id", "text"), secrets)
+    return met.join(texts.select("doc_id", "source", "column"), "doc_id").groupBy("source", "column", "secret_id").agg(F.count("*").alias("rows"))
+
+
 def json_numbers(text: Column) -> Column:
     """All numbers of a JSON text in order, however deep they lie; digits of keys and of strings are none."""
     bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', '""')

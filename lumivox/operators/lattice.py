@@ -95,6 +95,19 @@ def label_runs(runs: DataFrame, diagonal: bool = True, key: list[str] = KEY) ->
     return held.join(met, F.col("node") == F.col("met"), "left").select(*key, "j", "k", "i0", "i1", F.coalesce("component", "node").alias("piece"))
 
 
+def content_hash(mask: DataFrame) -> DataFrame:
+    """``i0 .. k1`` (inclusive) and ``hash`` of each segment: of its bricks' hashes in grid order, each of the brick's runs in order.
+
+    A brick of ``BRICK`` x ``BRICK`` lines is the largest group, so that a changed voxel makes another hash of its brick and of the segment, and bricks are hashed apart.
+    """
+    runs = mask_runs(mask).withColumn("bj", F.floor(F.col("j") / BRICK)).withColumn("bk", F.floor(F.col("k") / BRICK))
+    ends = [e for a, lo, hi in (("i", "i0", "i1"), ("j", "j", "j"), ("k", "k", "k")) for e in (F.min(lo).alias(f"{a}0"), F.max(hi).alias(f"{a}1"))]
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "j", "i0", "i1"))), lambda r: F.concat_ws(",", r["k"], r["j"], r["i0"], r["i1"])), ";")
+    bricks = runs.groupBy(*KEY, "bk", "bj").agg(*ends, F.sha2(told, 256).alias("h"))
+    box = [e for a in VOX for e in (F.min(f"{a}0").alias(f"{a}0"), F.max(f"{a}1").alias(f"{a}1"))]
+    return bricks.groupBy(*KEY).agg(*box, F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bk", "bj", "h"))), lambda b: F.concat_ws(":", b["bk"], b["bj"], b["h"])), ","), 256).alias("hash"))
+
+
 def label_components(mask: DataFrame, diagonal: bool = True, key: list[str] = KEY) -> DataFrame:
     """Adds ``piece`` to the voxels, as ``label_runs`` does to their runs."""
     return run_voxels(label_runs(mask_runs(mask, key), diagonal, key), "piece", key=key)

@@ -187,6 +187,25 @@ def oblique_plane(azimuth: float, elevation: float, offset: float) -> tuple[floa
     return math.cos(e) * math.cos(a), math.cos(e) * math.sin(a), math.sin(e), -offset
 
 
+#: Montages have so many tiles by default, about.
+TILES = 16
+
+
+def montage(asked: DataFrame) -> DataFrame:
+    """``series_id, slice, tile, reason`` of what is asked: slices ``first`` to ``last`` (from 1) of ``slices``, every ``step`` of them (null: as many as give ``TILES`` tiles or fewer).
+
+    Refused, with a row that says why and slice 0, are slices that aren't there, and more tiles than ``most``.
+    """
+    span = F.col("last") - F.col("first") + 1
+    step = F.greatest(F.lit(1), F.coalesce("step", F.ceil(span / TILES))).cast("int")
+    tiles = F.floor((F.col("last") - F.col("first")) / F.col("step")) + 1
+    away = (F.col("first") == 0) | (F.col("first") > F.col("last")) | (F.col("last") > F.col("slices"))
+    reason = F.when(away, F.concat(F.lit("slices "), "first", F.lit(".."), "last", F.lit(" of "), "slices")).when(tiles > F.col("most"), F.concat(tiles, F.lit(" tiles; at most "), "most")).otherwise("")
+    told = asked.withColumn("step", step).withColumn("reason", reason)
+    chosen = F.when(F.col("reason") == "", F.sequence(F.col("first").cast("int"), F.col("last").cast("int"), F.col("step"))).otherwise(F.array(F.lit(0)))
+    return told.select("series_id", F.posexplode(chosen).alias("at", "slice"), "reason").select("series_id", "slice", F.when(F.col("reason") == "", F.col("at") + 1).otherwise(0).alias("tile"), "reason")
+
+
 def box_union(boxes: DataFrame, key: list[str]) -> DataFrame:
     """The least box around a key's half-open boxes ``i0 .. k1``; empty ones don't count, and a key of empty boxes has an empty one of zeros."""
     full = F.lit(True)
@@ -220,13 +239,6 @@ def brick_ranges(voxels: DataFrame, grid: tuple[int, int, int], edge: int = 8) -
     return voxels.select("series_id", "value", F.inline(bricks)).groupBy("series_id", "bi", "bj", "bk").agg(F.min("value").alias("low"), F.max("value").alias("high"))
 
 
-def mask_hash(mask: DataFrame, grid: tuple[int, int, int]) -> DataFrame:
-    """``hash`` of each segment's content: of its slices' hashes in order, each of the slice's places in order. A slice is the largest group."""
-    place = (F.col("i") + grid[0] * F.col("j")).cast("long")
-    slices = mask.groupBy(*KEY, "k").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(place)), ","), 256).alias("h"))
-    return slices.groupBy(*KEY).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda s: F.concat(s["k"].cast("string"), F.lit(":"), s["h"])), ","), 256).alias("hash"))
-
-
 def reoriented(rows: DataFrame, orientation: DataFrame, grid: tuple[int, int, int]) -> DataFrame:
     """Voxels of stored grids on the canonical one: ``orientation`` has for each series the axis that each stored axis becomes, and whether it is turned.
 

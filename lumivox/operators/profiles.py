@@ -62,10 +62,10 @@ def _shape(mask: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:
 
 
 def topology(mask: DataFrame, grid: tuple[int, int, int], voxel_mm3: float) -> DataFrame:
-    """``components, largest_component_share, holes, hole_volume_mm3, euler_number, border_sides`` of each segment."""
+    """``components, largest_component_share, holes, hole_voxels, hole_volume_mm3, euler_number, border_sides`` of each segment."""
     pieces = N.components(mask).groupBy(*KEY).agg(F.count("*").alias("components"), (F.max("voxels") / F.sum("voxels")).alias("largest_component_share"))
-    holes = N.cavities(mask).select(*KEY, F.col("cavities").alias("holes"), (F.col("voxels") * voxel_mm3).alias("hole_volume_mm3"))
-    found = pieces.join(holes, KEY, "left").fillna(0, ["holes", "hole_volume_mm3"])
+    holes = N.cavities(mask).select(*KEY, F.col("cavities").alias("holes"), F.col("voxels").alias("hole_voxels"), (F.col("voxels") * voxel_mm3).alias("hole_volume_mm3"))
+    found = pieces.join(holes, KEY, "left").fillna(0, ["holes", "hole_voxels", "hole_volume_mm3"])
     return found.join(M.euler_number(mask).withColumnRenamed("euler", "euler_number"), KEY).join(M.border(mask, grid).select(*KEY, F.col("sides").alias("border_sides")), KEY)
 
 
@@ -107,6 +107,17 @@ def metrics(mask: DataFrame, series: DataFrame, grid: tuple[int, int, int], spac
 
 
 def warnings(found: DataFrame) -> DataFrame:
-    """``series_id, label, warning``: codes for segments in pieces, with holes, and at the image's border, from ``topology``."""
-    codes = F.array_compact(F.array(F.when(F.col("largest_component_share") < FRAGMENTED, "fragmented"), F.when(F.col("holes") > 0, "has_holes"), F.when(F.col("border_sides") > 0, "touches_border")))
-    return found.select(*KEY, F.explode(codes).alias("warning"))
+    """``series_id, label, warning, message``: of segments in pieces, with holes, and at the image's border, from ``topology``."""
+    percent = lambda x: F.format_string("%.1f", 100 * x)
+    pieces = F.concat(F.lit("fragmented: "), "components", F.lit(" pieces, the largest holds "), percent(F.col("largest_component_share")), F.lit(f" % of the voxels (warns below {100 * FRAGMENTED:.0f} %)"))
+    holes = F.concat(F.lit("has_holes: "), "holes", F.lit(" cavities of "), "hole_voxels", F.lit(" voxels enclosed by the segment"))
+    border = F.concat(F.lit("touches_border: the segment reaches "), "border_sides", F.lit(" side(s) of the image and may be cut off"))
+    told = F.array_compact(F.array(F.when(F.col("largest_component_share") < FRAGMENTED, pieces), F.when(F.col("holes") > 0, holes), F.when(F.col("border_sides") > 0, border)))
+    return found.select(*KEY, F.explode(told).alias("message")).select(*KEY, F.substring_index("message", ":", 1).alias("warning"), "message")
+
+
+def curves(mask: DataFrame, series: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The intensity-volume curve (``KEY, point, fraction``) and the shares of the default value ranges (``KEY, low, high, voxels, share``) of each segment of values with a known unit."""
+    known = mask.join(series.where("modality = 'CT'").select("series_id"), "series_id", "left_semi")
+    counts = written(I.value_counts(known, KEY), "counts")
+    return I.volume_curve(counts, KEY), I.range_shares(counts, KEY)

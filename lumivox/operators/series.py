@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumivox.plans.groups import over_groups
+
 #: Places nearer than this to the first of a position are that position.
 SAME_POSITION = 1e-4
 UID = ["series_uid"]
@@ -43,13 +49,24 @@ def order_by_position(headers: DataFrame) -> DataFrame:
     """``position`` (from zero) of each header with a place, and ``rank`` among the images there.
 
     Positions follow the projection on the normal. A place is of the position before it if it is within
-    ``SAME_POSITION`` of that position's first place, so small steps don't chain. A series' distinct places, no images, are gathered.
+    ``SAME_POSITION`` of that position's first place, so small steps don't chain: one scan of each series' images in order of place, many series at a time.
     """
     placed = headers.where("z IS NOT NULL")
-    none = F.array().cast("array<double>")
-    firsts = F.aggregate(F.array_sort(F.collect_set("z")), none, lambda held, z: F.when(z - F.coalesce(F.get(held, F.size(held) - 1), z - 1) >= SAME_POSITION, F.concat(held, F.array(z))).otherwise(held))
-    starts = placed.groupBy(*UID).agg(firsts.alias("starts"))
-    stepped = placed.join(starts, UID).withColumn("position", (F.size(F.filter("starts", lambda first: first <= F.col("z"))) - 1).cast("long")).drop("starts")
+
+    def step(table: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
+        z = table.column("z").to_pylist()
+        out, new, first, position = [], set(begins.tolist()), 0.0, 0
+        for n, place in enumerate(z):
+            if n in new:
+                first, position = place, 0
+            elif place - first >= SAME_POSITION:
+                first, position = place, position + 1
+            out.append(position)
+        for batch in table.append_column("position", pa.array(out, pa.int64())).combine_chunks().to_batches():
+            yield batch
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields)
+    stepped = over_groups(placed, UID, ["z"], step, f"{fields}, position long")
     return stepped.withColumn("rank", F.row_number().over(Window.partitionBy(*UID, "position").orderBy(*stack_order())))
 
 

@@ -63,8 +63,8 @@ def rasterised_lassos(lassos: DataFrame, width: int, height: int) -> DataFrame:
     return boxed.where(in_polygon(F.col("x").cast("double"), F.col("y").cast("double"), F.col("corners"))).select("id", "x", "y")
 
 
-def fill_by_slices(mask: DataFrame) -> DataFrame:
-    """Fills what single slices enclose, across i, then j, then k; each pass sees what those before it filled."""
+def fill_by_slices(mask: DataFrame, free: DataFrame | None = None) -> DataFrame:
+    """Fills what single slices enclose, across i, then j, then k; each pass sees what those before it filled. Only ``free`` voxels (``series_id, i, j, k``) are filled, if given."""
     filled = mask.select(*KEY, *VOX)
     for axis in VOX:
         a, b = [x for x in VOX if x != axis]
@@ -78,7 +78,7 @@ def fill_by_slices(mask: DataFrame) -> DataFrame:
         border = (F.col("i") == F.col("a0")) | (F.col("i") == F.col("a1")) | (F.col("j") == F.col("b0")) | (F.col("j") == F.col("b1"))
         open_ = pieces.join(edges, [*KEY, "plane"]).where(border).select(*KEY, "plane", "piece").distinct()
         inner = pieces.join(open_, [*KEY, "plane", "piece"], "left_anti").select(*KEY, F.col("plane").alias(axis), F.col("i").alias(a), F.col("j").alias(b))
-        filled = written(filled.unionByName(inner), "filled")
+        filled = written(filled.unionByName(inner if free is None else inner.join(free, ["series_id", *VOX], "left_semi")), "filled")
     return filled
 
 
@@ -99,7 +99,7 @@ def parsed(rows: DataFrame, column: str, schema: str) -> DataFrame:
     return held.select(*[c for c in rows.columns if c != column], *fields)
 
 
-def revision(fields: list[str]) -> Column:
+def revision(fields: list[Column]) -> Column:
     """A hash of an item's fields, for telling whether it has changed since it was reviewed: each field's length in bytes, a colon, and its text."""
-    texts = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
+    texts = [F.coalesce(f.cast("string"), F.lit("")) for f in fields]
     return F.sha2(F.concat(*[part for t in texts for part in (F.octet_length(t).cast("string"), F.lit(":"), t)]), 256)

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumivox.operators.lattice import label_components
+from lumivox.operators.lattice import label_components, label_runs, mask_runs, opening, run_voxels
 from lumivox.operators.masks import AROUND, KEY, VOX, box_mean, shifted
+from lumivox.operators.studies import fill_by_slices
 from lumivox.plans.scratch import written
 
 #: Corner b of a cube is at (b & 1, b >> 1 & 1, b >> 2 & 1).
@@ -106,25 +107,95 @@ def directions(covariance: DataFrame, same: float = 1e-9) -> DataFrame:
     return covariance.select(*KEY, axes.alias("axes")).withColumn("axis", F.get("axes", 0))
 
 
-def grow_robust(voxels: DataFrame, seeds: DataFrame, radius: int, tolerance: float) -> DataFrame:
-    """``series_id, i, j, k, core``: growth that noise doesn't stop. All seeds in one job, one a series.
-
-    The reference is the median of the box-smoothed values about the seed. Core voxels are 6-connected with the seed
-    by smoothed values within the tolerance; edge voxels are beside a core by 26 neighbours and within it by
-    their own value, and nothing grows from them. Voxels with a label are never taken.
-    """
+def _smoothed(voxels: DataFrame, radius: list[int]) -> DataFrame:
+    """Voxels with their value as ``raw`` and the mean of the box of ``radius`` about them as ``value``."""
     smooth = voxels.select("series_id", *VOX, "label", F.col("value").alias("raw"), "value")
-    for axis in VOX:
-        smooth = box_mean(smooth, axis, radius).drop("value").withColumnRenamed("mean", "value")
-    smooth = written(smooth, "smooth")
+    for axis, r in zip(VOX, radius):
+        if r:
+            smooth = box_mean(smooth, axis, r).drop("value").withColumnRenamed("mean", "value")
+    return written(smooth, "smooth")
+
+
+def _with_level(smooth: DataFrame, seeds: DataFrame, tolerance: float) -> DataFrame:
+    """The free voxels whose smoothed or own value is within the tolerance of the median of the smoothed values about their series' seed: ``series_id, i, j, k, core`` (the smoothed one is)."""
     about = shifted(seeds.select("series_id", *VOX), [(0, 0, 0), *AROUND], ["series_id"])
     ranked = about.join(smooth, ["series_id", *VOX]).groupBy("series_id").agg(F.sort_array(F.collect_list("value")).alias("v"))  # 27 values at most
     level = ranked.select("series_id", F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int")).alias("level"))
-    free = smooth.join(level, "series_id").where("label = 0")
     close = lambda c: F.abs(F.col(c) - F.col("level")) <= tolerance
-    pieces = written(label_components(free.where(close("value")).select("series_id", *VOX), diagonal=False, key=["series_id"]), "pieces")
-    chosen = pieces.join(seeds.select("series_id", *VOX), ["series_id", *VOX], "left_semi").select("series_id", "piece").distinct()
-    core = written(pieces.join(chosen, ["series_id", "piece"], "left_semi").select("series_id", *VOX), "core")
+    free = smooth.join(level, "series_id").where("label = 0").withColumn("core", close("value"))
+    return free.where(F.col("core") | close("raw")).select("series_id", *VOX, "core")
+
+
+def _with_edges(core: DataFrame, band: DataFrame) -> DataFrame:
+    """A grown core and the voxels beside it, by 26 neighbours, that only their own value lets in."""
     beside = shifted(core, AROUND, ["series_id"]).distinct().join(core, ["series_id", *VOX], "left_anti")
-    edge = beside.join(free.where(close("raw")).select("series_id", *VOX), ["series_id", *VOX], "left_semi")
+    edge = beside.join(band.where("NOT core").select("series_id", *VOX), ["series_id", *VOX], "left_semi")
     return core.withColumn("core", F.lit(True)).unionByName(edge.withColumn("core", F.lit(False)))
+
+
+def grow_robust(voxels: DataFrame, seeds: DataFrame, radius: int, tolerance: float) -> DataFrame:
+    """``series_id, i, j, k, core``: growth that noise doesn't stop. All seeds in one job, one a series.
+
+    The reference is the median of the box-smoothed values about the seed. Core voxels are 6-connected with the seed, which is one whatever its value,
+    by smoothed values within the tolerance; edge voxels are beside a core by 26 neighbours and within it by
+    their own value alone, and nothing grows from them. Voxels with a label are never taken.
+    """
+    band = written(_with_level(_smoothed(voxels, [radius] * 3), seeds, tolerance), "band")
+    start = seeds.select("series_id", *VOX)
+    pieces = written(label_components(band.where("core").select("series_id", *VOX).unionByName(start).distinct(), diagonal=False, key=["series_id"]), "pieces")
+    chosen = pieces.join(start, ["series_id", *VOX], "left_semi").select("series_id", "piece").distinct()
+    core = written(pieces.join(chosen, ["series_id", "piece"], "left_semi").select("series_id", *VOX), "core")
+    return _with_edges(core, band)
+
+
+#: The most voxels to either side that values are smoothed over.
+MOST_SMOOTHED = 6
+
+
+def grow_region(
+    voxels: DataFrame, seeds: DataFrame, spacing: tuple[float, float, float], tolerance: float, most: int, smoothing_mm: float = 1.5, opening_mm: float = 5.0, fill: bool = True, reach: int = 32
+) -> tuple[DataFrame, DataFrame]:
+    """The region about each seed (``series_id, i, j, k``, one a series), as ``series_id, i, j, k``; and ``series_id, reason`` of the seeds that are refused.
+
+    The whole chain of ``grow_robust`` in millimetres: values are smoothed over as many voxels of each axis as ``smoothing_mm`` holds, what grows is opened at
+    the seed by ``opening_mm``, and what its slices enclose is filled where no other label is. Refused are seeds outside the grid, seeds that have a label, and
+    regions of more than ``most`` voxels (before they are opened), which have leaked. Growth is bounded: pieces are sought in a box about
+    the seed that reaches ``reach`` voxels to either side, and twice as far in each round for those series whose region goes on through its sides and isn't too large yet.
+    """
+    key = ["series_id"]
+    start = seeds.select("series_id", *VOX)
+    found = start.join(voxels.select("series_id", *VOX, "label"), ["series_id", *VOX], "left")
+    refused = found.where("label IS NULL OR label > 0").select("series_id", F.when(F.col("label").isNull(), "outside the grid").otherwise("has a label").alias("reason"))
+    start = written(found.where("label = 0").select("series_id", *VOX), "start")
+    band = written(_with_level(_smoothed(voxels, [max(0, min(MOST_SMOOTHED, int(smoothing_mm // max(s, 1e-6)))) for s in spacing]), start, tolerance), "band")
+    spots = start.select("series_id", *[F.col(a).alias(f"s{a}") for a in VOX])
+    waiting, done, large = start.select("series_id"), None, None
+    while True:
+        inside = F.lit(True)
+        for a in VOX:
+            inside = inside & F.col(a).between(F.col(f"s{a}") - reach, F.col(f"s{a}") + reach)
+        here = spots.join(waiting, key, "left_semi")
+        cells = band.where("core").join(here, key).where(inside).select("series_id", *VOX).unionByName(start.join(waiting, key, "left_semi")).distinct()
+        runs = written(label_runs(mask_runs(cells, key), False, key).join(here, key), "region")
+        mine = runs.where((F.col("j") == F.col("sj")) & (F.col("k") == F.col("sk")) & F.col("si").between(F.col("i0"), F.col("i1"))).select("series_id", "piece")
+        region = written(runs.join(mine, ["series_id", "piece"], "left_semi"), "region")
+        side = (F.col("i0") == F.col("si") - reach) | (F.col("i1") == F.col("si") + reach)
+        for a in ("j", "k"):
+            side = side | (F.abs(F.col(a) - F.col(f"s{a}")) == reach)
+        sized = written(region.groupBy("series_id").agg(F.sum(F.col("i1") - F.col("i0") + 1).alias("n"), F.bool_or(side).alias("open")), "sizes")
+        whole = region.join(sized.where(f"n <= {most} AND NOT open"), key, "left_semi").select("series_id", "j", "k", "i0", "i1")
+        leaked = sized.where(f"n > {most}").select("series_id")
+        done, large = (whole, leaked) if done is None else (done.unionByName(whole), large.unionByName(leaked))
+        waiting = written(sized.where(f"n <= {most} AND open").select("series_id"), "waiting")
+        if waiting.isEmpty():
+            break
+        reach *= 2
+    grown = written(_with_edges(run_voxels(done, key=key).select("series_id", *VOX), band).drop("core"), "grown")
+    too = grown.groupBy("series_id").count().where(F.col("count") > most).select("series_id")
+    too = written(too.unionByName(large), "large")
+    out = grown.join(too, key, "left_anti").select("series_id", F.lit(1).alias("label"), *VOX)
+    if opening_mm > 0:
+        out = opening(written(out, "grown"), spacing, opening_mm, start.withColumn("label", F.lit(1)))
+    if fill:
+        out = fill_by_slices(out, voxels.where("label = 0").select("series_id", *VOX))
+    return out.select("series_id", *VOX), refused.unionByName(too.withColumn("reason", F.lit("too large")))

@@ -136,3 +136,7 @@ ANNOTATIONS_SQL = """annotations AS (SELECT CAST(o_orderkey AS BIGINT) AS id, CA
     CAST(o_custkey % 97 AS DOUBLE) AS x1, CAST(o_orderkey % 31 AS DOUBLE) AS y1, CAST(o_custkey % 89 + 3 AS DOUBLE) AS x2, CAST(o_orderkey % 37 + 5 AS DOUBLE) AS y2,
     CAST(o_custkey % 83 + 11 AS DOUBLE) AS x3, CAST(o_orderkey % 41 + 20 AS DOUBLE) AS y3, CAST(o_custkey % 79 AS DOUBLE) AS x4, CAST(o_orderkey % 43 + 40 AS DOUBLE) AS y4,
     CASE o_orderstatus WHEN 'O' THEN 'proposed' WHEN 'F' THEN 'confirmed' ELSE 'rejected' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'agent' ELSE 'human' END AS author FROM orders)"""
+
+#: The segments' boxes and content hashes where one brick holds a series.
+HASHED_SQL = """runs AS (SELECT series_id, label, j, k, min(i) AS i0, max(i) AS i1 FROM (SELECT *, i - row_number() OVER (PARTITION BY series_id, label, j, k ORDER BY i) AS r FROM mask) GROUP BY series_id, label, j, k, r),
+    hashed AS (SELECT series_id, label, min(i0) AS i0, max(i1) AS i1, min(j) AS j0, max(j) AS j1, min(k) AS k0, max(k) AS k1, sha256('0:0:' || sha256(string_agg(k || ',' || j || ',' || i0 || ',' || i1, ';' ORDER BY k, j, i0))) AS hash FROM runs GROUP BY ALL)"""

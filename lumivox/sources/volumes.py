@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumivox.functions.grid import to_storage
+from lumivox.plans.groups import over_groups
 from lumivox.plans.scratch import file_system
 
 #: NIfTI-1 datatype codes and their numpy kinds.
@@ -354,3 +356,22 @@ def write_volumes(voxels: DataFrame, folder: str, value: str, spacing: tuple[flo
         return pd.DataFrame({"series_id": [key[0]], "name": [name]})
 
     return voxels.select("series_id", "i", "j", "k", value).groupBy("series_id").applyInPandas(write, "series_id long, name string")
+
+
+def write_documents(rows: DataFrame, folder: str, group: str, fields: list[str]) -> DataFrame:
+    """A file of JSON lines for each ``group`` in ``folder``, its rows in order of ``fields``; gives ``group, file``. A group is one file, written line by line."""
+    kind = rows.schema[group].dataType.simpleString()
+    lines = rows.select(group, F.to_json(F.struct(*fields)).alias("line"), *fields)
+
+    def write(table: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
+        store, top = file_system(folder)
+        store.create_dir(top)
+        ids, texts, names = table.column(group).to_pylist(), table.column("line").to_pylist(), []
+        for a, b in zip(begins, np.append(begins[1:], table.num_rows)):
+            names.append(f"bundle-{ids[a]}.jsonl")
+            with store.open_output_stream(f"{top}/{names[-1]}", compression=None) as out:
+                for line in texts[a:b]:
+                    out.write(line.encode() + b"\n")
+        yield pa.record_batch([table.column(group).combine_chunks().take(pa.array(begins)), pa.array(names)], names=[group, "file"])
+
+    return over_groups(lines, [group], fields, write, f"`{group}` {kind}, file string")
