@@ -464,6 +464,8 @@ def repeated_passages(docs: DataFrame, c: Chaining = Chaining(), id_col: str = "
     are first in several documents are joined once more, together, with the first document that has them so; a passage
     whose parts first occur in several documents is put together from their chains. The seeds and the aligned
     words are shuffled, a document's own matches are the largest group.
+    What is given has ``similarity`` of its words in place. Of passages that are so alike, those that are 0.9 alike or more are found (0.94 of their words and more on edited
+    passages); of those between 0.85 and 0.9 three quarters of the words, and below that a third, as two seeds must be left of one in ``spread`` k-mers.
     Texts are compared word by word, long runs of up to eight words in turn (or of one) by their first words and their length
     (stretches whose whole lengths aren't alike, as ``similarity`` is, are parted at such runs then); repeats within one document alone are none; null or wordless
     texts have none; rows with a null id aren't compared; rows that repeat an id and text count once; an empty

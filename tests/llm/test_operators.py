@@ -148,15 +148,15 @@ def likeness(a, b):
     return row[-1] / max(len(a), len(b))
 
 
-@pytest.mark.parametrize(("edits", "recall"), [(0.05, 0.97), (0.1, 0.9)])
-def test_recall_of_edited_passages(spark, edits, recall):
-    """Of passages that are at least 0.8 alike by brute force, in words that mostly are common ones, so many are found, and what is found is that alike."""
+def test_recall_of_edited_passages_by_likeness(spark):
+    """Passages edited in common words, by how alike they are by brute force: of their words so many are found, and what is found is alike, too."""
     rng = np.random.default_rng(5)
     vocabulary = np.array(["".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(2, 8)))) for _ in range(3000)])
     share = 1 / np.arange(1, 3001)
     words = lambda n: vocabulary[rng.choice(3000, n, p=share / share.sum())].tolist()
     first, second, places = [], [], []
-    for _ in range(150):
+    for m in range(400):
+        edits = (0.03, 0.06, 0.1, 0.14, 0.18)[m % 5]
         passage, edited = words(int(rng.integers(60, 150))), []
         for w in passage:
             kind = rng.random() / edits  # another word, a word more, a word less
@@ -170,11 +170,13 @@ def test_recall_of_edited_passages(spark, edits, recall):
     for r in got:
         found.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
         mine, theirs = (first + second)[r["doc_id"]], (first + second)[r["source_doc_id"]]
-        source = (r["source_start"], r["source_end"])
-        assert r["n_words"] - (source[1] - source[0]) > 10 or likeness(mine[r["start_word"] : r["end_word"]], theirs[slice(*source)]) > 0.7
-    alike = [(n, p) for n, p in enumerate(places) if p[2] >= 0.8]
-    covered = [sum(max(0, min(y, p[1]) - max(x, p[0])) for x, y in found.get(150 + n, [])) / (p[1] - p[0]) for n, p in alike]
-    assert len(alike) > 100 and np.mean(np.array(covered) > 0.5) >= recall, np.mean(np.array(covered) > 0.5)
+        source = theirs[r["source_start"] : r["source_end"]]  # of the longest of the stretches that a passage is put together from
+        assert max(likeness(mine[r["start_word"] : r["end_word"]][k : k + len(source)], source) for k in range(max(1, r["n_words"] - len(source) + 1))) > 0.7
+    covered = np.array([sum(max(0, min(y, p[1]) - max(x, p[0])) for x, y in found.get(400 + n, [])) / (p[1] - p[0]) for n, p in enumerate(places)])
+    alike = np.array([p[2] for p in places])
+    for low, high, least in ((0.95, 1.01, 0.97), (0.9, 0.95, 0.9), (0.85, 0.9, 0.65)):
+        band = (alike >= low) & (alike < high)
+        assert band.sum() > 50 and covered[band].mean() >= least, (low, band.sum(), covered[band].mean())
 
 
 @pytest.mark.parametrize("size", [5, 12, 20, 30, 45])
@@ -718,21 +720,15 @@ def check_packed(rows, limits):
 @given(st.lists(st.integers(1, 50), max_size=60), st.sampled_from(["norm", "dot"]), st.integers(2, 9), st.integers(2500, 5000))
 def test_best_fit_equals_brute_force(lengths, choose, documents, attention):
     limits = packing.Limits(tokens=64, documents=documents, attention=attention, choose=choose, weights=(1.0, 0.7, 0.4))
-    full, bins, expected = np.array([64, documents, attention], float), [], []
-    for n in lengths:
-        need, best = np.array([n, 1, n * n], float), None
-        for k, rest in enumerate(bins):
-            if (rest >= need).all():
-                gain = (np.array(limits.weights) * rest / full * need / full).sum() if choose == "dot" else -((np.array(limits.weights) * (rest - need) / full) ** 2).sum()
-                if best is None or gain > best[0] + 1e-12:
-                    best = gain, k
-        if best is None:
-            bins.append(full.copy())
-            best = 0, len(bins) - 1
-        expected.append(round(best[0], 9))
-        bins[best[1]] -= need
+    full, bins = np.array([64, documents, attention], float), {}
+    weights = np.array(limits.weights)
+    gain = lambda rest, need: (weights * rest / full * need / full).sum() if choose == "dot" else -((weights * (rest - need) / full) ** 2).sum()
     of, offset = packing.best_fit(np.array(lengths, np.int64), limits)
-    assert (of.max() + 1 if len(of) else 0) <= len(bins) + 1  # equal gains may go to another bin
+    for n, k in zip(lengths, of.tolist()):  # each choice against all bins that are open at the time; equal gains may go to any
+        need = np.array([n, 1, n * n], float)
+        fit = {b: gain(rest, need) for b, rest in bins.items() if (rest >= need).all()}
+        assert (k in fit and fit[k] >= max(fit.values()) - 1e-9) if fit else k not in bins, (n, k, fit)
+        bins[k] = bins.get(k, full) - need
     for k in set(of.tolist()):
         mine = [(int(o), n) for o, n, b in zip(offset, lengths, of) if b == k]
         assert [o for o, _ in mine] == list(np.cumsum([0, *[n for _, n in mine]])[:-1]) and sum(n for _, n in mine) <= 64
@@ -816,6 +812,16 @@ def test_stages_keep_columns_of_any_name(spark):
         assert {tuple(r) for r in docs.select("score", "fp", "_spans", "shift").distinct().collect()} == {("mine", 1, 2, 3)}
 
 
+def test_an_id_with_several_texts_keeps_those_that_name_a_group(spark):
+    """Whatever the order of the rows: of id 5 the text that no other id has stays, and its copy of id 3's goes."""
+    a, b = "a text of its own with some words " * 3, "another text that two documents have " * 3
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(3, b, "x", "s", 1), (5, a, "x", "s", 2), (5, b, "x", "s", 3), (None, b, "x", "s", 4), (7, None, "x", "s", 5), (8, "", "x", "s", 6)]
+    for order in (rows, rows[::-1]):
+        got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(order, schema).coalesce(1), SF).collect()
+        assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in got), key=str) == sorted([(3, b, 1), (5, a, 2), (None, b, 4), (7, None, 5)], key=str)
+
+
 def test_pipeline_on_odd_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = [(i, t, None, None, None) for i, t, _, _ in ODD]
