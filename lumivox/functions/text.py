@@ -96,7 +96,7 @@ def scan(outputs: dict[str, DataFrame], secrets: DataFrame) -> DataFrame:
             kind = f.dataType.simpleString()
             if "string" not in kind:
                 continue
-            text = F.col(f"`{f.name}`") if kind == "string" else F.regexp_replace(F.to_json(F.struct(F.col(f"`{f.name}`"))), r"\\\\([\"\\\\/])", "$1")
+            text = F.col(f"`{f.name}`") if kind == "string" else F.regexp_replace(F.to_json(F.struct(F.col(f"`{f.name}`"))), r'\\(["\\/])', "$1")
             part = table.select(F.lit(source).alias("source"), F.lit(f.name).alias("column"), text.alias("text"))
             held = part if held is None else held.unionByName(part)
     if held is None:
