@@ -82,14 +82,6 @@ def fill_by_slices(mask: DataFrame, free: DataFrame | None = None) -> DataFrame:
     return filled
 
 
-def readable(rows: DataFrame, column: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """The rows whose JSON reads, with its fields, and the others, each once."""
-    bad = "_corrupt string"
-    parsed = rows.withColumn("_parsed", F.from_json(column, f"{schema}, {bad}", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    good = parsed.where(F.col("_parsed._corrupt").isNull() & F.col("_parsed").isNotNull()).select(*rows.columns, "_parsed.*").drop("_corrupt")
-    return good, parsed.where(F.col("_parsed._corrupt").isNotNull() | F.col("_parsed").isNull()).select(*rows.columns).distinct()
-
-
 def parsed(rows: DataFrame, column: str, schema: str) -> DataFrame:
     """The rows with the fields of their JSON, null where it doesn't read."""
     good = F.from_json(column, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
