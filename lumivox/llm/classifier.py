@@ -192,6 +192,7 @@ def score_quality(docs: DataFrame, model: Neighbours, text_col: str = "text") ->
 
     A null or empty text, or one like no labelled document, scores the labels' mean; repeated rows score alike; an
     empty table gives an empty one; a column that is called score is replaced. A model without labels scores 1.
+    Of labelled vectors that are equally near at the last place some vote and others don't, as they are partitioned; the same ones for the same text.
     """
     kept = [c for c in docs.columns if c != "score"]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])

@@ -57,7 +57,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
     Rows are range-partitioned by id and sorted, ties by text, so any partition count gives the same corpus.
     A null text counts as empty (its document is the end id alone); a null id sorts first; repeated rows are
-    all written; an empty table gives no part. Other columns are left out before the shuffle.
+    all written, and rows that repeat an id are in one part, as its order of texts is; an empty table gives no part. Other columns are left out before the shuffle.
     A task writes under a name of its own and commits a manifest row, so lost or repeated attempts leave at
     most a stray file. Only one row a part reaches the driver, which sums them into the parts' bases.
     """

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
