@@ -112,8 +112,7 @@ def _arrivals(s, d):
     at = lambda later, day: lines.where(F.col("later") == later).select("series_uid", "position", (F.lit(day).cast("timestamp") + F.make_dt_interval(secs=F.col("second"))).alias("arrived"))
     end = lambda day: s.sql(f"SELECT -1L AS series_uid, 0L AS position, TIMESTAMP '{day}' AS arrived")
     batches = [at(False, "2024-01-01"), end("2024-02-01"), at(True, "2024-02-01 00:30:00"), end("2024-03-15")]
-    told = feeds.replay(batches, feeds.arrivals, "arrivals").where("series_uid >= 0")
-    return told.groupBy("series_uid").agg(*[F.max(c).alias(c) for c in ("images", "positions", "most", "complete")], F.sum("late").alias("late"))
+    return feeds.completeness(feeds.replay(batches, feeds.arrivals, "arrivals").where("series_uid >= 0"))
 
 
 def _audit_log(s, d):

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -182,47 +182,33 @@ def readable_states(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source").applyInPandasWithState(step, "source long, version long, value long, state string", "good long, bad boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def arrivals(slices: DataFrame, quiet: str = "1 day", kept: str = "60 days", late: str = "1 hour") -> DataFrame:
-    """``series_uid, images, positions, most, complete, late``: a row for each series when no slice of it has come for ``quiet``, and one for slices that come after that.
+def arrivals(slices: DataFrame, quiet: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """``series_uid, start, images, positions, most, fewest``: a row for the slices of a series that came with no longer pause than ``quiet``, once the watermark has passed it.
 
-    ``slices`` are ``series_uid, position, arrived``. A series is complete if all its positions have as many images. State is the counts of the positions of
-    series that still come in, by timers of event time, and then, for ``kept`` more, only that a series is closed, so that what comes late is told
-    (``late``, the other columns null) instead of opening it again; after that nothing is left of it. So state follows what has come within the
-    two spans, not all that ever came.
+    ``slices`` are ``series_uid, position, arrived``. Session windows hold what they count until they are closed, and then nothing: so state follows the series that
+    still come in, not all that ever came. Slices that come after their series was closed make a session of their own, which ``completeness`` tells as late.
     """
-    seconds = lambda text: int(pd.Timedelta(text).total_seconds() * 1000)
-    wait, keep = seconds(quiet), seconds(kept)
-    columns = {"series_uid": "int64", "images": "Int64", "positions": "Int64", "most": "Int64", "complete": "boolean", "late": "int64"}
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        closed, counts, last = state.get if state.exists else (False, "{}", 0)
-        out = []
-        if state.hasTimedOut:
-            if closed:
-                state.remove()
-            else:
-                n = list(json.loads(counts).values())
-                out.append((*key, sum(n), len(n), max(n), max(n) == min(n), 0))
-                state.update((True, "{}", last))
-                state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs()) + keep)
-        else:
-            rows = pd.concat(list(frames))
-            last = max(last, int(rows["arrived"].max().timestamp() * 1000))
-            if closed:
-                out.append((*key, None, None, None, None, len(rows)))
-                state.update((True, "{}", last))
-                state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + keep)
-            else:
-                held = json.loads(counts)
-                for position, n in rows["position"].value_counts().items():
-                    held[str(position)] = held.get(str(position), 0) + int(n)
-                state.update((False, json.dumps(held), last))
-                state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + wait)
-        yield _frame(out, columns)
-
-    told = "series_uid long, images long, positions long, most long, complete boolean, late long"
-    watched = slices.withWatermark("arrived", late).groupBy("series_uid")
-    return watched.applyInPandasWithState(step, told, "closed boolean, counts string, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    sessions = slices.withWatermark("arrived", late).groupBy(F.session_window("arrived", quiet).alias("w"), "series_uid").agg(F.count("*").alias("images"), F.sort_array(F.collect_list("position")).alias("at"))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(None).cast("long").alias("place"), zero.alias("run"), zero.alias("n"), zero.alias("most"), F.lit(1 << 62).cast("long").alias("fewest"))
+
+    def step(a: Column, place: Column) -> Column:
+        """The runs of equal places so far, the last of which may go on."""
+        same = a["place"] == place
+        ended = F.when(same | a["place"].isNull(), a["fewest"]).otherwise(F.least(a["fewest"], a["run"]))
+        run = F.when(same, a["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(place.cast("long").alias("place"), run.alias("run"), F.when(same, a["n"]).otherwise(a["n"] + 1).alias("n"), F.greatest(a["most"], run).alias("most"), ended.alias("fewest"))
+
+    runs = F.aggregate("at", start, step)
+    return sessions.select("series_uid", F.col("w.start").alias("start"), "images", runs.alias("r")).select(
+        "series_uid", "start", "images", F.col("r.n").alias("positions"), F.col("r.most").alias("most"), F.least("r.fewest", "r.run").alias("fewest"))
+
+
+def completeness(sessions: DataFrame) -> DataFrame:
+    """``series_uid, images, positions, most, complete, late`` of the rows that ``arrivals`` has written: a series by its first session, and how many slices came after that."""
+    first = F.min_by(F.struct("images", "positions", "most", "fewest"), "start").alias("f")
+    found = sessions.groupBy("series_uid").agg(first, F.sum("images").alias("all"))
+    return found.select("series_uid", "f.images", "f.positions", "f.most", (F.col("f.most") == F.col("f.fewest")).alias("complete"), (F.col("all") - F.col("f.images")).alias("late"))
 
 
 def run_once(stream: DataFrame, folder: str, state: str) -> None:
