@@ -68,3 +68,19 @@ def test_components_equal_union_find(spark, seed):
 def test_star_of_many_edges(skewed):
     star = skewed.range(1, 200_001, 1, 4).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
     assert connected_components(star).agg(F.max("component"), F.count("*")).first()[:] == (0, 200_001)
+
+
+def test_grids_are_dealt_out_and_never_taken_for_small(spark, tmp_path):
+    """Series of either sign, and one without a number, from one group of rows: in many parts, whole series in each, as large to the planner as they are, with SQL's rows."""
+    import duckdb
+
+    from lumivox.sources import cohort as C
+
+    spark.sql("SELECT CAST(id AS BIGINT) AS s_suppkey, 1 AS s_nationkey FROM VALUES (-25L), (-7L), (0L), (5L), (13L), (1000003L), (NULL) t(id)").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    voxels = C.voxels(spark, str(tmp_path))
+    assert voxels.rdd.getNumPartitions() >= 4
+    assert voxels.withColumn("part", F.spark_partition_id()).groupBy("series_id").agg(F.count_distinct("part").alias("n")).where("n > 1").isEmpty()
+    assert voxels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 10 * 2**20
+    expected = duckdb.sql(f"WITH supplier AS (SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'), {C.VOXELS_SQL.removeprefix('WITH ')} SELECT series_id, i, j, k, label, value FROM voxels").fetchall()
+    key = lambda r: tuple((c is None, c or 0) for c in r)
+    assert sorted(map(tuple, voxels.collect()), key=key) == sorted(expected, key=key)
