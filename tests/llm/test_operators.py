@@ -439,6 +439,15 @@ def test_fit_takes_an_id_once(spark):
     assert classifier.fit_neighbours(docs, labels, "quality").labels.tolist() == [1.0, 0.0]
 
 
+def test_quality_rules_learn_from_every_trusted_label(spark, tmp_path, monkeypatch):
+    spark.range(20_500).selectExpr("id AS doc_id", "'some words' AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(20_500).selectExpr("id AS doc_id", "1 AS quality").write.parquet(str(tmp_path / "labels.parquet"))
+    seen = []
+    monkeypatch.setattr(queries, "fit_ratio", lambda docs, trusted: seen.append(trusted.count()) or rules.Ratio(np.zeros(8), -1.0))
+    queries.op5_quality_rules(spark, str(tmp_path))
+    assert seen == [20_500]
+
+
 def test_label_sample_is_bounded_and_stable(spark):
     labels = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
     a, b = label_sample(labels, "quality", 100).collect(), label_sample(labels.orderBy(F.desc("doc_id")), "quality", 100).collect()
