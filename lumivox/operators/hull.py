@@ -7,14 +7,15 @@ and never more than the grid has lines.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumivox.operators.masks import FACES, KEY, VOX, largest_slice
+from lumivox.plans.groups import over_groups
 
 
 def line_ends(points: DataFrame, axes: list[str] = VOX, key: list[str] = KEY) -> DataFrame:
@@ -108,14 +109,16 @@ def _facets(points: np.ndarray) -> np.ndarray:
 
 
 def _each(points: DataFrame, columns: str, measure: Callable[[np.ndarray], tuple], names: list[str]) -> DataFrame:
-    """``measure`` of every segment's points, a segment at a time."""
+    """``measure`` of every segment's points, in grid order, many segments to a table."""
 
-    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        found = measure(frame[VOX].to_numpy(float))
-        return pd.DataFrame([(*key, *found)], columns=[*KEY, *names])
+    def work(table: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        places = np.stack([table.column(a).to_numpy().astype(float) for a in VOX], axis=1)
+        found = zip(*[measure(some) for some in np.split(places, first[1:])])
+        yield pa.record_batch([*[table.column(k).combine_chunks().take(pa.array(first)) for k in KEY], *[pa.array(c, kind) for c, kind in zip(found, types)]], names=[*KEY, *names])
 
+    types = [{"double": pa.float64(), "long": pa.int64(), "int": pa.int32()}[c.split()[1]] for c in columns.split(", ")]
     kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in KEY)
-    return points.groupBy(*KEY).applyInPandas(one, f"{kinds}, {columns}")
+    return over_groups(points.select(*KEY, *VOX), KEY, ["k", "j", "i"], work, f"{kinds}, {columns}")
 
 
 def convex_hull(mask: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:

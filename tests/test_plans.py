@@ -84,3 +84,13 @@ def test_grids_are_dealt_out_and_never_taken_for_small(spark, tmp_path):
     expected = duckdb.sql(f"WITH supplier AS (SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'), {C.VOXELS_SQL.removeprefix('WITH ')} SELECT series_id, i, j, k, label, value FROM voxels").fetchall()
     key = lambda r: tuple((c is None, c or 0) for c in r)
     assert sorted(map(tuple, voxels.collect()), key=key) == sorted(expected, key=key)
+
+
+def test_few_rows_of_much_work_stay_in_many_tasks(spark):
+    from lumivox.plans.groups import over_groups
+
+    def work(table, first):
+        yield table.slice(0, 1).to_batches()[0]
+
+    rows = spark.range(64).selectExpr("id AS g", "id")
+    assert over_groups(rows, ["g"], [], work, "g long, id long").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
