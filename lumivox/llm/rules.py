@@ -111,21 +111,23 @@ def _failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16, share: float = 0.005, slack: float = 0.05) -> Ratio:
+def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16, share: float = 0.005, slack: float = 0.05, small: int = 2_000_000) -> Ratio:
     """Counts n-grams of all documents and of the trusted ones, and sets the threshold.
 
-    ``trusted`` has the ids of trusted documents, any number of them: Spark broadcasts few and shuffles many. Four fifths of
+    ``trusted`` has the ids of trusted documents, any number of them: up to ``small`` are broadcast, more
+    are shuffled with the texts. Four fifths of
     them are counted as the target; the others, that the counts haven't seen, set the threshold: ``slack`` under
     the score that all but ``share`` of those with enough words reach. Scores are binned to thousandths, so the
     threshold is the same at every run. Without trusted documents nothing is told apart and all pass.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = trusted.select(F.col(id_col).alias("id"), (F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(5)) > 0).alias("trusted")).distinct()
-    raw, target = _bucket_counts(rows.join(marks, "id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")), buckets)
+    sent = F.broadcast if marks.count() <= small else lambda ids: ids
+    raw, target = _bucket_counts(rows.join(sent(marks), "id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")), buckets)
     if not target.sum():
         return Ratio(np.zeros(buckets), -1.0)
     weights = np.log((target + 0.5) / (target.sum() + 0.5 * buckets)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * buckets))
-    unseen = rows.join(marks.where(~F.col("trusted")).select("id"), "id", "left_semi")
+    unseen = rows.join(sent(marks.where(~F.col("trusted")).select("id")), "id", "left_semi")
     bins = measures(unseen, weights).where(~_failed()).groupBy(F.floor(F.col("score") * 1000).alias("bin")).count().orderBy("bin").collect()
     left = int(share * sum(r[1] for r in bins))
     for value, count in bins:
