@@ -18,7 +18,7 @@ from lumivox.operators import lattice as N
 from lumivox.operators import masks as M
 from lumivox.operators import profiles as P
 from lumivox.operators import reviews as R
-from lumivox.plans.scratch import scratch_path, written
+from lumivox.plans.scratch import scratch_path, tabled, written
 from lumivox.sources import cohort as C
 from lumivox.sources import volumes as V
 from lumivox.streaming import feeds
@@ -152,7 +152,7 @@ def _segment_list(s, d):
 
 def _shape_card(s, d):
     """Each segment's extent, slices, axes, border, pieces and side, and the same axes of its part at or above a value."""
-    m = written(C.mask(s, d), "mask")
+    m = tabled(C.mask(s, d), "mask")
     found = P.topology(m, GRID, 2.0).select(*M.KEY, F.col("components").alias("pieces"), F.col("border_sides").alias("sides"), (F.col("border_sides") > 0).alias("touches"))
     ranges = M.bounds(m).select(*M.KEY, *[e for a, sp in zip(M.VOX, S) for e in (((F.col(f"{a}1") - F.col(f"{a}0")) * sp).alias(f"{a}_mm"), (F.col(f"{a}0") + 1).alias(f"{a}_from"), F.col(f"{a}1").alias(f"{a}_to"))])
     axes = H.axial_axes(m, S).select(*M.KEY, "long_mm", "short_mm", (F.col("k") + 1).alias("largest_axial"))
@@ -171,7 +171,7 @@ def _compare(s, d):
     """Two readings of the same segments, where both list the same files: volumes, overlap, distances of surfaces and centroids; null distances where one is empty."""
     same = _same_files(_scans(s, d)).where("same").select(F.col("series").alias("series_id"))
     a, b = C.mask(s, d).select(*M.KEY, *M.VOX), _shifted(s, d).where("NOT (label = 1 AND series_id % 4 = 0)").select(*M.KEY, *M.VOX)
-    a, b = written(a.join(same, "series_id", "left_semi"), "a"), written(b.join(same, "series_id", "left_semi"), "b")
+    a, b = tabled(a.join(same, "series_id", "left_semi"), "a"), tabled(b.join(same, "series_id", "left_semi"), "b")
     sa, sb = M.surface(a), M.surface(b)
     far = M.hausdorff(M.distances(sa, sb, S, M.KEY), M.distances(sb, sa, S, M.KEY))
     apart = M.centroid(a).join(M.centroid(b).select(*M.KEY, *[F.col(f"c{x}").alias(f"d{x}") for x in M.VOX]), M.KEY)
@@ -182,10 +182,10 @@ def _compare(s, d):
 
 def _edit(s, d):
     """Four clean-ups by series, of segments that an agent made and nobody confirmed: voxels before and after, and why others are refused."""
-    m = written(C.mask(s, d).select(*M.KEY, *M.VOX), "mask")
+    m = tabled(C.mask(s, d).select(*M.KEY, *M.VOX), "mask")
     op = F.element_at(F.array(*map(F.lit, ["keep_largest", "fill_holes", "restrict_to_box", "remove_small"])), (F.col("series_id") % 4 + 1).cast("int"))
     asked = M.size(m, 2.0).select(*M.KEY, F.col("voxels").alias("before")).withColumn("op", op).withColumn("author", F.when(F.col("series_id") % 5 == 0, "human").otherwise("agent")).withColumn("status", F.when((F.col("series_id") + F.col("label")) % 7 == 0, "confirmed").otherwise("proposed"))
-    asked = written(asked.withColumn("reason", A.refusal()), "asked")
+    asked = tabled(asked.withColumn("reason", A.refusal()), "asked")
     of = lambda name: m.join(asked.where((F.col("op") == name) & F.col("reason").isNull()), M.KEY, "left_semi")
     taken = m.select("series_id", *M.VOX)  # holes are filled where no segment is
     filled = of("fill_holes")
@@ -197,7 +197,7 @@ def _edit(s, d):
 
 def _checks(s, d):
     """The failed quality checks of every segment that was asked for, also of those without a voxel."""
-    m = written(C.mask(s, d), "mask")
+    m = tabled(C.mask(s, d), "mask")
     asked = C.series(s, d).select("series_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("label"))
     found = P.topology(m, GRID, 2.0).select(*M.KEY, F.col("largest_component_share").alias("share"), (F.col("border_sides") > 0).alias("touches"))
     cut = F.lit(False)  # the region that was sent is voxels 2 to 13 of the first two axes

@@ -14,7 +14,7 @@ from lumivox.operators import masks as M
 from lumivox.operators import profiles as P
 from lumivox.operators import series as S
 from lumivox.operators import studies as U
-from lumivox.plans.scratch import scratch_path, written
+from lumivox.plans.scratch import scratch_path, tabled, written
 from lumivox.sources import cohort as C
 from lumivox.sources import volumes as V
 from lumivox.streaming import feeds
@@ -82,8 +82,8 @@ def _auto(s, d):
     free = C.mask(s, d).select("series_id", "label").distinct().groupBy("series_id").agg(F.collect_set("label").alias("used"))  # 255 at most
     rank = F.row_number().over(Window.partitionBy("series_id").orderBy("found"))
     label = F.get(F.array_except(F.sequence(F.lit(1), F.lit(255)), "used"), F.col("rank") - 1)
-    new = written(n.withColumn("rank", rank).join(free, "series_id").select("series_id", "found", label.alias("label"), (F.col("voxels") - F.col("overlap")).alias("voxels"), "overlap"), "adopted")
-    taken = written(found.where("label = 0").drop("label").join(new.select("series_id", "found", "label"), ["series_id", "found"]).select(*M.KEY, *M.VOX), "taken")
+    new = tabled(n.withColumn("rank", rank).join(free, "series_id").select("series_id", "found", label.alias("label"), (F.col("voxels") - F.col("overlap")).alias("voxels"), "overlap"), "adopted")
+    taken = tabled(found.where("label = 0").drop("label").join(new.select("series_id", "found", "label"), ["series_id", "found"]).select(*M.KEY, *M.VOX), "taken")
     told = P.topology(taken, (C.NX, C.NY, C.NZ), 2.0).select(*M.KEY, F.col("largest_component_share").alias("share"), F.col("border_sides").alias("sides"))
     centre = M.centroid(taken).select(*M.KEY, F.when(F.round(F.col("ci"), 6) > (C.NX - 1) / 2, "left").otherwise("right").alias("observed"))
     side = F.when(F.col("found") == 1, "left").otherwise("right")  # what the engine's names say

@@ -12,7 +12,7 @@ from lumivox.operators import lattice as N
 from lumivox.operators import masks as M
 from lumivox.operators import surface as X
 from lumivox.operators.masks import KEY
-from lumivox.plans.scratch import written
+from lumivox.plans.scratch import tabled
 
 #: The features of the two profiles by family (fixed values).
 QUICK = {
@@ -49,7 +49,7 @@ def _size(mask: DataFrame, series: DataFrame, spacing: tuple[float, float, float
 
 def _shape(mask: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:
     mesh = X.mesh(mask, spacing)
-    cov = written(M.covariance(mask, spacing), "covariance")
+    cov = tabled(M.covariance(mask, spacing), "covariance")
     lengths = M.axis_lengths(cov).select(*KEY, F.col("major").alias("major_axis_mm"), F.col("middle").alias("minor_axis_mm"), F.col("minor").alias("least_axis_mm"), "elongation", "flatness")
     names = [(n, name) for n, name in enumerate(("major", "minor", "least"))]
     turned = X.directions(cov).select(*KEY, *[F.get(F.get("axes", n), c).alias(f"{name}_axis_dir_{x}") for n, name in names for c, x in enumerate("xyz")])
@@ -70,7 +70,7 @@ def topology(mask: DataFrame, grid: tuple[int, int, int], voxel_mm3: float) -> D
 
 
 def _intensity(mask: DataFrame, asked: list[str]) -> DataFrame:
-    counts = written(I.value_counts(mask, KEY), "counts")
+    counts = tabled(I.value_counts(mask, KEY), "counts")
     out = I.first_order(counts, KEY).drop("count").join(I.percentiles(counts, KEY, [0.05, 0.25, 0.5, 0.75, 0.95]), KEY).withColumn("iqr", F.col("p75") - F.col("p25"))
     if "skewness" not in asked:
         return out
@@ -90,7 +90,7 @@ def metrics(mask: DataFrame, series: DataFrame, grid: tuple[int, int, int], spac
     if profile not in PROFILES:
         raise ValueError(f"unknown profile {profile!r}; known are {', '.join(PROFILES)}")
     families = PROFILES[profile]
-    mask = written(mask, "mask")
+    mask = tabled(mask, "mask")
     made = {"size": lambda n: _size(mask, series, spacing, n), "shape": lambda n: _shape(mask, spacing), "topology": lambda n: topology(mask, grid, spacing[0] * spacing[1] * spacing[2]), "intensity": lambda n: _intensity(mask, n)}
     known = F.col("modality") == "CT"
     out = None
@@ -119,5 +119,5 @@ def warnings(found: DataFrame) -> DataFrame:
 def curves(mask: DataFrame, series: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The intensity-volume curve (``KEY, point, fraction``) and the shares of the default value ranges (``KEY, low, high, voxels, share``) of each segment of values with a known unit."""
     known = mask.join(series.where("modality = 'CT'").select("series_id"), "series_id", "left_semi")
-    counts = written(I.value_counts(known, KEY), "counts")
+    counts = tabled(I.value_counts(known, KEY), "counts")
     return I.volume_curve(counts, KEY), I.range_shares(counts, KEY)

@@ -94,3 +94,25 @@ def test_few_rows_of_much_work_stay_in_many_tasks(spark):
 
     rows = spark.range(64).selectExpr("id AS g", "id")
     assert over_groups(rows, ["g"], [], work, "g long, id long").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_many_rows_in_small_files_are_never_broadcast(spark):
+    """A table of many voxels has small files; Spark would take it for small and broadcast it whole."""
+    from lumivox.plans.scratch import tabled
+
+    voxels = spark.range(30_000).selectExpr("id DIV 1000 AS series_id", "CAST(id % 1000 AS INT) AS i")
+    told = lambda most: voxels.join(tabled(voxels, "voxels", most), ["series_id", "i"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in told(10_000)
+    assert "strategy=merge" not in told(30_000)
+    few = tabled(voxels.where("i < 0"), "none", 0)
+    assert few.isEmpty()
+
+
+def test_edges_of_a_core_are_found_from_the_band(spark):
+    """Voxels that only their own value lets in, beside a core by any of 26 neighbours, once each; none of the core itself, and none from another series."""
+    from lumivox.operators.surface import _with_edges
+
+    core = spark.createDataFrame([(1, 5, 5, 5), (1, 6, 5, 5), (2, 0, 0, 0)], "series_id long, i int, j int, k int")
+    band = spark.createDataFrame([(1, 6, 6, 6, False), (1, 5, 5, 5, False), (1, 8, 5, 5, False), (1, 7, 5, 5, True), (2, 1, 1, 1, False), (3, 5, 5, 6, False)], "series_id long, i int, j int, k int, core boolean")
+    got = sorted(map(tuple, _with_edges(core, band).collect()))
+    assert got == [(1, 5, 5, 5, True), (1, 6, 5, 5, True), (1, 6, 6, 6, False), (2, 0, 0, 0, True), (2, 1, 1, 1, False)]
