@@ -38,7 +38,7 @@ def with_fingerprints(rows: DataFrame, text_col: str = "text", size: int = 4) ->
     """Every row without its text, with ``fp long``: ASCII capitals lowered, words parted by ASCII white space, XXH64 with seed 42."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 4 << 20):
+        for batch in slices(batches, text_col, 1 << 20):
             found = np.array([fingerprint(t, size) for t in batch.column(text_col).to_pylist()], np.uint64).view(np.int64)
             others = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != text_col]
             yield pa.record_batch([*[c for _, c in others], pa.array(found)], names=[*[n for n, _ in others], "fp"])

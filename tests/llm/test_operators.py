@@ -842,3 +842,17 @@ def test_pipeline_on_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_slices_of_texts_are_small_and_whole():
+    """A worker's arrays are many times its slice of texts, and workers share an executor's memory: a quarter of a MB at a time, every row once and in order."""
+    import pyarrow as pa
+
+    from lumivox.llm.storage import slices
+
+    texts = ["x" * 60_000, None, "", "y" * 700_000] * 5
+    got = list(slices(iter([pa.record_batch({"text": texts})]), "text"))
+    assert [t for b in got for t in b.column("text").to_pylist()] == texts
+    assert all(sum(len(t or "") for t in b.column("text").to_pylist()[:-1]) < 1 << 18 for b in got)
+    small = list(slices(iter([pa.record_batch({"text": ["z" * 60_000] * 16})]), "text"))
+    assert len(small) == 4
