@@ -44,3 +44,14 @@ def test_the_first_of_equals_is_nearest(block):
     d2, at = M._nearest(own, others, (1.0, 0.5, 2.0), block)
     all_ = (((own[:, None] - others[None]) * (1.0, 0.5, 2.0)) ** 2).sum(axis=2)
     assert (d2 == all_.min(axis=1)).all() and (at == all_.argmin(axis=1)).all()
+
+
+def test_regions_grow_on_runs(spark, monkeypatch):
+    rows = [(n, i, j, k, 1 if (i, j) == (5, 5) else 0, 10.0 if j < 4 else 50.0) for n in (1, 2, 3) for i in range(12) for j in range(8) for k in range(4)]
+    voxels = spark.createDataFrame(rows, "series_id int, i int, j int, k int, label int, value double")
+    seeds = spark.createDataFrame([(1, 0, 0, 0), (2, 3, 7, 1), (3, 5, 5, 0)], "series_id int, i int, j int, k int")
+    seen = rows_written(monkeypatch, N)
+    got = {(r["series_id"], r["i"], r["j"], r["k"], r["refused"]) for r in N.grow(voxels, seeds, 0.0, 20.0, 500).collect()}
+    assert got == {(1, i, j, k, False) for i in range(12) for j in range(4) for k in range(4)}
+    assert max(seen) <= 3 * 4 * 4  # a row a run of the band, none a voxel
+    assert N.grow(voxels, seeds, 0.0, 20.0, 100).collect() == [(1, None, None, None, True)]
