@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumivox.operators.lattice import label_components
+from lumivox.operators.lattice import filled_slices
 from lumivox.operators.masks import KEY, VOX, in_polygon
 from lumivox.plans.scratch import tabled
 
@@ -65,19 +65,9 @@ def rasterised_lassos(lassos: DataFrame, width: int, height: int) -> DataFrame:
 
 def fill_by_slices(mask: DataFrame, free: DataFrame | None = None) -> DataFrame:
     """Fills what single slices enclose, across i, then j, then k; each pass sees what those before it filled. Only ``free`` voxels (``series_id, i, j, k``) are filled, if given."""
-    filled = mask.select(*KEY, *VOX)
+    filled = tabled(mask.select(*KEY, *VOX), "filled")
     for axis in VOX:
-        a, b = [x for x in VOX if x != axis]
-        key = [*KEY, axis]
-        box = filled.groupBy(*key).agg(F.min(a).alias("a0"), F.max(a).alias("a1"), F.min(b).alias("b0"), F.max(b).alias("b1"))
-        cells = box.withColumn(a, F.explode(F.sequence("a0", "a1"))).withColumn(b, F.explode(F.sequence("b0", "b1")))
-        outside = tabled(cells.join(filled, [*key, a, b], "left_anti"), "outside")
-        flat = outside.select(*key, F.col(a).alias("i_"), F.col(b).alias("j_")).withColumnRenamed(axis, "plane").select(*KEY, "plane", F.col("i_").alias("i"), F.col("j_").alias("j"), F.lit(0).alias("k"))
-        pieces = label_components(flat, diagonal=False, key=[*KEY, "plane"])
-        edges = box.withColumnRenamed(axis, "plane")
-        border = (F.col("i") == F.col("a0")) | (F.col("i") == F.col("a1")) | (F.col("j") == F.col("b0")) | (F.col("j") == F.col("b1"))
-        open_ = pieces.join(edges, [*KEY, "plane"]).where(border).select(*KEY, "plane", "piece").distinct()
-        inner = pieces.join(open_, [*KEY, "plane", "piece"], "left_anti").select(*KEY, F.col("plane").alias(axis), F.col("i").alias(a), F.col("j").alias(b))
+        inner = filled_slices(filled, axis)
         filled = tabled(filled.unionByName(inner if free is None else inner.join(free, ["series_id", *VOX], "left_semi")), "filled")
     return filled
 

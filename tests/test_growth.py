@@ -55,3 +55,48 @@ def test_regions_grow_on_runs(spark, monkeypatch):
     assert got == {(1, i, j, k, False) for i in range(12) for j in range(4) for k in range(4)}
     assert max(seen) <= 3 * 4 * 4  # a row a run of the band, none a voxel
     assert N.grow(voxels, seeds, 0.0, 20.0, 100).collect() == [(1, None, None, None, True)]
+
+
+def flood(plane):
+    """What four neighbours from the sides of its box don't reach of a plane."""
+    out = np.zeros_like(plane)
+    if not plane.any():
+        return out
+    box = tuple(slice(x.min(), x.max() + 1) for x in np.nonzero(plane))
+    held = plane[box]
+    way, todo = np.zeros_like(held), deque(p for p in map(tuple, np.argwhere(~held)) if p[0] in (0, held.shape[0] - 1) or p[1] in (0, held.shape[1] - 1))
+    for p in todo:
+        way[p] = True
+    while todo:
+        y, x = todo.popleft()
+        for q in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
+            if 0 <= q[0] < held.shape[0] and 0 <= q[1] < held.shape[1] and not held[q] and not way[q]:
+                way[q] = True
+                todo.append(q)
+    out[box] = ~held & ~way
+    return out
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 21])
+def test_slices_are_filled_without_rows_for_the_outside(spark, monkeypatch, cells):
+    monkeypatch.setattr(N, "CELLS", cells)
+    grids = [np.random.default_rng(n).random((13, 11, 6)) < share for n, share in enumerate((0.3, 0.6, 0.8))]
+    grids.append(np.zeros((60, 50, 6), bool))
+    grids[3][::59, :, 2] = grids[3][:, ::49, 2] = True  # a frame about much that is filled
+    grids.append(np.zeros((60, 50, 6), bool))
+    grids[4][0, 0, 0] = grids[4][59, 49, 0] = True  # two voxels far apart
+    mask = spark.createDataFrame([(n, 1, *map(int, p)) for n, g in enumerate(grids) for p in np.argwhere(g)], MASK)
+    wanted = []
+    for g in grids:
+        g = g.copy()
+        for axis in range(3):
+            planes = np.moveaxis(g, axis, 0)
+            for plane in planes:
+                plane |= flood(plane)
+        wanted.append({tuple(map(int, p)) for p in np.argwhere(g)})
+    seen = rows_written(monkeypatch, U)
+    got = U.fill_by_slices(mask)
+    assert max(seen) == sum(map(len, wanted))
+    found = got.collect()
+    assert len(found) == sum(map(len, wanted))
+    assert [{(r["i"], r["j"], r["k"]) for r in found if r["series_id"] == n} for n in range(len(grids))] == wanted
