@@ -169,10 +169,10 @@ def _metrics(s, d, profile="quick"):
 
 def _compare(s, d):
     """Two readings of the same segments, where both list the same files: volumes, overlap, distances of surfaces and centroids; null distances where one is empty."""
-    same = _same_files(_scans(s, d)).where("same").select(F.col("series").alias("series_id"))
+    same = tabled(_same_files(_scans(s, d)).where("same").select(F.col("series").alias("series_id")), "same")
     a, b = C.mask(s, d).select(*M.KEY, *M.VOX), _shifted(s, d).where("NOT (label = 1 AND series_id % 4 = 0)").select(*M.KEY, *M.VOX)
     a, b = tabled(a.join(same, "series_id", "left_semi"), "a"), tabled(b.join(same, "series_id", "left_semi"), "b")
-    sa, sb = M.surface(a), M.surface(b)
+    sa, sb = tabled(M.surface(a), "surface"), tabled(M.surface(b), "surface")
     far = M.hausdorff(M.distances(sa, sb, S, M.KEY), M.distances(sb, sa, S, M.KEY))
     apart = M.centroid(a).join(M.centroid(b).select(*M.KEY, *[F.col(f"c{x}").alias(f"d{x}") for x in M.VOX]), M.KEY)
     centre = F.sqrt(sum((F.pow((F.col(f"c{x}") - F.col(f"d{x}")) * m, F.lit(2)) for x, m in zip(M.VOX, S)), F.lit(0.0)))
@@ -229,9 +229,10 @@ def _stability(s, d):
 
 def _same_files(files):
     """Whether two workspaces of a series list the same files with the same hashes, from ``series, workspace, path, sha256``."""
-    lists = files.groupBy("series", "workspace").agg(F.array_sort(F.collect_list(F.struct("path", "sha256"))).alias("files"))
-    a, b = lists.where("workspace = 0"), lists.where("workspace = 1").select("series", F.col("files").alias("others"))
-    return a.join(b, "series").select("series", (F.col("files") == F.col("others")).alias("same"), F.size("files").cast("long").alias("files"))
+    of = [F.sum((F.col("workspace") == w).cast("long")).alias(f"n{w}") for w in (0, 1)]
+    listed = files.groupBy("series", "path", "sha256").agg(*of)  # no list is gathered
+    both = listed.groupBy("series").agg(F.bool_and(F.col("n0") == F.col("n1")).alias("same"), F.sum("n0").alias("files"), F.sum("n1").alias("others"))
+    return both.where("files > 0 AND others > 0").select("series", "same", "files")
 
 
 def _catalogues(s, d):

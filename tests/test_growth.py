@@ -100,3 +100,14 @@ def test_slices_are_filled_without_rows_for_the_outside(spark, monkeypatch, cell
     found = got.collect()
     assert len(found) == sum(map(len, wanted))
     assert [{(r["i"], r["j"], r["k"]) for r in found if r["series_id"] == n} for n in range(len(grids))] == wanted
+
+
+def test_lists_of_files_are_not_gathered(spark):
+    one = [(1, 0, "a", "x"), (1, 0, "b", "y"), (1, 1, "b", "y"), (1, 1, "a", "x")]
+    two = [(2, 0, "a", "x"), (2, 1, "a", "z")]
+    three = [(3, 0, "a", "x"), (3, 1, "a", "x"), (3, 1, "b", None)]
+    four = [(4, 0, "a", None), (4, 1, "a", None), (5, 0, "a", "x"), (6, 1, "a", "x")]
+    repeated = [(7, 0, "a", "x"), (7, 0, "a", "x"), (7, 1, "a", "x")]
+    same = flows._same_files(spark.createDataFrame(one + two + three + four + repeated, "series int, workspace int, path string, sha256 string"))
+    assert "collect_list" not in same._jdf.queryExecution().toString()
+    assert {(r["series"], r["same"], r["files"]) for r in same.collect()} == {(1, True, 2), (2, False, 1), (3, False, 1), (4, True, 1), (7, False, 2)}
