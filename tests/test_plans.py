@@ -116,3 +116,13 @@ def test_edges_of_a_core_are_found_from_the_band(spark):
     band = spark.createDataFrame([(1, 6, 6, 6, False), (1, 5, 5, 5, False), (1, 8, 5, 5, False), (1, 7, 5, 5, True), (2, 1, 1, 1, False), (3, 5, 5, 6, False)], "series_id long, i int, j int, k int, core boolean")
     got = sorted(map(tuple, _with_edges(core, band).collect()))
     assert got == [(1, 5, 5, 5, True), (1, 6, 5, 5, True), (1, 6, 6, 6, False), (2, 0, 0, 0, True), (2, 1, 1, 1, False)]
+
+
+def test_nearest_annotations_make_a_row_a_segment(spark):
+    """Distances from a line's segments are compiled (no lambda makes the points anew for each); lines of one point, of none and without points have no segment."""
+    from lumivox.operators.annotations import nearest
+
+    lines = [(1, 0, 7, [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0)]), (1, 0, 3, [(0.0, 8.0), (10.0, 8.0)]), (1, 0, 1, [(6.0, 4.0)]), (1, 1, 2, []), (1, 1, 4, None), (2, 0, 9, [(6.0, 5.0), (6.0, 5.0)]), (2, 1, 8, [(90.0, 0.0), (90.0, 9.0)])]
+    found = nearest(spark.createDataFrame(lines, "workspace long, slice_index long, id long, points array<struct<x: double, y: double>>"), 6.0, 4.0, 12.0)
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 3, 4.0), (2, 0, 9, 1.0)]
+    assert "lambdafunction" not in found._jdf.queryExecution().executedPlan().toString()
