@@ -18,6 +18,7 @@ from lumivox.operators import lattice as N
 from lumivox.operators import masks as M
 from lumivox.operators import profiles as P
 from lumivox.operators import reviews as R
+from lumivox.plans.joins import merge_join
 from lumivox.plans.scratch import scratch_path, tabled, written
 from lumivox.sources import cohort as C
 from lumivox.sources import volumes as V
@@ -157,9 +158,9 @@ def _shape_card(s, d):
     ranges = M.bounds(m).select(*M.KEY, *[e for a, sp in zip(M.VOX, S) for e in (((F.col(f"{a}1") - F.col(f"{a}0")) * sp).alias(f"{a}_mm"), (F.col(f"{a}0") + 1).alias(f"{a}_from"), F.col(f"{a}1").alias(f"{a}_to"))])
     axes = H.axial_axes(m, S).select(*M.KEY, "long_mm", "short_mm", (F.col("k") + 1).alias("largest_axial"))
     solid = m.where("value >= 110")
-    part = M.size(solid, 2.0).select(*M.KEY, F.col("voxels").alias("solid_voxels")).join(H.axial_axes(solid, S).select(*M.KEY, F.col("long_mm").alias("solid_long_mm"), F.col("short_mm").alias("solid_short_mm")), M.KEY)
+    part = merge_join(M.size(solid, 2.0).select(*M.KEY, F.col("voxels").alias("solid_voxels")), H.axial_axes(solid, S).select(*M.KEY, F.col("long_mm").alias("solid_long_mm"), F.col("short_mm").alias("solid_short_mm")), on=M.KEY)
     side = _laterality(s, d).select(*M.KEY, "observed", "consistent")
-    card = M.size(m, 2.0).join(ranges, M.KEY).join(found, M.KEY).join(axes, M.KEY).join(part, M.KEY, "left").join(side, M.KEY, "left")
+    card = merge_join(merge_join(M.size(m, 2.0), ranges, found, axes, on=M.KEY), part, side, on=M.KEY, how="left")
     return _long(_rounded(card.withColumn("solid_voxels", F.coalesce("solid_voxels", F.lit(0))), 4))
 
 
@@ -186,13 +187,13 @@ def _edit(s, d):
     op = F.element_at(F.array(*map(F.lit, ["keep_largest", "fill_holes", "restrict_to_box", "remove_small"])), (F.col("series_id") % 4 + 1).cast("int"))
     asked = M.size(m, 2.0).select(*M.KEY, F.col("voxels").alias("before")).withColumn("op", op).withColumn("author", F.when(F.col("series_id") % 5 == 0, "human").otherwise("agent")).withColumn("status", F.when((F.col("series_id") + F.col("label")) % 7 == 0, "confirmed").otherwise("proposed"))
     asked = tabled(asked.withColumn("reason", A.refusal()), "asked")
-    of = lambda name: m.join(asked.where((F.col("op") == name) & F.col("reason").isNull()), M.KEY, "left_semi")
+    of = lambda name: merge_join(m, asked.where((F.col("op") == name) & F.col("reason").isNull()), on=M.KEY, how="left_semi")
     taken = m.select("series_id", *M.VOX)  # holes are filled where no segment is
     filled = of("fill_holes")
     holes = N.enclosed(filled).select(*M.KEY, *M.VOX).join(taken, ["series_id", *M.VOX], "left_anti")
     edited = N.keep_pieces(of("keep_largest"), largest=True).unionByName(filled.unionByName(holes)).unionByName(M.within_box(of("restrict_to_box"), (4, 4, 3), (12, 12, 7))).unionByName(N.keep_pieces(of("remove_small"), least=3))
     after = M.size(edited, 2.0).select(*M.KEY, F.col("voxels").alias("after"))
-    return _long(asked.join(after, M.KEY, "left").select(*M.KEY, "op", "before", F.when(F.col("reason").isNull(), F.coalesce("after", F.lit(0))).otherwise(F.col("before")).alias("after"), "reason"))
+    return _long(merge_join(asked, after, on=M.KEY, how="left").select(*M.KEY, "op", "before", F.when(F.col("reason").isNull(), F.coalesce("after", F.lit(0))).otherwise(F.col("before")).alias("after"), "reason"))
 
 
 def _checks(s, d):
@@ -207,7 +208,7 @@ def _checks(s, d):
     owned = C.voxels(s, d).where("value > 700 AND label > 0").groupBy("series_id").agg(F.count("*").alias("owned"))
     side = _laterality(s, d).select(*M.KEY, "consistent")
     before = m.where("k < 7").groupBy(*M.KEY).agg(F.count("*").alias("kept"))  # the revision before has no slices above
-    all_ = asked.join(M.size(m, 2.0), M.KEY, "left").join(found, M.KEY, "left").join(roi, M.KEY, "left").join(owned, "series_id", "left").join(side, M.KEY, "left").join(before, M.KEY, "left")
+    all_ = merge_join(merge_join(asked, M.size(m, 2.0), found, roi, side, before, on=M.KEY, how="left"), owned, on="series_id", how="left")
     dice = 2 * F.coalesce("kept", F.lit(0)) / (F.col("voxels") + F.coalesce("kept", F.lit(0)))
     failed = F.when(F.col("voxels").isNull(), F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(
         F.when(F.col("share") < 0.9, "components"), F.when(F.col("cut"), "roi"), F.when(F.col("touches"), "border"), F.when((F.col("ml") < 0.2) | (F.col("ml") > 5.0), "size"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lumivox.operators.masks import FACES, KEY, VOX, largest_slice
 from lumivox.plans.groups import over_groups
+from lumivox.plans.joins import merge_join
 
 
 def line_ends(points: DataFrame, axes: list[str] = VOX, key: list[str] = KEY) -> DataFrame:
@@ -32,7 +33,7 @@ def mesh_points(mask: DataFrame) -> DataFrame:
     inside = mask.select(*KEY, *VOX).distinct()
     beside = inside.select(*KEY, *VOX, F.explode(F.array(*[F.array(*map(F.lit, face)) for face in FACES])).alias("face"))
     moved = beside.select(*KEY, *[(F.col(a) + F.get("face", n)).alias(a) for n, a in enumerate(VOX)], "face")
-    cut = moved.join(inside, [*KEY, *VOX], "left_anti")
+    cut = merge_join(moved, inside, on=[*KEY, *VOX], how="left_anti")
     return cut.select(*KEY, *[(2 * F.col(a) - F.get("face", n)).alias(a) for n, a in enumerate(VOX)])
 
 
@@ -167,7 +168,7 @@ def axial_axes(mask: DataFrame, spacing: tuple[float, float, float]) -> DataFram
     across it; the pair has one row a segment, so the slice's pixels meet it in a join that needs no gathering.
     """
     at = largest_slice(mask).where("axis = 'axial'").select(*KEY, (F.col("slice") - 1).cast("int").alias("k"))
-    here = mask.select(*KEY, *VOX).join(at, [*KEY, "k"])
+    here = merge_join(mask.select(*KEY, *VOX), at, on=[*KEY, "k"])
     scale = np.array(spacing)
 
     def pair(points: np.ndarray) -> tuple:
@@ -180,6 +181,6 @@ def axial_axes(mask: DataFrame, spacing: tuple[float, float, float]) -> DataFram
     x, y = (F.col("i") - F.col("i0")) * spacing[0], (F.col("j") - F.col("j0")) * spacing[1]
     unit = F.when(F.col("long_mm") > 0, F.col("long_mm")).otherwise(1.0)
     along, across = (x * dx + y * dy) / unit, (y * dx - x * dy) / unit
-    bands = here.join(axis, [*KEY, "k"]).groupBy(*KEY, *names, F.round(along / min(spacing[:2]), 0).alias("band")).agg((F.max(across) - F.min(across)).alias("wide"))
+    bands = merge_join(here, axis, on=[*KEY, "k"]).groupBy(*KEY, *names, F.round(along / min(spacing[:2]), 0).alias("band")).agg((F.max(across) - F.min(across)).alias("wide"))
     return bands.groupBy(*KEY, *names).agg(F.max("wide").alias("short_mm"))
 

@@ -12,6 +12,7 @@ from lumivox.operators import lattice as N
 from lumivox.operators import masks as M
 from lumivox.operators import surface as X
 from lumivox.operators.masks import KEY
+from lumivox.plans.joins import merge_join
 from lumivox.plans.scratch import tabled
 
 #: The features of the two profiles by family (fixed values).
@@ -43,8 +44,8 @@ def _size(mask: DataFrame, series: DataFrame, spacing: tuple[float, float, float
     placed = placed.select("*", *[m.alias(f"centroid_{x}_mm") for m, x in zip(mm, "xyz")])
     largest = M.largest_slice(mask).groupBy(*KEY).agg(*[F.max(F.when(F.col("axis") == a, F.col("slice"))).alias(f"largest_slice_{a}") for a in ("axial", "coronal", "sagittal")])
     axes = H.axial_axes(mask, spacing).select(*KEY, F.col("long_mm").alias("long_axis_mm"), F.col("short_mm").alias("short_axis_mm"))
-    out = placed.join(largest, KEY).join(axes, KEY)
-    return out.join(H.max_diameter(mask, spacing).withColumnRenamed("diameter_mm", "max_diameter_mm"), KEY) if "max_diameter_mm" in asked else out
+    out = merge_join(placed, largest, axes, on=KEY)
+    return merge_join(out, H.max_diameter(mask, spacing).withColumnRenamed("diameter_mm", "max_diameter_mm"), on=KEY) if "max_diameter_mm" in asked else out
 
 
 def _shape(mask: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:
@@ -53,7 +54,7 @@ def _shape(mask: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:
     lengths = M.axis_lengths(cov).select(*KEY, F.col("major").alias("major_axis_mm"), F.col("middle").alias("minor_axis_mm"), F.col("minor").alias("least_axis_mm"), "elongation", "flatness")
     names = [(n, name) for n, name in enumerate(("major", "minor", "least"))]
     turned = X.directions(cov).select(*KEY, *[F.get(F.get("axes", n), c).alias(f"{name}_axis_dir_{x}") for n, name in names for c, x in enumerate("xyz")])
-    both = mesh.join(lengths, KEY).join(turned, KEY).join(H.convex_hull(mask, spacing), KEY)
+    both = merge_join(mesh, lengths, turned, H.convex_hull(mask, spacing), on=KEY)
     return both.select(
         *KEY, (F.col("volume_mm3") / 1000).alias("mesh_volume_ml"), F.col("area_mm2").alias("surface_area_mm2"), F.col("surface_by_volume").alias("surface_to_volume_per_mm"), "compactness_1", "compactness_2", "sphericity",
         F.col("disproportion").alias("spherical_disproportion"), "major_axis_mm", "minor_axis_mm", "least_axis_mm", "elongation", "flatness", *[f"{name}_axis_dir_{x}" for _, name in names for x in "xyz"],
@@ -65,17 +66,17 @@ def topology(mask: DataFrame, grid: tuple[int, int, int], voxel_mm3: float) -> D
     """``components, largest_component_share, holes, hole_voxels, hole_volume_mm3, euler_number, border_sides`` of each segment."""
     pieces = N.components(mask).groupBy(*KEY).agg(F.count("*").alias("components"), (F.max("voxels") / F.sum("voxels")).alias("largest_component_share"))
     holes = N.cavities(mask).select(*KEY, F.col("cavities").alias("holes"), F.col("voxels").alias("hole_voxels"), (F.col("voxels") * voxel_mm3).alias("hole_volume_mm3"))
-    found = pieces.join(holes, KEY, "left").fillna(0, ["holes", "hole_voxels", "hole_volume_mm3"])
-    return found.join(M.euler_number(mask).withColumnRenamed("euler", "euler_number"), KEY).join(M.border(mask, grid).select(*KEY, F.col("sides").alias("border_sides")), KEY)
+    found = merge_join(pieces, holes, on=KEY, how="left").fillna(0, ["holes", "hole_voxels", "hole_volume_mm3"])
+    return merge_join(found, M.euler_number(mask).withColumnRenamed("euler", "euler_number"), M.border(mask, grid).select(*KEY, F.col("sides").alias("border_sides")), on=KEY)
 
 
 def _intensity(mask: DataFrame, asked: list[str]) -> DataFrame:
     counts = tabled(I.value_counts(mask, KEY), "counts")
-    out = I.first_order(counts, KEY).drop("count").join(I.percentiles(counts, KEY, [0.05, 0.25, 0.5, 0.75, 0.95]), KEY).withColumn("iqr", F.col("p75") - F.col("p25"))
+    out = merge_join(I.first_order(counts, KEY).drop("count"), I.percentiles(counts, KEY, [0.05, 0.25, 0.5, 0.75, 0.95]), on=KEY).withColumn("iqr", F.col("p75") - F.col("p25"))
     if "skewness" not in asked:
         return out
-    out = out.join(I.shape_of_distribution(counts, KEY), KEY).join(I.robust_mad(counts, KEY).withColumnRenamed("robust_mad", "rmad"), KEY)
-    out = out.join(I.histogram_measures(counts, KEY), KEY).join(I.volume_histogram(counts, KEY), KEY)
+    out = merge_join(out, I.shape_of_distribution(counts, KEY), I.robust_mad(counts, KEY).withColumnRenamed("robust_mad", "rmad"), on=KEY)
+    out = merge_join(out, I.histogram_measures(counts, KEY), I.volume_histogram(counts, KEY), on=KEY)
     for name in ("v10", "v90", "i10", "i90"):
         out = out.withColumnRenamed(name, f"ivh_{name}")
     return out

@@ -126,3 +126,17 @@ def test_nearest_annotations_make_a_row_a_segment(spark):
     found = nearest(spark.createDataFrame(lines, "workspace long, slice_index long, id long, points array<struct<x: double, y: double>>"), 6.0, 4.0, 12.0)
     assert sorted(map(tuple, found.collect())) == [(1, 0, 3, 4.0), (2, 0, 9, 1.0)]
     assert "lambdafunction" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_of_segments_are_merged_not_held_by_the_driver(spark):
+    """A profile joins many tables with a row a segment; each is below the broadcast threshold, all together fill the driver."""
+    from lumivox.operators import hull as H
+    from lumivox.operators import profiles as P
+    from lumivox.plans.joins import merge_join
+
+    mask = spark.range(80).selectExpr("id DIV 8 AS series_id", "1 AS label", "CAST(id % 2 AS INT) AS i", "CAST(id % 4 DIV 2 AS INT) AS j", "CAST(id % 8 DIV 4 AS INT) AS k")
+    for found in (H.axial_axes(mask, (1.0, 1.0, 2.0)), P.topology(mask, (16, 16, 12), 2.0)):
+        assert "BroadcastHashJoin [series_id" not in ran(found).split("Initial Plan")[0]
+        assert found.count() == 10
+    few = mask.groupBy("series_id").count()
+    assert "BroadcastHashJoin" not in ran(merge_join(mask, few, few.withColumnRenamed("count", "n"), on="series_id", how="left"))
