@@ -352,7 +352,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
 
 
 def _stored(segments: DataFrame, name: str) -> DataFrame:
-    """Segments as a table in small row groups, as one row is large."""
+    """Segments as a table in small row groups, as one row is large.
+
+    A group's size is looked at after every row: the writer waits for a hundred rows otherwise, which then are in memory at once, and
+    again whenever a task reads them.
+    """
     path = scratch_path(segments.sparkSession, name)
-    segments.write.option("parquet.block.size", 16 << 20).parquet(path)
+    segments.write.option("parquet.block.size", 16 << 20).option("parquet.page.size.row.check.min", 1).option("parquet.page.size.row.check.max", 1).parquet(path)
     return segments.sparkSession.read.schema(segments.schema).parquet(path)

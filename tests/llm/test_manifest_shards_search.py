@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +232,12 @@ def test_joint_bounds_leave_out_what_single_bounds_keep():
     query = search.Query(0, ((0, 0, 1),), None)
     assert segment.bounds(0, 0, 1) == (50, 50)  # not 100
     assert segment.best(query, 60, 10)[0].tolist() == [] and segment.best(query, 50, 10)[0].tolist() == [0, 1, 2, 3]
+
+
+def test_segments_are_stored_in_small_row_groups(spark):
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: F.hash(i, "id"))
+    stored = search._stored(spark.range(0, 30, 1, 1).select(numbers.alias("places")), "segments")  # 24 MB, fewer rows than the writer waits for
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in stored.inputFiles()]
+    assert max(m.row_group(g).num_rows for m in groups for g in range(m.num_row_groups)) < 30
+    assert max(m.row_group(g).total_byte_size for m in groups for g in range(m.num_row_groups)) < 20 << 20
+    assert stored.where("size(places) = 200000").count() == 30
