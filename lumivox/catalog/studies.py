@@ -62,14 +62,18 @@ def _members(s, d):
 
 
 def _strokes(s, d):
-    """A prompt an order on a raster of 40 x 40: strokes of two points and a radius, and lassos of four corners."""
+    """A prompt an order on a raster of 40 x 40: strokes of two points and a radius, and lassos of four corners.
+
+    The orders' file may be one group of rows, so orders are dealt out first. Lassos are counted by their runs.
+    """
     n, c = F.col("o_orderkey"), F.col("o_custkey")
-    o = C.table(s, d, "orders")
+    o = C.table(s, d, "orders").select("o_orderkey", "o_custkey").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "o_orderkey", "o_custkey")
     strokes = o.where(n % 2 == 0).select(n.alias("id"), (c % 31 + 2.0).alias("x0"), (n % 29 + 3.0).alias("y0"), (c % 23 + 8.0).alias("x1"), (n % 19 + 12.0).alias("y1"), (n % 3 + 1.5).alias("r"))
     corners = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((c % 13 + 0.5, n % 11 + 1.25), (c % 17 + 15.5, n % 7 + 0.25), (c % 11 + 20.5, n % 17 + 18.25), (c % 19 + 2.5, n % 13 + 22.25))])
     lassos = o.where(n % 2 == 1).select(n.alias("id"), corners.alias("corners"))
-    pixels = U.rasterised_strokes(strokes, 40, 40).unionByName(U.rasterised_lassos(lassos, 40, 40))
-    return pixels.groupBy("id").agg(F.count("*").alias("pixels"), F.sum(F.col("x") + 40 * F.col("y")).alias("places"))
+    drawn = U.rasterised_strokes(strokes, 40, 40).select("id", F.lit(1).alias("pixels"), (F.col("x") + 40 * F.col("y")).alias("places"))
+    around = U.lasso_runs(lassos, 40, 40).select("id", F.expr("x1 - x0 + 1").alias("pixels"), F.expr("(x0 + x1) * (x1 - x0 + 1) DIV 2 + 40 * y * (x1 - x0 + 1)").cast("int").alias("places"))
+    return drawn.unionByName(around).groupBy("id").agg(F.sum("pixels").alias("pixels"), F.sum("places").alias("places"))
 
 
 def _auto(s, d):

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyarrow import compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumivox.operators.lattice import filled_slices
-from lumivox.operators.masks import KEY, VOX, in_polygon
+from lumivox.operators.masks import KEY, VOX
 from lumivox.plans.scratch import tabled
 
 
@@ -55,12 +60,55 @@ def rasterised_strokes(strokes: DataFrame, width: int, height: int) -> DataFrame
     return cells.where(off <= F.col("r") * F.col("r")).select("id", "x", "y")
 
 
+#: Crossings of lassos' edges with lines that are worked on at a time, about; one lasso at least.
+CROSSINGS = 1 << 20
+
+
+def lasso_runs(lassos: DataFrame, width: int, height: int) -> DataFrame:
+    """``id, y, x0, x1`` (inclusive): the runs of pixels whose centres are inside each lasso's ``corners`` by the even-odd rule.
+
+    A pixel is inside where an odd number of edges cross its line behind it, so a line's crossings in order are the ends of its runs: a row a
+    run, and nothing is done for a pixel. Edges with a null corner count for none.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = compute.max(compute.list_value_length(batch.column("corners"))).as_py() or 1
+            step = max(1, CROSSINGS // (most * height))
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                corners = some.column("corners")
+                x, y = (c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in corners.flatten().flatten())
+                many = compute.fill_null(compute.list_value_length(corners), 0).to_numpy().astype(np.int64)
+                held = np.flatnonzero(many)
+                first = (np.cumsum(many) - many)[held]
+                behind = np.arange(1, len(x) + 1)
+                behind[first + many[held] - 1] = first
+                bx, by, of = x[behind], y[behind], np.repeat(np.arange(len(many)), many)
+                known = np.isfinite(x + y + bx + by)
+                low, high = (np.clip(np.ceil(np.where(known, ends(y, by), 0)), 0, height).astype(np.int64) for ends in (np.minimum, np.maximum))
+                edge = np.repeat(np.arange(len(x)), high - low)
+                line = low[edge] + np.arange(len(edge)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+                place = (bx - x)[edge] * (line - y[edge]) / (by - y)[edge] + x[edge]
+                end = np.clip(np.ceil(place), 0, width).astype(np.int64)
+                order = np.lexsort((end, line, of[edge]))
+                lasso, line, end = of[edge][order], line[order], end[order]
+                fresh = np.ones(len(order), bool)
+                fresh[1:] = (lasso[1:] != lasso[:-1]) | (line[1:] != line[:-1])
+                sizes = np.diff(np.append(np.flatnonzero(fresh), len(order)))
+                rest = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(order))  # crossings from this one on
+                left = np.zeros(len(many), np.int64)
+                left[held] = np.clip(np.floor(np.nan_to_num(np.fmin.reduceat(x, first))), 0, width) if len(held) else 0
+                start = np.where(fresh, left[lasso], np.concatenate([[0], end[:-1]]) if len(end) else end)
+                run = np.flatnonzero((rest % 2 == 1) & (start < end))
+                yield pa.record_batch([some.column("id").take(pa.array(lasso[run])), *[pa.array(c[run].astype(np.int32)) for c in (line, start, end - 1)]], names=["id", "y", "x0", "x1"])
+
+    return lassos.select("id", "corners").mapInArrow(scan, f"id {lassos.schema['id'].dataType.simpleString()}, y int, x0 int, x1 int")
+
+
 def rasterised_lassos(lassos: DataFrame, width: int, height: int) -> DataFrame:
-    """``id, x, y``: the pixels whose centres are inside each lasso's ``corners`` by the even-odd rule; only those of its box are looked at."""
-    ends = lambda axis, most: (F.greatest(F.lit(0), F.floor(F.array_min(F.transform("corners", lambda c: c[axis])))).cast("int"), F.least(F.lit(most - 1), F.ceil(F.array_max(F.transform("corners", lambda c: c[axis])))).cast("int"))
-    (x0, x1), (y0, y1) = ends("x", width), ends("y", height)
-    boxed = lassos.where((x0 <= x1) & (y0 <= y1)).withColumn("x", F.explode(F.sequence(x0, x1))).withColumn("y", F.explode(F.sequence(y0, y1)))
-    return boxed.where(in_polygon(F.col("x").cast("double"), F.col("y").cast("double"), F.col("corners"))).select("id", "x", "y")
+    """``id, x, y``: the pixels of ``lasso_runs``."""
+    return lasso_runs(lassos, width, height).select("id", F.explode(F.sequence("x0", "x1")).alias("x"), "y")
 
 
 def fill_by_slices(mask: DataFrame, free: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import deque
 import numpy as np
 import pytest
 
-from lumivox.catalog import flows
+from lumivox.catalog import flows, studies
 from lumivox.operators import lattice as N
 from lumivox.operators import masks as M
 from lumivox.operators import studies as U
@@ -111,3 +111,35 @@ def test_lists_of_files_are_not_gathered(spark):
     same = flows._same_files(spark.createDataFrame(one + two + three + four + repeated, "series int, workspace int, path string, sha256 string"))
     assert "collect_list" not in same._jdf.queryExecution().toString()
     assert {(r["series"], r["same"], r["files"]) for r in same.collect()} == {(1, True, 2), (2, False, 1), (3, False, 1), (4, True, 1), (7, False, 2)}
+
+
+def by_even_odd(corners, width, height):
+    """The pixels inside a polygon, each tested against every edge."""
+    out = set()
+    for y in range(height):
+        for x in range(width):
+            n = sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]))
+            if n % 2:
+                out.add((x, y))
+    return out
+
+
+@pytest.mark.parametrize("crossings", [1, 1 << 20])
+def test_lassos_are_runs(spark, monkeypatch, crossings):
+    monkeypatch.setattr(U, "CROSSINGS", crossings)
+    rng = np.random.default_rng(5)
+    shapes = [(rng.integers(-20, 80, (n, 2)) / 4 - (n == 7) * 30).tolist() for n in (1, 2, 3, 3, 4, 4, 5, 6, 7, 9, 12)]
+    shapes += [[], [[2.0, 3.0], [8.0, 3.0], [8.0, 9.0], [2.0, 9.0]], [[-5.0, -5.0], [50.0, -5.0], [50.0, 50.0], [-5.0, 50.0]]]
+    table = spark.createDataFrame([(n, [tuple(p) for p in s]) for n, s in enumerate(shapes)] + [(99, None)], "id int, corners array<struct<x: double, y: double>>")
+    wanted = {(n, x, y) for n, s in enumerate(shapes) for x, y in by_even_odd(s, 16, 12)}
+    assert len(wanted) > 300
+    got = [tuple(r) for r in U.rasterised_lassos(table, 16, 12).select("id", "x", "y").collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+    runs = U.lasso_runs(table, 16, 12).collect()
+    assert sum(r["x1"] - r["x0"] + 1 for r in runs) == len(wanted) and len(runs) < len(wanted) / 2
+
+
+def test_strokes_are_dealt_out_and_lassos_make_no_pixels(spark):
+    plan = studies.QUERIES["geo07_strokes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "MapInArrow" in plan
+    assert "lambdafunction" not in plan
