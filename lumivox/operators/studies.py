@@ -10,7 +10,7 @@ from pyarrow import compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumivox.operators.lattice import filled_slices
+from lumivox.operators.lattice import filled_slices, run_voxels
 from lumivox.operators.masks import KEY, VOX
 from lumivox.plans.scratch import tabled
 
@@ -112,11 +112,20 @@ def rasterised_lassos(lassos: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def fill_by_slices(mask: DataFrame, free: DataFrame | None = None) -> DataFrame:
-    """Fills what single slices enclose, across i, then j, then k; each pass sees what those before it filled. Only ``free`` voxels (``series_id, i, j, k``) are filled, if given."""
-    filled = tabled(mask.select(*KEY, *VOX), "filled")
+    """The voxels of ``fill_runs_by_slices``, of a mask's voxels."""
+    return run_voxels(fill_runs_by_slices(mask.select(*KEY, "j", "k", F.col("i").alias("i0"), F.col("i").alias("i1")), free))
+
+
+def fill_runs_by_slices(runs: DataFrame, free: DataFrame | None = None) -> DataFrame:
+    """Fills what single slices enclose, across i, then j, then k; each pass sees what those before it filled. Only ``free`` voxels (``series_id, i, j, k``) are filled, if given.
+
+    Segments are runs (``KEY, j, k, i0, i1``), and so is what comes back; each filled voxel is a run of its own.
+    """
+    filled = tabled(runs.select(*KEY, *[F.col(c).cast("int").alias(c) for c in ("j", "k", "i0", "i1")]), "filled")
     for axis in VOX:
         inner = filled_slices(filled, axis)
-        filled = tabled(filled.unionByName(inner if free is None else inner.join(free, ["series_id", *VOX], "left_semi")), "filled")
+        inner = inner if free is None else inner.join(free, ["series_id", *VOX], "left_semi")
+        filled = tabled(filled.unionByName(inner.select(*KEY, "j", "k", F.col("i").alias("i0"), F.col("i").alias("i1"))), "filled")
     return filled
 
 

@@ -9,6 +9,7 @@ from lumivox.catalog import flows, studies
 from lumivox.operators import lattice as N
 from lumivox.operators import masks as M
 from lumivox.operators import studies as U
+from lumivox.operators import surface as X
 
 MASK = "series_id int, label int, i int, j int, k int"
 
@@ -143,3 +144,51 @@ def test_strokes_are_dealt_out_and_lassos_make_no_pixels(spark):
     plan = studies.QUERIES["geo07_strokes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "MapInArrow" in plan
     assert "lambdafunction" not in plan
+
+
+def test_robust_growth_makes_no_rows_of_the_band(spark, monkeypatch):
+    """Across bricks: smoothed by the box, 6-connected with the seed, and what lies beside it by its own value."""
+    shape = (6, 70, 5)
+    raw = np.random.default_rng(8).integers(0, 30, shape).astype(float)
+    raw[:, :, 4] = 500.0
+    raw[3, 40:66, 2] = 300.0
+    there = np.random.default_rng(9).random(shape) < 0.97
+    label = np.zeros(shape, int)
+    label[:, 20, :3] = 1
+    there[1, 5, 1] = True
+    rows = [(7, *map(int, p), int(label[tuple(p)]), float(raw[tuple(p)])) for p in np.argwhere(there)]
+    voxels = spark.createDataFrame(rows, "series_id bigint, i int, j int, k int, label int, value double")
+    smooth, known = raw.copy(), there
+    for axis in range(3):
+        pads = [(1, 1) if a == axis else (0, 0) for a in range(3)]
+        parts = [np.moveaxis(np.pad(np.where(known, x, 0.0), pads), axis, 0) for x in (smooth, np.ones(shape))]
+        total, n = (np.moveaxis(p[:-2] + p[1:-1] + p[2:], 0, axis) for p in parts)
+        smooth = np.divide(total, n, out=np.zeros(shape), where=there)
+    near = sorted(smooth[tuple(p)] for p in np.argwhere(there) if (abs(p - (1, 5, 1)) <= 1).all())
+    level = near[len(near) // 2]
+    free = there & (label == 0)
+    core, own = free & (abs(smooth - level) <= 4.0), free & (abs(raw - level) <= 4.0)
+    core[1, 5, 1] = True
+    grown, todo = {(1, 5, 1)}, deque([(1, 5, 1)])
+    while todo:
+        p = todo.popleft()
+        for d in M.FACES:
+            q = tuple(a + b for a, b in zip(p, d))
+            if all(0 <= a < n for a, n in zip(q, shape)) and core[q] and q not in grown:
+                grown.add(q)
+                todo.append(q)
+    edge = {tuple(map(int, p)) for p in np.argwhere(own & ~core) if any(tuple(int(a + b) for a, b in zip(p, d)) in grown for d in M.AROUND)}
+    seen = rows_written(monkeypatch, X)
+    got = X.grow_robust(voxels, spark.createDataFrame([(7, 1, 5, 1)], "series_id bigint, i int, j int, k int"), 1, 4.0).collect()
+    assert {(r["i"], r["j"], r["k"], r["core"]) for r in got} == {(*p, True) for p in grown} | {(*p, False) for p in edge}
+    assert len(got) == len(grown) + len(edge) > 100
+    assert max(seen) < len(rows)  # before, the smoothed values were written
+
+
+def test_openings_look_no_farther_than_the_radius():
+    d2 = np.where(np.random.default_rng(4).random((9, 14, 11)) < 0.02, 0.0, np.inf)
+    near, whole = d2, d2
+    for axis, reach, step in ((2, 3, 1.0), (1, 2, 1.25), (0, 2, 2.0)):
+        near, whole = N._least_within(near, axis, reach, step), N._along(whole, axis, step)
+    assert (np.where(near <= 6.25, near, -1) == np.where(whole <= 6.25, whole, -1)).all()
+    assert ((near < 6.25) == (whole < 6.25)).all()
