@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumivox.operators.lattice import over_bricks, placed_cells
 from lumivox.operators.masks import VOX, box_mean
+from lumivox.plans.scratch import written
 
 
 def gaussian_kernel(sigma: float) -> list[float]:
@@ -55,14 +60,52 @@ def box_smooth(voxels: DataFrame, radius: int, value: str = "value") -> DataFram
 
 
 def sobel(voxels: DataFrame, value: str = "value") -> DataFrame:
-    """``edge``: the size of the gradient by Sobel's kernels in three dimensions, as a share of the series' strongest."""
-    flat, step = [1.0, 2.0, 1.0], [-1.0, 0.0, 1.0]
-    one = convolve(voxels, "i", {"s": (value, flat), "x": (value, step)})
-    two = convolve(one, "j", {"s": ("s", flat), "x": ("x", flat), "y": ("s", step)})
-    three = convolve(two, "k", {"x": ("x", flat), "y": ("y", flat), "z": ("s", step)})
-    sized = three.select("series_id", *VOX, F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")).alias("g"))
-    most = sized.groupBy("series_id").agg(F.max("g").alias("most"))  # one row a series
-    return sized.join(most, "series_id").select("series_id", *VOX, F.when(F.col("most") > 0, F.col("g") / F.col("most")).otherwise(0.0).alias("edge"))
+    """``edge``: the size of the gradient by Sobel's kernels in three dimensions, as a share of the series' strongest; the border's value holds beyond it.
+
+    Series are whole boxes; a voxel that isn't there counts as zero and has no edge. They are dealt into bricks of lines with the lines beside them, once for the three axes; a line of sizes is a row until the strongest is known.
+    """
+    rows = voxels.select("series_id", *[F.col(a).cast("int").alias(a) for a in VOX], F.col(value).cast("double").alias("value"))
+
+    def work(table: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        places = np.stack([table.column(a).to_numpy().astype(np.int64) for a in ("k", "j", "i")])
+        value, bj, bk = (table.column(c).to_numpy() for c in ("value", "bj", "bk"))
+        row, lines, found, held = [], [], [], []
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), table.num_rows]):
+            placed = placed_cells(places[:, a:b], (int(bk[a]), int(bj[a])))
+            if placed is None:
+                continue
+            corner, shape, at, own = placed
+            grid, there = np.zeros(shape), np.zeros(shape, bool)
+            grid.ravel()[at] = value[a:b]
+            there.ravel()[at] = True
+            wide = np.pad(grid, 1, mode="edge")
+            total = np.zeros(shape)
+            for axis in range(3):
+                slope = wide
+                for other in range(3):
+                    n, cut = shape[other], lambda lo, x: tuple(slice(lo, lo + x[1]) if d == x[0] else slice(None) for d in range(3))
+                    before, here, behind = (slope[cut(lo, (other, n))] for lo in (0, 1, 2))
+                    slope = behind - before if other == axis else before + 2.0 * here + behind
+                total += slope * slope
+            sizes = np.where(there, np.sqrt(total), 0.0)[own]
+            z, y = np.meshgrid(*[np.arange(x.start, x.stop) + c for x, c in zip(own, corner)], indexing="ij")
+            row.append(np.full(z.size, a))
+            lines.append(np.stack([y.ravel(), z.ravel(), np.full(z.size, corner[2])]))
+            found.append(sizes.reshape(-1, shape[2]))
+            held.append(there[own].ravel())
+        if row:
+            long = np.concatenate([np.full(len(x), x.shape[1]) for x in found])
+            j, k, low = np.concatenate(lines, axis=1).astype(np.int32)
+            sizes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(long)]).astype(np.int32)), pa.array(np.concatenate([x.ravel() for x in found]), mask=~np.concatenate(held)))
+            strongest = pa.array(np.concatenate([x.max(axis=1) for x in found]))
+            named = table.column("series_id").combine_chunks().take(pa.array(np.concatenate(row)))
+            yield pa.record_batch([named, pa.array(j), pa.array(k), pa.array(low), sizes, strongest], names=["series_id", "j", "k", "low", "sizes", "strongest"])
+
+    kind = rows.schema["series_id"].dataType.simpleString()
+    lines = written(over_bricks(rows, ["series_id"], (1, 1), work, f"series_id {kind}, j int, k int, low int, sizes array<double>, strongest double"), "lines").hint("merge")
+    most = lines.groupBy("series_id").agg(F.max("strongest").alias("most"))  # one row a series
+    cells = lines.join(most, "series_id").select("series_id", "j", "k", "low", "most", F.posexplode("sizes").alias("at", "g")).where("g IS NOT NULL")
+    return cells.select("series_id", (F.col("low") + F.col("at")).alias("i"), "j", "k", F.when(F.col("most") > 0, F.col("g") / F.col("most")).otherwise(0.0).alias("edge"))
 
 
 def smoothed_histogram(bins: DataFrame, sigma: float, key: list[str], total: int) -> DataFrame:
