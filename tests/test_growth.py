@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lumivox.catalog import flows, studies
+from lumivox.functions import text as T
 from lumivox.operators import filters as L
 from lumivox.operators import lattice as N
 from lumivox.operators import masks as M
@@ -216,3 +217,15 @@ def test_edges_are_sought_in_bricks(spark):
     found = {(r["i"], r["j"], r["k"]): r["edge"] for r in got.collect()}
     assert len(found) == len(rows)
     assert all(abs(e - edge[p]) < 1e-12 for p, e in found.items())
+
+
+def test_secrets_are_found_across_blocks(spark, monkeypatch):
+    """Wherever they begin, also repetitive ones; a text with a part of a secret is not looked through."""
+    monkeypatch.setattr(T, "BLOCK", 30)
+    secrets = [(1, "Customer#000000017"), (2, "abcabcabcabcabcabcabcabcabcabcabc"), (3, "the quick brown fox jumps over the lazy dog"), (4, "\u00e9\U0001f600" * 12)]
+    texts = [(100 * n + at, "x" * at + s + "\n" + "y" * (at % 5)) for n, s in secrets for at in range(40)] + [(9000, "the quick brown fox"), (9001, None), (9002, ""), (9003, "Customer#000000018 " * 9)]
+    table = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = T.find_secrets(table, spark.createDataFrame(secrets, "secret_id bigint, secret string"))
+    assert {tuple(r) for r in got.collect()} == {(d, n) for d, t in texts for n, s in secrets if t and s in t}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "needed" in plan and "regexp_extract_all" in plan
